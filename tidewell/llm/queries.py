@@ -9,6 +9,7 @@ from .exact_dedup import group_report
 from .packing import pack
 from .shared import table
 from .sharding import shard
+from .substring_dedup import remove_repeats
 from .warc import round_trip
 
 
@@ -39,11 +40,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
