@@ -10,9 +10,15 @@ from .packing import pack
 from .shared import table
 from .sharding import shard
 from .substring_dedup import remove_repeats
+from .suffix_dedup import remove_repeated_bytes
 from .warc import round_trip
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = group_report(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -46,6 +52,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,

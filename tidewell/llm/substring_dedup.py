@@ -182,16 +182,9 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id
     batches, buckets = parts_for(size, BATCH_BYTES), min(MOST_BUCKETS, parts_for(size, BUCKET_BYTES))
     dealt = docs.select(bucket_of(id_col, batches).alias("batch"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     by_batch = dealt.groupBy("batch")
-    sent = by_batch.applyInArrow(_keyed(_send, buckets), "bucket int, batch int, single binary, multi binary, blocks binary")
+    sent = by_batch.applyInArrow(lambda key, docs: _send(key, docs, buckets), "bucket int, batch int, single binary, multi binary, blocks binary")
     shared = sent.groupBy("bucket").applyInArrow(_probe, "batch int, bucket int, shared binary")
-    windows = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(_keyed2(_extend, buckets), "bucket int, batch int, hashes binary, low binary, high binary")
+    windows = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(lambda key, docs, more: _extend(key, docs, more, buckets), "bucket int, batch int, hashes binary, low binary, high binary")
     told = windows.groupBy("bucket").applyInArrow(_originals, "batch int, hashes binary, low binary")
     return by_batch.cogroup(told.groupBy("batch")).applyInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string")
 
-
-def _keyed(f, buckets: int):
-    return lambda key, docs: f(key, docs, buckets)
-
-
-def _keyed2(f, buckets: int):
-    return lambda key, docs, more: f(key, docs, more, buckets)
