@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontam import contained_items
 from .exact_dedup import group_report
 from .packing import pack
 from .shared import table
 from .sharding import shard
+from .shingles import WORD
 from .substring_dedup import remove_repeats
 from .suffix_dedup import remove_repeated_bytes
 from .warc import round_trip
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_bytes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -52,6 +58,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_packing": op6_packing,
@@ -61,6 +68,19 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+        WITH w AS (
+            SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(text), '{WORD}') AS ws FROM documents
+            UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(text), '{WORD}') FROM benchmark
+        ), s AS (
+            SELECT DISTINCT kind, id, array_to_string(ws[i:i + 4], ' ') AS g FROM w, unnest(range(1, len(ws) - 3)) AS t(i)
+        ), n AS (
+            SELECT id, count(*) AS n_shingles FROM s WHERE kind = 'i' GROUP BY id
+        )
+        SELECT d.id AS doc_id, i.id AS item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles AS containment
+        FROM s i JOIN s d ON d.kind = 'd' AND i.g = d.g JOIN n ON n.id = i.id
+        WHERE i.kind = 'i' GROUP BY d.id, i.id, n_shingles HAVING count(*) >= 0.8 * n_shingles - 1e-9
+    """,
     "op4_exact_dedup": """
         WITH d AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
