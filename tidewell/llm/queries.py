@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontam import contained_items
 from .exact_dedup import group_report
+from .jaccard_join import jaccard_join
 from .packing import pack
 from .shared import table
 from .sharding import shard
@@ -30,6 +31,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
