@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .routing import MOST_BUCKETS, Shared, binary, cat, column, cover, cuts_of, packed32, run_starts
-from .shared import bucket_of, parts_for, text_bytes
+from .shared import bucket_of, parts_for, staged, text_bytes
 from .textarrays import BYTE_VALUES, U64, Sums, pieces, text_buffer
 
 LENGTH = 400
@@ -89,7 +90,12 @@ def _windows(sums: Sums, offs: np.ndarray, within: np.ndarray | None = None) ->
 
 def _sample(key: tuple, docs: pa.Table, buckets: int) -> pa.Table:
     """A batch's sample keys for each bucket, apart by whether they occur once or more here."""
-    keys = np.sort(cat([_samples(sums, offs)[1] for _, _, _, offs, sums in _pieces(docs)], U64))
+    copied = docs.column("copied").to_numpy()
+    found = []
+    for a, _, _, offs, sums in _pieces(docs):
+        at, keys = _samples(sums, offs)
+        found += [keys, keys[copied[a + np.searchsorted(offs, at, side="right") - 1]]]
+    keys = np.sort(cat(found, U64))
     starts = run_starts(keys)
     count = np.diff(np.append(starts, len(keys)))
     sent = [packed32(keys[starts[count == 1]], buckets), packed32(keys[starts[count > 1]], buckets)]
@@ -112,23 +118,31 @@ def _rank(key: tuple, sent: pa.Table) -> pa.Table:
     return pa.table([pa.array([b for b, _ in told], pa.int32()), pa.array([key[0].as_py()] * len(told), pa.int32()), binary([x for _, x in told])], names=["batch", "bucket", "shared"])
 
 
-def _suffixes(key: tuple, docs: pa.Table, tied: pa.Table, buckets: int) -> pa.Table:
-    """A batch's strings that hold a tied sample, as keys for each bucket."""
+def _suffix_keys(docs: pa.Table, tied: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys of a batch's strings that hold a tied sample, and whether each begins more than one."""
     ties = Shared(tied, buckets)
     found = []
+    copied = docs.column("copied").to_numpy()
     if len(ties.keys):
-        for _, _, part, offs, sums in _pieces(docs):
+        for a, _, part, offs, sums in _pieces(docs):
             at, keys = _samples(sums, offs)
             at = at[ties.holds(keys)]
             marks = np.zeros(len(part) + 1, np.int32)
             np.cumsum(np.bincount(at, minlength=len(part)), out=marks[1:])
             begin = np.arange(len(part))
             # a tied sample at an offset below the period
-            found.append(_windows(sums, offs, marks[np.minimum(begin + PERIOD, len(part))] > marks[begin])[1])
+            at, keys = _windows(sums, offs, marks[np.minimum(begin + PERIOD, len(part))] > marks[begin])
+            found.append(keys)
+            # what a copied text holds begins in its copies too
+            found.append(keys[copied[a + np.searchsorted(offs, at, side="right") - 1]])
     keys = np.sort(cat(found, U64))
     starts = run_starts(keys)
-    many = np.diff(np.append(starts, len(keys))) > 1
-    keys = keys[starts]
+    return keys[starts], np.diff(np.append(starts, len(keys))) > 1
+
+
+def _suffixes(key: tuple, docs: pa.Table, tied: pa.Table, buckets: int) -> pa.Table:
+    """A batch's strings that hold a tied sample, as keys for each bucket."""
+    keys, many = _suffix_keys(docs, tied, buckets)
     cuts = cuts_of(keys, buckets)
     some = np.flatnonzero(np.diff(cuts))
     part = lambda x, i: x[cuts[i] : cuts[i + 1]]
@@ -139,24 +153,27 @@ def _suffixes(key: tuple, docs: pa.Table, tied: pa.Table, buckets: int) -> pa.Ta
 
 
 def _settle(key: tuple, sent: pa.Table) -> pa.Table:
-    """Sort a bucket's suffixes; keys that occur again anywhere are told to their batches."""
+    """Sort a bucket's suffixes; each batch is told, a bit for each key that it sent, which occur again."""
     keys = column(sent, "keys", "<u8")
     many = [np.unpackbits(m, count=len(k)).astype(bool) for k, m in zip(keys, column(sent, "many", np.uint8), strict=True)]
     every = np.sort(np.concatenate([*keys, *(k[m] for k, m in zip(keys, many, strict=True))]))
     starts = run_starts(every)
     tied = every[starts[np.diff(np.append(starts, len(every))) > 1]]
     told = []
-    if len(tied):
-        for batch, own in zip(sent.column("batch").to_pylist(), keys, strict=True):
-            hit = tied[np.minimum(np.searchsorted(tied, own), len(tied) - 1)] == own
-            if hit.any():
-                told.append((batch, own[hit]))
-    return pa.table([pa.array([b for b, _ in told], pa.int32()), binary([x for _, x in told])], names=["batch", "keys"])
+    for own in keys:
+        hit = tied[np.minimum(np.searchsorted(tied, own), len(tied) - 1)] == own if len(tied) else np.zeros(len(own), bool)
+        told.append(np.packbits(hit))
+    return pa.table([sent.column("batch"), pa.array([key[0].as_py()] * len(told), pa.int32()), binary(told)], names=["batch", "bucket", "flags"])
 
 
-def _remove(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
+def _remove(key: tuple, docs: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
     """Rows of a batch without the bytes that a repeated string covers."""
-    repeated = np.sort(cat(column(told, "keys", "<u8"), U64))
+    told = told.sort_by("bucket")
+    flags = told.filter(pc.is_valid(told.column("flags")))
+    keys, _ = _suffix_keys(docs, told.filter(pc.is_valid(told.column("shared"))), buckets)
+    cuts = cuts_of(keys, buckets)
+    bits = [np.unpackbits(f, count=cuts[b + 1] - cuts[b]) for b, f in zip(flags.column("bucket").to_pylist(), column(flags, "flags", np.uint8), strict=True)]
+    repeated = keys[cat(bits, np.uint8).astype(bool)]
     n_bytes, n_removed, n_spans, kept = [], [], [], []
     for _, _, part, offs, sums in _pieces(docs):
         gone = np.zeros(len(part), bool)
@@ -177,6 +194,21 @@ def _remove(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
     return pa.table([docs.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+#: Texts that occur more than once are told to all tasks up to so many, 64 MB; beyond, the rows are joined by a shuffle.
+BROADCAST_TEXTS = 2_000_000
+
+
+def _with_copies(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` with ``copied`` (its text occurs in other rows too) and ``copy`` (one with a smaller id stands for it)."""
+    name = [F.xxhash64("text").alias("_a"), F.hash("text").alias("_b"), F.octet_length("text").alias("_n")]
+    groups = staged(docs.select("doc_id", *name).groupBy("_a", "_b", "_n").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_c")).where("_c > 1").drop("_c"), "copied-texts")
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_TEXTS else groups
+    first = F.col("_first")
+    return docs.select("*", *name).join(groups.withColumn("_copied", F.lit(True)), ["_a", "_b", "_n"], "left").select(
+        "doc_id", "text", F.coalesce("_copied", F.lit(False)).alias("copied"), F.coalesce(F.col("_copied") & ~F.col("doc_id").eqNullSafe(first), F.lit(False)).alias("copy")
+    )
+
+
 def remove_repeated_bytes(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) for each row.
 
@@ -189,12 +221,20 @@ def remove_repeated_bytes(docs: DataFrame, *, text: str = "text", id_col: str =
     gives an empty one; other columns are not read. A text that fills a third of all rows is one key for
     each of its positions and batches.
     """
-    size = text_bytes(docs, text)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    size = text_bytes(rows)
     batches, buckets = parts_for(size, BATCH_BYTES), min(MOST_BUCKETS, parts_for(size, BUCKET_BYTES))
-    dealt = docs.select(bucket_of(id_col, batches).alias("batch"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    by_batch = dealt.groupBy("batch")
+    marked = _with_copies(rows)
+    by_batch = marked.where("not copy").select(bucket_of("doc_id", batches).alias("batch"), "doc_id", "text", "copied").groupBy("batch")
     sample = by_batch.applyInArrow(lambda key, docs: _sample(key, docs, buckets), "bucket int, batch int, single binary, multi binary")
     tied = sample.groupBy("bucket").applyInArrow(_rank, "batch int, bucket int, shared binary")
     suffixes = by_batch.cogroup(tied.groupBy("batch")).applyInArrow(lambda key, docs, more: _suffixes(key, docs, more, buckets), "bucket int, batch int, keys binary, many binary")
-    told = suffixes.groupBy("bucket").applyInArrow(_settle, "batch int, keys binary")
-    return by_batch.cogroup(told.groupBy("batch")).applyInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    flags = suffixes.groupBy("bucket").applyInArrow(_settle, "batch int, bucket int, flags binary")
+    told = tied.unionByName(flags, allowMissingColumns=True)
+    kept = by_batch.cogroup(told.groupBy("batch")).applyInArrow(lambda key, docs, more: _remove(key, docs, more, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    # a copy of LENGTH bytes or more repeats from end to end
+    n, body = F.octet_length("text").cast("long"), F.encode("text", "UTF-8")
+    long = n >= LENGTH
+    none = F.lit(0).cast("long")
+    copies = marked.where("copy").select("doc_id", n.alias("n_bytes"), F.when(long, n).otherwise(none).alias("n_removed"), F.when(long, none + 1).otherwise(none).alias("n_spans"), F.when(long, F.encode(F.lit(""), "UTF-8")).otherwise(body).alias("kept"))
+    return kept.unionByName(copies)
