@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontam import contained_items
 from .exact_dedup import group_report
 from .jaccard_join import jaccard_join
+from .langid import identify
 from .packing import pack
 from .shared import table
 from .sharding import shard
@@ -62,6 +63,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
@@ -76,6 +81,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
+    "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
