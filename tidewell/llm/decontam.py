@@ -166,6 +166,6 @@ def contained_items(docs: DataFrame, items: DataFrame, *, threshold: float = THR
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that hold no test item, all their columns; rows with a null id are judged by their text too."""
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    hit = contained_items(keyed.select(F.col("_key").alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(hit, "_key", "left_anti").drop("_key")
+    keyed = docs.withColumn("_text_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    hit = contained_items(keyed.select(F.col("_text_key").alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias("_text_key")).distinct()
+    return keyed.join(hit, "_text_key", "left_anti").select(docs.columns)

@@ -33,7 +33,7 @@ BIN = 2000
 #: Columns of an incidence matrix at once.
 _WIDTH = 4096
 
-_SIGNED = "doc_id long, v long, n long, trees array<long>"
+_SIGNED = "doc_id long, named boolean, v long, n long, trees array<long>"
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> int:
@@ -77,7 +77,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Re
                     trees[full, t] = name.astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(n) + 1) * TREES, TREES), pa.int32()), pa.array(trees.ravel()))
             names = pa.array(_identity(bounds, keys), pa.int64(), mask=~full)
-            yield pa.RecordBatch.from_arrays([ids.slice(first, len(n)), names, pa.array(n, pa.int64()), lists], names=["doc_id", "v", "n", "trees"])
+            yield pa.RecordBatch.from_arrays([ids.slice(first, len(n)), b.column("named").slice(first, len(n)), names, pa.array(n, pa.int64()), lists], names=["doc_id", "named", "v", "n", "trees"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,7 @@ def _key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
 
 
-def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def jaccard_join(docs: DataFrame, **options) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, class_id, text_id, n_copies, n_links, n_text_links``.
 
     ``class_id`` is the smallest doc_id that similar texts lead to, ``text_id`` the smallest with the
@@ -185,11 +185,18 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float
     the join runs and stay null in ``doc_id``; repeated rows are copies; an empty table gives an empty one; other
     columns are not read. Copies never meet the forest. A prefix that a third of all texts share
     gives one edge each, and the blocks of a large gathered set are compared in tasks of two blocks.
+    Options are those of ``_joined``.
     """
+    out = _joined(docs, **options)
+    return out.withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named")
+
+
+def _joined(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """What jaccard_join returns, with the names of rows without id in ``doc_id`` and ``named`` for the others."""
     spark = docs.sparkSession
     depth = prefix_length(threshold, recall=recall)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("own_id"), _key().alias("doc_id"), F.col("text").cast("string"))
-    signed = staged(keyed.select("doc_id", "text").mapInArrow(lambda b: _signatures(b, depth), _SIGNED), "signatures")
+    keyed = docs.select(_key().alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), F.col("text").cast("string"))
+    signed = staged(keyed.mapInArrow(lambda b: _signatures(b, depth), _SIGNED), "signatures")
     texts = staged(signed.where("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("size"), F.first("trees").alias("trees")), "texts")
     gathered = staged(components(candidate_edges(texts)).withColumnRenamed("component", "gathered"), "gathered")
     sizes = gathered.groupBy("gathered").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -212,16 +219,16 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float
     classes = named.groupBy("label").agg(F.min("text_id").alias("class_id"))
     fate = named.join(classes, "label").select("v", "class_id", "text_id", "size", "links", "text_links")
     one = F.lit(1).cast("long")
-    joined = signed.select("doc_id", "v").hint("merge").join(fate, "v", "left")
-    out = joined.select(
+    joined = signed.select("doc_id", "named", "v").hint("merge").join(fate, "v", "left")
+    return joined.select(
         "doc_id",
+        "named",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("text_id", "doc_id").alias("text_id"),
         F.coalesce("size", one).alias("n_copies"),
         (F.coalesce("links", one - 1) + F.coalesce("size", one) - 1).alias("n_links"),
         F.coalesce("text_links", one - 1).alias("n_text_links"),
     )
-    return out
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
@@ -229,6 +236,6 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat a staying id are one document and one of them stays.
     """
-    keyed = docs.withColumn("_key", _key())
-    stays = jaccard_join(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(stays, "_key", "left_semi").drop("_key")
+    keyed = docs.withColumn("_text_key", _key())
+    stays = _joined(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("_text_key")).distinct()
+    return keyed.join(stays, "_text_key", "left_semi").select(docs.columns)

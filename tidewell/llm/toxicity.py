@@ -204,7 +204,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all their columns; null ids are judged by their texts."""
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    scored = score(keyed.select(F.col("_key").alias("doc_id"), "text"), fit(docs, labels))
-    toxic = scored.where(F.col("score") >= threshold).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(toxic, "_key", "left_anti").drop("_key")
+    keyed = docs.withColumn("_text_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    scored = score(keyed.select(F.col("_text_key").alias("doc_id"), "text"), fit(docs, labels))
+    toxic = scored.where(F.col("score") >= threshold).select(F.col("doc_id").alias("_text_key")).distinct()
+    return keyed.join(toxic, "_text_key", "left_anti").select(docs.columns)
