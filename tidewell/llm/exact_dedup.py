@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from string import ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -178,9 +179,13 @@ def group_report(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all their columns; of rows that repeat id and text, one."""
-    stays = group_report(docs).where("kept").select(F.col("doc_id").alias("_stays")).distinct()
+    # rows without an id are told apart by their text
+    nameless = F.col("doc_id").isNull()
+    upper, lower = ascii_uppercase, ascii_uppercase.lower()
+    own = F.when(nameless, F.sha2(F.encode(F.translate(F.coalesce("text", F.lit("")), upper, lower), "UTF-8"), 256))
+    stays = group_report(docs).where("kept").select(F.col("doc_id").alias("_stays_id"), F.when(nameless, F.lower(F.hex("digest"))).alias("_stays_text")).distinct()
     once = docs.dropDuplicates(["doc_id", "text"]) if _repeats(docs) else docs
-    return once.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    return once.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays_id")) & own.eqNullSafe(F.col("_stays_text")), "left_semi")
 
 
 def _repeats(docs: DataFrame) -> bool:
