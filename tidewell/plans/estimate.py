@@ -31,11 +31,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def train(rows: DataFrame, design: Design, folds: int = 0, *, steps: int = 40, rate: float = 1e-2, alpha: float = 1.0, seed: int = 42) -> Fitted:
+def train(rows: DataFrame, design: Design, folds: int = 0, *, steps: int = 40, rate: float = 1e-2, alpha: float = 1.0, seed: int = 42, start: Weights | None = None) -> Fitted:
     """Networks on ``features`` (array of doubles), ``t`` and ``y``; with ``folds``, one for each value of
-    ``cv_fold`` from 1, trained on the rows of the others. The best weights by training loss are kept, as a copy."""
+    ``cv_fold`` from 1, trained on the rows of the others. The best weights by training loss are kept, as a copy. ``start``: pretrained weights, of which what fits is taken over."""
     wanted = list(range(1, folds + 1)) if folds else [0]
-    weights = {f: nets.initial(design, seed + f) for f in wanted}
+    weights = {f: transferred(start, design, seed + f) if start else nets.initial(design, seed + f) for f in wanted}
     optimisers = {f: AdamW(rate, steps=steps) for f in wanted}
     best: dict[int, tuple[float, Weights]] = {}
     log = []
