@@ -94,6 +94,18 @@ def test_exact_dedup_repeated_rows_and_null_ids(spark):
     assert got(exact_dedup.drop_exact_copies(frame(spark, rows)), "doc_id", "text") == Counter([(1, "a"), (None, "b")])
 
 
+def test_exact_dedup_null_ids_meet_the_stored_half(spark):
+    rows = [(1, "x"), (2, "y"), (9, "a"), (10, "b"), (None, "A"), (None, "a"), (None, "c"), (None, "c")]
+    out = exact_dedup.group_report(frame(spark, rows))
+    assert got(out, "doc_id", "keep_id", "group_size", "kept") == Counter(
+        [(1, 1, 1, True), (2, 2, 1, True), (9, 9, 3, True), (10, 10, 1, True), (None, 9, 3, False), (None, 9, 3, False), (None, None, 2, True), (None, None, 2, True)]
+    )
+    assert got(exact_dedup.drop_exact_copies(frame(spark, rows)), "doc_id", "text") == Counter([(1, "x"), (2, "y"), (9, "a"), (10, "b"), (None, "c")])
+    stored = exact_dedup.build_snapshot(frame(spark, [(None, "p"), (None, "p"), (None, "q"), (7, "q"), (None, "r")]))
+    found = exact_dedup.exact_dedup(frame(spark, [(None, "p"), (3, "Q"), (4, "R"), (None, "s")]), [stored])
+    assert got(found, "keep_id", "n", "old_id", "old_n") == Counter([(None, 1, None, 2), (3, 1, 7, 2), (4, 1, None, 1), (None, 1, None, None)])
+
+
 def test_later_batches_meet_several_snapshots(spark):
     old = [exact_dedup.build_snapshot(frame(spark, r), bucket_rows=3) for r in (ROWS[:20], ROWS[20:40])]
     new = frame(spark, [(900, ROWS[10][1]), (901, ROWS[30][1]), (902, "never seen"), (903, "never seen")])

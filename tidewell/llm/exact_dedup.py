@@ -98,17 +98,27 @@ def _screen(_key: tuple, new: pa.Table, filters: pa.Table) -> pa.Table:
     return out.filter(pa.array(hit))
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """Normalised texts of the rows named by ``id`` and ``digest``; only their texts go through Python."""
-    ids = wanted.select(F.col("id").alias("doc_id")).distinct()
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+def _texts_of(docs: DataFrame, wanted: DataFrame, n: int, nameless: int) -> DataFrame:
+    """Normalised texts of the rows named by ``id`` and ``digest``; only their texts go through Python.
+
+    ``nameless`` of ``wanted`` have no id: those are looked up by their digest among the rows without one.
+    """
+    docs = docs.select("doc_id", "text")
+    ids = wanted.where("id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct()
 
     def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d = next(_digest_batches(iter([b])))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), d.column("digest"), _normal(b.column("text")).cast(pa.large_binary())], names=["id", "digest", "body"])
 
-    return rows.mapInArrow(with_text, "id long, digest binary, body binary").dropDuplicates(["id", "digest"])
+    def texts(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(with_text, "id long, digest binary, body binary")
+
+    found = texts(docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi"))
+    if nameless:
+        sought = wanted.where("id IS NULL").select("digest").distinct()
+        found = found.unionByName(texts(docs.where("doc_id IS NULL")).join(sought, "digest", "left_semi"))
+    return found.dropDuplicates(["id", "digest"])
 
 
 def match_snapshot(new: DataFrame, incoming: DataFrame, snapshot: Snapshot, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -121,16 +131,18 @@ def match_snapshot(new: DataFrame, incoming: DataFrame, snapshot: Snapshot, buck
         passed.join(new, ["digest", "n_bytes"]).join(snapshot.entries.select("digest", "n_bytes", F.col("keep_id").alias("old_id"), F.col("n").alias("old_n")), ["digest", "n_bytes"]),
         "exact-positives",
     )
-    n = pairs.count()
-    ours = _texts_of(incoming, pairs.select(F.col("keep_id").alias("id"), "digest"), n)
-    theirs = _texts_of(snapshot.docs, pairs.select(F.col("old_id").alias("id"), "digest"), n)
-    same = pairs.join(ours.select(F.col("id").alias("keep_id"), "digest", F.col("body").alias("a")), ["keep_id", "digest"]).join(theirs.select(F.col("id").alias("old_id"), "digest", F.col("body").alias("b")), ["old_id", "digest"])
+    n, our_nameless, their_nameless = pairs.agg(F.count("*"), F.count_if(F.col("keep_id").isNull()), F.count_if(F.col("old_id").isNull())).first()
+    ours = _texts_of(incoming, pairs.select(F.col("keep_id").alias("id"), "digest"), n, our_nameless).toDF("a_id", "a_digest", "a")
+    theirs = _texts_of(snapshot.docs, pairs.select(F.col("old_id").alias("id"), "digest"), n, their_nameless).toDF("b_id", "b_digest", "b")
+    same = pairs.join(ours, F.col("keep_id").eqNullSafe(F.col("a_id")) & (F.col("digest") == F.col("a_digest")))
+    same = same.join(theirs, F.col("old_id").eqNullSafe(F.col("b_id")) & (F.col("digest") == F.col("b_digest")))
     return same.where(F.col("a") == F.col("b")).select("digest", "n_bytes", "old_id", "old_n")
 
 
 def exact_dedup(incoming: DataFrame, snapshots: list[Snapshot], found: DataFrame | None = None) -> DataFrame:
     """For each distinct text of ``incoming``: ``digest``, ``n_bytes``, ``keep_id``, ``n`` (copies in
-    the batch), and ``old_id``, ``old_n`` if a snapshot holds it, else null.
+    the batch), and ``old_id``, ``old_n`` if a snapshot holds it, else null. ``old_id`` is null too
+    where the snapshot has the text only without an id.
 
     A text that a snapshot holds stays as the snapshot has it; of copies in the batch, the
     largest id stays. Null text counts as empty; a null id never beats another id; repeated rows
