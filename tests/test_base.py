@@ -12,7 +12,7 @@ from tidewell.operators import metrics as M
 from tidewell.operators import nets
 from tidewell.operators import pooling as P
 from tidewell.operators import tables as T
-from tidewell.plans import estimate, queries
+from tidewell.plans import estimate, queries, runner
 from tidewell.plans.config import Architecture, Experiment, create_default_config
 from tidewell.plans.runner import ExperimentRunner
 from tidewell.sources import datasets as S
@@ -46,6 +46,23 @@ def test_learned_query_has_rows(spark, sf_dir, name):
     assert queries.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_kmeans_bank_reads_all_vectors(spark, tmp_path):
+    ids = spark.range(6000).withColumnRenamed("id", "vec_id")
+    near = {r.vec_id for r in T.sampled(ids, 5000, id_col="vec_id").collect()}
+    rows = [(i, [i % 7 / 100, 0.0] if i in near else [100.0, 100.0 + i % 3 / 100], 0) for i in range(6000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    centres = [r.vec for r in queries.QUERIES["kmeans_bank"](spark, str(tmp_path)).collect()]
+    assert len(centres) == 5 and any(math.dist(c, (100, 100)) < 1 for c in centres)
+
+
+def test_confounder_bank_bound_is_a_parameter(spark):
+    ids = spark.range(40).withColumnRenamed("id", "doc_id")
+    near = {r.doc_id for r in T.sampled(ids, 20).collect()}
+    chunks = spark.createDataFrame([(i, 0, [i % 7 / 100, 1.0] if i in near else [50.0, 50.0]) for i in range(40)], "doc_id long, pos int, emb array<double>")
+    far = [any(r.vec[0] > 40 for r in runner.confounder_bank(chunks, Architecture(num_latent_confounders=2), documents=n).collect()) for n in (20, 40, None)]
+    assert far == [False, True, True]
+
+
 def test_calibration_meets_the_rates(spark, sf_dir):
     from tidewell.plans import scm
 

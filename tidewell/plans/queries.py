@@ -477,10 +477,11 @@ def multi_arm_pretraining(spark, d):
 
 @query()
 def kmeans_bank(spark, d):
+    """Centres of all vectors of the table."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = T.sampled(vectors(spark, d).withColumn("id", F.col("doc_id") * 10 + F.col("pos")), 5000, id_col="id").select(array_to_vector("emb").alias("features"))
+    rows = vectors(spark, d).select(array_to_vector("emb").alias("features"))
     centres = KMeans(k=5, seed=42).fit(rows).clusterCenters()
     return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "conf_idx int, vec array<double>")
 

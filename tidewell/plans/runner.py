@@ -18,7 +18,7 @@ from ..sources import datasets as S
 from . import estimate, plasmode
 from .config import Architecture, Experiment, Training
 
-#: Documents whose chunks the latent confounders are clustered from, at most.
+#: Documents whose chunks the latent confounders are clustered from, at most, unless the runner is told otherwise.
 KMEANS_DOCUMENTS = 5000
 
 
@@ -28,8 +28,8 @@ def chunk_vectors(docs: DataFrame, arch: Architecture, embedder: Embedder | None
     return P.drop_near_duplicates(embed(chunks, embedder), threshold)
 
 
-def confounder_bank(chunks: DataFrame, arch: Architecture, seed: int = 42, embedder: Embedder | None = None) -> DataFrame:
-    """``conf_idx, head, vec``: embedded explicit texts first, then cluster centres of a bounded sample of documents."""
+def confounder_bank(chunks: DataFrame, arch: Architecture, seed: int = 42, embedder: Embedder | None = None, documents: int | None = KMEANS_DOCUMENTS) -> DataFrame:
+    """``conf_idx, head, vec``: embedded explicit texts first, then cluster centres of the chunks of ``documents`` sampled documents (None: of all)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -41,9 +41,11 @@ def confounder_bank(chunks: DataFrame, arch: Architecture, seed: int = 42, embed
         rows = embed(spark.createDataFrame(list(enumerate(texts)), "i int, chunk string"), embedder).orderBy("i").collect()
         vectors = [(r.i, h, [float(x) for x in r.emb]) for r in rows for h in range(heads)]
     if arch.num_latent_confounders:
-        some = T.sampled(chunks.select("doc_id").distinct(), KMEANS_DOCUMENTS, seed)
-        sample = chunks.join(F.broadcast(some), "doc_id").select(array_to_vector(V.doubles("emb")).alias("features"))
-        centres = KMeans(k=arch.num_latent_confounders * heads, seed=seed).fit(sample).clusterCenters()
+        if documents is not None:
+            some = T.sampled(chunks.select("doc_id").distinct(), documents, seed)
+            chunks = chunks.join(some, "doc_id")
+        rows = chunks.select(array_to_vector(V.doubles("emb")).alias("features"))
+        centres = KMeans(k=arch.num_latent_confounders * heads, seed=seed).fit(rows).clusterCenters()
         vectors += [(len(texts) + i // heads, i % heads, [float(x) for x in c]) for i, c in enumerate(centres)]
     return spark.createDataFrame(vectors, "conf_idx int, head int, vec array<double>")
 
@@ -72,9 +74,9 @@ def fit(rows: DataFrame, design: Design, training: Training, folds: int = 0, see
 class ExperimentRunner:
     """Runs a validated configuration; tables go below its ``output_dir``."""
 
-    def __init__(self, spark: SparkSession, config: Experiment, embedder: Embedder | None = None):
+    def __init__(self, spark: SparkSession, config: Experiment, embedder: Embedder | None = None, kmeans_documents: int | None = KMEANS_DOCUMENTS):
         config.validate()
-        self.spark, self.config, self.embedder = spark, config, embedder
+        self.spark, self.config, self.embedder, self.kmeans_documents = spark, config, embedder, kmeans_documents
         self.out = config.output_dir.rstrip("/")
         self._start: Weights | None = None
 
@@ -99,7 +101,7 @@ class ExperimentRunner:
 
     def _features(self, docs: DataFrame, arch: Architecture, name: str) -> tuple[DataFrame, int]:
         chunks = S.write_table(chunk_vectors(docs, arch, self.embedder), f"{self.out}/{name}/chunks")
-        bank = S.write_table(confounder_bank(chunks, arch, self.config.seed, self.embedder), f"{self.out}/{name}/bank")
+        bank = S.write_table(confounder_bank(chunks, arch, self.config.seed, self.embedder, self.kmeans_documents), f"{self.out}/{name}/bank")
         rows, n = feature_rows(docs, chunks, bank, arch)
         return S.write_table(rows.drop("text"), f"{self.out}/{name}/features"), n
 
