@@ -201,6 +201,30 @@ def test_decontamination_equals_plain(spark):
     assert clean == Counter((i,) for i, _ in docs if i not in hit)
 
 
+def test_decontamination_blocks_are_bounded_whatever_the_ids(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [(None if i % 2 else 7, plain.words(rng, 60)) for i in range(30)] + [(None, "one two three four five " * 2000)]
+    docs = [(i, f"{plain.words(rng, 30)} {t}") for i, (_, t) in enumerate(items)]
+    held, steps = [], []
+    made, stage = decontam.Items.__post_init__, decontam.staged
+
+    def noted(self):
+        made(self)
+        held.append((len(self.hashes), sum(map(len, self.texts))))
+        steps.append("block")
+
+    def noted_stage(df, name):
+        steps.append(name)
+        return stage(df, name)
+
+    monkeypatch.setattr(decontam.Items, "__post_init__", noted)
+    monkeypatch.setattr(decontam, "staged", noted_stage)
+    found = decontam.contained_items(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_shingles=200)
+    assert got(found, "doc_id", "item_id", "n_shingles", "n_shared") == plain.contained(docs, items)
+    assert len(held) > 5 and max(n for n, _ in held) < 200 + 60
+    assert steps[1:-1:2] == ["block"] * (len(held) - 1) and set(steps[2:-1:2]) == {"item-matches"} and steps[-1] == "block"
+
+
 # --- packing ----------------------------------------------------------------------------
 
 

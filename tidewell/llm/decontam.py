@@ -16,10 +16,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bucket_of, parts_for, staged
+from .shared import parts_for, staged
 from .shingles import HASH_BITS, THRESHOLD, shingle_sets, shingle_texts
 from .textarrays import U64
 
@@ -27,7 +29,10 @@ from .textarrays import U64
 MISS = 1e-6
 #: Items are searched for in blocks of so many shingles, 64 MB of hashes on each executor.
 BLOCK_SHINGLES = 4_000_000
+#: Bytes of text that weigh as much as a shingle, where a text repeats itself.
+TEXT_BYTES = 16
 
+_ITEMS = "item_id long, text string, shingles binary, n long, part int, weight long, upto long"
 _PAIRS = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
 
 
@@ -116,16 +121,21 @@ def verify(items: Items, found: set[tuple[int, int]], bounds: np.ndarray, keys:
 
 
 def _item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, upto = TaskContext.get().partitionId(), 0
     for b in batches:
         sets = []
         for _, bounds, keys in shingle_sets(b.column("text")):
             sets += [keys[bounds[i] : bounds[i + 1]].astype("<u8").tobytes() for i in range(len(bounds) - 1)]
-        yield pa.RecordBatch.from_arrays([b.column("item_id").cast(pa.int64()), b.column("text"), pa.array(sets, pa.binary()), pa.array([len(s) // 8 for s in sets], pa.int64())], names=["item_id", "text", "shingles", "n"])
+        n = np.array([len(s) // 8 for s in sets], np.int64)
+        size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        weight = np.where(n > 0, np.maximum(n, size // TEXT_BYTES), 0)
+        before = upto + np.cumsum(weight) - weight
+        upto += int(weight.sum())
+        cols = [b.column("item_id").cast(pa.int64()), b.column("text"), pa.array(sets, pa.binary()), pa.array(n), pa.array([part] * b.num_rows, pa.int32()), pa.array(weight), pa.array(before)]
+        yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _ITEMS.split(", ")])
 
 
-def _search(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(items)
-
+def _search(docs: DataFrame, held: Broadcast, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = held.value
         for b in batches:
@@ -145,25 +155,43 @@ def contained_items(docs: DataFrame, items: DataFrame, *, threshold: float = THR
     """Pairs of a document and a test item of which it holds ``threshold`` or more of the five-word shingles.
 
     Columns: ``doc_id, item_id, n_shingles`` (of the item)``, n_shared, containment``. The items are
-    the query set: they go to the executors in blocks of a bounded number of shingles, and all
-    documents are searched for each block, so nothing is shuffled and no pair is formed that does not share
+    the query set: they go to the executors in blocks of a bounded number of shingles, dealt by
+    running counts whatever their ids, and all documents are searched for each block. A block's
+    matches are written before the driver collects the next, so it holds one at a time. Thus nothing is shuffled and no pair is formed that does not share
     a signature value.
 
     Null and empty texts, and texts of fewer than five words, have no shingles and match nothing; null ids stay
     null in the result; repeated rows match each; empty tables give no pairs; other columns are not read.
     A task holds the words of about 2 MB of text, or of its longest.
     """
-    prepared = staged(items.select("item_id", F.col("text").cast("string")).mapInArrow(_item_sets, "item_id long, text string, shingles binary, n long").where("n > 0"), "items")
-    blocks = parts_for(int(prepared.agg(F.sum("n")).first()[0] or 0), block_shingles)
+    spark = docs.sparkSession
+    prepared = staged(items.select("item_id", F.col("text").cast("string")).mapInArrow(_item_sets, _ITEMS).where("n > 0"), "items")
+    starts, total = [], 0
+    for r in prepared.groupBy("part").agg(F.sum("weight").alias("weight")).orderBy("part").collect():  # one row for each task
+        starts.append((r.part, total))
+        total += r.weight
+    dealt = prepared.join(F.broadcast(spark.createDataFrame(starts, "part int, start long")), "part")
+    dealt = dealt.withColumn("block", F.expr(f"(start + upto) div {block_shingles}"))
     found = []
+    blocks = parts_for(total, block_shingles)
     for i in range(blocks):
-        rows = prepared.where(bucket_of("item_id", blocks) == i).collect()  # a block, of bounded size
-        sets = [np.frombuffer(r.shingles, "<u8") for r in rows]
-        classes = [(c, load_for(1 << (c - 1), threshold, miss)) for c in sorted({len(s).bit_length() for s in sets})]
-        found.append(_search(docs, Items([r.item_id for r in rows], [r.text for r in rows], sets, classes), threshold))
+        held = spark.sparkContext.broadcast(_block(dealt.where(F.col("block") == i), threshold, miss))
+        pairs = _search(docs, held, threshold)
+        if i < blocks - 1:
+            pairs = staged(pairs, "item-matches")
+            held.destroy()
+        found.append(pairs)
     return reduce(DataFrame.unionByName, found)
 
 
+def _block(dealt: DataFrame, threshold: float, miss: float) -> Items:
+    """The items of a block, which is of bounded size."""
+    rows = dealt.select("item_id", "text", "shingles").collect()
+    sets = [np.frombuffer(r.shingles, "<u8") for r in rows]
+    classes = [(c, load_for(1 << (c - 1), threshold, miss)) for c in sorted({len(s).bit_length() for s in sets})]
+    return Items([r.item_id for r in rows], [r.text for r in rows], sets, classes)
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that hold no test item, all their columns; rows with a null id are judged by their text too."""
     keyed = docs.withColumn("_text_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
