@@ -52,3 +52,13 @@ def parts_for(n_bytes: int, each: int) -> int:
 
 def bucket_of(col: Column | str, n: int) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+
+
+def one_of_each(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """``docs`` with one row for each value of ``keys`` (none null): of several, that with the smallest hash of all columns."""
+    many = docs.groupBy(keys).count().where("count > 1").drop("count")
+    if many.isEmpty():
+        return docs
+    several = docs.join(many, keys, "left_semi")
+    picked = several.groupBy(keys).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
+    return docs.join(many, keys, "left_anti").unionByName(picked)

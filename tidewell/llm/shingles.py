@@ -60,7 +60,9 @@ def hash_words(hashes: np.ndarray) -> int:
     return out
 
 
-def shingle_texts(text: str | None) -> set[str]:
-    """A text's shingles as strings, to verify what hashes found."""
+def shingle_texts(text: str | None, short: bool = False) -> set[str]:
+    """A text's shingles as strings, to verify what hashes found; ``short`` as above."""
     words = re.findall(WORD, pc.utf8_lower(pa.scalar(text or "")).as_py())
+    if short and 0 < len(words) < SIZE:
+        return {" ".join(words)}
     return {" ".join(words[i : i + SIZE]) for i in range(len(words) - SIZE + 1)}
