@@ -42,7 +42,9 @@ def test_query_equals_sql(spark, sf_dir, sql, name):
 
 
 def test_suffix_dedup_query(spark, sf_dir, documents):
-    assert Counter(tuple(r) for r in run(spark, sf_dir, "op2_suffix_dedup").collect()) == plain.removed_bytes(documents)
+    out = run(spark, sf_dir, "op2_suffix_dedup").collect()
+    assert Counter(tuple(r)[:5] for r in out) == plain.removed_bytes(documents)
+    assert all(r.n_removed <= r.n_shared <= r.n_bytes for r in out)
 
 
 def test_substring_dedup_query(spark, sf_dir, documents):

@@ -1,10 +1,12 @@
 """Size-partitioned MinHash search for short test items contained in long documents.
 
-A set's signature here is the smallest hash in each of a number of bins. Documents
-fall into classes by the size of their shingle sets, items too; for each pair of
-classes the number of bins follows from both bounds, so that an item at the
-threshold shares a bin's smallest hash with its document but for a set chance.
-Candidates are verified by exact containment of their shingles.
+A set's signature is the smallest hash in each of a number of bins. Documents fall into
+classes by the size of their shingle sets, items too; for each pair of classes the number
+of bins follows from both bounds, so that an item at the threshold shares a bin's smallest
+hash with its document but for a set chance. Signatures of documents are looked up among
+those of items: long items need few bins, so most of a document's shingles are never
+looked up for them, and short ones many. Candidates are verified by exact containment of
+their shingles.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ def bin_bits(sizes: np.ndarray, load: float) -> np.ndarray:
 
 @dataclass
 class Items:
-    """A block of items: all their shingles, sorted by hash, with the item of each."""
+    """A block of items with, for each class of sizes, the index of their signatures at every number of bins."""
 
     ids: list[int]
     texts: list[str]
@@ -67,41 +69,65 @@ class Items:
     classes: list[tuple[int, float]]  # class and its load
 
     def __post_init__(self) -> None:
-        self.item_class = np.array([len(s).bit_length() for s in self.sets])
-        owner = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
-        every = np.concatenate(self.sets) if self.sets else np.zeros(0, U64)
-        order = np.argsort(every, kind="stable")
-        self.hashes, self.owner = every[order], owner[order]
-        self.distinct = np.unique(self.hashes)
-
-    def smallest_in_bin(self, item: int, value: int, bits: int) -> bool:
-        """Whether a shingle is the smallest of its bin among its item's."""
-        shift = int(HASH_BITS) - bits
-        i = int(np.searchsorted(self.sets[item], value))
-        return i == 0 or int(self.sets[item][i - 1]) >> shift != value >> shift
+        size = np.array([len(s) for s in self.sets], np.int64)
+        owner = np.repeat(np.arange(len(self.sets), dtype=np.int32), size)
+        self.hashes = np.concatenate(self.sets).astype(U64) if self.sets else np.zeros(0, U64)
+        # a hash is its bin's smallest from so many bits on: where it parts from the one before it in its sorted set
+        apart = np.zeros(len(self.hashes))
+        apart[1:] = (self.hashes[1:] ^ self.hashes[:-1]).astype(np.float64)
+        bits = np.maximum(0, int(HASH_BITS) + 1 - np.frexp(apart)[1]).astype(np.uint8)
+        bits[(np.cumsum(size) - size)[size > 0]] = 0
+        cls = np.array([int(n).bit_length() for n in size], np.int64)[owner]
+        self.signatures = {}
+        for c, _ in self.classes:
+            at = np.flatnonzero(cls == c)
+            at = at[np.argsort(self.hashes[at], kind="stable")]
+            self.signatures[c] = (self.hashes[at], owner[at], bits[at])
+
+
+#: Matching entries of signatures that are spread out at once.
+_SPREAD = 4_000_000
+
+
+def document_signatures(bounds: np.ndarray, keys: np.ndarray, load: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the sets' signatures for items of one class, and the bits of each row's number of bins."""
+    bits = bin_bits(np.diff(bounds), load)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    places = keys >> (HASH_BITS - bits)[row]
+    first = np.ones(len(keys), bool)
+    first[1:] = (row[1:] != row[:-1]) | (places[1:] != places[:-1])
+    return np.flatnonzero(first), bits
 
 
 def candidates(items: Items, bounds: np.ndarray, keys: np.ndarray) -> set[tuple[int, int]]:
     """(row, item) pairs whose signatures agree in a bin; sets of a piece as from shingle_sets."""
-    if not len(keys) or not len(items.distinct):
-        return set()
+    found = [np.zeros(0, np.int64)]
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    at = np.minimum(np.searchsorted(items.distinct, keys), len(items.distinct) - 1)
-    known = np.flatnonzero(items.distinct[at] == keys)
-    found = set()
-    sizes = np.diff(bounds)
     for cls, load in items.classes:
-        bits = bin_bits(sizes, load)
-        shift = (HASH_BITS - bits)[row[known]]
-        before = np.maximum(known - 1, 0)
-        first = (known == bounds[row[known]]) | (keys[before] >> shift != keys[known] >> shift)
-        for k in known[first].tolist():
-            value, r = int(keys[k]), int(row[k])
-            a, b = np.searchsorted(items.hashes, [keys[k], keys[k] + U64(1)])
-            for item in items.owner[a:b].tolist():
-                if items.item_class[item] == cls and (r, item) not in found and items.smallest_in_bin(item, value, int(bits[r])):
-                    found.add((r, item))
-    return found
+        hashes, owner, from_bits = items.signatures[cls]
+        if not len(hashes) or not len(keys):
+            continue
+        at, bits = document_signatures(bounds, keys, load)
+        low = np.searchsorted(hashes, keys[at])
+        held = hashes[np.minimum(low, len(hashes) - 1)] == keys[at]
+        at, low = at[held], low[held]
+        n = np.searchsorted(hashes, keys[at], side="right") - low
+        upto = np.cumsum(n)
+        for i, j in _stretches(upto, _SPREAD):
+            entry = np.repeat(low[i:j] - (upto[i:j] - n[i:j]), n[i:j]) + np.arange(upto[i] - n[i], upto[j - 1])
+            r = np.repeat(row[at[i:j]], n[i:j])
+            small = from_bits[entry] <= bits[r]  # the smallest of its bin among its item's too
+            found.append(np.unique(r[small] * len(items.sets) + owner[entry[small]]))
+    return {divmod(x, len(items.sets)) for x in np.unique(np.concatenate(found)).tolist()}
+
+
+def _stretches(upto: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges over which a running count grows by about ``most``."""
+    i = 0
+    while i < len(upto):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + most, side="right")))
+        yield i, j
+        i = j
 
 
 def verify(items: Items, found: set[tuple[int, int]], bounds: np.ndarray, keys: np.ndarray, text_of, threshold: float) -> Iterator[tuple[int, int, int, int]]:
@@ -161,8 +187,8 @@ def contained_items(docs: DataFrame, items: DataFrame, *, threshold: float = THR
     a signature value.
 
     Null and empty texts, and texts of fewer than five words, have no shingles and match nothing; null ids stay
-    null in the result; repeated rows match each; empty tables give no pairs; other columns are not read.
-    A task holds the words of about 2 MB of text, or of its longest.
+    null in the result; repeated rows match each; empty tables give no pairs; other columns are not read, whatever their names.
+    A shingle that a third of all items or documents hold is one entry of a signature for each. A task holds the words of about 2 MB of text, or of its longest.
     """
     spark = docs.sparkSession
     prepared = staged(items.select("item_id", F.col("text").cast("string")).mapInArrow(_item_sets, _ITEMS).where("n > 0"), "items")
@@ -193,7 +219,13 @@ def _block(dealt: DataFrame, threshold: float, miss: float) -> Items:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` that hold no test item, all their columns; rows with a null id are judged by their text too."""
-    keyed = docs.withColumn("_text_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    hit = contained_items(keyed.select(F.col("_text_key").alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias("_text_key")).distinct()
-    return keyed.join(hit, "_text_key", "left_anti").select(docs.columns)
+    """Rows of ``docs`` that hold no test item, all their columns.
+
+    Rows are judged by id and text, so a null or repeated id is judged by each of its texts; null and empty
+    texts stay; repeated rows share a fate; empty tables drop nothing; columns of any names are kept. Long texts
+    are as in contained_items.
+    """
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), text))
+    hit = contained_items(keyed.select(F.col("_row_key").alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias("_row_key")).distinct()
+    return keyed.join(hit, "_row_key", "left_anti").select(docs.columns)

@@ -35,6 +35,13 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[ord("0") : ord("9") + 1] = True
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in "@$!|+(*#"]] = True
+#: Signs that stand beside another one in a disguised word, and those that end one: "!" and "(" more often are what they seem.
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in "@$|+*#"]] = True
+_ENDS = np.zeros(256, bool)
+_ENDS[[ord(c) for c in "@$+"]] = True
+#: Signs in a row that may stand for a letter each, and characters that are decoded at once.
+MOST_WILD, STRETCH_OF_SPAN = 3, 64
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -75,6 +82,12 @@ def suspicious_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.
     before[1:] = letter[:-1] & ~row_edge[1:-1]
     strange = digit & (before | after)
     strange |= sign & after & (before | (buf == ord("@")) | (buf == ord("$")))
+    # signs side by side behind a letter, and single ones at a word's end that read as letters
+    mark = _MARK[buf]
+    marked = np.zeros(len(buf), bool)  # such a sign follows in the same row
+    marked[:-1] = mark[1:] & ~row_edge[1:-1]
+    strange |= sign & before & marked
+    strange |= _ENDS[buf] & before
     same = (buf[1:] == buf[:-1]) & letter[1:] & (buf[1:] < 0x80) & ~row_edge[1:-1]
     strange[2:] |= same[1:] & same[:-1]
     at = np.flatnonzero(strange)
@@ -121,6 +134,10 @@ class Decoder:
             found = self.known[span] = self._decode(span)
         return found
 
+    def restore_long(self, span: str) -> str:
+        """Long spans stretch by stretch, each from a word's end, so that time and what is remembered stay in proportion."""
+        return "".join(self.restore(span[i : i + STRETCH_OF_SPAN]) for i in range(0, len(span), STRETCH_OF_SPAN))
+
     @staticmethod
     def options(span: str) -> list[list[tuple[int, str, float]]]:
         """For each character: symbol (-1 for none), what it reads as, and cost."""
@@ -137,7 +154,13 @@ class Decoder:
                 options = [(ord(x) - 96, x, SUBSTITUTE) for x in LEET[c]]
                 options.append((0, " ", NO_LETTER))
             elif c in WILD:
-                options = [(k, chr(96 + k), GUESS) for k in range(1, 27)] if prev not in WILD or not prev else []
+                # a short run may stand for a letter each, a longer one is an ornament
+                a, b = i, i + 1
+                while a and span[a - 1] in WILD and i - a <= MOST_WILD:
+                    a -= 1
+                while b < len(span) and span[b] in WILD and b - i <= MOST_WILD:
+                    b += 1
+                options = [(k, chr(96 + k), GUESS) for k in range(1, 27)] if b - a <= MOST_WILD or a == i else []
                 options.append((-1, "", GUESS))
             elif c in SEPARATORS:
                 options = [(-1, "", SILENT), (0, " ", WORD_END)]

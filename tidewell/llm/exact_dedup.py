@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import fusefilter
-from .shared import parts_for, staged
+from .shared import one_of_each, parts_for, staged
 
 #: Digests of a bucket, about; a bucket is what one task holds.
 BUCKET_ROWS = 500_000
 #: Ids of positives are broadcast up to so many, 16 MB; beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Groups of more than one row are broadcast up to so many, 32 MB.
+BROADCAST_GROUPS = 500_000
 
 _DIGESTS = "doc_id long, digest binary, n_bytes long"
 
@@ -172,10 +174,11 @@ def group_report(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, keep_id, group_size, kept, digest``.
 
     The upper half of the ids is the snapshot and the rest the new batch. Texts equal after
-    lowering A-Z form a group; its largest id stays. Rows that repeat both id and text are one
-    document, all marked alike; rows without an id stay only if their group has no id. A group
-    with a third of all rows is one entry until its rows learn their fate in the last join, whose
-    large partitions Spark splits.
+    lowering A-Z form a group; its largest id stays. Null text counts as empty. Rows of one group that repeat an id are one
+    document, all marked alike; rows without an id stay only if their group has no id. An empty table gives an
+    empty one; other columns are not read. A long text costs a task its own size a few times. A group
+    with a third of all rows is one entry; only rows whose text occurs more than once meet the groups again, as
+    broadcast digests while those are few, else in a join whose large partitions Spark splits.
     """
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     stored = _stored(0 if low is None else (low + high) // 2)
@@ -185,20 +188,23 @@ def group_report(docs: DataFrame) -> DataFrame:
     fate_new = new.select("digest", "n_bytes", F.lit(True).alias("fresh"), F.coalesce("old_id", "keep_id").alias("keep_id"), (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("group_size"))
     more = new.where(F.col("old_n").isNotNull()).select("digest", "n_bytes", F.col("n").alias("more"))
     fate_old = snapshot.entries.join(more, ["digest", "n_bytes"], "left").select("digest", "n_bytes", F.lit(False).alias("fresh"), "keep_id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("group_size"))
-    joined = found.hint("merge").join(fate_new.unionByName(fate_old), ["digest", "n_bytes", "fresh"])
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+    fate = staged(fate_new.unionByName(fate_old).where("group_size > 1"), "exact-groups")
+    fate = F.broadcast(fate) if fate.count() <= BROADCAST_GROUPS else fate
+    joined = found.join(fate, ["digest", "n_bytes", "fresh"], "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    size = F.coalesce("group_size", F.lit(1).cast("long"))
+    return joined.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "digest")
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns; of rows that repeat id and text, one."""
-    # rows without an id are told apart by their text
-    nameless = F.col("doc_id").isNull()
-    upper, lower = ascii_uppercase, ascii_uppercase.lower()
-    own = F.when(nameless, F.sha2(F.encode(F.translate(F.coalesce("text", F.lit("")), upper, lower), "UTF-8"), 256))
-    stays = group_report(docs).where("kept").select(F.col("doc_id").alias("_stays_id"), F.when(nameless, F.lower(F.hex("digest"))).alias("_stays_text")).distinct()
-    once = docs.dropDuplicates(["doc_id", "text"]) if _repeats(docs) else docs
-    return once.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays_id")) & own.eqNullSafe(F.col("_stays_text")), "left_semi")
-
+    """The rows of ``docs`` that stay, all their columns: of each group of group_report, one row.
 
-def _repeats(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    Of several rows of a group that share the id that stays (or are without one), the row with the smallest hash of
+    all columns stays. Null and empty texts are one group; an empty table gives an empty one; columns of any names are kept.
+    """
+    upper, lower = ascii_uppercase, ascii_uppercase.lower()
+    own = F.sha2(F.encode(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), upper, lower), "UTF-8"), 256)
+    # ids may repeat and be null: rows are told apart by id and text
+    keyed = docs.withColumns({"_own_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_own_text": own})
+    stays = group_report(docs).where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_own_id"), F.lower(F.hex("digest")).alias("_own_text")).distinct()
+    return one_of_each(keyed.join(stays, ["_own_id", "_own_text"], "left_semi"), ["_own_id", "_own_text"]).select(docs.columns)

@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import in_share, staged
 from .shingles import lowered
 from .textarrays import pieces, text_buffer
 
 #: Trigram buckets, and at most about so many labelled rows that the models are fitted on.
 GRAM_BITS = 14
 TRAIN_ROWS = 50_000
-#: Trigrams after which more text adds no certainty: neighbours are far from independent.
+#: All of a text's trigrams count, by their mean; its weight against other evidence grows up to so many of them, as neighbours are
+#: far from independent.
 CERTAIN = 150
 #: Pseudo-counts with which each level of the address leans on the one above.
 LEAN = 5.0
@@ -76,8 +77,7 @@ def fit_models(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str]
     Learnt from a sample, by a hash of the id, of about ``train_rows`` rows whose ``lang`` is known.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))
-    share = min(1.0, train_rows / max(1, docs.count()))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = known.where(in_share("doc_id", train_rows, docs.count()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,16 +139,35 @@ def page_evidence(pages: DataFrame, models: np.ndarray) -> DataFrame:
     return pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, _EVIDENCE)
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once a row, not once an element of what ``use`` goes through."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _normal(logs: Column) -> Column:
     """Probabilities from logs, for an array of logs."""
-    top = F.array_max(logs)
-    weights = F.transform(logs, lambda x: F.exp(x - top))
+    weights = _once(F.struct(logs.alias("x"), F.array_max(logs).alias("top")), lambda s: F.transform(s["x"], lambda x: F.exp(x - s["top"])))
     return _shares(weights)
 
 
 def _shares(weights: Column) -> Column:
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(weights, lambda x: x / total)
+    total = lambda w: F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
+    return _once(weights, lambda w: _once(total(w), lambda t: F.transform(w, lambda x: x / t)))
+
+
+#: Sums of a level's names are broadcast up to so many numbers, 16 MB; beyond, they are joined, names with more pages than HOT split.
+BROADCAST_NUMBERS, HOT = 2_000_000, 1_000_000
+
+
+def _with_sums(pages: DataFrame, seen: DataFrame, level: str, k: int) -> DataFrame:
+    """``pages`` with ``{level}_sum``, the sums over all pages of ``seen`` that share the level's name."""
+    sums = staged(seen.groupBy(level).agg(_summed("by_text", k).alias(f"{level}_sum"), F.count("*").alias("_pages")), f"{level}-sums")
+    if sums.count() * k <= BROADCAST_NUMBERS:
+        return pages.join(F.broadcast(sums.drop("_pages")), level)
+    salts = F.ceil(F.col("_pages") / HOT).cast("int")
+    hot = sums.where(F.col("_pages") > HOT).select(level, salts.alias("_salts"))  # one for each HOT pages at most
+    salted = pages.join(hot, level, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("page_id"), F.col("_salts")), F.lit(0).cast("long"))).drop("_salts")
+    return salted.join(sums.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - F.lit(1).cast("long")))).drop("_pages"), [level, "_salt"]).drop("_salt")
 
 
 def _plus(a: Column, b: Column) -> Column:
@@ -169,8 +188,8 @@ def identify(pages: DataFrame, docs: DataFrame, train_rows: int = TRAIN_ROWS) ->
 
     Null, empty or textless pages are judged by markup and address alone; a null url has the empty host;
     a language declared but never taught is evidence of no language; null ids and repeated rows are judged each; an
-    empty table gives an empty one; other columns are not read. Hosts meet their pages in a
-    join whose large partitions Spark splits, after sums taken before the shuffle.
+    empty table gives an empty one; other columns are not read. Sums are taken before the shuffle and meet the pages as a
+    broadcast of checked size or else in a join in which names with very many pages are split. A task holds the text of 200 pages.
     """
     languages, models = fit_models(docs, train_rows)
     k = len(languages)
@@ -192,8 +211,7 @@ def identify(pages: DataFrame, docs: DataFrame, train_rows: int = TRAIN_ROWS) ->
     country = F.create_map(*[F.lit(x) for pair in COUNTRY.items() for x in pair])
     joined = seen
     for level in ("suffix", "domain", "host"):
-        sums = seen.groupBy(level).agg(_summed("by_text", k).alias(f"{level}_sum"))
-        joined = joined.hint("merge").join(sums, level)
+        joined = _with_sums(joined, seen, level, k)
     prior = F.array(*[F.lit(x) for x in overall])
     lent = F.transform(names, lambda x: F.when(x == F.element_at(country, F.col("suffix")), F.lit(COUNTRY_COUNT)).otherwise(F.lit(0.0)))
     for level in ("suffix", "domain", "host"):

@@ -11,29 +11,36 @@ import pyarrow as pa
 
 from .textarrays import U64
 
-MOST_BUCKETS = 1 << 20
+#: Buckets are the upper 24 bits of a place, so that a bucket's share of the text stays bounded up to 268 TB.
+MOST_BUCKETS = 1 << 24
 
 
 def scaled(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Hashes onto buckets, keeping their order: the bucket is the upper 20 bits, the rest the lower 44."""
-    return (hashes >> U64(20)) * U64(buckets)
+    """Hashes onto places, keeping their order: the bucket is the upper 24 bits, the rest the lower 40."""
+    return (hashes >> U64(24)) * U64(buckets)
 
 
 def rest32(places: np.ndarray) -> np.ndarray:
     """32 bits that tell a bucket's entries apart; as a bucket's share of the text is bounded,
     chance agreements stay as rare however large the input."""
-    return ((places >> U64(12)) & U64(0xFFFFFFFF)).astype(np.uint32)
+    return ((places >> U64(8)) & U64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def cuts_of(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's hashes begin, and the end."""
-    return np.searchsorted(scaled(sorted_hashes, buckets) >> U64(44), np.arange(buckets + 1, dtype=U64))
+def bucket_rests(sorted_hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and 32-bit rest of sorted hashes, each pair once, in order."""
+    places = scaled(sorted_hashes, buckets)
+    both = distinct((places >> U64(40)) << U64(32) | rest32(places).astype(U64))
+    return (both >> U64(32)).astype(np.int32), both.astype(np.uint32)
 
 
-def packed32(sorted_hashes: np.ndarray, buckets: int) -> list[np.ndarray]:
-    """Distinct 32-bit rests of each bucket, sorted."""
-    rests, cuts = rest32(scaled(sorted_hashes, buckets)), cuts_of(sorted_hashes, buckets)
-    return [distinct(rests[cuts[i] : cuts[i + 1]]) for i in range(buckets)]
+def bucket_numbers(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (scaled(sorted_hashes, buckets) >> U64(40)).astype(np.int32)
+
+
+def rows_for(some: np.ndarray, bucket: np.ndarray, values: np.ndarray) -> pa.Array:
+    """One binary value for each bucket of ``some``, which holds all those of ``bucket``: its ``values``, in order."""
+    cuts = np.append(np.searchsorted(bucket, some), len(bucket))
+    return pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -72,7 +79,7 @@ def binary(arrays: list[np.ndarray]) -> pa.Array:
 
 
 class Shared:
-    """The anchors that came back to a batch: 32-bit rests of some buckets."""
+    """The strings that came back to a batch: 32-bit rests of some buckets."""
 
     def __init__(self, table: pa.Table, buckets: int):
         self.buckets = buckets
@@ -83,7 +90,7 @@ class Shared:
         if not len(self.keys):
             return np.zeros(len(hashes), bool)
         places = scaled(hashes, self.buckets)
-        keys = places >> U64(44) << U64(32) | rest32(places).astype(U64)
+        keys = places >> U64(40) << U64(32) | rest32(places).astype(U64)
         return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
 
 

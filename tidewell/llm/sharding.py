@@ -44,8 +44,8 @@ def find_splitters(keys: DataFrame, targets: list[float], tolerance: float) -> l
     """Keys with as near ``targets`` bytes below them as whole rows allow.
 
     ``keys`` has ``_k1``, ``_k2`` and ``_size``. Every round reads the rows of the
-    unsettled intervals alone and sends the driver one row for each probe, at most
-    about a million whatever the input.
+    unsettled intervals alone and sends the driver one row for each probe: at most
+    2 ** 20 times the share of targets, whatever the input, as the targets are one for each shard.
     """
     found: dict[int, Splitter] = {}
     bits = max(4, min(12, 20 - len(targets).bit_length()))
@@ -87,20 +87,21 @@ def find_splitters(keys: DataFrame, targets: list[float], tolerance: float) -> l
     return [found[j] for j in range(len(targets))]
 
 
-def shard(df: DataFrame, n_shards: int = 40, *, text: str = "text", id_col: str = "doc_id", overhead: int = 16, part_bytes: int = 32 << 20, tolerance: float = 0.002) -> DataFrame:
+def shard(df: DataFrame, n_shards: int = 40, *, text: str = "text", id_col: str = "doc_id", overhead: int = 16, part_bytes: int = 64 << 20, tolerance: float = 0.002) -> DataFrame:
     """Rows of ``df`` with ``size``, ``shard``, ``slot`` and ``grown_shard``.
 
     Law: the shards' sizes (UTF-8 bytes of the text plus ``overhead``) are equal
     within ``tolerance`` of the mean, or else as near as whole rows allow. Equal
     texts are neighbours in the order and part only where a splitter needs it, so
     one text with a third of all rows spreads over a third of the shards. ``slot``
-    counts a shard's rows from 0 without gaps; each shard is made of parts of about
-    ``part_bytes`` that number their rows alone, with the counted offsets added.
+    counts a shard's rows from 0 without gaps: each shard's rows are dealt by a hash of text and id to
+    parts of about ``part_bytes`` that number their rows alone, and the sums of the parts before are added, on the executors.
     ``grown_shard`` is null under this law.
 
     Null text has 0 bytes; a null id is one more id; repeated rows are all kept (rows
-    equal in text and id can't be told apart, so they share a shard); an empty table
-    gives an empty one. Columns of ``df`` named like an output are replaced.
+    equal in text and id can't be told apart, so they share a part); an empty table
+    gives an empty one. Columns of ``df`` named like an output are replaced. A long text is one row and never cut:
+    tasks sort by spilling.
     """
     out = ("size", "law", "shard", "slot", "grown_shard")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -112,36 +113,25 @@ def shard(df: DataFrame, n_shards: int = 40, *, text: str = "text", id_col: str
     )
     keys = staged(keyed.select("_k1", "_k2", "_size"), "shard-keys")
     total = int(keys.agg(F.sum("_size")).first()[0] or 0)
-    per_shard = max(1, -(-total // (n_shards * part_bytes)))
-    parts = n_shards * per_shard
-    splitters = find_splitters(keys, [total * j / parts for j in range(1, parts)], tolerance * total / n_shards) if total else []
-    first = [Splitter(0, 0, 0, 0), *splitters]
-    # probes of the leading 12 bits name the few splitters that a row is held against
-    lead_bits = 12
-    rows = []
-    at = 0
-    for lead in range(1 << lead_bits):
-        inside = []
-        while at < len(splitters) and splitters[at].k1 >> (KEY_BITS - lead_bits) == lead:
-            inside.append((splitters[at].k1, splitters[at].k2))
-            at += 1
-        rows.append((lead, at - len(inside), inside))
-    spark = df.sparkSession
-    lookup = spark.createDataFrame(rows, "_lead int, _base int, _cuts array<struct<a: long, b: long>>")
-    starts = spark.createDataFrame([(i, s.below_rows - first[i - i % per_shard].below_rows) for i, s in enumerate(first)], "_part int, _start long")
+    splitters = find_splitters(keys, [total * j / n_shards for j in range(1, n_shards)], tolerance * total / n_shards) if total else []
     key = F.struct(F.col("_k1").alias("a"), F.col("_k2").alias("b"))
-    placed = (
-        keyed.withColumn("_lead", F.shiftrightunsigned("_k1", KEY_BITS - lead_bits).cast("int"))
-        .join(F.broadcast(lookup), "_lead")  # 4,096 rows and one entry for each part
-        .withColumn("_part", (F.col("_base") + F.size(F.filter("_cuts", lambda c: c <= key))).cast("int"))
-        .withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy("_k1", "_k2", F.col(f"_row.`{id_col}`"))))
-        .join(F.broadcast(starts), "_part")
-    )
+    cuts = F.array(*[F.struct(F.lit(s.k1).cast("long").alias("a"), F.lit(s.k2).cast("long").alias("b")) for s in splitters]).cast("array<struct<a: bigint, b: bigint>>")
+    per_shard = max(1, -(-total // (n_shards * part_bytes)))
+    shard_of = F.size(F.filter(cuts, lambda c: c <= key)) if splitters else F.lit(0)
+    # the order's leading bits are alike within a shard, so parts are dealt by another hash
+    part_of = F.pmod(F.xxhash64("_k1", "_k2"), F.lit(per_shard))
+    where = {"_shard": shard_of.cast("int"), "_part": part_of.cast("int")}
+    counts = staged(keys.withColumns(where).groupBy("_shard", "_part").agg(F.count("*").alias("_n")), "shard-parts")
+    before = Window.partitionBy("_shard").orderBy("_part")
+    starts = counts.withColumn("_start", F.sum("_n").over(before) - F.col("_n")).select("_shard", "_part", "_start")
+    placed = keyed.withColumns(where).repartition(n_shards * per_shard, "_shard", "_part")
+    nth = F.row_number().over(Window.partitionBy("_shard", "_part").orderBy("_k1", "_k2", F.col(f"_row.`{id_col}`")))
+    placed = placed.withColumn("_nth", nth).join(starts, ["_shard", "_part"])
     return placed.select(
         "_row.*",
         F.col("_size").alias("size"),
         F.lit("bytes").alias("law"),
-        F.floor(F.col("_part") / per_shard).cast("int").alias("shard"),
+        F.col("_shard").alias("shard"),
         (F.col("_start") + F.col("_nth") - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -12,18 +12,32 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A local folder is made, and set, only where the session names none.
+    A local folder is made, and set, only where the session names none and driver and executors are one process;
+    on a cluster without the setting this is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewell-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base if "://" in base or base.startswith("file:") else "file://" + base
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that this application writes to."""
+    return f"{shared_dir(spark).rstrip('/')}/tidewell/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/tidewell/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application staged. Results that are still to be computed need it: write them first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -50,8 +64,8 @@ def parts_for(n_bytes: int, each: int) -> int:
     return max(1, -(-n_bytes // each))
 
 
-def bucket_of(col: Column | str, n: int) -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+def bucket_of(n: int, *cols: str) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
 def one_of_each(docs: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,3 +76,12 @@ def one_of_each(docs: DataFrame, keys: list[str]) -> DataFrame:
     several = docs.join(many, keys, "left_semi")
     picked = several.groupBy(keys).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
     return docs.join(many, keys, "left_anti").unionByName(picked)
+
+
+def in_share(col: str, most: int, total: int) -> Column:
+    """Whether a row belongs to a sample, by a hash of ``col``, of about ``most`` of ``total`` rows.
+
+    The hash has 53 bits, so that the share stays exact at any total.
+    """
+    share = min(1.0, most / max(1, total))
+    return F.shiftrightunsigned(F.xxhash64(col), 11) < F.lit(int(share * (1 << 53)))

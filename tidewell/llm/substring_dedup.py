@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .routing import MOST_BUCKETS, Shared, binary, cat, column, cover, cuts_of, hits, packed32, run_starts
+from .routing import MOST_BUCKETS, Shared, binary, bucket_numbers, bucket_rests, cat, column, cover, distinct, hits, rows_for, run_starts
 from .shared import bucket_of, parts_for, text_bytes
 from .textarrays import U64, Words, pieces, text_buffer
 
@@ -64,9 +64,9 @@ def _send(key: tuple, docs: pa.Table, buckets: int) -> pa.Table:
     probes, owners = probes[order], owners[order]
     starts = run_starts(probes)
     many = np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts) if len(starts) else np.zeros(0, bool)
-    sent = [packed32(probes[starts[~many]], buckets), packed32(probes[starts[many]], buckets), packed32(np.sort(cat(blocks, U64)), buckets)]
-    some = [i for i in range(buckets) if any(len(x[i]) for x in sent)]
-    return pa.table([pa.array(some, pa.int32()), pa.array([key[0].as_py()] * len(some), pa.int32()), *(binary([x[i] for i in some]) for x in sent)], names=["bucket", "batch", "single", "multi", "blocks"])
+    sent = [bucket_rests(x, buckets) for x in (probes[starts[~many]], probes[starts[many]], np.sort(cat(blocks, U64)))]
+    some = distinct(np.sort(np.concatenate([b for b, _ in sent])))
+    return pa.table([pa.array(some), pa.array(np.full(len(some), key[0].as_py(), np.int32)), *(rows_for(some, *x) for x in sent)], names=["bucket", "batch", "single", "multi", "blocks"])
 
 
 def _probe(key: tuple, sent: pa.Table) -> pa.Table:
@@ -106,13 +106,9 @@ def _extend(key: tuple, docs: pa.Table, shared: pa.Table, buckets: int) -> pa.Ta
     low = np.minimum.reduceat(owner, starts) if len(starts) else owner
     high = np.maximum.reduceat(owner, starts) if len(starts) else owner
     hashes = hashes[starts]
-    cuts = cuts_of(hashes, buckets)
-    some = np.flatnonzero(np.diff(cuts))
-    part = lambda x, i: x[cuts[i] : cuts[i + 1]]
-    return pa.table(
-        [pa.array(some, pa.int32()), pa.array([key[0].as_py()] * len(some), pa.int32()), binary([part(hashes, i) for i in some]), binary([part(low, i) for i in some]), binary([part(high, i) for i in some])],
-        names=["bucket", "batch", "hashes", "low", "high"],
-    )
+    bucket = bucket_numbers(hashes, buckets)
+    some = distinct(bucket)
+    return pa.table([pa.array(some), pa.array(np.full(len(some), key[0].as_py(), np.int32)), *(rows_for(some, bucket, x) for x in (hashes, low, high))], names=["bucket", "batch", "hashes", "low", "high"])
 
 
 def _originals(key: tuple, sent: pa.Table) -> pa.Table:
@@ -176,11 +172,13 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id
 
     Null text has no words; a row with a null id counts as larger than any other and is never an
     original; rows that repeat an id are one document, so they never remove each other's words;
-    texts of fewer than 50 words stay; an empty table gives an empty one; other columns are not read.
+    texts of fewer than 50 words stay; an empty table gives an empty one; other columns are not read. Rows are dealt to
+    batches by id and text; a batch holds about 8 MB of text, or its longest, at some tens of bytes a byte for 2 MB of it,
+    or for its longest, at once.
     """
     size = text_bytes(docs, text)
     batches, buckets = parts_for(size, BATCH_BYTES), min(MOST_BUCKETS, parts_for(size, BUCKET_BYTES))
-    dealt = docs.select(bucket_of(id_col, batches).alias("batch"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    dealt = docs.select(bucket_of(batches, id_col, text).alias("batch"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     by_batch = dealt.groupBy("batch")
     sent = by_batch.applyInArrow(lambda key, docs: _send(key, docs, buckets), "bucket int, batch int, single binary, multi binary, blocks binary")
     shared = sent.groupBy("bucket").applyInArrow(_probe, "batch int, bucket int, shared binary")

@@ -1,15 +1,16 @@
-"""Suffix sorting in blocks with a difference cover, to find repeated byte strings.
+"""Repeated byte strings behind a difference-cover sample, by hash.
 
 Positions whose residue modulo the period lies in a difference cover are the
 sample. Any two equal strings of the wanted length hold, at one offset below the
 period, a sample position in both, so the strings that begin there are equal too.
-The sample is ranked first: its positions are sorted, one bucket at a time, by the
-bytes that follow, and those that tie with no other rank alone. Only strings that
-hold a tied sample can repeat. Their suffixes go to buckets, each sorted by itself,
-where long ties are settled at the wanted length.
+The sample's strings are sorted, one bucket of their hashes at a time, and those that
+tie are told to their batches. Only strings of the wanted length that hold a tied
+sample can repeat: their 64-bit hashes go to buckets, each sorted by itself.
 
-A text never leaves its batch: buckets hold 64-bit keys of the bytes that a suffix
-begins with, not the bytes, so a bucket's memory is bounded whatever repeats.
+No suffix is ordered by its bytes: see the README for what that would cost.
+
+A text never leaves its batch: buckets hold hashes, not bytes, so a bucket's memory
+is bounded whatever repeats.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .routing import MOST_BUCKETS, Shared, binary, cat, column, cover, cuts_of, packed32, run_starts
+from .routing import MOST_BUCKETS, Shared, binary, bucket_numbers, bucket_rests, cat, column, cover, distinct, rows_for, run_starts
 from .shared import bucket_of, parts_for, staged, text_bytes
 from .textarrays import BYTE_VALUES, U64, Sums, pieces, text_buffer
 
@@ -54,6 +55,8 @@ def singer_cover(q: int) -> tuple[int, list[int]]:
 PERIOD, COVER = singer_cover(13)
 #: Bytes that follow a sample position inside a string of LENGTH, wherever it begins.
 DEPTH = LENGTH - PERIOD + 1
+#: Bytes of a sample string, DEPTH at most: repeats of TIE + PERIOD - 1 bytes and more are seen, and told in ``n_shared``.
+TIE = 96
 
 
 def _samples(sums: Sums, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,11 +64,11 @@ def _samples(sums: Sums, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, lengths = offs[:-1], np.diff(offs)
     found = []
     for residue in COVER:
-        n = np.maximum(0, (lengths - DEPTH - residue) // PERIOD + 1)
+        n = np.maximum(0, (lengths - TIE - residue) // PERIOD + 1)
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         found.append(np.repeat(starts + residue, n) + nth * PERIOD)
     at = cat(found, np.int64)
-    return at, sums.spans(at, at + DEPTH)
+    return at, sums.spans(at, at + TIE)
 
 
 def _pieces(docs: pa.Table):
@@ -98,9 +101,9 @@ def _sample(key: tuple, docs: pa.Table, buckets: int) -> pa.Table:
     keys = np.sort(cat(found, U64))
     starts = run_starts(keys)
     count = np.diff(np.append(starts, len(keys)))
-    sent = [packed32(keys[starts[count == 1]], buckets), packed32(keys[starts[count > 1]], buckets)]
-    some = [i for i in range(buckets) if any(len(x[i]) for x in sent)]
-    return pa.table([pa.array(some, pa.int32()), pa.array([key[0].as_py()] * len(some), pa.int32()), *(binary([x[i] for i in some]) for x in sent)], names=["bucket", "batch", "single", "multi"])
+    sent = [bucket_rests(keys[starts[count == 1]], buckets), bucket_rests(keys[starts[count > 1]], buckets)]
+    some = np.union1d(sent[0][0], sent[1][0]).astype(np.int32)
+    return pa.table([pa.array(some), pa.array(np.full(len(some), key[0].as_py(), np.int32)), *(rows_for(some, *x) for x in sent)], names=["bucket", "batch", "single", "multi"])
 
 
 def _rank(key: tuple, sent: pa.Table) -> pa.Table:
@@ -118,15 +121,16 @@ def _rank(key: tuple, sent: pa.Table) -> pa.Table:
     return pa.table([pa.array([b for b, _ in told], pa.int32()), pa.array([key[0].as_py()] * len(told), pa.int32()), binary([x for _, x in told])], names=["batch", "bucket", "shared"])
 
 
-def _suffix_keys(docs: pa.Table, tied: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys of a batch's strings that hold a tied sample, and whether each begins more than one."""
+def _suffix_keys(docs: pa.Table, tied: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct sorted keys of a batch's strings that hold a tied sample, whether each begins more than one, and each piece's tied positions."""
     ties = Shared(tied, buckets)
-    found = []
+    found, tied_at = [], []
     copied = docs.column("copied").to_numpy()
     if len(ties.keys):
         for a, _, part, offs, sums in _pieces(docs):
             at, keys = _samples(sums, offs)
             at = at[ties.holds(keys)]
+            tied_at.append(at)
             marks = np.zeros(len(part) + 1, np.int32)
             np.cumsum(np.bincount(at, minlength=len(part)), out=marks[1:])
             begin = np.arange(len(part))
@@ -137,19 +141,17 @@ def _suffix_keys(docs: pa.Table, tied: pa.Table, buckets: int) -> tuple[np.ndarr
             found.append(keys[copied[a + np.searchsorted(offs, at, side="right") - 1]])
     keys = np.sort(cat(found, U64))
     starts = run_starts(keys)
-    return keys[starts], np.diff(np.append(starts, len(keys))) > 1
+    return keys[starts], np.diff(np.append(starts, len(keys))) > 1, tied_at
 
 
 def _suffixes(key: tuple, docs: pa.Table, tied: pa.Table, buckets: int) -> pa.Table:
     """A batch's strings that hold a tied sample, as keys for each bucket."""
-    keys, many = _suffix_keys(docs, tied, buckets)
-    cuts = cuts_of(keys, buckets)
-    some = np.flatnonzero(np.diff(cuts))
-    part = lambda x, i: x[cuts[i] : cuts[i + 1]]
-    return pa.table(
-        [pa.array(some, pa.int32()), pa.array([key[0].as_py()] * len(some), pa.int32()), binary([part(keys, i) for i in some]), binary([np.packbits(part(many, i)) for i in some])],
-        names=["bucket", "batch", "keys", "many"],
-    )
+    keys, many, _ = _suffix_keys(docs, tied, buckets)
+    bucket = bucket_numbers(keys, buckets)
+    some = distinct(bucket)
+    cuts = np.append(np.searchsorted(bucket, some), len(bucket)).tolist()
+    bits = binary([np.packbits(many[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+    return pa.table([pa.array(some), pa.array(np.full(len(some), key[0].as_py(), np.int32)), rows_for(some, bucket, keys), bits], names=["bucket", "batch", "keys", "many"])
 
 
 def _settle(key: tuple, sent: pa.Table) -> pa.Table:
@@ -170,13 +172,14 @@ def _remove(key: tuple, docs: pa.Table, told: pa.Table, buckets: int) -> pa.Tabl
     """Rows of a batch without the bytes that a repeated string covers."""
     told = told.sort_by("bucket")
     flags = told.filter(pc.is_valid(told.column("flags")))
-    keys, _ = _suffix_keys(docs, told.filter(pc.is_valid(told.column("shared"))), buckets)
-    cuts = cuts_of(keys, buckets)
-    bits = [np.unpackbits(f, count=cuts[b + 1] - cuts[b]) for b, f in zip(flags.column("bucket").to_pylist(), column(flags, "flags", np.uint8), strict=True)]
+    keys, _, tied_at = _suffix_keys(docs, told.filter(pc.is_valid(told.column("shared"))), buckets)
+    of_bucket = np.bincount(np.unique(bucket_numbers(keys, buckets), return_inverse=True)[1]).tolist()  # all buckets that were sent to answer
+    bits = [np.unpackbits(f, count=n) for n, f in zip(of_bucket, column(flags, "flags", np.uint8), strict=True)]
     repeated = keys[cat(bits, np.uint8).astype(bool)]
-    n_bytes, n_removed, n_spans, kept = [], [], [], []
-    for _, _, part, offs, sums in _pieces(docs):
+    n_bytes, n_removed, n_spans, n_shared, kept = [], [], [], [], []
+    for i, (_, _, part, offs, sums) in enumerate(_pieces(docs)):
         gone = np.zeros(len(part), bool)
+        shared = cover(tied_at[i], TIE, len(part)) if tied_at else gone
         if len(repeated):
             at, keys = _windows(sums, offs)
             hit = repeated[np.minimum(np.searchsorted(repeated, keys), len(repeated) - 1)] == keys
@@ -185,13 +188,14 @@ def _remove(key: tuple, docs: pa.Table, told: pa.Table, buckets: int) -> pa.Tabl
         begins[1:] &= ~gone[:-1]
         edge = offs[:-1][offs[:-1] < len(part)]
         begins[edge] = gone[edge]
-        runs, lost, left = (np.concatenate([[0], np.cumsum(x)])[offs] for x in (begins, gone, ~gone))
+        runs, lost, left, again = (np.concatenate([[0], np.cumsum(x)])[offs] for x in (begins, gone, ~gone, gone | shared))
         data = part[~gone].tobytes()
         n_bytes += np.diff(offs).tolist()
         n_removed += np.diff(lost).tolist()
         n_spans += np.diff(runs).tolist()
+        n_shared += np.diff(again).tolist()
         kept += [data[c:d] for c, d in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]
-    return pa.table([docs.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+    return pa.table([docs.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans, n_shared)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "n_shared", "kept"])
 
 
 #: Texts that occur more than once are told to all tasks up to so many, 64 MB; beyond, the rows are joined by a shuffle.
@@ -210,31 +214,34 @@ def _with_copies(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeated_bytes(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) for each row.
+    """``doc_id, n_bytes, n_removed, n_spans, n_shared, kept`` (binary) for each row.
 
     A byte of the UTF-8 text goes if a string of 400 bytes that covers it also starts anywhere
     else, in the same row or another; overlaps count, and strings are judged on the input.
-    Strings are compared by 64-bit keys of all their bytes.
+    Strings are compared by 64-bit keys of all their bytes. ``n_shared`` counts the bytes that are removed or lie in
+    a sample string of TIE bytes that occurs again: it tells of repeats that are too short to remove, from
+    TIE + PERIOD - 1 = 278 bytes on always, shorter ones by chance.
 
     Null text is empty; a null id is kept as such; repeated rows remove each other; rows of fewer
     than 400 bytes stay; cuts may fall inside a character, so what is left is bytes; an empty table
     gives an empty one; other columns are not read. A text that fills a third of all rows is one key for
-    each of its positions and batches.
+    each of its positions and batches. Rows are dealt to batches by id and text; a batch holds about 8 MB of text, or its
+    longest, at some tens of bytes a byte for 2 MB of it, or for its longest, at once.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size = text_bytes(rows)
     batches, buckets = parts_for(size, BATCH_BYTES), min(MOST_BUCKETS, parts_for(size, BUCKET_BYTES))
     marked = _with_copies(rows)
-    by_batch = marked.where("not copy").select(bucket_of("doc_id", batches).alias("batch"), "doc_id", "text", "copied").groupBy("batch")
+    by_batch = marked.where("not copy").select(bucket_of(batches, "doc_id", "text").alias("batch"), "doc_id", "text", "copied").groupBy("batch")
     sample = by_batch.applyInArrow(lambda key, docs: _sample(key, docs, buckets), "bucket int, batch int, single binary, multi binary")
     tied = sample.groupBy("bucket").applyInArrow(_rank, "batch int, bucket int, shared binary")
     suffixes = by_batch.cogroup(tied.groupBy("batch")).applyInArrow(lambda key, docs, more: _suffixes(key, docs, more, buckets), "bucket int, batch int, keys binary, many binary")
     flags = suffixes.groupBy("bucket").applyInArrow(_settle, "batch int, bucket int, flags binary")
     told = tied.unionByName(flags, allowMissingColumns=True)
-    kept = by_batch.cogroup(told.groupBy("batch")).applyInArrow(lambda key, docs, more: _remove(key, docs, more, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    kept = by_batch.cogroup(told.groupBy("batch")).applyInArrow(lambda key, docs, more: _remove(key, docs, more, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, n_shared long, kept binary")
     # a copy of LENGTH bytes or more repeats from end to end
     n, body = F.octet_length("text").cast("long"), F.encode("text", "UTF-8")
     long = n >= LENGTH
     none = F.lit(0).cast("long")
-    copies = marked.where("copy").select("doc_id", n.alias("n_bytes"), F.when(long, n).otherwise(none).alias("n_removed"), F.when(long, none + 1).otherwise(none).alias("n_spans"), F.when(long, F.encode(F.lit(""), "UTF-8")).otherwise(body).alias("kept"))
+    copies = marked.where("copy").select("doc_id", n.alias("n_bytes"), F.when(long, n).otherwise(none).alias("n_removed"), F.when(long, none + 1).otherwise(none).alias("n_spans"), F.when(n >= TIE, n).otherwise(none).alias("n_shared"), F.when(long, F.encode(F.lit(""), "UTF-8")).otherwise(body).alias("kept"))
     return kept.unionByName(copies)

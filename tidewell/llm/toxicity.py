@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .deobfuscate import SYMBOLS, Decoder, prefix_features, suspicious_spans, trigram_counts
-from .shared import staged
+from .shared import in_share, staged
 from .shingles import lowered
 from .textarrays import U64, pieces, text_buffer
 
@@ -50,7 +50,7 @@ def _restored(buf: np.ndarray, offs: np.ndarray, decoder: Decoder) -> tuple[np.n
     parts: list[list[str]] = [[] for _ in range(len(offs) - 1)]
     data = buf.tobytes()
     for r, a, b in zip(rows.tolist(), starts.tolist(), ends.tolist(), strict=True):
-        parts[r].append(decoder.restore(data[a:b].decode("utf-8", "ignore")))
+        parts[r].append(decoder.restore_long(data[a:b].decode("utf-8", "ignore")))
     made = [" ".join(p).encode() for p in parts]
     return np.frombuffer(b"".join(made), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int64)
 
@@ -104,10 +104,10 @@ def held_out(id_col: str = "doc_id"):
 def _training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """Distinct labelled texts, ``text`` and ``label``; the labels that go to the executors are at most about ``most``."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    share = min(1.0, most / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = known.where(in_share("doc_id", most, known.count()))
     rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")
-    return staged(rows.select("text", F.col("label").cast("int")).dropDuplicates(["text"]), "toxic-training")
+    # equal texts with unlike labels take the commoner one, toxic where they tie
+    return staged(rows.groupBy("text").agg((F.avg("label") >= 0.5).cast("int").alias("label")), "toxic-training")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
@@ -180,7 +180,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id`` and ``score`` for each row: 0 to 1, higher where the label is likelier 1.
 
     Null and empty texts have no feature and get the score of the bias; a null id stays null; repeated rows
-    get equal scores; an empty table gives an empty one; other columns are not read.
+    get equal scores; an empty table gives an empty one; other columns are not read. A task holds about 2 MB of
+    text, or its longest, at some tens of bytes a byte; a span to restore is decoded in stretches of bounded length.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES weights and 22,000 counts
 
@@ -203,8 +204,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, all their columns; null ids are judged by their texts."""
-    keyed = docs.withColumn("_text_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    scored = score(keyed.select(F.col("_text_key").alias("doc_id"), "text"), fit(docs, labels))
-    toxic = scored.where(F.col("score") >= threshold).select(F.col("doc_id").alias("_text_key")).distinct()
-    return keyed.join(toxic, "_text_key", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that are not predicted toxic, all their columns.
+
+    Rows are judged by id and text, so a null or repeated id is judged by each of its texts; null and empty texts
+    stay unless the bias itself is toxic; repeated rows share a fate; without labels all stay; an empty table
+    gives an empty one; columns of any names are kept. Long texts are as in score.
+    """
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), text))
+    scored = score(keyed.select(F.col("_row_key").alias("doc_id"), "text"), fit(docs, labels))
+    toxic = scored.where(F.col("score") >= threshold).select(F.col("doc_id").alias("_row_key")).distinct()
+    return keyed.join(toxic, "_row_key", "left_anti").select(docs.columns)
