@@ -41,9 +41,42 @@ def test_query_equals_sql(spark, sf_dir, sql, name):
     assert Counter(tuple(map(plain, r)) for r in out.select(cols).collect()) == Counter(tuple(map(plain, r)) for r in found.fetchall())
 
 
-@pytest.mark.parametrize("name", ["plasmode_deep_nonlinear", "scm_calibrated_statistics", "kmeans_bank", "bank_coordinates"])
-def test_learned_query_has_rows(spark, sf_dir, name):
-    assert queries.QUERIES[name](spark, sf_dir).count() > 0
+def test_calibrated_statistics_meet_the_targets(spark, sf_dir):
+    r = queries.QUERIES["scm_calibrated_statistics"](spark, sf_dir).first()
+    assert r.n_patients == r.texts == 150 and abs(r.treatment_rate - 0.5) < 0.15 and abs(r.treatment_logit_std - 2) < 0.4
+
+
+def test_centres_lie_at_means_of_their_nearest(spark, sf_dir):
+    vecs = np.array([r.embedding for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("embedding").collect()], float)
+    centres = np.array([r.vec for r in queries.QUERIES["kmeans_bank"](spark, sf_dir).collect()])
+    near = ((vecs[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+    assert len(centres) == 5 and max(np.abs(vecs[near == k].mean(0) - c).max() for k, c in enumerate(centres)) < 0.05
+
+
+def test_coordinates_are_principal_components(spark, sf_dir):
+    got = {r.conf_idx: (r.x, r.y) for r in queries.QUERIES["bank_coordinates"](spark, sf_dir).collect()}
+    rows = sorted(queries.bank(spark, sf_dir).collect(), key=lambda r: r.conf_idx)
+    x = np.array([r.vec for r in rows])
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    want, have = np.abs(u[:, :2] * s[:2]), np.abs(np.array([got[r.conf_idx] for r in rows]))
+    assert np.allclose(want, have, atol=1e-6)
+
+
+def test_cross_fitted_effects(spark, sf_dir):
+    rows = queries.QUERIES["cross_fitted_effects"](spark, sf_dir).collect()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/labels.parquet").count() and {r.cv_fold for r in rows} == {1, 2, 3}
+    assert all(abs(r.y1_logit - r.y0_logit - r.ite_logit) < 1e-9 and 0 < r.propensity_prob < 1 for r in rows)
+
+
+def test_pretraining_lowers_its_loss(spark, sf_dir):
+    log = queries.QUERIES["multi_arm_pretraining"](spark, sf_dir).collect()
+    of = {p: [r.train_loss for r in sorted(log, key=lambda r: r.epoch) if r.phase == p] for p in ("pretraining", "transferred")}
+    assert len(of["pretraining"]) == 8 and of["pretraining"][-1] < of["pretraining"][0] and all(r.val_loss is not None for r in log if r.phase == "transferred")
+
+
+def test_plasmode_recovery(spark, sf_dir):
+    rows = queries.QUERIES["plasmode_recovery"](spark, sf_dir).collect()
+    assert {r.generation_mode for r in rows} == {"phi_linear", "deep_nonlinear", "uplift_nonlinear"} and all(abs(r.true_ate - 0.5) < 0.5 and r.ate_rmse > 0 for r in rows)
 
 
 def test_kmeans_bank_reads_all_vectors(spark, tmp_path):
@@ -134,15 +167,109 @@ def test_gradients_equal_differences(kind):
     design = nets.Design(3, kind, trunk=(4, 3), outcome=(3,), arms=3)
     w = nets.initial(design, 1)
     x, t, y = rng.normal(size=(20, 3)), rng.integers(0, 3 if kind == "arms" else 2, 20).astype(float), rng.integers(0, 2, 20).astype(float)
-    grads, _ = nets.gradients(design, w, x, t, y)
+    beta, n = 0.7, len(y)
+    grads, moment, sums, out = nets.gradients(design, w, x, t, y, 1.0, beta)
     for k in w:
         at = tuple(0 for _ in w[k].shape)
         losses = []
         for d in (1e-5, -1e-5):
-            moved = {n: v.copy() for n, v in w.items()}
+            moved = {m: v.copy() for m, v in w.items()}
             moved[k][at] += d
-            losses.append(nets.gradients(design, moved, x, t, y)[1][1:].sum())
-        assert abs((losses[0] - losses[1]) / 2e-5 - grads[k][at]) < 1e-4
+            made = nets.forward(design, moved, x)
+            found = nets.losses(design, made, t, y)
+            if kind != "arms":  # the propensity's weight is held fixed
+                found[3] = ((y - nets._sigmoid(np.where(t > 0.5, made["y1"], made["y0"]))) * nets._weight(out["propensity"], t)).sum()
+            losses.append(nets.total_loss(design, found, 1.0, beta) * n)
+        want = grads[k][at] + (0 if kind == "arms" else 2 * beta * sums[3] / n * moment[k][at])
+        assert abs((losses[0] - losses[1]) / 2e-5 - want) < 1e-4
+
+
+def test_training_sums_do_not_depend_on_partitions(spark):
+    r = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, r.normal(size=3).tolist(), float(i % 2), float(r.integers(0, 2)), i % 3 + 1) for i in range(90)], "doc_id long, features array<double>, t double, y double, cv_fold int")
+    a, b = (estimate.train(rows.repartition(n), nets.Design(3, trunk=(4,), outcome=(3,)), 3, steps=3, beta=0.5, validation=0.2) for n in (1, 20))
+    assert [x["fold"] for x in a.log] == [1, 1, 1, 2, 2, 2, 3, 3, 3] and set(a.log[0]) == {c.split()[0] for c in estimate.LOG_SCHEMA.split(", ")}
+    assert all(abs(x[k] - y[k]) < 1e-9 for x, y in zip(a.log, b.log, strict=True) for k in ("train_loss", "val_loss", "train_auroc_prop", "val_auroc_prop"))
+    best = estimate.predict(rows, a, phi=True).first()
+    assert len(best.phi) == 4
+    # rows that validate teach nothing
+    other = rows.withColumn("y", F.when(queries.rng.uniform(42, "validation", "doc_id") < 0.2, 1 - F.col("y")).otherwise(F.col("y")))
+    c = estimate.train(other, nets.Design(3, trunk=(4,), outcome=(3,)), 3, steps=3, beta=0.5, validation=0.2)
+    assert all(abs(x["train_loss"] - y["train_loss"]) < 1e-9 for x, y in zip(a.log, c.log, strict=True)) and any(abs(x["val_loss"] - y["val_loss"]) > 1e-6 for x, y in zip(a.log, c.log, strict=True))
+
+
+def test_saved_network_and_bank(spark, tmp_path):
+    fitted = estimate.Fitted(nets.Design(4, trunk=(3, 3), outcome=(2,)), {0: nets.initial(nets.Design(4, trunk=(3, 3), outcome=(2,)), 1)}, [])
+    old = spark.createDataFrame([(i, 0, [float(i), 1.0]) for i in range(4)], "conf_idx int, head int, vec array<double>")
+    again = estimate.load_network(estimate.save_network(fitted, f"{tmp_path}/n", spark, old, num_explicit_confounders=1), spark)
+    assert again.fitted.design == fitted.design and all((again.fitted.weights[0][k] == w).all() for k, w in fitted.weights[0].items())
+    assert estimate.extractor_config(again) == {"embedding_dim": 2, "num_latent_confounders": 3, "num_explicit_confounders": 1, "features_per_confounder": 1, "aggregator_mode": "attn", "num_total_confounders": 4, "aggregator_features_per_conf": 1, "total_output_dim": 4}
+    assert [estimate.compatibility(again, n)["load_strategy"] for n in (4, 3, 6)] == ["direct", "phantom_padding", "partial_load"]
+    assert not estimate.compatibility(again, 4, embedding_dim=3)["compatible"]
+    new = spark.createDataFrame([(i, 0, [9.0, 9.0]) for i in range(6)] + [(3, 1, [8.0, 8.0])], "conf_idx int, head int, vec array<double>")
+    got = {(r.conf_idx, r.head): r.vec for r in estimate.transferred_bank(again.bank, new).collect()}
+    assert got == {**{(i, 0): [float(i), 1.0] for i in range(4)}, (4, 0): [9.0, 9.0], (5, 0): [9.0, 9.0], (3, 1): [8.0, 8.0]}
+
+
+def test_cached_vectors_are_made_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "d")], "doc_id long, text string")
+    first = {(r.doc_id, tuple(r.emb)) for r in runner.chunk_vectors(docs.where("doc_id < 3"), Architecture(), cache_dir=str(tmp_path)).collect()}
+    every = {(r.doc_id, tuple(r.emb)) for r in runner.chunk_vectors(docs, Architecture(), cache_dir=str(tmp_path)).collect()}
+    plain_ = {(r.doc_id, tuple(r.emb)) for r in runner.chunk_vectors(docs, Architecture()).collect()}
+    assert first < every == plain_
+    assert runner.cache_statistics(spark, f"{tmp_path}/hash").first().entries == 2
+    with pytest.raises(ValueError, match="no embedder"):
+        runner.chunk_vectors(docs, Architecture(embedding_model_name="elsewhere"))
+
+
+def test_model_from_a_spec(spark, tmp_path):
+    from tidewell.plans import scm
+
+    spec = queries.SPEC
+    m = scm.model_from_spec(spec, 0.7)
+    assert m.outcome.treatment == 0.7 and m.treatment.coefficients == {"age": 1.5 * 0.3, "ward_b": -0.3} and m.treatment.interactions[0] == (("age", "score"), 2.0 * 0.1)
+    assert {tuple(sorted(t)) for t, _ in m.treatment.interactions} == {tuple(sorted(p)) for p in [("age", "ward_b"), ("age", "ward_c"), ("age", "score"), ("ward_b", "ward_c"), ("ward_b", "score"), ("ward_c", "score")]}
+    assert set(m.outcome.treatment_interactions) == {"age", "ward_b", "ward_c", "score"} and all(abs(c) <= 0.1 for c in m.outcome.treatment_interactions.values())
+    for bad in ({"confounders": [{"name": "x", "type": "odd"}]}, {"confounders": [{"name": "x", "type": "categorical"}]}, {"confounders": [{"name": "x", "type": "continuous"}] * 2}):
+        with pytest.raises(ValueError):
+            scm.model_from_spec(bad)
+    c = scm.GeneratorConfig(num_confounders=3)
+    c.to_json(f"{tmp_path}/g.json")
+    assert scm.GeneratorConfig.from_json(f"{tmp_path}/g.json") == c and len(c.model(lambda q, n: spec).variables) == 3
+    for wrong in ({"dataset_size": 0}, {"question": " "}, {"target_treatment_rate": 1.0}, {"target_logit_std": 0.0}):
+        with pytest.raises(ValueError):
+            scm.GeneratorConfig(**wrong).validate()
+
+
+def test_vector_functions_of_long_vectors(spark):
+    from tidewell.functions import vectors as V
+
+    x = np.random.default_rng(0).normal(size=1024)
+    r = spark.createDataFrame([(x.tolist(),)], "v array<double>").select(V.softmax("v").alias("s"), V.normalised("v").alias("n")).first()
+    assert np.allclose(r.s, np.exp(x) / np.exp(x).sum()) and np.allclose(r.n, x / np.linalg.norm(x))
+
+
+def test_near_duplicates_across_batches_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(P, "_BLOCK", 3)
+    r = np.random.default_rng(2)
+    rows = [(g, p, r.normal(size=3).tolist()) for g in range(6) for p in range(25)] + [(None, 0, [1.0, 0.0, 0.0]), (7, 0, None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        kept = {tuple(x) for x in P.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, pos int, emb array<double>"), 0.8).select("doc_id", "pos").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    cos = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    want = {(g, p) for g, p, e in rows if g is None or e is None or not any(h == g and q < p and f is not None and cos(e, f) > 0.8 for h, q, f in rows)}
+    assert kept == want
+
+
+def test_correlations_go_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(M, "_SUMMED", 2)
+    x = np.random.default_rng(3).normal(size=(40, 5))
+    rows = spark.createDataFrame([(d, f, float(x[d, f])) for d in range(40) for f in range(5)], "doc_id long, feat_idx int, value double")
+    got = {(r.feature_i, r.feature_j): r.correlation for r in M.correlations(rows, -1.0).collect()}
+    want = np.corrcoef(x.T)
+    assert set(got) == {(i, j) for i in range(5) for j in range(i + 1, 5)} and all(abs(got[i, j] - want[i, j]) < 1e-9 for i, j in got)
 
 
 def test_transfer_of_weights():
@@ -169,7 +296,7 @@ def test_configuration(tmp_path):
 
 def test_experiment_end_to_end(spark, sf_dir, tmp_path):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    rows = docs.join(labels, "doc_id").limit(60).select(F.col("text").alias("clinical_text"), F.col("toxic").alias("outcome_indicator"), F.col("quality").alias("treatment_indicator"), "lang", F.when(F.crc32("text") % 3 == 0, "test").otherwise("train").alias("split"))
+    rows = docs.join(labels, "doc_id").limit(60).select(F.col("text").alias("clinical_text"), F.col("toxic").alias("outcome_indicator"), F.col("quality").alias("treatment_indicator"), "lang", F.element_at(F.array(F.lit("test"), F.lit("val"), F.lit("train"), F.lit("train")), (F.crc32("text") % 4 + 1).cast("int")).alias("split"))
     rows.write.parquet(f"{tmp_path}/d.parquet")
     arch = {"num_latent_confounders": 3, "dragonnet_representation_dim": 4, "dragonnet_hidden_outcome_dim": 3, "explicit_confounder_texts": ["der die das"]}
     training = {"epochs": 2, "learning_rate": 0.01}
@@ -177,18 +304,31 @@ def test_experiment_end_to_end(spark, sf_dir, tmp_path):
     data = {
         "output_dir": f"{tmp_path}/out",
         "pretraining": {"enabled": True, "dataset_path": f"{tmp_path}/d.parquet", "treatment_column": "lang", **both},
+        "cache_dir": f"{tmp_path}/cache",
         "applied_inference": {"dataset_path": f"{tmp_path}/d.parquet", "cv_folds": 0, **both},
-        "plasmode_experiments": {"enabled": True, "oracle_mode": True, "generator_architecture": arch, "evaluator_architecture": arch, "evaluator_training": training, "plasmode_scenarios": [{"generation_mode": "uplift_nonlinear"}]},
+        "plasmode_experiments": {"enabled": True, "oracle_mode": True, "save_datasets": True, "generator_architecture": arch, "generator_training": training, "evaluator_architecture": arch, "evaluator_training": training, "plasmode_scenarios": [{"generation_mode": "uplift_nonlinear"}, {"generation_mode": "uplift_nonlinear", "uplift_activation": None, "uplift_hidden_dims": [-1]}]},
     }
-    done = ExperimentRunner(spark, Experiment.from_dict(data)).run()
+    ran = ExperimentRunner(spark, Experiment.from_dict(data))
+    done = ran.run()
     made = spark.read.parquet(done["applied_inference"]["predictions"])
     assert made.count() == rows.where("split = 'test'").count() and {"y0_logit", "ite_prob", "propensity_prob"} <= set(made.columns)
-    assert done["plasmode_experiments"]["experiments"] == 1 and done["pretraining"]["arms"] > 1
+    assert done["plasmode_experiments"]["experiments"] == 1 and done["plasmode_experiments"]["failed"] == 1 and done["pretraining"]["arms"] > 1
+    status = {r.scenario_idx: r.status for r in spark.read.option("header", True).csv(done["plasmode_experiments"]["status"]).collect()}
+    assert status == {"0": "done", "1": "failed"}
+    assert S.read_json(f"{tmp_path}/out/plasmode/params/0-0", spark)["generation_mode"] == "uplift_nonlinear"
+    log = spark.read.option("header", True).csv(f"{tmp_path}/out/applied_inference/training_log").collect()
+    assert len(log) == 2 and all(r.val_loss for r in log)
+    top = ran.interpret(k=2).collect()
+    assert {r.confounder_type for r in top} == {"explicit", "latent"} and all(r.chunk_text for r in top)
+    data["output_dir"], data["applied_inference"]["cv_folds"] = f"{tmp_path}/crossed", 2
+    data["pretraining"]["enabled"] = data["plasmode_experiments"]["enabled"] = False
+    crossed = ExperimentRunner(spark, Experiment.from_dict(data)).run()
+    assert spark.read.parquet(crossed["applied_inference"]["predictions"]).groupBy("cv_fold").count().count() == 2
     assert Architecture().chunk_size == 128
 
 
 def test_generate_command(spark, tmp_path):
     args = cli.parser().parse_args(["generate", "--dataset-size", "300", "--output-dir", str(tmp_path)])
-    got = cli.generate(spark, args)
+    got = cli.generate(spark, cli.generator_config(args))
     assert got["n_patients"] == 300 and abs(got["treatment_rate"] - 0.5) < 0.12
     assert cli.main(["init", "--output", f"{tmp_path}/c.json"])["seed"] == 42

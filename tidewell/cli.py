@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import dataclasses
 import json
+import logging
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -25,25 +26,35 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--skip-pretraining", action="store_true")
     run.add_argument("--skip-plasmode", action="store_true")
     make = commands.add_parser("generate", help="synthetic patients of a structural model")
-    make.add_argument("--dataset-size", type=int, default=500)
-    make.add_argument("--treatment-coefficient", type=float, default=1.0)
-    make.add_argument("--target-treatment-rate", type=float, default=0.5)
-    make.add_argument("--target-control-outcome-rate", type=float, default=0.2)
-    make.add_argument("--seed", type=int, default=42)
-    make.add_argument("--output-dir", default="./synthetic_output")
+    make.add_argument("--config", help="a JSON file of all settings; those below go before it")
+    make.add_argument("--question")
+    make.add_argument("--spec", help="a JSON file of confounders, equations and statistics")
+    make.add_argument("--num-confounders", type=int)
+    make.add_argument("--dataset-size", type=int)
+    make.add_argument("--treatment-coefficient", type=float)
+    make.add_argument("--target-treatment-rate", type=float)
+    make.add_argument("--target-control-outcome-rate", type=float)
+    make.add_argument("--seed", type=int)
+    make.add_argument("--output-dir")
+    for command in (run, make):
+        command.add_argument("--verbose", action="store_true")
     return top
 
 
-def generate(spark: SparkSession, args: argparse.Namespace) -> dict:
+def generator_config(args: argparse.Namespace) -> scm.GeneratorConfig:
+    made = scm.GeneratorConfig.from_json(args.config) if args.config else scm.GeneratorConfig()
+    known = {f.name for f in dataclasses.fields(made)}
+    return dataclasses.replace(made, **{k: v for k, v in vars(args).items() if k in known and v is not None})
+
+
+def generate(spark: SparkSession, settings: scm.GeneratorConfig) -> dict:
     """Rescale, then calibrate, then write ``dataset`` (only ids it lacks) and ``metadata``."""
-    model = scm.default_model()
-    outcome = dataclasses.replace(model.outcome, treatment=args.treatment_coefficient)
-    model = scm.Model(model.variables, model.treatment, outcome, args.seed)
-    model = scm.calibrated(scm.rescaled(model, spark), spark, args.target_treatment_rate, args.target_control_outcome_rate)
-    ids = spark.range(args.dataset_size).select(F.col("id").alias("patient_id"))
-    rows = S.append_missing(ids, f"{args.output_dir}/dataset", lambda new: scm.patients(new, model), "patient_id")
-    meta = {"statistics": scm.dataset_statistics(rows).first().asDict(), "model": dataclasses.asdict(model), "settings": vars(args)}
-    S.write_json(meta, f"{args.output_dir}/metadata", spark)
+    std = settings.target_logit_std
+    model = scm.calibrated(scm.rescaled(settings.model(), spark, std, std), spark, settings.target_treatment_rate, settings.target_control_outcome_rate)
+    ids = spark.range(settings.dataset_size).select(F.col("id").alias("patient_id"))
+    rows = S.append_missing(ids, f"{settings.output_dir}/dataset", lambda new: scm.patients(new, model), "patient_id")
+    meta = {"statistics": scm.dataset_statistics(rows).first().asDict(), "model": dataclasses.asdict(model), "settings": settings.to_dict()}
+    S.write_json(meta, f"{settings.output_dir}/metadata", spark)
     return meta["statistics"]
 
 
@@ -51,9 +62,10 @@ def main(argv: list[str] | None = None) -> dict:
     args = parser().parse_args(argv)
     if args.command == "init":
         return config.create_default_config(args.output).to_dict()
+    logging.basicConfig(level=logging.DEBUG if args.verbose else logging.INFO)
     spark = SparkSession.builder.appName("tidewell").getOrCreate()
     if args.command == "generate":
-        out = generate(spark, args)
+        out = generate(spark, generator_config(args))
     else:
         c = config.Experiment.from_json(args.config)
         if args.output_dir is not None:

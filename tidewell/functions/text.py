@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,11 @@ def safe_filename(name: Column | str, most: int = 100) -> Column:
     return F.substring(F.regexp_replace(c, r"[^\p{L}\p{N}\-._]", "_"), 1, most)
 
 
+def file_name(name: str, most: int = 100) -> str:
+    """``safe_filename`` of a name that the driver has."""
+    return "".join(c if c.isalnum() or c in "-._" else "_" for c in name)[:most]
+
+
 def strip_reasoning(text: Column | str, marker: str) -> Column:
     """What follows the first occurrence of ``marker``, in any case; the whole text if there is none."""
     c = F.col(text) if isinstance(text, str) else text
@@ -69,7 +75,7 @@ def embedded_json(reply: Column | str) -> Column:
 
 
 def last_json_object(reply: str | None) -> str | None:
-    """The last balanced object in a reply that parses; braces inside strings don't count. For a row-wise UDF."""
+    """The last balanced object in a reply that parses; braces inside strings don't count."""
     decoder, found, at = json.JSONDecoder(), None, 0
     text = reply or ""
     while (at := text.find("{", at)) >= 0:
@@ -80,3 +86,12 @@ def last_json_object(reply: str | None) -> str | None:
             continue
         found, at = json.dumps(value, sort_keys=True), end
     return found
+
+
+def final_json(reply: Column | str) -> Column:
+    """The JSON object of a reply that may think aloud first: what ``embedded_json`` finds, else the last balanced object; keys sorted."""
+
+    def run(whole: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([last_json_object(f if isinstance(f, str) else w) for w, f in zip(whole, found, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "string")(F.col(reply) if isinstance(reply, str) else reply, embedded_json(reply))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -10,6 +12,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row, though ``use`` names it for every element of an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def doubles(v: Column | str) -> Column:
     return F.transform(_col(v), lambda x: x.cast("double"))
 
@@ -23,7 +30,7 @@ def norm(v: Column | str) -> Column:
 
 
 def normalised(v: Column | str, least: float = 1e-12) -> Column:
-    return F.transform(doubles(v), lambda x: x / F.greatest(norm(v), F.lit(least)))
+    return once(F.greatest(norm(v), F.lit(least)), lambda n: F.transform(doubles(v), lambda x: x / n))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -48,20 +55,14 @@ def stretched(x: Column | str) -> Column:
 
 
 def softmax(v: Column | str) -> Column:
-    top = F.array_max(doubles(v))
-    e = F.transform(doubles(v), lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
-
+    e = once(F.array_max(doubles(v)), lambda top: F.transform(doubles(v), lambda x: F.exp(x - top)))
+    shares = lambda w: once(F.aggregate(w, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(w, lambda x: x / total))
+    return once(e, shares)
 
-def z_score(x: Column | str, *by: str) -> Column:
-    """Population z-score over the rows or groups of rows; only centred where the spread vanishes.
 
-    Without ``by`` use :func:`tidewell.operators.pooling.standardise`, which sums before it joins.
-    """
-    w = Window.partitionBy(*by)
-    c = _col(x)
-    spread = F.stddev_pop(c).over(w)
-    return F.when(spread < 1e-9, c - F.avg(c).over(w)).otherwise((c - F.avg(c).over(w)) / spread)
+def padded(v: Column | str, have: int, want: int) -> Column:
+    """An array of ``have`` numbers with zeros up to ``want``, as a network of more inputs expects."""
+    return F.concat(doubles(v), F.array_repeat(F.lit(0.0), want - have)) if want > have else doubles(v)
 
 
 def bce(x: Column | str, y: Column | str) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,8 +77,19 @@ def feature_stats(features: DataFrame, heads: int = 1) -> DataFrame:
     )
 
 
-def confounder_summary(stats: DataFrame) -> DataFrame:
-    return stats.groupBy("confounder_idx").agg(F.avg("mean").alias("mean"), F.avg("std").alias("std"), F.avg("range").alias("range"))
+def confounder_summary(stats: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Means of ``feature_stats`` for each confounder, with its name; those beyond ``names`` are ``latent_`` and their place after them."""
+    names = names or []
+    known = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("confounder_idx") + 1) if names else F.lit(None).cast("string")
+    latent = F.concat(F.lit("latent_"), F.col("confounder_idx") - len(names))
+    out = stats.groupBy("confounder_idx").agg(F.avg("mean").alias("mean"), F.avg("std").alias("std"), F.avg("range").alias("range"))
+    return out.withColumn("confounder_name", F.when(F.col("confounder_idx") < len(names), known).otherwise(latent))
+
+
+def drift_summary(drift: DataFrame, drifted_below: float = 0.95) -> DataFrame:
+    """One row: mean, least and greatest cosine of ``latent_drift``, and how many latents drifted."""
+    c = F.col("cosine_similarity")
+    return drift.agg(F.avg(c).alias("mean"), F.min(c).alias("min"), F.max(c).alias("max"), F.count_if(c < drifted_below).alias("n_drifted"))
 
 
 def latent_drift(first: DataFrame, last: DataFrame) -> DataFrame:
@@ -83,21 +98,54 @@ def latent_drift(first: DataFrame, last: DataFrame) -> DataFrame:
     return first.select("latent_idx", F.col("vec").alias("a")).join(last.select("latent_idx", F.col("vec").alias("b")), "latent_idx").select("latent_idx", cos.alias("cosine_similarity"), (1 - cos).alias("drift"))
 
 
+#: Features whose products one task sums at once, 32 MB of sums; more of them go block by block.
+_SUMMED = 2048
+
+
 def correlations(features: DataFrame, least: float = 0.0) -> DataFrame:
-    """``feature_i < feature_j, correlation`` of documents' features, where it exceeds ``least`` in size.
+    """``feature_i < feature_j, correlation, mean_i, mean_j, std_i, std_j`` (population) of documents' features, where the correlation exceeds ``least`` in size.
 
-    One pass: documents' features side by side, sums of products for each pair of features.
+    Every document has all features. Tasks sum the outer products of their documents' features, a block of features by
+    another at a time; only the sums cross the network, one row for each task and pair of features.
     """
     wide = features.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("feat_idx", "value"))).alias("f"))  # a document's features number as the bank
-    pairs = wide.select(F.explode("f").alias("a"), "f").select("a", F.explode(F.filter("f", lambda b: b["feat_idx"] > F.col("a.feat_idx"))).alias("b"))
-    out = pairs.groupBy(F.col("a.feat_idx").alias("feature_i"), F.col("b.feat_idx").alias("feature_j")).agg(F.corr("a.value", "b.value").alias("correlation"))
+    wide = wide.select(F.transform("f", lambda x: x["feat_idx"]).alias("i"), F.transform("f", lambda x: x["value"].cast("double")).alias("x"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        names, n, first, linear, square = np.zeros(0, np.int64), 0, None, 0.0, 0.0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            names = b.column("i")[0].values.to_numpy(zero_copy_only=False)
+            n, linear, square = n + len(x), linear + x.sum(0), square + (x * x).sum(0)
+            for p in range(0, x.shape[1], _SUMMED):
+                for q in range(p, x.shape[1], _SUMMED):
+                    total[p, q] = total.get((p, q), 0.0) + x[:, p : p + _SUMMED].T @ x[:, q : q + _SUMMED]
+        for (p, q), s in total.items():
+            i, j = np.nonzero(np.ones(s.shape, bool))
+            up = i + p < j + q
+            i, j = i[up] + p, j[up] + q
+            cols = [names[i], names[j], np.full(len(i), float(n)), s[up.reshape(s.shape)], linear[i], linear[j], square[i], square[j]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if k < 2 else c) for k, c in enumerate(cols)], names=["feature_i", "feature_j", "n", "ij", "i", "j", "ii", "jj"])
+
+    parts = wide.mapInArrow(sums, "feature_i int, feature_j int, n double, ij double, i double, j double, ii double, jj double")
+    out = parts.groupBy("feature_i", "feature_j").agg(*[F.sum(c).alias(c) for c in ("n", "ij", "i", "j", "ii", "jj")])
+    mean = {k: F.col(k) / F.col("n") for k in ("i", "j")}
+    std = {k: F.sqrt(F.greatest(F.col(k + k) / F.col("n") - mean[k] * mean[k], F.lit(0.0))) for k in ("i", "j")}
+    r = F.when(std["i"] * std["j"] > 0, (F.col("ij") / F.col("n") - mean["i"] * mean["j"]) / (std["i"] * std["j"]))
+    out = out.select("feature_i", "feature_j", r.alias("correlation"), *[c.alias(f"{n}_{k}") for n, d in (("mean", mean), ("std", std)) for k, c in d.items()])
     return out.where(F.abs("correlation") > least)
 
 
-def top_chunks(matches: DataFrame, k: int = 10) -> DataFrame:
-    """The k chunks of each bank vector with the highest cosine, ties by document and position.
+def top_chunks(matches: DataFrame, k: int = 10, explicit: int = 0) -> DataFrame:
+    """The k chunks of each bank vector with the highest cosine, ties by document and position, with their ``chunk`` where ``matches`` has it.
 
-    Spark keeps each task's own k before the shuffle.
+    ``confounder_type``: ``explicit`` for the first ``explicit`` confounders, else ``latent``. Spark keeps each task's own k before the shuffle.
     """
     order = Window.partitionBy("conf_idx", "head").orderBy(F.col("s").desc(), "doc_id", "pos")
-    return matches.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("conf_idx", "head", "rank", F.col("s").alias("activation"), "doc_id", "pos")
+    kind = F.when(F.col("conf_idx") < explicit, "explicit").otherwise("latent").alias("confounder_type")
+    text = [F.col("chunk").alias("chunk_text")] if "chunk" in matches.columns else []
+    top = matches.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top.select("conf_idx", "head", kind, "rank", F.col("s").alias("activation"), "doc_id", "pos", *text)

@@ -19,7 +19,7 @@ class Design:
 
     ``kind``: ``dragon`` (potential outcomes), ``uplift`` (baseline and effect) or ``arms`` (a head for
     each of ``arms`` treatments). ``trunk`` empty: heads on the features alone. A layer's
-    activation is ReLU, the last hidden one's ELU.
+    activation is ReLU, the last hidden one's ELU, but for the propensity's, which are all ReLU.
     """
 
     inputs: int
@@ -70,7 +70,7 @@ class _Pass:
     def _hidden(self, i: int) -> str:
         if i == self.n - 1:
             return "elu" if self.final_elu else "none"
-        return "elu" if i == self.n - 2 and not self.final_elu else "relu"
+        return "elu" if i == self.n - 2 and not self.final_elu and self.name != "propensity" else "relu"
 
     def forward(self, x: np.ndarray) -> np.ndarray:
         for i in range(self.n):
@@ -98,9 +98,7 @@ def _passes(design: Design, weights: Weights, x: np.ndarray) -> tuple[_Pass, np.
     return trunk, phi, heads, {k: p.forward(phi) for k, p in heads.items()}
 
 
-def forward(design: Design, weights: Weights, x: np.ndarray) -> dict[str, np.ndarray]:
-    """Logits of every head, and ``phi``; ``uplift`` gives y1 as baseline plus effect."""
-    _, phi, _, out = _passes(design, weights, x)
+def _outputs(design: Design, phi: np.ndarray, out: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     if design.kind == "arms":
         return {"phi": phi, "propensity": out["propensity"], "outcome": np.hstack([out[f"outcome{k}"] for k in range(design.arms)])}
     y0 = out["y0"][:, 0]
@@ -108,53 +106,99 @@ def forward(design: Design, weights: Weights, x: np.ndarray) -> dict[str, np.nda
     return {"phi": phi, "propensity": out["propensity"][:, 0], "y0": y0, "y1": y0 + tau, "tau": tau}
 
 
-def gradients(design: Design, weights: Weights, x: np.ndarray, t: np.ndarray, y: np.ndarray, alpha: float = 1.0) -> tuple[Weights, np.ndarray]:
-    """Summed gradients of outcome plus ``alpha`` times treatment loss over the rows, and sums: rows, outcome loss, treatment loss."""
-    trunk, phi, heads, out = _passes(design, weights, x)
+def forward(design: Design, weights: Weights, x: np.ndarray) -> dict[str, np.ndarray]:
+    """Logits of every head, and ``phi``; ``uplift`` gives y1 as baseline plus effect."""
+    _, phi, _, out = _passes(design, weights, x)
+    return _outputs(design, phi, out)
+
+
+#: Propensities are held this far from 0 and 1 in the targeted term.
+CLIP = 1e-3
+
+
+def _bce(logits: np.ndarray, y: np.ndarray) -> float:
+    return float((np.maximum(logits, 0) - logits * y + np.log1p(np.exp(-np.abs(logits)))).sum())
+
+
+def losses(design: Design, out: dict[str, np.ndarray], t: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums over the rows of what ``forward`` gave: rows, outcome loss, treatment loss, and the targeted moment (for arms: minus the spread)."""
+    n = len(y)
+    if design.kind == "arms":
+        arm = t.astype(int)
+        logits = out["propensity"] - out["propensity"].max(1, keepdims=True)
+        treatment = (np.log(np.exp(logits).sum(1)) - logits[np.arange(n), arm]).sum()
+        p = _sigmoid(out["outcome"])
+        return np.array([n, _bce(out["outcome"][np.arange(n), arm], y), treatment, -p.var(axis=1, ddof=1).sum() if design.arms > 1 else 0.0])
+    f = np.where(t > 0.5, out["y1"], out["y0"])
+    return np.array([n, _bce(f, y), _bce(out["propensity"], t), ((y - _sigmoid(f)) * _weight(out["propensity"], t)).sum()])
+
+
+def _weight(propensity: np.ndarray, t: np.ndarray) -> np.ndarray:
+    e = np.clip(_sigmoid(propensity), CLIP, 1 - CLIP)
+    return t / e - (1 - t) / (1 - e)
+
+
+def total_loss(design: Design, sums: np.ndarray, alpha: float, beta: float) -> float:
+    """Outcome plus ``alpha`` times treatment loss plus ``beta`` times the squared targeted moment (for arms: the spread itself)."""
+    n, outcome, treatment, moment = sums[:4]
+    extra = moment / n if design.kind == "arms" else (moment / n) ** 2
+    return float(outcome / n + alpha * treatment / n + beta * extra)
+
+
+def gradients(design: Design, weights: Weights, x: np.ndarray, t: np.ndarray, y: np.ndarray, alpha: float = 1.0, beta: float = 0.0) -> tuple[Weights, Weights | None, np.ndarray, dict[str, np.ndarray]]:
+    """Summed gradients over the rows, the targeted moment's own (propensities held fixed in it), the sums of ``losses``, and the outputs.
+
+    The moment is a mean over all rows and enters the loss squared, so its gradient is scaled once the sums of all tasks are
+    known; the spread of arms is a sum over rows and is in the first gradient.
+    """
+    trunk, phi, heads, raw = _passes(design, weights, x)
+    out = _outputs(design, phi, raw)
     seed: dict[str, np.ndarray] = {}
     n = len(y)
+    second: dict[str, np.ndarray] = {}
     if design.kind == "arms":
         arm = t.astype(int)
         logits = out["propensity"] - out["propensity"].max(1, keepdims=True)
         p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
-        treatment_loss = -np.log(np.maximum(p[np.arange(n), arm], 1e-300)).sum()
-        onehot = np.eye(design.arms)[arm]
-        seed["propensity"] = alpha * (p - onehot)
-        f = np.hstack([out[f"outcome{k}"] for k in range(design.arms)])[np.arange(n), arm]
-        off = _sigmoid(f) - y
+        seed["propensity"] = alpha * (p - np.eye(design.arms)[arm])
+        chance = _sigmoid(out["outcome"])
+        off = chance[np.arange(n), arm] - y
+        spread = -beta * 2 * (chance - chance.mean(1, keepdims=True)) / max(1, design.arms - 1) * chance * (1 - chance)
         for k in range(design.arms):
-            seed[f"outcome{k}"] = (off * (arm == k))[:, None]
+            seed[f"outcome{k}"] = (off * (arm == k) + spread[:, k])[:, None]
     else:
-        e = out["propensity"][:, 0]
-        treatment_loss = (np.maximum(e, 0) - e * t + np.log1p(np.exp(-np.abs(e)))).sum()
-        seed["propensity"] = alpha * (_sigmoid(e) - t)[:, None]
-        y0 = out["y0"][:, 0]
-        other = out["y1" if design.kind == "dragon" else "tau"][:, 0]
-        f = np.where(t > 0.5, other, y0) if design.kind == "dragon" else y0 + other * (t > 0.5)
-        off = _sigmoid(f) - y
-        seed["y0"] = (off * (t <= 0.5) if design.kind == "dragon" else off)[:, None]
-        seed["y1" if design.kind == "dragon" else "tau"] = (off * (t > 0.5))[:, None]
-    outcome_loss = (np.maximum(f, 0) - f * y + np.log1p(np.exp(-np.abs(f)))).sum()
-    grads: Weights = {}
-    g = sum(heads[k].backward(seed[k], grads) for k in heads)
-    trunk.backward(g, grads)
-    return grads, np.array([n, outcome_loss, treatment_loss])
+        treated = t > 0.5
+        seed["propensity"] = alpha * (_sigmoid(out["propensity"]) - t)[:, None]
+        q = _sigmoid(np.where(treated, out["y1"], out["y0"]))
+        moved = -q * (1 - q) * _weight(out["propensity"], t)
+        for found, g in ((seed, q - y), (second, moved)):
+            found["y0"] = (g * ~treated if design.kind == "dragon" else g)[:, None]
+            found["y1" if design.kind == "dragon" else "tau"] = (g * treated)[:, None]
+        second["propensity"] = np.zeros((n, 1))
+
+    def back(seeds: dict[str, np.ndarray]) -> Weights:
+        grads: Weights = {}
+        trunk.backward(sum(heads[k].backward(seeds[k], grads) for k in heads), grads)
+        return grads
+
+    return back(seed), back(second) if second and beta else None, losses(design, out, t, y), out
 
 
 @dataclass
 class AdamW:
-    """Decoupled weight decay; the learning rate falls linearly to a tenth over ``steps``."""
+    """Decoupled weight decay (0: Adam); the learning rate falls linearly to a tenth over ``steps``, unless ``falls`` is off."""
 
     rate: float = 1e-2
     decay: float = 1e-4
     steps: int = 50
+    falls: bool = True
     at: int = 0
     first: Weights = field(default_factory=dict)
     second: Weights = field(default_factory=dict)
 
     def step(self, weights: Weights, grads: Weights) -> None:
         self.at += 1
-        rate = self.rate * (1 - 0.9 * min(1.0, (self.at - 1) / max(1, self.steps - 1)))
+        rate = self.rate * (1 - 0.9 * min(1.0, (self.at - 1) / max(1, self.steps - 1)) * self.falls)
         for k, g in grads.items():
             m = self.first[k] = 0.9 * self.first.get(k, 0) + 0.1 * g
             v = self.second[k] = 0.999 * self.second.get(k, 0) + 0.001 * g * g

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,22 +22,71 @@ MOST_BANK = 100_000
 def drop_near_duplicates(vectors: DataFrame, threshold: float | None = 0.9, group: str = "doc_id", pos: str = "pos", emb: str = "emb") -> DataFrame:
     """Rows but those whose cosine with an earlier row of the group exceeds ``threshold``.
 
-    An earlier row that is itself dropped still drops later ones. ``None`` drops nothing.
+    An earlier row that is itself dropped still drops later ones. ``None`` drops nothing. Rows whose group or
+    vector is null stay. One exchange brings groups together; a task walks them in order, a group at a time, and multiplies
+    blocks of its unit vectors, so what it holds grows with one group, a document's chunks.
     """
     if threshold is None:
         return vectors
-    rows = vectors.repartition(group)  # one exchange for both sides of the join
-    a = rows.select(F.col(group).alias("_g"), F.col(pos).alias("_p"), F.col(emb).alias("_e"))
-    return rows.join(a, (rows[group] == a["_g"]) & (a["_p"] < rows[pos]) & (V.dot(rows[emb], a["_e"]) > threshold * F.greatest(V.norm(rows[emb]) * V.norm(a["_e"]), F.lit(1e-12))), "left_anti")
+    ordered = vectors.repartition(group).sortWithinPartitions(group, pos)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column(group).to_pylist()
+            last = next((i for i in range(len(ids) - 1, -1, -1) if ids[i] != ids[-1]), -1)
+            if last < 0 and (not held or held[-1].column(group)[-1].as_py() == ids[-1]):
+                held.append(b)  # the same group goes on
+                continue
+            yield from _distinct_rows(pa.Table.from_batches([*held, b.slice(0, last + 1)]), threshold, group, pos, emb)
+            held = [b.slice(last + 1)]
+        if held:
+            yield from _distinct_rows(pa.Table.from_batches(held), threshold, group, pos, emb)
+
+    return ordered.mapInArrow(run, vectors.schema)
+
+
+#: Rows of a block of a group's vectors.
+_BLOCK = 2048
+
+
+def _distinct_rows(rows: pa.Table, threshold: float, group: str, pos: str, emb: str) -> Iterator[pa.RecordBatch]:
+    """Whole groups, ordered by group and position, without near-duplicates."""
+    rows = rows.combine_chunks()
+    there = np.flatnonzero(rows.column(emb).is_valid().to_numpy() & rows.column(group).is_valid().to_numpy())
+    keep = np.ones(rows.num_rows, bool)
+    if len(there):
+        some = rows.take(pa.array(there))
+        x = some.column(emb).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(there), -1)
+        ids, places = some.column(group).to_pylist(), some.column(pos).to_numpy()
+        length = np.linalg.norm(x, axis=1)
+        starts = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]
+        for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
+            for i in range(a, b, _BLOCK):
+                later = slice(i, min(b, i + _BLOCK))
+                drops = np.zeros(later.stop - i, bool)
+                for j in range(a, later.stop, _BLOCK):
+                    earlier = slice(j, min(later.stop, j + _BLOCK))
+                    close = x[later] @ x[earlier].T > threshold * np.maximum(np.outer(length[later], length[earlier]), 1e-12)
+                    drops |= (close & (places[earlier][None, :] < places[later][:, None])).any(1)
+                keep[there[later]] = ~drops
+    yield from rows.filter(pa.array(keep)).to_batches()
 
 
 def match(vectors: DataFrame, bank: DataFrame, emb: str = "emb") -> DataFrame:
-    """A row for each chunk and bank vector with their cosine ``s``; the bank (conf_idx, head, vec) is checked and broadcast."""
-    if bank.count() > MOST_BANK:
+    """A row for each chunk and bank vector with their cosine ``s``, and ``at``, the vector's place in the bank, of ``n_bank``.
+
+    The bank (conf_idx, head, vec) is checked and broadcast.
+    """
+    n = bank.count()
+    if n > MOST_BANK:
         raise ValueError(f"a bank has at most {MOST_BANK} vectors")
-    unit = bank.select("conf_idx", "head", V.normalised("vec").alias("vec"))
+    place = F.row_number().over(Window.orderBy("conf_idx", "head")) - 1  # of a bank's few rows
+    unit = bank.select("conf_idx", "head", place.cast("int").alias("at"), F.lit(n).alias("n_bank"), V.normalised("vec").alias("vec"))
     keep = [c for c in vectors.columns if c != emb]
-    return vectors.select(*keep, V.normalised(emb).alias("_e")).crossJoin(F.broadcast(unit)).select(*keep, "conf_idx", "head", V.dot("_e", "vec").alias("s"))
+    return vectors.select(*keep, V.normalised(emb).alias("_e")).crossJoin(F.broadcast(unit)).select(*keep, "conf_idx", "head", "at", "n_bank", V.dot("_e", "vec").alias("s"))
 
 
 def pooled(mode: str, s: Column | str = "s", tau: float = TAU, power: float = POWER, top: int = TOP) -> list[Column]:
@@ -47,7 +99,7 @@ def pooled(mode: str, s: Column | str = "s", tau: float = TAU, power: float = PO
     if mode == "gem":
         return [F.pow(F.avg(F.pow(F.greatest(s, F.lit(0.0)) + 1e-6, F.lit(power))), F.lit(1 / power))]
     if mode == "topk":
-        best = F.slice(F.sort_array(F.collect_list(s), asc=False), 1, top)
+        best = F.slice(F.sort_array(F.collect_list(s), asc=False), 1, top)  # a document's chunks
         return [F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best)]
     if mode == "attn":
         return [F.sum(F.exp(s / tau) * V.clip(s, -50.0, 50.0)) / F.sum(F.exp(s / tau))]
@@ -61,20 +113,11 @@ def pooled(mode: str, s: Column | str = "s", tau: float = TAU, power: float = PO
 
 
 def pool(matches: DataFrame, mode: str = "attn", group: str = "doc_id", **constants) -> DataFrame:
-    """``group, feat_idx, value``: a feature for each bank vector, two for ``stats`` (all means first)."""
+    """``group, feat_idx, value`` of the rows of ``match``: a feature for each bank vector, two for ``stats`` (all means first)."""
     columns = pooled(mode, **constants)
-    out = matches.groupBy(group, "conf_idx", "head").agg(*[c.alias(f"v{i}") for i, c in enumerate(columns)])
-    heads = Window.partitionBy()  # only over the bank, below
-    bank = matches.select("conf_idx", "head").distinct().withColumn("n", F.count("*").over(heads)).withColumn("at", F.row_number().over(heads.orderBy("conf_idx", "head")) - 1)
-    joined = out.join(F.broadcast(bank), ["conf_idx", "head"])
-    parts = [F.struct((F.col("at") + i * F.col("n")).cast("int").alias("feat_idx"), F.col(f"v{i}").alias("value")) for i in range(len(columns))]
-    return joined.select(group, F.inline(F.array(*parts)))
-
-
-def pad_features(features: DataFrame, have: int, want: int, group: str = "doc_id") -> DataFrame:
-    """Zero features ``have`` to ``want - 1`` for every document, as a wider network expects."""
-    more = features.select(group).distinct().select(group, F.explode(F.sequence(F.lit(have), F.lit(want - 1))).alias("feat_idx"), F.lit(0.0).alias("value"))
-    return features.unionByName(more) if want > have else features
+    out = matches.groupBy(group, "at", "n_bank").agg(*[c.alias(f"v{i}") for i, c in enumerate(columns)])
+    parts = [F.struct((F.col("at") + i * F.col("n_bank")).cast("int").alias("feat_idx"), F.col(f"v{i}").alias("value")) for i in range(len(columns))]
+    return out.select(group, F.inline(F.array(*parts)))
 
 
 def mean_vectors(vectors: DataFrame, group: str = "doc_id", emb: str = "emb") -> DataFrame:
@@ -88,6 +131,6 @@ def moments(features: DataFrame, key: str = "feat_idx", value: str = "value") ->
 
 def standardise(features: DataFrame, fitted: DataFrame | None = None, key: str = "feat_idx", value: str = "value", eps: float = 1e-5) -> DataFrame:
     """``(x - mean) / sqrt(variance + eps)`` by feature, with moments of training rows if given."""
-    rows = moments(features, key, value) if fitted is None else fitted
+    rows = moments(features, key, value) if fitted is None else fitted  # a row for each feature, as many as the checked bank has
     keep = [c for c in features.columns if c != value]
     return features.join(F.broadcast(rows), key).select(*keep, ((F.col(value) - F.col("mu")) / F.sqrt(F.col("var") + eps)).alias(value))

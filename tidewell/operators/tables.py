@@ -23,11 +23,17 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
 
 
+#: Categories that are indexed, at most: each becomes an arm or a dummy of a model.
+MOST_CATEGORIES = 100_000
+
+
 def category_index(df: DataFrame, column: str, index: str) -> DataFrame:
-    """``df`` with the place of each category among the distinct ones, in order, from 0; a small dimension is joined."""
+    """``df`` with the place of each category among the distinct ones, in order, from 0; the checked dimension is broadcast."""
     dim = df.where(F.col(column).isNotNull()).select(column).distinct()
+    if dim.limit(MOST_CATEGORIES + 1).count() > MOST_CATEGORIES:
+        raise ValueError(f"{column} has more than {MOST_CATEGORIES} categories")
     dim = dim.withColumn(index, F.row_number().over(Window.orderBy(column)) - 1)
-    return df.join(dim, column, "left")
+    return df.join(F.broadcast(dim), column, "left")
 
 
 def split_rows(df: DataFrame, fraction: float, seed: int, id_col: str = "doc_id", name: str = "split") -> DataFrame:
@@ -70,5 +76,5 @@ def cached(keys: DataFrame, cache: DataFrame | None, compute, key: str) -> tuple
     if cache is None:
         made = compute(keys)
         return made, made
-    made = compute(keys.join(cache.select(key).distinct(), key, "left_anti"))
+    made = compute(keys.join(cache.select(key), key, "left_anti"))
     return cache.join(keys.select(key).distinct(), key, "left_semi").unionByName(made), made

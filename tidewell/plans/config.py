@@ -15,6 +15,10 @@ from ..operators.pooling import MODES as POOLING
 from .plasmode import MODES, Scenario
 
 
+#: Names of optimizers.
+OPTIMIZERS = ("adamw", "adam")
+
+
 @dataclass
 class Architecture:
     model_type: str = "dragonnet"
@@ -32,6 +36,8 @@ class Architecture:
 
 @dataclass
 class Training:
+    """``batch_size`` is read and kept but has no effect: each step sums the gradients of all rows."""
+
     learning_rate: float = 1e-4
     optimizer: str = "adamw"
     lr_schedule: str = "linear"
@@ -102,9 +108,9 @@ class PlasmodeExperiments:
 class Experiment:
     """What one run does: pretraining, then inference on the data, then plasmode experiments."""
 
-    output_dir: str = "./cdt_results"
+    output_dir: str = "./tidewell_results"
     seed: int = 42
-    device: str = "cuda:0"
+    device: str | None = None
     num_workers: int = 1
     cache_dir: str | None = None
     gpu_ids: list[int] | None = None
@@ -154,6 +160,14 @@ class Experiment:
                 wrong.append(f"{where}: unknown aggregator_mode {a.aggregator_mode!r}")
             if not 0 <= a.chunk_overlap < a.chunk_size:
                 wrong.append(f"{where}: chunk_overlap must be at least 0 and below chunk_size")
+        for where, t in (("applied_inference", self.applied_inference.training), ("pretraining", self.pretraining.training), ("generator", plasmode.generator_training), ("evaluator", plasmode.evaluator_training)):
+            if t.optimizer not in OPTIMIZERS:
+                wrong.append(f"{where}: unknown optimizer {t.optimizer!r}")
+            if t.epochs < 1 or t.learning_rate <= 0:
+                wrong.append(f"{where}: epochs and learning_rate must be above 0")
+        for s in plasmode.plasmode_scenarios:
+            if s.deep_nonlinear_dropout or s.uplift_dropout:
+                wrong.append("simulated effects have no dropout: deep_nonlinear_dropout and uplift_dropout must be 0")
         if wrong:
             raise ValueError("; ".join(wrong))
 

@@ -7,16 +7,21 @@ step. No task or driver gathers the data.
 
 from __future__ import annotations
 
+import dataclasses
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rng
 from ..operators import nets
 from ..operators.nets import AdamW, Design, Weights
+from ..sources import datasets as S
 
 
 @dataclass
@@ -31,53 +36,127 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def train(rows: DataFrame, design: Design, folds: int = 0, *, steps: int = 40, rate: float = 1e-2, alpha: float = 1.0, seed: int = 42, start: Weights | None = None) -> Fitted:
+#: Bins of a probability from which the log's AUROCs are read; ties inside a bin count half.
+BINS = 200
+HEADS = ("y0", "y1", "prop")
+
+
+def _counts(design: Design, out: dict[str, np.ndarray], t: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows by head, class and bin of probability; none for arms."""
+    found = np.zeros((len(HEADS), 2, BINS))
+    if design.kind != "arms":
+        for h, (use, logit, label) in enumerate(((t < 0.5, out["y0"], y), (t > 0.5, out["y1"], y), (t > -1, out["propensity"], t))):
+            at = np.minimum((BINS / (1 + np.exp(-np.clip(logit[use], -50, 50)))).astype(int), BINS - 1)
+            for c in (0, 1):
+                found[h, c] = np.bincount(at[(label[use] > 0.5) == bool(c)], minlength=BINS)
+    return found.ravel()
+
+
+def _aurocs(counts: np.ndarray, name: str) -> dict:
+    out = {}
+    for h, (no, yes) in zip(HEADS, counts.reshape(len(HEADS), 2, BINS), strict=True):
+        both = no.sum() * yes.sum()
+        out[f"{name}_auroc_{h}"] = float((yes * (np.cumsum(no) - no / 2)).sum() / both) if both else None
+    return out
+
+
+def _added(key: tuple, rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(v.as_buffer()) for v in rows.column("v"))
+    return pa.table({"f": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[-1].as_py()], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
+
+
+def train(
+    rows: DataFrame, design: Design, folds: int = 0, *, steps: int = 40, rate: float = 1e-2, alpha: float = 1.0, beta: float = 0.0, seed: int = 42,
+    start: Weights | None = None, validation: Column | float | None = None, optimizer: str = "adamw", decay: float = 1e-4, schedule: str = "linear", id_col: str = "doc_id",
+) -> Fitted:
     """Networks on ``features`` (array of doubles), ``t`` and ``y``; with ``folds``, one for each value of
-    ``cv_fold`` from 1, trained on the rows of the others. The best weights by training loss are kept, as a copy. ``start``: pretrained weights, of which what fits is taken over."""
+    ``cv_fold`` from 1, trained on the rows of the others.
+
+    ``validation`` marks rows that no network learns from (a share: drawn by id); the weights kept are those of the least
+    validation loss, or training loss where no row validates. ``start``: pretrained weights, of which what fits is taken over.
+    ``beta`` weighs the targeted term. The log has a row for each fold and epoch.
+    """
+    if optimizer not in ("adamw", "adam"):
+        raise ValueError(f"unknown optimizer {optimizer!r}")
     wanted = list(range(1, folds + 1)) if folds else [0]
     weights = {f: transferred(start, design, seed + f) if start else nets.initial(design, seed + f) for f in wanted}
-    optimisers = {f: AdamW(rate, steps=steps) for f in wanted}
+    optimisers = {f: AdamW(rate, decay if optimizer == "adamw" else 0.0, steps, falls=schedule == "linear") for f in wanted}
     best: dict[int, tuple[float, Weights]] = {}
     log = []
     spark = rows.sparkSession
     fold = F.col("cv_fold").cast("int") if folds else F.lit(-1)
-    data = rows.select("features", F.col("t").cast("double"), F.col("y").cast("double"), fold.alias("fold")).persist()
+    if isinstance(validation, float):
+        validation = rng.uniform(seed, "validation", id_col) < validation if validation else None
+    held_in = F.lit(False) if validation is None else F.coalesce(validation, F.lit(False))
+    data = rows.select("features", F.col("t").cast("double"), F.col("y").cast("double"), fold.alias("fold"), held_in.alias("val")).persist(StorageLevel.MEMORY_AND_DISK)
+    merged = math.ceil(data.rdd.getNumPartitions() ** 0.5)
+    marks = 4 + len(HEADS) * 2 * BINS
     for step in range(steps):
-        held = spark.sparkContext.broadcast(weights)
+        held = spark.sparkContext.broadcast(weights)  # the networks' size
 
         def sums(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
             for b in batches:
-                x, t, y, own = _matrix(b.column("features")), *(b.column(c).to_numpy() for c in ("t", "y", "fold"))
+                x, t, y, own, val = _matrix(b.column("features")), *(b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "y", "fold", "val"))
                 for f in wanted:
-                    use = own != f
+                    use, check = (own != f) & ~val, (own != f) & val
+                    found = [np.zeros(marks), np.zeros(marks), np.zeros(2 * len(nets.flat(held.value[f])))]
                     if use.any():
-                        grads, losses = nets.gradients(design, held.value[f], x[use], t[use], y[use], alpha)
-                        total[f] = total.get(f, 0) + np.concatenate([losses, nets.flat(grads)])
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["f", "v"])
-
-        # a weight's gradients are added up by fold and position; the driver gets one network's size for each fold
-        parts = data.mapInArrow(sums, "f int, v array<double>").select("f", F.posexplode("v").alias("i", "x")).groupBy("f", "i").agg(F.sum("x").alias("x"))
-        lists = parts.groupBy("f").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v")).collect()
-        for r in lists:
-            v = np.array(r.v)
-            n, outcome, treatment = v[:3]
-            loss = outcome / n + alpha * treatment / n
-            log.append({"fold": r.f, "epoch": step + 1, "train_loss": float(loss), "outcome_loss": float(outcome / n), "treatment_loss": float(treatment / n)})
-            if r.f not in best or loss < best[r.f][0]:
-                best[r.f] = (loss, {k: w.copy() for k, w in weights[r.f].items()})
-            optimisers[r.f].step(weights[r.f], nets.unflat(v[3:] / n, weights[r.f]))
+                        grads, moment, lost, out = nets.gradients(design, held.value[f], x[use], t[use], y[use], alpha, beta)
+                        own_grads = nets.flat(grads)
+                        found[0] = np.concatenate([lost, _counts(design, out, t[use], y[use])])
+                        found[2] = np.concatenate([own_grads, nets.flat(moment) if moment else np.zeros(len(own_grads))])
+                    if check.any():
+                        out = nets.forward(design, held.value[f], x[check])
+                        found[1] = np.concatenate([nets.losses(design, out, t[check], y[check]), _counts(design, out, t[check], y[check])])
+                    total[f] = total.get(f, 0) + np.concatenate(found)
+            part = TaskContext.get().partitionId() % merged
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([part] * len(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["f", "part", "v"])
+
+        # sums of tasks meet in two rounds of about the square root of their number; the driver gets one network's size for each fold
+        parts = data.mapInArrow(sums, "f int, part int, v binary")
+        if merged > 2:
+            parts = parts.groupBy("f", "part").applyInArrow(_added, "f int, part int, v binary")
+        for r in parts.groupBy("f").applyInArrow(_added, "f int, part int, v binary").collect():
+            v = np.frombuffer(r.v)
+            trained, checked, g = v[:marks], v[marks : 2 * marks], v[2 * marks :]
+            n = trained[0]
+            if not n:
+                continue
+            loss = nets.total_loss(design, trained, alpha, beta)
+            val_loss = nets.total_loss(design, checked, alpha, beta) if checked[0] else None
+            entry = {"fold": r.f, "epoch": step + 1, "train_loss": loss, "outcome_loss": float(trained[1] / n), "treatment_loss": float(trained[2] / n), "targeted_loss": float((trained[3] / n) ** 2 if design.kind != "arms" else trained[3] / n)}
+            log.append(entry | _aurocs(trained[4:], "train") | {"val_loss": val_loss} | _aurocs(checked[4:], "val"))
+            judged = loss if val_loss is None else val_loss
+            if r.f not in best or judged < best[r.f][0]:
+                best[r.f] = (judged, {k: w.copy() for k, w in weights[r.f].items()})
+            own, moment = np.split(g / n, 2)
+            step_by = own if design.kind == "arms" else own + 2 * beta * trained[3] / n * moment
+            optimisers[r.f].step(weights[r.f], nets.unflat(step_by, weights[r.f]))
         held.destroy()
     data.unpersist()
-    return Fitted(design, {f: best[f][1] if f in best else weights[f] for f in wanted}, log)
+    return Fitted(design, {f: best[f][1] if f in best else weights[f] for f in wanted}, sorted(log, key=lambda x: (x["fold"], x["epoch"])))
+
+
+#: Columns of the training log.
+LOG_SCHEMA = "fold int, epoch int, train_loss double, outcome_loss double, treatment_loss double, targeted_loss double, " + ", ".join([*(f"train_auroc_{h} double" for h in HEADS), "val_loss double", *(f"val_auroc_{h} double" for h in HEADS)])
+
 
+def log_table(fitted: Fitted, spark) -> DataFrame:
+    names = [x.split()[0] for x in LOG_SCHEMA.split(", ")]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in fitted.log], LOG_SCHEMA)
 
-def predict(rows: DataFrame, fitted: Fitted) -> DataFrame:
-    """``rows`` with logits, probabilities and the effect; each row by the network that did not see its fold."""
+
+def predict(rows: DataFrame, fitted: Fitted, phi: bool = False) -> DataFrame:
+    """``rows`` with logits, probabilities and the effect; each row by the network that did not see its fold.
+
+    ``phi``: with the trunk's representation too, as an array.
+    """
     held = rows.sparkSession.sparkContext.broadcast(fitted)
     by_fold = 0 not in fitted.weights
     arms = fitted.design.kind == "arms"
     names = ["propensity_logits array<double>", "outcome_logits array<double>"] if arms else ["y0_logit double", "y1_logit double", "ite_logit double", "propensity_logit double"]
+    names += ["phi array<double>"] * phi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -89,7 +168,8 @@ def predict(rows: DataFrame, fitted: Fitted) -> DataFrame:
                 for k, v in nets.forward(model.design, model.weights[int(f)], x[fold == f]).items():
                     out.setdefault(k, np.zeros((b.num_rows, *v.shape[1:])))[fold == f] = v
             if b.num_rows:
-                cols = [out["propensity"], out["outcome"]] if arms else [out["y0"], out["y1"], out["y1"] - out["y0"], out["propensity"]]
+                cols = [out["propensity"], out["outcome"]] if arms else [out["y0"], out["y1"], out["tau"], out["propensity"]]
+                cols += [out["phi"]] * phi
                 made = [pa.array(c.tolist()) for c in cols]
                 yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns - 1)] + made, names=b.schema.names[:-1] + [n.split()[0] for n in names])
 
@@ -109,11 +189,63 @@ def weight_table(fitted: Fitted, spark) -> DataFrame:
     return spark.createDataFrame(rows, "fold int, layer string, shape array<int>, data array<double>")
 
 
-def from_weight_table(table: DataFrame, design: Design) -> Fitted:
+def save_network(fitted: Fitted, path: str, spark, bank: DataFrame | None = None, **meta) -> str:
+    """A checkpoint in the folder ``path``: ``weights``, ``bank`` if given, and ``meta`` (the design and what else is named)."""
+    S.write_table(weight_table(fitted, spark), f"{path}/weights")
+    if bank is not None:
+        S.write_table(bank, f"{path}/bank")
+    S.write_json({"design": dataclasses.asdict(fitted.design), "has_bank": bank is not None, **meta}, f"{path}/meta", spark)
+    return path
+
+
+@dataclass
+class Network:
+    """A checkpoint that was read: the fitted networks, the bank (None without) and what else was named."""
+
+    fitted: Fitted
+    bank: DataFrame | None
+    meta: dict
+
+
+def load_network(path: str, spark) -> Network:
+    meta = S.read_json(f"{path}/meta", spark)
+    design = Design(**{k: tuple(v) if isinstance(v, list) else v for k, v in meta["design"].items()})
     weights: dict[int, Weights] = {}
-    for r in table.collect():  # a network's size, whatever the data
+    for r in spark.read.parquet(f"{path}/weights").collect():  # a network's size, whatever the data
         weights.setdefault(r.fold, {})[r.layer] = np.array(r.data).reshape(r.shape)
-    return Fitted(design, weights, [])
+    return Network(Fitted(design, weights, []), spark.read.parquet(f"{path}/bank") if meta["has_bank"] else None, meta)
+
+
+def extractor_config(network: Network) -> dict:
+    """What a checkpoint's features are: vectors' width, confounders, features of each, pooling mode, outputs."""
+    mode = network.meta.get("aggregator_mode", "attn")
+    dim, latent, explicit, heads = None, 0, network.meta.get("num_explicit_confounders", 0), 1
+    if network.bank is not None:
+        every, heads, dim = network.bank.agg(F.count_distinct("conf_idx"), F.count_distinct("head"), F.max(F.size("vec"))).first()
+        latent = every - explicit
+    each = 2 if mode == "stats" else 1
+    return {
+        "embedding_dim": dim, "num_latent_confounders": latent, "num_explicit_confounders": explicit, "features_per_confounder": heads, "aggregator_mode": mode,
+        "num_total_confounders": latent + explicit, "aggregator_features_per_conf": each, "total_output_dim": (latent + explicit) * heads * each,
+    }
+
+
+def compatibility(network: Network, confounders: int, features_per_confounder: int = 1, embedding_dim: int | None = None) -> dict:
+    """Whether and how a checkpoint serves ``confounders`` of ``features_per_confounder`` features."""
+    have = extractor_config(network)
+    want = confounders * features_per_confounder * have["aggregator_features_per_conf"]
+    strategy = transfer_strategy(have["total_output_dim"], want, have["embedding_dim"], embedding_dim)
+    return {
+        "compatible": not strategy.startswith("incompatible"), "pretrained_confounders": have["num_total_confounders"], "target_confounders": confounders,
+        "load_strategy": strategy, "requires_adjustment": strategy != "direct", "phantom_features_needed": max(0, have["total_output_dim"] - want),
+    }
+
+
+def transferred_bank(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` (conf_idx, head, vec) with the vectors of ``old`` where both have one of the same width; what ``old`` has beyond is left."""
+    was = old.select("conf_idx", "head", F.col("vec").alias("_old"))
+    joined = new.join(F.broadcast(was), ["conf_idx", "head"], "left")  # banks are bounded by pooling.MOST_BANK
+    return joined.select("conf_idx", "head", F.when(F.size("_old") == F.size("vec"), F.col("_old")).otherwise(F.col("vec")).alias("vec"))
 
 
 def transfer_strategy(have_inputs: int, want_inputs: int, have_dim: int | None = None, want_dim: int | None = None) -> str:

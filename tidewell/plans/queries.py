@@ -153,10 +153,16 @@ def strip_and_ask(spark, d):
     return rows.select("conv_id", "turn", F.md5(X.strip_reasoning("text", " the ")).alias("answer_md5"), F.length(X.ask_for_json("text")).cast("long").alias("asked"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$') IS NOT NULL AS parsed FROM events WHERE json_valid(props)")
+@query("SELECT event_id, CASE WHEN json_valid(props) THEN props END AS found FROM events")
 def embedded_json(spark, d):
     wrapped = F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```"))
-    return read(spark, d, "events").select("event_id", X.embedded_json(wrapped).isNotNull().alias("parsed")).where("parsed")
+    return read(spark, d, "events").select("event_id", X.embedded_json(wrapped).alias("found"))
+
+
+@query("SELECT event_id, CASE WHEN json_valid(props) THEN '{\"k\": ' || json_extract_string(props, '$.k') || '}' END AS found FROM events")
+def final_json(spark, d):
+    wrapped = F.concat(F.lit('First {\"draft\": {\"k\": -1}} but {not json} then '), "props", F.lit(" and so on"))
+    return read(spark, d, "events").select("event_id", X.final_json(wrapped).alias("found"))
 
 
 @query(f"SELECT count(*) AS n, {s6('avg(length(text))', 'mean_length')}, count(*) FILTER (WHERE length(text) > 0) AS non_empty FROM documents")
@@ -231,9 +237,45 @@ def document_features_attn(spark, d):
     return document_features(spark, d).select("doc_id", "feat_idx", r6(F.col("value"), "value", 5))
 
 
-@query(f"WITH {MATCHES} SELECT conf_idx, row_number() OVER w AS rank, {s6('s', 'activation')}, doc_id, pos FROM m WINDOW w AS (PARTITION BY conf_idx ORDER BY s DESC, doc_id, pos) QUALIFY rank <= 10")
+@query(
+    f"""WITH {MATCHES}, k AS (SELECT conf_idx, row_number() OVER w AS rank, s, doc_id, pos FROM m WINDOW w AS (PARTITION BY conf_idx ORDER BY s DESC, doc_id, pos) QUALIFY rank <= 10)
+    SELECT conf_idx, CASE WHEN conf_idx < 3 THEN 'explicit' ELSE 'latent' END AS confounder_type, rank, {s6('s', 'activation')}, k.doc_id, pos, left(text, 40) AS chunk_text FROM k LEFT JOIN documents d ON d.doc_id = k.doc_id"""
+)
 def interpret_top_chunks(spark, d):
-    return M.top_chunks(matches(spark, d)).select("conf_idx", "rank", r6(F.col("activation"), "activation"), "doc_id", "pos")
+    texts = read(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("chunk"))  # made-up documents' texts stand for chunks'
+    top = M.top_chunks(matches(spark, d).join(texts, "doc_id", "left"), explicit=3)
+    return top.select("conf_idx", "confounder_type", "rank", r6(F.col("activation"), "activation"), "doc_id", "pos", "chunk_text")
+
+
+@query(f"WITH {MATCHES} SELECT doc_id, conf_idx AS feat_idx, conf_idx // 2 AS confounder, conf_idx % 2 AS head, {s6('max(s)', 'value')} FROM m GROUP BY ALL")
+def pool_two_heads(spark, d):
+    """The bank's vectors as two heads of half as many confounders."""
+    heads = bank(spark, d).select(F.floor(F.col("conf_idx") / 2).cast("int").alias("conf_idx"), (F.col("conf_idx") % 2).cast("int").alias("head"), "vec")
+    out = P.pool(P.match(vectors(spark, d), heads), "max")
+    return out.select("doc_id", "feat_idx", F.floor(F.col("feat_idx") / 2).alias("confounder"), (F.col("feat_idx") % 2).alias("head"), r6(F.col("value"), "value"))
+
+
+@query(f"WITH {VECTORS} SELECT doc_id, pos, 70 AS n, {s6('list_sum(e)', 'total')}, 0.0e0 AS last FROM v")
+def padded_features(spark, d):
+    p = V.padded("emb", 64, 70)
+    return vectors(spark, d).select("doc_id", "pos", F.size(p).alias("n"), r6(F.aggregate(p, F.lit(0.0), lambda s, x: s + x), "total"), F.element_at(p, 70).alias("last"))
+
+
+@query(f"WITH {BANK} SELECT n.vec_id AS conf_idx, {s6('coalesce(b.vec, n.embedding::DOUBLE[])[1]', 'first')}, b.vec IS NOT NULL AS taken FROM (SELECT * FROM embeddings WHERE vec_id < 30) n LEFT JOIN bank b ON b.conf_idx = n.vec_id")
+def transferred_bank(spark, d):
+    """A pretrained bank carried into a longer one."""
+    new = read(spark, d, "embeddings").where("vec_id < 30").select(F.col("vec_id").alias("conf_idx"), F.lit(0).alias("head"), V.doubles("embedding").alias("vec"))
+    old = bank(spark, d)
+    out = estimate.transferred_bank(old, new).join(old.select("conf_idx", F.lit(True).alias("_t")), "conf_idx", "left")
+    return out.select("conf_idx", r6(F.element_at("vec", 1), "first"), F.coalesce("_t", F.lit(False)).alias("taken"))
+
+
+@query("SELECT doc_id, length(text) AS length, doc_id % 2 = 0 AS held FROM documents")
+def cached_lengths(spark, d):
+    """Half of the results come from a cache, the others are computed."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    make = lambda rows, held: rows.select("doc_id", F.length("text").cast("long").alias("length"), F.lit(held).alias("held"))
+    return T.cached(docs, make(docs.where("doc_id % 2 = 0"), True), lambda rows: make(rows, False), "doc_id")[0]
 
 
 FEATURES = MATCHES + ", f AS (SELECT doc_id, conf_idx AS feat_idx, sum(exp(s) * s) / sum(exp(s)) AS value FROM m GROUP BY ALL)"
@@ -249,14 +291,14 @@ def feature_stats(spark, d):
     return s.select("confounder_idx", "sub_feature_idx", *[r6(F.col(c), c) for c in ("mean", "std", "min", "max", "range")])
 
 
-@query(f"WITH {FEATURES}, g AS (SELECT feat_idx, avg(value) AS a, stddev_pop(value) AS b, max(value) - min(value) AS c FROM f GROUP BY 1) SELECT feat_idx // 2 AS confounder_idx, {s6('avg(a)', 'mean')}, {s6('avg(b)', 'std')}, {s6('avg(c)', 'range')} FROM g GROUP BY 1")
+@query(f"WITH {FEATURES}, g AS (SELECT feat_idx, avg(value) AS a, stddev_pop(value) AS b, max(value) - min(value) AS c FROM f GROUP BY 1) SELECT feat_idx // 2 AS confounder_idx, {s6('avg(a)', 'mean')}, {s6('avg(b)', 'std')}, {s6('avg(c)', 'range')}, CASE WHEN feat_idx // 2 = 0 THEN 'age' WHEN feat_idx // 2 = 1 THEN 'stage' ELSE 'latent_' || (feat_idx // 2 - 2) END AS confounder_name FROM g GROUP BY ALL")
 def confounder_summary(spark, d):
-    return M.confounder_summary(M.feature_stats(features(spark, d), heads=2)).select("confounder_idx", *[r6(F.col(c), c) for c in ("mean", "std", "range")])
+    return M.confounder_summary(M.feature_stats(features(spark, d), heads=2), ["age", "stage"]).select("confounder_idx", "confounder_name", *[r6(F.col(c), c) for c in ("mean", "std", "range")])
 
 
-@query(f"WITH {FEATURES} SELECT a.feat_idx AS feature_i, b.feat_idx AS feature_j, {s6('corr(a.value, b.value)', 'correlation', 5)} FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.feat_idx < b.feat_idx GROUP BY ALL HAVING abs(corr(a.value, b.value)) > 0.1")
+@query(f"WITH {FEATURES} SELECT a.feat_idx AS feature_i, b.feat_idx AS feature_j, {s6('corr(a.value, b.value)', 'correlation', 5)}, {s6('avg(a.value)', 'mean_i')}, {s6('avg(b.value)', 'mean_j')}, {s6('stddev_pop(a.value)', 'std_i', 5)}, {s6('stddev_pop(b.value)', 'std_j', 5)} FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.feat_idx < b.feat_idx GROUP BY ALL HAVING abs(corr(a.value, b.value)) > 0.1")
 def feature_correlations(spark, d):
-    return M.correlations(features(spark, d), 0.1).select("feature_i", "feature_j", r6(F.col("correlation"), "correlation", 5))
+    return M.correlations(features(spark, d), 0.1).select("feature_i", "feature_j", r6(F.col("correlation"), "correlation", 5), *[r6(F.col(c), c, 6 if c[0] == "m" else 5) for c in ("mean_i", "mean_j", "std_i", "std_j")])
 
 
 @query(f"WITH {BANK}, z AS (SELECT a.conf_idx AS latent_idx, {COS.format('a.vec', 'b.e')} AS c FROM bank a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON b.vec_id = a.conf_idx) SELECT latent_idx, {s6('c', 'cosine_similarity')}, {s6('1 - c', 'drift')}, c < 0.95 AS drifted FROM z")
@@ -266,6 +308,13 @@ def latent_drift(spark, d):
     return out.select("latent_idx", r6(F.col("cosine_similarity"), "cosine_similarity"), r6(F.col("drift"), "drift"), (F.col("cosine_similarity") < 0.95).alias("drifted"))
 
 
+@query(f"WITH {BANK}, z AS (SELECT {COS.format('a.vec', 'b.e')} AS c FROM bank a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON b.vec_id = a.conf_idx) SELECT {s6('avg(c)', 'mean')}, {s6('min(c)', 'min')}, {s6('max(c)', 'max')}, count(*) FILTER (WHERE c < 0.95) AS n_drifted FROM z")
+def drift_summary(spark, d):
+    last = read(spark, d, "embeddings").select(F.col("vec_id").alias("latent_idx"), F.col("embedding").alias("vec"))
+    out = M.drift_summary(M.latent_drift(bank(spark, d).withColumnRenamed("conf_idx", "latent_idx"), last))
+    return out.select(*[r6(F.col(c), c) for c in ("mean", "min", "max")], "n_drifted")
+
+
 # --- metrics, losses, splits ------------------------------------------------------
 
 
@@ -333,6 +382,11 @@ def hash_splits(spark, d):
     return T.folds(T.split_rows(read(spark, d, "documents").select("doc_id"), 0.8, 3), 5)
 
 
+@query(f"SELECT doc_id, {U(42, 'validation', 'doc_id')} < 0.1 AS validates FROM documents")
+def inner_validation(spark, d):
+    return read(spark, d, "documents").select("doc_id", (rng.uniform(42, "validation", "doc_id") < 0.1).alias("validates"))
+
+
 @query(f"SELECT c_custkey, {s6(N(5, 'n', 'c_custkey', 1.0, 2.0), 'normal')}, ({U(5, 'b', 'c_custkey')} < 0.3)::INT AS flag, CASE WHEN {U(5, 'c', 'c_custkey')} < 0.5 THEN 'a' WHEN {U(5, 'c', 'c_custkey')} < 0.75 THEN 'b' ELSE 'c' END AS level FROM customer")
 def keyed_draws(spark, d):
     return read(spark, d, "customer").select("c_custkey", r6(rng.normal(5, "n", "c_custkey", 1.0, 2.0), "normal"), rng.bernoulli(0.3, 5, "b", "c_custkey").alias("flag"), rng.categorical(["a", "b", "c"], [2.0, 1.0, 1.0], 5, "c", "c_custkey").alias("level"))
@@ -385,14 +439,51 @@ def plasmode_uplift_linear(spark, d):
     return _plasmode(spark, d, Scenario("uplift_nonlinear"))
 
 
-@query()
+def _layered_sql(scenario: Scenario) -> str:
+    """One layer a CTE: every layer's list is named before the next one reads it."""
+    deep = scenario.generation_mode == "deep_nonlinear"
+    runs = {"n0": "e || [0.0::DOUBLE]", "n1": "e || [1.0::DOUBLE]"} if deep else {"n0": "e"}
+    layers = plasmode._layers(2 if deep else 3, [65 if deep else 64, *(scenario.deep_nonlinear_hidden_dims if deep else scenario.uplift_hidden_dims), 1])
+    ctes = [f"l0 AS (SELECT vec_id, label, e, {', '.join(f'{x} AS {n}' for n, x in runs.items())} FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings))"]
+    for i, w in enumerate(layers):
+        units = lambda n, w=w: [f"list_dot_product({n}, {w[:, j].tolist()!r}::DOUBLE[])" for j in range(w.shape[1])]
+        last = i == len(layers) - 1
+        made = ", ".join(f"{units(n)[0]} AS {n}" if last else f"[{', '.join(f'greatest({u}, 0.0)' for u in units(n))}] AS {n}" for n in runs)
+        ctes.append(f"l{i + 1} AS (SELECT vec_id, label, e, {made} FROM l{i})")
+    z = lambda c: f"(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ())"
+    base = math.log(0.2 / 0.8)
+    y, tau = (z("n0"), z("(n1 - n0)")) if deep else (f"list_dot_product(e, {plasmode.direction(0, 64)!r}::DOUBLE[])", z("n0"))
+    t = "(label % 2)::DOUBLE" if scenario.preserve_observed_treatments else f"({U(0, 'treatment', 'vec_id')} < 0.5)::DOUBLE"
+    return f"""WITH {", ".join(ctes)},
+    b AS (SELECT vec_id AS doc_id, {t} AS t, {base!r} + {y} AS y0, 0.5 + {tau} AS ite FROM l{len(layers)})
+    SELECT doc_id, t, {s6("y0", "true_y0_logit")}, {s6("y0 + ite", "true_y1_logit")}, {s6("ite", "true_ite")}, ({U(0, "outcome", "doc_id")} < {SIG("y0 + ite * t")})::DOUBLE AS y FROM b"""
+
+
+DEEP = Scenario("deep_nonlinear", preserve_observed_treatments=False, deep_nonlinear_hidden_dims=(8, 4))
+UPLIFT = Scenario("uplift_nonlinear", uplift_hidden_dims=(6,))
+
+
+@query(_layered_sql(DEEP))
 def plasmode_deep_nonlinear(spark, d):
-    return _plasmode(spark, d, Scenario("deep_nonlinear", preserve_observed_treatments=False, deep_nonlinear_hidden_dims=(8, 4)))
+    return _plasmode(spark, d, DEEP)
+
 
+@query(_layered_sql(UPLIFT))
+def plasmode_uplift_hidden(spark, d):
+    return _plasmode(spark, d, UPLIFT)
 
-def _scm_sql() -> str:
-    m = scm.default_model()
-    columns, terms, below = [], {}, 0.0
+
+#: A model as a user's file states it.
+SPEC = {
+    "confounders": [{"name": "age", "type": "continuous", "unit": "years"}, {"name": "ward", "type": "categorical", "categories": ["a", "b", "c"]}, {"name": "score", "type": "continuous"}],
+    "treatment_equation": {"intercept": 0.2, "coefficients": {"age": 1.5, "ward_b": -1.0}, "interactions": [{"terms": ["age", "score"], "coefficient": 2.0}]},
+    "outcome_equation": {"intercept": -1.0, "coefficients": {"age": 1.0, "ward_c": 2.0, "score": -0.5}},
+    "summary_statistics": {"age": {"mean": 60.0, "std": 10.0}, "ward": {"proportions": {"a": 0.5, "b": 0.3, "c": 0.2}}},
+}
+
+
+def _scm_sql(m: scm.Model) -> str:
+    columns, terms, below = [], {}, 0.0  # the same draws as the columns of plans.scm
     for v in m.variables:
         if v.type == "continuous":
             columns.append(f"{N(m.seed, v.name, 'c_custkey', v.mean, v.std)} AS {v.name}")
@@ -414,7 +505,7 @@ def _scm_sql() -> str:
     return f"""WITH a AS (SELECT c_custkey, {", ".join(columns)} FROM customer),
     b AS (SELECT *, {logit(m.treatment, None)} AS tl, {logit(m.outcome, 0)} AS l0, {logit(m.outcome, 1)} AS l1 FROM a),
     c AS (SELECT *, ({U(m.seed, "treatment", "c_custkey")} < {SIG("tl")})::INT AS treatment_indicator FROM b)
-    SELECT c_custkey AS patient_id, sex, site, {s6("age", "age")}, {s6("marker", "marker")}, {s6("tl", "true_treatment_logit")}, {s6("l0", "outcome_logit_0")}, {s6("l1", "outcome_logit_1")}, {s6("l1 - l0", "true_ite")},
+    SELECT c_custkey AS patient_id, {", ".join(s6(v.name, v.name) if v.type == "continuous" else v.name for v in m.variables)}, {s6("tl", "true_treatment_logit")}, {s6("l0", "outcome_logit_0")}, {s6("l1", "outcome_logit_1")}, {s6("l1 - l0", "true_ite")},
            treatment_indicator, ({U(m.seed, "outcome", "c_custkey")} < {SIG("CASE WHEN treatment_indicator = 1 THEN l1 ELSE l0 END")})::INT AS outcome_indicator FROM c"""
 
 
@@ -422,10 +513,20 @@ def _patients(spark, d, model=None):
     return scm.patients(read(spark, d, "customer").select(F.col("c_custkey").alias("patient_id")), model or scm.default_model())
 
 
-@query(_scm_sql())
+def _shown(p: DataFrame, model: scm.Model) -> DataFrame:
+    variables = [r6(F.col(v.name), v.name) if v.type == "continuous" else F.col(v.name) for v in model.variables]
+    return p.select("patient_id", *variables, *[r6(F.col(c), c) for c in ("true_treatment_logit", "outcome_logit_0", "outcome_logit_1", "true_ite")], "treatment_indicator", "outcome_indicator")
+
+
+@query(_scm_sql(scm.default_model()))
 def scm_patients(spark, d):
-    p = _patients(spark, d)
-    return p.select("patient_id", "sex", "site", *[r6(F.col(c), c) for c in ("age", "marker", "true_treatment_logit", "outcome_logit_0", "outcome_logit_1", "true_ite")], "treatment_indicator", "outcome_indicator")
+    return _shown(_patients(spark, d), scm.default_model())
+
+
+@query(_scm_sql(scm.model_from_spec(SPEC)))
+def scm_from_spec(spark, d):
+    model = scm.model_from_spec(SPEC)
+    return _shown(_patients(spark, d, model), model)
 
 
 @query()
@@ -445,7 +546,7 @@ def analysis_rows(spark, d) -> DataFrame:
 @query()
 def cross_fitted_effects(spark, d):
     rows = T.folds(analysis_rows(spark, d), 3)
-    fitted = estimate.train(rows, estimate.Design(10, trunk=(16, 16), outcome=(8,)), folds=3, steps=10)
+    fitted = estimate.train(rows, estimate.Design(10, trunk=(16, 16), outcome=(8,)), folds=3, steps=10, beta=0.1, validation=0.1)
     return estimate.predict(rows, fitted).drop("features")
 
 
@@ -465,14 +566,15 @@ def plasmode_recovery(spark, d):
 
 @query()
 def multi_arm_pretraining(spark, d):
-    """A network with an arm for each language, then its trunk in a wider binary design; where each layer stands."""
+    """A network with an arm for each language, then its trunk in a wider binary design that is trained on: the losses of both."""
     arms = T.category_index(read(spark, d, "documents").select("doc_id", "lang"), "lang", "t")
     rows = analysis_rows(spark, d).drop("t").join(arms, "doc_id")
     n = arms.agg(F.max("t")).first()[0] + 1
-    fitted = estimate.train(rows, estimate.Design(10, "arms", trunk=(16, 16), outcome=(8,), arms=int(n)), steps=8)
-    wider = estimate.Design(12, trunk=(16, 16), outcome=(8,))
-    moved = estimate.Fitted(wider, {0: estimate.transferred(fitted.weights[0], wider)}, [])
-    return estimate.weight_table(moved, spark).select("layer", F.size("data").alias("n"), F.array_join("shape", "x").alias("shape"))
+    fitted = estimate.train(rows, estimate.Design(10, "arms", trunk=(16, 16), outcome=(8,), arms=int(n)), steps=8, beta=0.1)
+    wider = analysis_rows(spark, d).withColumn("features", V.padded("features", 10, 12))
+    moved = estimate.train(wider, estimate.Design(12, trunk=(16, 16), outcome=(8,)), steps=4, beta=0.1, validation=0.1, start=fitted.weights[0])
+    logs = [estimate.log_table(f, spark).withColumn("phase", F.lit(p)) for p, f in (("pretraining", fitted), ("transferred", moved))]
+    return logs[0].unionByName(logs[1]).drop("fold")
 
 
 @query()

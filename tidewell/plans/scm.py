@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +80,99 @@ def all_pairs(equation: Equation, names: list[str], coefficient) -> Equation:
     return Equation(equation.intercept, equation.coefficients, [*equation.interactions, *more], equation.treatment, equation.treatment_interactions)
 
 
+#: How far drawn coefficients reach, and what given ones are scaled by.
+MAIN_SCALE, INTERACTION_SCALE = 0.3, 0.1
+
+
+def model_from_spec(spec: dict, treatment_coefficient: float = 1.0, main_scale: float = MAIN_SCALE, interaction_scale: float = INTERACTION_SCALE, seed: int = 42) -> Model:
+    """A model from ``confounders``, ``treatment_equation``, ``outcome_equation`` and ``summary_statistics``, as JSON holds them.
+
+    Given coefficients are scaled down; every term gets an interaction with the treatment, and every pair of terms
+    without one an interaction in the treatment equation, drawn from -1 to 1 times ``interaction_scale``.
+    A variable without statistics has mean 0 and spread 1, a category without shares an equal one.
+    """
+    given = spec.get("summary_statistics", {})
+    variables = []
+    for c in spec["confounders"]:
+        name, kind, known = c.get("name", ""), c.get("type", ""), given.get(c.get("name"), {})
+        shares = known.get("proportions", {})
+        levels = list(c.get("categories", []))
+        variables.append(Variable(name, kind, levels, known.get("mean", 0.0), known.get("std", 1.0), [shares.get(x, 0.0) for x in levels] if sum(shares.get(x, 0.0) for x in levels) > 0 else None, c.get("unit")))
+    if len({v.name for v in variables}) < len(variables):
+        raise ValueError("confounders have unlike names")
+    draws = np.random.default_rng(seed)
+    drawn = lambda _: float(draws.uniform(-1, 1) * interaction_scale)
+
+    def equation(name: str) -> Equation:
+        e = spec.get(name, {})
+        pairs = [(tuple(i["terms"]), i.get("coefficient", 0.0) * interaction_scale) for i in e.get("interactions", [])]
+        return Equation(e.get("intercept", 0.0), {k: v * main_scale for k, v in e.get("coefficients", {}).items()}, pairs)
+
+    treatment, outcome = equation("treatment_equation"), equation("outcome_equation")
+    terms = [t for v in variables for t in ([v.name] if v.type == "continuous" else [f"{v.name}_{c}" for c in v.categories[1:]])]
+    outcome.treatment, outcome.treatment_interactions = treatment_coefficient, {t: drawn(t) for t in terms}
+    return Model(variables, all_pairs(treatment, terms, drawn), outcome, seed)
+
+
+@dataclass
+class GeneratorConfig:
+    """Settings of a synthetic dataset. ``spec``: a JSON file of a model; without it the built-in one serves."""
+
+    question: str = "Does the treatment change the outcome?"
+    dataset_size: int = 500
+    treatment_coefficient: float = 0.5
+    target_treatment_rate: float = 0.5
+    target_control_outcome_rate: float = 0.2
+    main_coefficient_scale: float = MAIN_SCALE
+    interaction_coefficient_scale: float = INTERACTION_SCALE
+    target_logit_std: float = 2.0
+    num_confounders: int | None = None
+    output_dir: str = "./synthetic_output"
+    spec: str | None = None
+    seed: int = 42
+
+    @classmethod
+    def from_json(cls, path: str) -> GeneratorConfig:
+        with open(path, encoding="utf-8") as f:
+            return cls(**json.load(f))
+
+    def to_dict(self) -> dict:
+        return asdict(self)
+
+    def to_json(self, path: str) -> None:
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(self.to_dict(), f, indent=2)
+
+    def validate(self) -> None:
+        wrong = []
+        if self.dataset_size < 1:
+            wrong.append("dataset_size must be at least 1")
+        if not self.question.strip():
+            wrong.append("the question is empty")
+        if self.num_confounders is not None and self.num_confounders < 1:
+            wrong.append("num_confounders must be at least 1")
+        wrong += [f"{n} must lie between 0 and 1" for n in ("target_treatment_rate", "target_control_outcome_rate") if not 0 < getattr(self, n) < 1]
+        if self.target_logit_std <= 0:
+            wrong.append("target_logit_std must be above 0")
+        if wrong:
+            raise ValueError("; ".join(wrong))
+
+    def model(self, provider: Callable[[str, int | None], dict] | None = None) -> Model:
+        """The model: of ``provider``, which makes a spec for a question and a number of confounders, of the file, or built in."""
+        self.validate()
+        if provider is None and self.spec is None:
+            made = default_model()
+            return Model(made.variables, made.treatment, replace(made.outcome, treatment=self.treatment_coefficient), self.seed)
+        if provider is not None:
+            spec = provider(self.question, self.num_confounders)
+        else:
+            with open(self.spec, encoding="utf-8") as f:
+                spec = json.load(f)
+        if self.num_confounders is not None and len(spec["confounders"]) != self.num_confounders:
+            raise ValueError(f"the spec has {len(spec['confounders'])} confounders, not {self.num_confounders}")
+        return model_from_spec(spec, self.treatment_coefficient, self.main_coefficient_scale, self.interaction_coefficient_scale, self.seed)
+
+
 def characteristics(ids: DataFrame, model: Model, id_col: str = "patient_id") -> DataFrame:
     columns = {v.name: rng.normal(model.seed, v.name, id_col, v.mean, v.std) if v.type == "continuous" else rng.categorical(v.categories, v.shares, model.seed, v.name, id_col) for v in model.variables}
     return ids.withColumns(columns)
