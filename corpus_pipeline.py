@@ -19,27 +19,47 @@ from tidewell.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels that are not held out, does not reject."""
+    """Documents that the classifier, fitted on the labels that are not held out, does not reject.
+
+    Edge rows are those of drop_toxic: null and empty texts stay unless the bias is toxic, ids may be null or repeat,
+    repeated rows share a fate, an empty table stays empty, columns of any names are kept.
+    """
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal after lowering A-Z, the row with the largest id."""
+    """Of texts equal after lowering A-Z, the row with the largest id.
+
+    Edge rows are those of drop_exact_copies: null and empty texts are one group, a null id stays only where no
+    row of its group has one, of rows that repeat the staying id one stays, an empty table stays empty.
+    """
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar texts, the row with the smallest id."""
+    """Of each class of similar texts, the row with the smallest id.
+
+    Edge rows are those of drop_near_copies: texts without words stay, null ids count by their text's hash, repeated
+    rows are one, an empty table stays empty.
+    """
     return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Edge rows are those of drop_contaminated: texts of fewer than five words stay, as do all where the benchmark is
+    empty; ids may be null or repeat; repeated rows share a fate.
+    """
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 1024 ids."""
+    """Pieces of documents in sequences of at most 1024 ids.
+
+    Edge rows are those of pack: null and empty texts are one end id, a null id stays null, repeated rows are packed
+    each, an empty table gives none.
+    """
     out = pack(docs, tokenizer_path())
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
