@@ -416,3 +416,181 @@ def test_empty_tables_give_empty_results(spark):
     ):
         assert out.count() == 0
     assert decontam.drop_contaminated(frame(spark, ROWS[:8]), items).count() == 8
+
+
+# --- edges ---------------------------------------------------------------------------------
+
+
+def test_exact_dedup_one_row_of_a_group_and_id(spark):
+    rows = [(1, "a"), (1, "A"), (2, None), (2, ""), (3, "b")]
+    stays = got(exact_dedup.drop_exact_copies(frame(spark, rows)), "doc_id")
+    assert stays == Counter([(1,), (2,), (3,)])
+
+
+def test_near_dedup_one_row_of_a_class_and_id(spark):
+    w = plain.words(random.Random(9), 40)
+    rows = [(5, w), (5, w), (5, w + " more"), (6, w), (7, ""), (7, ""), (7, None), (5, plain.words(random.Random(10), 30))]
+    stays = got(jaccard_join.drop_near_copies(frame(spark, rows)), "doc_id")
+    assert stays == Counter({(5,): 2, (7,): 1})  # a class, and another text with the same id; null and empty are one text here
+
+
+def test_fates_follow_id_and_text(spark):
+    item = plain.words(random.Random(3), 30)
+    rows = [(1, item), (1, "clean text of some more words here"), (None, item), (None, "clean")]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert got(decontam.drop_contaminated(frame(spark, rows), items), "doc_id", "text") == Counter([rows[1], rows[3]])
+
+
+def test_signatures_of_documents_are_their_bins_smallest():
+    rng = np.random.default_rng(4)
+    sets = [np.sort(rng.choice(1 << 48, n, replace=False).astype(np.uint64)) for n in (0, 1, 30, 3000)]
+    bounds, keys = np.concatenate([[0], np.cumsum([len(s) for s in sets])]), np.concatenate(sets)
+    for load in (0.05, 1.0, 10.0):
+        at, bits = decontam.document_signatures(bounds, keys, load)
+        want = [int(min(s[s >> np.uint64(48 - int(b)) == p])) for s, b in zip(sets, bits, strict=True) for p in sorted(set((s >> np.uint64(48 - int(b))).tolist()))]
+        assert keys[at].tolist() == want
+    assert len(decontam.document_signatures(bounds, keys, 10.0)[0]) < len(keys) / 4  # long items look few shingles up
+
+
+def test_forest_stretches_join(spark, monkeypatch):
+    """Nodes that the ranges of many small tasks cut apart have one hub."""
+    rng = random.Random(6)
+    w = plain.words(rng, 200).split()
+    rows = [(i, " ".join([*w[:k], f"x{i}", *w[k + 1 :]])) for i, k in enumerate(rng.choices(range(200), k=60))]
+    want = plain.near_classes(rows)
+    for walk in (500_000, 40):
+        monkeypatch.setattr(jaccard_join, "WALK", walk)
+        out = jaccard_join.jaccard_join(frame(spark, rows))
+        assert {r[0]: tuple(r[1:]) for r in out.select("doc_id", "class_id", "text_id", "n_copies", "n_links", "n_text_links").collect()} == want
+
+
+def test_depths_follow_the_least_similarity_of_a_size():
+    for n in (1, 4, 5, 6, 10, 50, 200):
+        pairs = [s / (n + m - s) for m in range(1, 2 * n) for s in range(min(n, m) + 1) if not (n == m == s) and s / (n + m - s) >= 0.8 - 1e-12]
+        assert jaccard_join.least_similarity(n, 0.8) == pytest.approx(min(pairs, default=1.0))
+    d = jaccard_join.own_depths(np.array([1, 6, 5000]), 0.8, jaccard_join.RECALL)
+    assert d[0] == jaccard_join.LONGEST and d[2] == jaccard_join.prefix_length() and d[1] >= d[2]
+
+
+def test_decoder_finds_the_best_reading():
+    """Against all readings of a lattice."""
+    from itertools import product
+
+    text = "the cat sat on a mat and the dog ate it " * 50
+    counts = deobfuscate.trigram_counts(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    decoder = deobfuscate.Decoder(counts)
+    logp = decoder.logp
+
+    def value(path):
+        a = b = 0
+        total, chars = 0.0, ""
+        for symbol, char, cost in path:
+            total -= cost
+            if not (symbol < 0 or (symbol == 0 and b == 0)):
+                total += logp[a][b][symbol]
+                a, b, chars = b, symbol, chars + char
+        return total + (logp[a][b][0] if b else 0), chars
+
+    for span in ("c4t", "d.0.g", "m@tt", "s*t", "7h3", "f**k", "a-t e"):
+        best = max(value(p)[0] for p in product(*decoder.options(span)))
+        readings = {value(p)[1] for p in product(*decoder.options(span)) if value(p)[0] > best - 1e-9}
+        assert decoder.restore(span) in readings, span
+
+
+def test_marks_side_by_side_are_spans():
+    line = b"so a$$ and sh!+ and f**k but hello!! stays and idio+ too"
+    _, starts, ends = deobfuscate.suspicious_spans(np.frombuffer(line, np.uint8), np.array([0, len(line)]))
+    assert [line[a:b] for a, b in zip(starts, ends, strict=True)] == [b"a$$", b"sh!+", b"f**k", b"idio+"]
+    assert deobfuscate.Decoder(np.ones(28**3, np.int64)).restore_long("1" * 500)
+
+
+def test_equal_texts_with_unlike_labels(spark):
+    docs = spark.createDataFrame([(i, "same text" if i < 9 else f"other {i}") for i in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(12)], "doc_id long, toxic int")
+    rows = {r.text: r.label for n in (1, 5) for r in toxicity._training_rows(docs.repartition(n), labels, 10**9).collect()}
+    assert rows["same text"] == 0
+
+
+def test_samples_keep_their_share_at_any_size(spark):
+    n = spark.range(20_000).where(shared.in_share("id", 5 * 10**4, 10**5)).count()
+    assert abs(n - 10_000) < 400
+    tiny = shared.in_share("id", 40_000, 10**14)
+    assert "3602879" in str(tiny._jc.toString())  # 2**53 * 4e-10: not rounded to nothing
+
+
+def test_language_sums_of_hot_names(spark, monkeypatch):
+    docs = shared.table(spark, "/root/testdata/sf0.001", "documents")
+    pages = shared.table(spark, "/root/testdata/sf0.001", "pages")
+    pages = pages.withColumn("url", F.when(F.col("page_id") % 3 == 0, "http://hot.example.org/x").otherwise(F.col("url")))
+    cols = ("page_id", "lang", F.round("probability", 9))
+    a = got(langid.identify(pages, docs), *cols)
+    monkeypatch.setattr(langid, "BROADCAST_NUMBERS", 0)
+    monkeypatch.setattr(langid, "HOT", 7)
+    assert got(langid.identify(pages, docs), *cols) == a
+
+
+def test_host_and_markup_change_the_answer(spark):
+    """Against Bayes' rule by hand: short texts that two languages share go the way of their host and markup."""
+    docs = spark.createDataFrame([(i, "aaa bbb ccc ddd", "xx") for i in range(40)] + [(100 + i, "aaa bbb ccc eee", "yy") for i in range(40)], "doc_id long, text string, lang string")
+    pages = [(i, "http://h1.com/a", "<p>ddd ddd ddd") for i in range(30)] + [(50 + i, "http://h2.net/a", "<p>eee eee eee") for i in range(30)]
+    pages += [(100, "http://h1.com/b", "<p>aaa"), (101, "http://h2.net/b", "<p>aaa"), (102, "http://new.org/b", "<html lang='yy'><p>aaa"), (103, "http://new.org/c", "<html lang='xx'><p>aaa")]
+    out = {r.page_id: r for r in langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()}
+    assert [out[i].lang for i in (100, 101, 102, 103)] == ["xx", "yy", "yy", "xx"]
+    languages, models = langid.fit_models(docs)
+    seen = langid.page_evidence(spark.createDataFrame(pages, "page_id long, url string, html string"), models).collect()
+    soft = {r.page_id: np.exp(np.array(r.text_logs) - max(r.text_logs)) for r in seen}
+    soft = {i: p / p.sum() for i, p in soft.items()}
+    overall = sum(soft.values()) + 1
+    prior = overall / overall.sum()
+    for level in ("suffix", "domain", "host"):
+        own = {r.page_id: r[level] for r in seen}
+        others = sum((p for i, p in soft.items() if own[i] == own[100] and i != 100), np.zeros(2))
+        prior = (others + langid.LEAN * prior) / (others + langid.LEAN * prior).sum()
+    logs = next(np.array(r.text_logs) for r in seen if r.page_id == 100) + np.log(prior)
+    share = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+    assert out[100].probability == pytest.approx(share.max(), rel=1e-9) and languages[int(share.argmax())] == "xx"
+
+
+def test_long_texts_pass_the_piece_limit(spark):
+    rng = random.Random(12)
+    long = plain.words(rng, 420_000)  # above 2 MB
+    passage = plain.words(rng, 90)
+    rows = [(1, f"{long} {passage}"), (2, f"{passage} tail"), (3, f"{long} {passage}"), (4, "short")]
+    assert len(rows[0][1]) > 2_000_000
+    df = frame(spark, rows)
+    repeats = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(df).collect()}
+    assert repeats == {1: 0, 2: 90, 3: 420_090, 4: 0}
+    gone = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeated_bytes(df).collect()}
+    assert gone[1] == gone[3] == len(rows[0][1]) and gone[2] == len(passage.encode()) + (passage[-1:] == " ")
+    assert {r.doc_id: r.n_copies for r in jaccard_join.jaccard_join(df).collect()} == {1: 2, 2: 1, 3: 2, 4: 1}
+    assert got(decontam.contained_items(df, spark.createDataFrame([(9, passage)], "item_id long, text string")), "doc_id") == Counter([(1,), (2,), (3,)])
+
+
+def test_other_tokenizer_files_encode_whole_texts(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from tidewell.llm.tokens import Encoder
+
+    made = Tokenizer(models.WordLevel({"a": 1, "b": 2, "?": 3}, unk_token="?"))
+    made.pre_tokenizer = pre_tokenizers.Whitespace()
+    made.save(f"{tmp_path}/t.json")
+    import pyarrow as pa
+
+    assert not Encoder(f"{tmp_path}/t.json").parted and Encoder(queries.tokenizer_path()).parted
+    assert [x.tolist() for x in Encoder(f"{tmp_path}/t.json").encode(pa.array(["a b", None, "b c"]))] == [[1, 2], [], [2, 3]]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    class Conf(dict):
+        def get(self, k, default):
+            return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(N(conf=Conf(), sparkContext=N(master="spark://host:7077")))
+
+
+def test_staged_tables_can_be_cleared(spark):
+    out = shared.staged(spark.range(3).toDF("x"), "clearing")
+    assert out.count() == 3 and out.inputFiles()[0].startswith("file:") and f"/{spark.sparkContext.applicationId}/" in out.inputFiles()[0]

@@ -102,7 +102,7 @@ def _merge(key: tuple, group: pa.Table, level: int, last: bool, length: int, sla
 
 
 def pack(docs: DataFrame, tokenizer: str, *, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, end_id: int = 0, most_open: int = OPEN, slack: int = SLACK) -> DataFrame:
-    """Pieces of all documents in sequences of at most ``length`` ids.
+    """Pieces of all documents in sequences of at most ``length`` ids, by the ``tokenizers`` file ``tokenizer``.
 
     Columns: ``doc_id, start, length, ids`` (little-endian unsigned 32-bit), ``doc_tokens,
     sequence_id, offset``. A document is its ids, then ``end_id``. Every partition keeps

@@ -7,6 +7,7 @@ only pieces that it has not met, and gathers the rest from a table.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -37,13 +38,24 @@ def _values() -> np.ndarray:
     return mix(np.arange(1, (1 << 16) + 1, dtype=U64))
 
 
+def _is_byte_level(spec: dict) -> bool:
+    """Whether a tokenizer parts texts by the pattern above, and by nothing else, before it merges bytes."""
+    first = spec.get("pre_tokenizer") or {}
+    plain = not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+    return plain and spec.get("model", {}).get("type") == "BPE" and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
+
+
 class Encoder:
-    """Encodes columns; keeps the ids of every piece met so far."""
+    """Encodes columns; keeps the ids of every piece met so far.
+
+    Only for byte-level BPE with its usual pattern: with any other file every text goes to the tokenizer whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.parted = _is_byte_level(json.loads(self.tokenizer.to_str()))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
@@ -72,7 +84,8 @@ class Encoder:
         out: list[np.ndarray] = []
         _, offs = text_buffer(column)
         for a, b in pieces(offs):
-            out += self._encode_piece(column.slice(a, b - a))
+            some = column.slice(a, b - a)
+            out += self._encode_piece(some) if self.parted else self._plain(some.to_pylist())
         return out
 
     def _encode_piece(self, column: pa.Array) -> list[np.ndarray]:
