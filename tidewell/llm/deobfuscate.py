@@ -37,11 +37,13 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in "@$!|+(*#"]] = True
 #: Signs that stand beside another one in a disguised word, and those that end one: "!" and "(" more often are what they seem.
 _MARK = np.zeros(256, bool)
-_MARK[[ord(c) for c in "@$|+*#"]] = True
+_MARK[[ord(c) for c in "@$|+"]] = True
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in "@$+"]] = True
 #: Signs in a row that may stand for a letter each, and characters that are decoded at once.
 MOST_WILD, STRETCH_OF_SPAN = 3, 64
+_WILD = np.zeros(256, bool)
+_WILD[[ord(c) for c in WILD]] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -88,6 +90,13 @@ def suspicious_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.
     marked[:-1] = mark[1:] & ~row_edge[1:-1]
     strange |= sign & before & marked
     strange |= _ENDS[buf] & before
+    # a letter, a few wildcards, a letter
+    wild = np.append(_WILD[buf] & ~row_edge[:-1], np.zeros(MOST_WILD + 1, bool))
+    letters = np.append(letter & ~row_edge[:-1], np.zeros(MOST_WILD + 1, bool))  # not the first of a row
+    run = wild[: len(buf)] & before
+    for k in range(1, MOST_WILD + 1):
+        strange |= run & letters[k : k + len(buf)]
+        run &= wild[k : k + len(buf)]
     same = (buf[1:] == buf[:-1]) & letter[1:] & (buf[1:] < 0x80) & ~row_edge[1:-1]
     strange[2:] |= same[1:] & same[:-1]
     at = np.flatnonzero(strange)
@@ -154,13 +163,13 @@ class Decoder:
                 options = [(ord(x) - 96, x, SUBSTITUTE) for x in LEET[c]]
                 options.append((0, " ", NO_LETTER))
             elif c in WILD:
-                # a short run may stand for a letter each, a longer one is an ornament
+                # a short run inside a word may stand for a letter each, of any other run one, as the rest is ornament
                 a, b = i, i + 1
                 while a and span[a - 1] in WILD and i - a <= MOST_WILD:
                     a -= 1
                 while b < len(span) and span[b] in WILD and b - i <= MOST_WILD:
                     b += 1
-                options = [(k, chr(96 + k), GUESS) for k in range(1, 27)] if b - a <= MOST_WILD or a == i else []
+                options = [(k, chr(96 + k), GUESS) for k in range(1, 27)] if a == i or (b - a <= MOST_WILD and a and b < len(span) and span[a - 1].isalpha() and span[b].isalpha()) else []
                 options.append((-1, "", GUESS))
             elif c in SEPARATORS:
                 options = [(-1, "", SILENT), (0, " ", WORD_END)]
