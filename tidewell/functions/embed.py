@@ -30,10 +30,11 @@ def hash_embedder(dim: int = DIM) -> Embedder:
         raise ValueError("the dimension must be a power of two")
 
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for i, text in enumerate(texts):
-            h = np.array([_hash(w) for w in (text or "").lower().split()], np.int64)
-            out[i] = np.bincount(h % dim, np.where(h % (2 * dim) >= dim, 1.0, -1.0), minlength=dim)
+        words = [(text or "").lower().split() for text in texts]
+        size = [len(w) for w in words]
+        h = np.fromiter((_hash(w) for ws in words for w in ws), np.int64, sum(size))
+        row = np.repeat(np.arange(len(texts)), size)
+        out = np.bincount(row * dim + h % dim, np.where(h % (2 * dim) >= dim, 1.0, -1.0), minlength=len(texts) * dim).reshape(-1, dim)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return embed

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .vectors import once
+
 CHUNK_SIZE, CHUNK_OVERLAP = 128, 32
 
 
@@ -21,12 +23,13 @@ def chunks(text: Column | str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be at least 0 and below the chunk size")
     stride = size - overlap
-    ws = words(text)
-    windows = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(ws) - size) / F.lit(stride)).cast("int"))),
-        lambda i: F.array_join(F.slice(ws, i * stride + 1, F.lit(size)), " "),
-    )
-    return F.when(F.size(ws) > 0, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
+
+    def windows(ws: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(ws) - size) / F.lit(stride)).cast("int")))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(ws, i * stride + 1, F.lit(size)), " "))
+        return F.when(F.size(ws) > 0, F.array_distinct(joined)).otherwise(F.array().cast("array<string>"))
+
+    return once(words(text), windows)  # a text is split once, not for every chunk
 
 
 def explode_chunks(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
