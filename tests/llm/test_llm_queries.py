@@ -1,5 +1,6 @@
 """The registered queries over whole small tables, against SQL or plain versions."""
 
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -63,24 +64,44 @@ def test_toxicity_query(spark, sf_dir, documents):
 
 
 def test_packing_query(spark, sf_dir, documents):
+    from tokenizers import Tokenizer
+
     rows = run(spark, sf_dir, "op6_packing").collect()
-    fill = Counter()
-    for r in rows:
-        fill[r.sequence_id] += r.length
-    whole = defaultdict(int)
+    tokenizer = Tokenizer.from_file(entry.import_module("tidewell.llm.queries").tokenizer_path())
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
-        whole[r.doc_id, r.doc_tokens] += r.length
-    assert max(fill.values()) <= 1024 and {i for i, _ in whole} == {i for i, _ in documents} and all(n == v for (_, n), v in whole.items())
-    assert sum(fill.values()) / (1024 * len(fill)) > 0.97
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    assert set(by_doc) == {i for i, _ in documents}
+    for i, text in documents:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for r in sorted(by_doc[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    fill = []
+    for own in by_sequence.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        fill.append(at)
+    assert max(fill) <= 1024 and sum(fill) / (1024 * len(fill)) > 0.97
 
 
 def test_sharding_query(spark, sf_dir, documents):
     rows = run(spark, sf_dir, "op8_sharding").collect()
-    slots = defaultdict(list)
+    slots, bytes_of = defaultdict(list), Counter()
     for r in rows:
         slots[r.shard].append(r.slot)
-    assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in documents)
+        bytes_of[r.shard] += r.size
+    want = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), "bytes", None) for i, t in documents)
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in rows) == want
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(40))
+    # rows are whole: each splitter misses its place by half a row and the tolerance at most
+    mean, most = sum(bytes_of.values()) / 40, max(r.size for r in rows)
+    assert max(abs(bytes_of[k] - mean) for k in range(40)) <= most + 0.004 * mean
 
 
 def test_language_query(spark, sf_dir):
