@@ -32,7 +32,7 @@ def run(spark, sf_dir, name):
     return entry.queries()[name](spark, sf_dir)
 
 
-@pytest.mark.parametrize("name", ["op1_decontamination", "op4_exact_dedup", "op7_warc"])
+@pytest.mark.parametrize("name", ["op1_decontamination", "op2_suffix_dedup", "op4_exact_dedup", "op5_jaccard_join", "op7_warc", "op10_substring_dedup"])
 def test_query_equals_sql(spark, sf_dir, sql, name):
     out = run(spark, sf_dir, name)
     found = sql.execute(entry.oracle_sql()[name])

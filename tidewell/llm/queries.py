@@ -14,7 +14,7 @@ from .shared import table
 from .sharding import shard
 from .shingles import WORD
 from .substring_dedup import remove_repeats
-from .suffix_dedup import remove_repeated_bytes
+from .suffix_dedup import COVER, PERIOD, TIE, remove_repeated_bytes
 from .toxicity import toxicity
 from .warc import round_trip
 
@@ -85,6 +85,26 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
+
+def _strings(n: int) -> str:
+    """SQL that names all strings of up to ``n`` units by doubling: CTEs m2, m4, .. after m1 (doc_id, i, h1)."""
+    steps, k = [], 1
+    while 2 * k <= n:
+        steps.append(f"m{2 * k} AS (SELECT *, md5(h{k} || lead(h{k}, {k}) OVER (PARTITION BY doc_id ORDER BY i)) AS h{2 * k} FROM m{k})")
+        k *= 2
+    return ", ".join(steps)
+
+
+def _name(n: int) -> str:
+    """The name of the ``n`` units from a position on, null where the text ends before; over a window w."""
+    parts, at = [], 0
+    for k in (1 << b for b in reversed(range(n.bit_length()))):
+        if n & k:
+            parts.append(f"lead(h{k}, {at}) OVER w")
+            at += k
+    return " || ".join(parts)
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": f"""
         WITH w AS (
@@ -119,4 +139,69 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
         FROM q
     """,
+    "op2_suffix_dedup": f"""
+        WITH d AS (
+            SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n,
+                   count(*) OVER (PARTITION BY coalesce(text, '')) > 1 AS copied, min(doc_id) OVER (PARTITION BY coalesce(text, '')) < doc_id AS copy FROM documents
+        ), m1 AS (
+            SELECT doc_id, n, copied, copy, unnest(hs) AS h1, generate_subscripts(hs, 1) - 1 AS i FROM (SELECT *, regexp_extract_all(hex(b), '..') AS hs FROM d)
+        ), {_strings(400)}, x AS (
+            SELECT doc_id, i, n, copied, copy, h1, {_name(400)} AS h, CASE WHEN NOT copy AND i % {PERIOD} IN ({', '.join(map(str, COVER))}) THEN {_name(TIE)} END AS s
+            FROM m256 WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+        ), y AS (
+            SELECT doc_id, i, n, copy, h1, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS hit, s IS NOT NULL AND sum(1 + copied::INT) OVER (PARTITION BY s) > 1 AS tie FROM x
+        ), z AS (
+            SELECT doc_id, i, n, copy, h1, coalesce(i - max(CASE WHEN hit THEN i END) OVER w < 400, false) AS gone,
+                   coalesce(i - max(CASE WHEN tie THEN i END) OVER w < {TIE}, false) AS tied FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+        ), g AS (
+            SELECT doc_id, i, h1, gone, gone OR tied OR (copy AND n >= {TIE}) AS shared, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM z
+        ), k AS (
+            SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, count(*) FILTER (WHERE shared) AS n_shared,
+                   string_agg(h1, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY doc_id
+        )
+        SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256, coalesce(n_shared, 0) AS n_shared
+        FROM d LEFT JOIN k USING (doc_id)
+    """,
+    "op5_jaccard_join": f"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS ws FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS t(i) WHERE len(ws) > 0
+        ), c AS (
+            SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS v FROM s GROUP BY doc_id
+        ), t AS (
+            SELECT v, n, min(doc_id) AS text_id, count(*) AS n_copies FROM c GROUP BY v, n
+        ), ts AS (
+            SELECT v, n, n_copies, g FROM t JOIN s ON s.doc_id = t.text_id
+        ), pairs AS (
+            SELECT a.v AS v, b.v AS u, b.n_copies FROM ts a JOIN ts b ON a.g = b.g AND a.v <> b.v
+            GROUP BY a.v, b.v, a.n, b.n, b.n_copies HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9
+        ), reached AS (
+            WITH RECURSIVE r AS (SELECT v, v AS u FROM t UNION SELECT r.v, pairs.u FROM r JOIN pairs ON pairs.v = r.u) SELECT * FROM r
+        ), classes AS (
+            SELECT reached.v, min(text_id) AS class_id FROM reached JOIN t ON t.v = reached.u GROUP BY reached.v
+        ), links AS (
+            SELECT v, sum(n_copies)::BIGINT AS n_links, count(*) AS n_text_links FROM pairs GROUP BY v
+        )
+        SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(text_id, d.doc_id) AS text_id, coalesce(n_copies, 1) AS n_copies,
+               coalesce(n_links, 0) + coalesce(n_copies, 1) - 1 AS n_links, coalesce(n_text_links, 0) AS n_text_links
+        FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN t ON t.v = c.v LEFT JOIN classes ON classes.v = c.v LEFT JOIN links ON links.v = c.v
+    """,
+    "op10_substring_dedup": f"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+        ), m1 AS (
+            SELECT doc_id, i, word, md5(word) AS h1 FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w)
+        ), {_strings(50)}, x AS (
+            SELECT doc_id, i, word, {_name(50)} AS h FROM m32 WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+        ), g AS (
+            SELECT doc_id, i, word, h IS NOT NULL AND min(doc_id) OVER (PARTITION BY h) < doc_id AS hit FROM x
+        ), p AS (
+            SELECT doc_id, i, word, coalesce(i - max(CASE WHEN hit THEN i END) OVER (PARTITION BY doc_id ORDER BY i) < 50, false) AS gone FROM g
+        ), k AS (
+            SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM p GROUP BY doc_id
+        )
+        SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN k USING (doc_id)
+    """,
 }
