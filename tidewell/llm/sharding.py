@@ -45,7 +45,7 @@ def find_splitters(keys: DataFrame, targets: list[float], tolerance: float) -> l
 
     ``keys`` has ``_k1``, ``_k2`` and ``_size``. Every round reads the rows of the
     unsettled intervals alone and sends the driver one row for each probe: at most
-    2 ** 20 times the share of targets, whatever the input, as the targets are one for each shard.
+    4,096 for each target, which are one for each shard, whatever the input.
     """
     found: dict[int, Splitter] = {}
     bits = max(4, min(12, 20 - len(targets).bit_length()))
