@@ -188,7 +188,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, threshold: float = THR
 
     Null and empty texts, and texts of fewer than five words, have no shingles and match nothing; null ids stay
     null in the result; repeated rows match each; empty tables give no pairs; other columns are not read, whatever their names.
-    A shingle that a third of all items or documents hold is one entry of a signature for each. A task holds the words of about 2 MB of text, or of its longest.
+    A shingle that a third of all items or documents hold is one entry of a signature for each. A task holds the words of about 1 MB of text, or of its longest.
     """
     spark = docs.sparkSession
     prepared = staged(items.select("item_id", F.col("text").cast("string")).mapInArrow(_item_sets, _ITEMS).where("n > 0"), "items")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import fusefilter
-from .shared import one_of_each, parts_for, staged
+from .shared import has_plain_ids, one_of_each, parts_for, staged
 
 #: Digests of a bucket, about; a bucket is what one task holds.
 BUCKET_ROWS = 500_000
@@ -202,6 +202,8 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     Of several rows of a group that share the id that stays (or are without one), the row with the smallest hash of
     all columns stays. Null and empty texts are one group; an empty table gives an empty one; columns of any names are kept.
     """
+    if has_plain_ids(docs):
+        return docs.join(group_report(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     upper, lower = ascii_uppercase, ascii_uppercase.lower()
     own = F.sha2(F.encode(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), upper, lower), "UTF-8"), 256)
     # ids may repeat and be null: rows are told apart by id and text

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import one_of_each, parts_for, staged
+from .shared import has_plain_ids, one_of_each, parts_for, staged
 from .shingles import THRESHOLD, shingle_sets, shingle_texts
 from .textarrays import U64, mix
 
@@ -34,8 +34,10 @@ LONGEST, LABEL_BITS = 8, 14
 RECALL = 0.99999
 #: Texts of a block.
 BLOCK = 512
-#: Shingles of the small sets that one task compares, and rows of the forest that one task walks.
-BIN, WALK = 2_000_000, 500_000
+#: Shingles, and texts, of the small sets that are compared together, and rows of the forest that one task walks.
+BIN, BIN_TEXTS, WALK = 1_000_000, 2000, 300_000
+#: Shingles that a task keeps as text, about 20 MB.
+MOST_HELD = 200_000
 #: Columns of an incidence matrix at once.
 _WIDTH = 4096
 
@@ -257,12 +259,16 @@ def _compare(group: pa.Table, threshold: float) -> pa.Table:
         sets += [keys[bounds[i] : bounds[i + 1]] for i in range(len(bounds) - 1)]
     n_set = np.array([len(x) for x in sets], np.float64)
     words: dict[int, frozenset] = {}
+    held = 0
 
     def text_of(i: int) -> frozenset:
+        nonlocal held
         if i not in words:
-            if len(words) >= 2 * BLOCK:
+            if held > MOST_HELD:
                 words.clear()
+                held = 0
             words[i] = frozenset(shingle_texts(texts[i].as_py(), short=True))
+            held += len(words[i])
         return words[i]
 
     out: list[list] = [[], [], [], []]
@@ -319,7 +325,7 @@ def jaccard_join(docs: DataFrame, **options) -> DataFrame:
     the join runs and stay null in ``doc_id``; repeated rows are copies; an empty table gives an empty one; other
     columns are not read. Copies never meet the forest. The forest is cut by ranges of whole paths, so a prefix
     that a third of all texts share is walked in many tasks and gives one row to each text; the blocks of a large
-    gathered set are compared in tasks of two blocks. A task holds the words of about 2 MB of text, or of its
+    gathered set are compared in tasks of two blocks. A task holds the words of about 1 MB of text, or of its
     longest, and, when it compares, the sets of two blocks. Sets are told apart by 64-bit names, shingles by 48-bit
     hashes; where one shingle decides, the shingles themselves are compared.
     Options are those of ``_joined``.
@@ -347,8 +353,10 @@ def _joined(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RE
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = members.join(rows, "v").withColumn("other", other).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
     small = F.col("blocks") == 1
-    place = F.when(small, F.xxhash64(F.pmod(F.xxhash64("hub"), F.lit(parts_for(weight or 0, BIN))))).otherwise(F.xxhash64("hub", "one", "two"))
-    linked = placed.select(place.alias("place"), "hub", "v", "size", "block", "one", "two", "hubs", "text").groupBy("place").applyInArrow(lambda g: _compare(g, threshold), "v long, links long, text_links long, label long")
+    bins = max(parts_for(weight or 0, BIN), parts_for(n, BIN_TEXTS))
+    place = F.when(small, F.xxhash64(F.pmod(F.xxhash64("hub"), F.lit(bins)))).otherwise(F.xxhash64("hub", "one", "two"))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), bins)  # as many more as there is more to compare
+    linked = placed.select(place.alias("place"), "hub", "v", "size", "block", "one", "two", "hubs", "text").repartition(tasks, "place").groupBy("place").applyInArrow(lambda g: _compare(g, threshold), "v long, links long, text_links long, label long")
     linked = staged(linked, "links")
     counts = linked.groupBy("v").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
     counts = counts.join(components(linked.select("label", "v")), "v", "left").withColumnRenamed("component", "label")
@@ -378,6 +386,8 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     smallest id, the text with the smallest hash stays, and of rows that repeat id and text, one; an empty table
     gives an empty one; columns of any names are kept. Long texts and large classes are as in jaccard_join.
     """
+    if has_plain_ids(docs):
+        return docs.join(jaccard_join(docs, **options).where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     keyed = docs.withColumns({"_text_key": _key(), "_text_hash": _text_hash()})
     first = _joined(docs, **options).where("doc_id = class_id")
     worded = first.where("label IS NOT NULL").groupBy("label", "doc_id").agg(F.min("t").alias("t"))

@@ -68,6 +68,11 @@ def bucket_of(n: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+def has_plain_ids(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether every row has an id of its own; only ids cross the network."""
+    return docs.groupBy(F.col(id_col).alias("id")).count().where("count > 1 OR id IS NULL").isEmpty()
+
+
 def one_of_each(docs: DataFrame, keys: list[str]) -> DataFrame:
     """``docs`` with one row for each value of ``keys`` (none null): of several, that with the smallest hash of all columns."""
     many = docs.groupBy(keys).count().where("count > 1").drop("count")

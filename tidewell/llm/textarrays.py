@@ -17,7 +17,7 @@ BASE = U64(0x9E3779B97F4A7C15)
 #: BASE times INVERSE is 1 modulo 2**64.
 INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Rows are worked on in pieces of about so many bytes.
-PIECE = 2_000_000
+PIECE = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

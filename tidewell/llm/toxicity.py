@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id`` and ``score`` for each row: 0 to 1, higher where the label is likelier 1.
 
     Null and empty texts have no feature and get the score of the bias; a null id stays null; repeated rows
-    get equal scores; an empty table gives an empty one; other columns are not read. A task holds about 2 MB of
+    get equal scores; an empty table gives an empty one; other columns are not read. A task holds about 1 MB of
     text, or its longest, at some tens of bytes a byte; a span to restore is decoded in stretches of bounded length.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES weights and 22,000 counts
