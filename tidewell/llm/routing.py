@@ -20,17 +20,31 @@ def scaled(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes >> U64(24)) * U64(buckets)
 
 
-def rest32(places: np.ndarray) -> np.ndarray:
-    """32 bits that tell a bucket's entries apart; as a bucket's share of the text is bounded,
-    chance agreements stay as rare however large the input."""
-    return ((places >> U64(8)) & U64(0xFFFFFFFF)).astype(np.uint32)
+def named(places: np.ndarray, bits: int) -> np.ndarray:
+    """Bucket and, below it, the ``bits`` (32 or 40) that tell a bucket's entries apart; as a bucket's share
+    of the text is bounded, chance agreements stay as rare however large the input."""
+    return places if bits == 40 else (places >> U64(40)) << U64(32) | (places >> U64(8)) & U64(0xFFFFFFFF)
 
 
-def bucket_rests(sorted_hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and 32-bit rest of sorted hashes, each pair once, in order."""
-    places = scaled(sorted_hashes, buckets)
-    both = distinct((places >> U64(40)) << U64(32) | rest32(places).astype(U64))
-    return (both >> U64(32)).astype(np.int32), both.astype(np.uint32)
+def bucket_rests(sorted_hashes: np.ndarray, buckets: int, bits: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and rest, as ``bits // 8`` bytes, of sorted hashes, each pair once, in order."""
+    both = distinct(named(scaled(sorted_hashes, buckets), bits))
+    return (both >> U64(bits)).astype(np.int32), short(both, bits)
+
+
+def short(rests: np.ndarray, bits: int) -> np.ndarray:
+    """The lower ``bits`` of integers, a row of bytes each."""
+    return np.ascontiguousarray(rests.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : bits // 8])
+
+
+def rests(table: pa.Table, name: str, bits: int) -> list[np.ndarray]:
+    """Integers that ``short`` packed in a binary column."""
+    out = []
+    for x in column(table, name, np.uint8):
+        wide = np.zeros((len(x) * 8 // bits, 8), np.uint8)
+        wide[:, : bits // 8] = x.reshape(-1, bits // 8)
+        out.append(wide.view("<u8").ravel())
+    return out
 
 
 def bucket_numbers(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -40,7 +54,8 @@ def bucket_numbers(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
 def rows_for(some: np.ndarray, bucket: np.ndarray, values: np.ndarray) -> pa.Array:
     """One binary value for each bucket of ``some``, which holds all those of ``bucket``: its ``values``, in order."""
     cuts = np.append(np.searchsorted(bucket, some), len(bucket))
-    return pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+    each = values.nbytes // max(1, len(values))
+    return pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((cuts * each).astype(np.int32)), pa.py_buffer(values.tobytes())])
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -79,18 +94,17 @@ def binary(arrays: list[np.ndarray]) -> pa.Array:
 
 
 class Shared:
-    """The strings that came back to a batch: 32-bit rests of some buckets."""
+    """The strings that came back to a batch: rests of some buckets."""
 
-    def __init__(self, table: pa.Table, buckets: int):
-        self.buckets = buckets
-        found = [x.astype(U64) | U64(b) << U64(32) for b, x in zip(table.column("bucket").to_pylist(), column(table, "shared", "<u4"), strict=True)]
+    def __init__(self, table: pa.Table, buckets: int, bits: int = 32):
+        self.buckets, self.bits = buckets, bits
+        found = [x.astype(U64) | U64(b) << U64(bits) for b, x in zip(table.column("bucket").to_pylist(), rests(table, "shared", bits), strict=True)]
         self.keys = np.sort(cat(found, U64))
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.zeros(len(hashes), bool)
-        places = scaled(hashes, self.buckets)
-        keys = places >> U64(40) << U64(32) | rest32(places).astype(U64)
+        keys = named(scaled(hashes, self.buckets), self.bits)
         return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
 
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .routing import MOST_BUCKETS, Shared, binary, bucket_numbers, bucket_rests, cat, column, cover, distinct, hits, rows_for, run_starts
+from .routing import MOST_BUCKETS, Shared, binary, bucket_numbers, bucket_rests, cat, column, cover, distinct, hits, rests, rows_for, run_starts, short
 from .shared import bucket_of, parts_for, text_bytes
 from .textarrays import U64, Words, pieces, text_buffer
 
@@ -71,17 +71,17 @@ def _send(key: tuple, docs: pa.Table, buckets: int) -> pa.Table:
 
 def _probe(key: tuple, sent: pa.Table) -> pa.Table:
     """Of a bucket's blocks, those that more than one document holds, told to their batches."""
-    index = np.unique(cat(column(sent, "blocks", "<u4"), np.uint32))
+    index = np.unique(cat(rests(sent, "blocks", 32), U64))
     seen = np.zeros(len(index), np.int64)
     found = []
-    for single, multi in zip(column(sent, "single", "<u4"), column(sent, "multi", "<u4"), strict=True):
+    for single, multi in zip(rests(sent, "single", 32), rests(sent, "multi", 32), strict=True):
         a, b = hits(index, single), hits(index, multi)
         seen[a] += 1
         seen[b] += 2
         found.append(np.union1d(a, b))
     told = [(batch, index[at[seen[at] > 1]]) for batch, at in zip(sent.column("batch").to_pylist(), found, strict=True)]
     told = [x for x in told if len(x[1])]
-    return pa.table([pa.array([b for b, _ in told], pa.int32()), pa.array([key[0].as_py()] * len(told), pa.int32()), binary([x for _, x in told])], names=["batch", "bucket", "shared"])
+    return pa.table([pa.array([b for b, _ in told], pa.int32()), pa.array([key[0].as_py()] * len(told), pa.int32()), binary([short(x, 32) for _, x in told])], names=["batch", "bucket", "shared"])
 
 
 def _extend(key: tuple, docs: pa.Table, shared: pa.Table, buckets: int) -> pa.Table:
@@ -173,7 +173,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id
     Null text has no words; a row with a null id counts as larger than any other and is never an
     original; rows that repeat an id are one document, so they never remove each other's words;
     texts of fewer than 50 words stay; an empty table gives an empty one; other columns are not read. Rows are dealt to
-    batches by id and text; a batch holds about 8 MB of text, or its longest, at some tens of bytes a byte for 2 MB of it,
+    batches by id and text; a batch holds about 8 MB of text, or its longest, at some tens of bytes a byte for 1 MB of it,
     or for its longest, at once.
     """
     size = text_bytes(docs, text)

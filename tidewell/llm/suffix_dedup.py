@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .routing import MOST_BUCKETS, Shared, binary, bucket_numbers, bucket_rests, cat, column, cover, distinct, rows_for, run_starts
+from .routing import MOST_BUCKETS, Shared, binary, bucket_numbers, bucket_rests, cat, column, cover, distinct, rests, rows_for, run_starts, short
 from .shared import bucket_of, parts_for, staged, text_bytes
 from .textarrays import BYTE_VALUES, U64, Sums, pieces, text_buffer
 
@@ -57,6 +57,8 @@ PERIOD, COVER = singer_cover(13)
 DEPTH = LENGTH - PERIOD + 1
 #: Bytes of a sample string, DEPTH at most: repeats of TIE + PERIOD - 1 bytes and more are seen, and told in ``n_shared``.
 TIE = 96
+#: Bits, below its bucket, by which a sample string is known: of the million strings of a bucket one in a million agrees with another by chance.
+BITS = 40
 
 
 def _samples(sums: Sums, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,14 +103,14 @@ def _sample(key: tuple, docs: pa.Table, buckets: int) -> pa.Table:
     keys = np.sort(cat(found, U64))
     starts = run_starts(keys)
     count = np.diff(np.append(starts, len(keys)))
-    sent = [bucket_rests(keys[starts[count == 1]], buckets), bucket_rests(keys[starts[count > 1]], buckets)]
+    sent = [bucket_rests(keys[starts[count == 1]], buckets, BITS), bucket_rests(keys[starts[count > 1]], buckets, BITS)]
     some = np.union1d(sent[0][0], sent[1][0]).astype(np.int32)
     return pa.table([pa.array(some), pa.array(np.full(len(some), key[0].as_py(), np.int32)), *(rows_for(some, *x) for x in sent)], names=["bucket", "batch", "single", "multi"])
 
 
 def _rank(key: tuple, sent: pa.Table) -> pa.Table:
     """Sort a bucket of the sample; the ranks that tie are told to their batches."""
-    single, multi = column(sent, "single", "<u4"), column(sent, "multi", "<u4")
+    single, multi = rests(sent, "single", BITS), rests(sent, "multi", BITS)
     every = np.sort(np.concatenate([*single, *multi, *multi]))  # several here count twice
     starts = run_starts(every)
     tied = every[starts[np.diff(np.append(starts, len(every))) > 1]]
@@ -118,12 +120,12 @@ def _rank(key: tuple, sent: pa.Table) -> pa.Table:
         at = np.minimum(np.searchsorted(tied, own), max(0, len(tied) - 1))
         if len(tied) and (hit := tied[at] == own).any():
             told.append((batch, own[hit]))
-    return pa.table([pa.array([b for b, _ in told], pa.int32()), pa.array([key[0].as_py()] * len(told), pa.int32()), binary([x for _, x in told])], names=["batch", "bucket", "shared"])
+    return pa.table([pa.array([b for b, _ in told], pa.int32()), pa.array([key[0].as_py()] * len(told), pa.int32()), binary([short(x, BITS) for _, x in told])], names=["batch", "bucket", "shared"])
 
 
 def _suffix_keys(docs: pa.Table, tied: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct sorted keys of a batch's strings that hold a tied sample, whether each begins more than one, and each piece's tied positions."""
-    ties = Shared(tied, buckets)
+    ties = Shared(tied, buckets, BITS)
     found, tied_at = [], []
     copied = docs.column("copied").to_numpy()
     if len(ties.keys):
@@ -134,8 +136,10 @@ def _suffix_keys(docs: pa.Table, tied: pa.Table, buckets: int) -> tuple[np.ndarr
             marks = np.zeros(len(part) + 1, np.int32)
             np.cumsum(np.bincount(at, minlength=len(part)), out=marks[1:])
             begin = np.arange(len(part))
-            # a tied sample at an offset below the period
-            at, keys = _windows(sums, offs, marks[np.minimum(begin + PERIOD, len(part))] > marks[begin])
+            # of any PERIOD offsets in a row at which a sample string fits into a repeated one, one is tied: the first such and the last
+            near, far = begin, np.minimum(begin + LENGTH - TIE - PERIOD + 1, len(part))
+            tied = [marks[np.minimum(x + PERIOD, len(part))] > marks[x] for x in (near, far)]
+            at, keys = _windows(sums, offs, tied[0] & tied[1])
             found.append(keys)
             # what a copied text holds begins in its copies too
             found.append(keys[copied[a + np.searchsorted(offs, at, side="right") - 1]])
@@ -226,7 +230,7 @@ def remove_repeated_bytes(docs: DataFrame, *, text: str = "text", id_col: str =
     than 400 bytes stay; cuts may fall inside a character, so what is left is bytes; an empty table
     gives an empty one; other columns are not read. A text that fills a third of all rows is one key for
     each of its positions and batches. Rows are dealt to batches by id and text; a batch holds about 8 MB of text, or its
-    longest, at some tens of bytes a byte for 2 MB of it, or for its longest, at once.
+    longest, at some tens of bytes a byte for 1 MB of it, or for its longest, at once.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size = text_bytes(rows)
