@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontam import contained_items
+from .drake_kmeans import CLUSTERS, ROUNDS, SEED, WIDTH, cluster
 from .exact_dedup import group_report
+from .filter_audit import audit
 from .jaccard_join import jaccard_join
 from .langid import identify
 from .packing import pack
+from .quality import quality
 from .shared import table
 from .sharding import shard
 from .shingles import WORD
@@ -72,6 +75,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -83,6 +98,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_quality_classifier": op12_quality_classifier,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 
@@ -105,6 +123,19 @@ def _name(n: int) -> str:
     return " || ".join(parts)
 
 
+def _rounds(n: int) -> str:
+    """SQL of ``n`` rounds from the centroids c0 (cluster, c): assignments a1, a2, .. and centroids c1, c2, .."""
+    steps = []
+    for r in range(1, n + 2):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT row, arg_min(cluster, d * {CLUSTERS} + cluster) AS cluster, min(d) AS d FROM (SELECT row, cluster, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM x, c{r - 1}) GROUP BY row)")
+        if r <= n:
+            steps.append(
+                f"c{r} AS MATERIALIZED (SELECT c{r - 1}.cluster, coalesce(m, c) AS c FROM c{r - 1} LEFT JOIN (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY k) AS m FROM "
+                f"(SELECT cluster, k, sum(v[k]) AS s, count(*) AS n FROM a{r} JOIN x USING (row), range(1, {WIDTH + 1}) AS t(k) GROUP BY ALL) GROUP BY cluster) USING (cluster))"
+            )
+    return ", ".join(steps)
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": f"""
         WITH w AS (
@@ -204,4 +235,41 @@ ORACLE_SQL: dict[str, str] = {
         SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN k USING (doc_id)
     """,
+    "op11_centroid_clustering": f"""
+        WITH x AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = {WIDTH} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {WIDTH}
+        ), c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('{SEED}' || vec_id), v) - 1 AS cluster, v AS c FROM x QUALIFY cluster < {CLUSTERS}
+        ), {_rounds(ROUNDS)}, i AS (
+            SELECT cluster, sum(d)::BIGINT AS cluster_inertia FROM a{ROUNDS + 1} GROUP BY cluster
+        )
+        SELECT vec_id, cluster::INT AS cluster, d AS distance, cluster_inertia, (SELECT sum(d)::BIGINT FROM a{ROUNDS + 1}) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM x JOIN a{ROUNDS + 1} USING (row) JOIN i USING (cluster) JOIN c{ROUNDS} USING (cluster)
+    """,
+    "op13_filter_audit": """
+        WITH t AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+        ), l AS (
+            SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+        ), f AS MATERIALIZED (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                   CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN coalesce(min(doc_id) OVER (PARTITION BY text) < coalesce(doc_id, 9223372036854775807), false) THEN 'E' ELSE '' END AS fails
+            FROM t LEFT JOIN l USING (doc_id)
+        ), e AS (
+            SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+        ), o AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM e a, e b, e c, e d, e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), r AS (
+            SELECT part, good, toxic, fails, filter_order, coalesce(list_min(list_filter([instr(filter_order, z) FOR z IN regexp_extract_all(fails, '.')], lambda p: p > 0)), 6) AS first FROM f, o
+        ), s AS (
+            SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, count(*) FILTER (WHERE first > step) AS kept, count(*) FILTER (WHERE first = step) AS removed,
+                   count(*) FILTER (WHERE first < step AND contains(fails, substr(filter_order, step, 1))) AS redundant, count(*) FILTER (WHERE fails = substr(filter_order, step, 1)) AS unique_fails,
+                   count(*) FILTER (WHERE first = step AND good) AS good_lost, count(*) FILTER (WHERE first = step AND toxic) AS toxic_lost
+            FROM r, (SELECT unnest(range(1, 6))::INT AS step) GROUP BY ALL
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM s
+    """,
 }
