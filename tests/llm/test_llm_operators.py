@@ -591,6 +591,50 @@ def test_shared_folder_must_be_named_on_a_cluster():
         shared.shared_dir(N(conf=Conf(), sparkContext=N(master="spark://host:7077")))
 
 
+def test_shared_folder_without_a_scheme_is_on_the_default_file_system(spark, tmp_path):
+    from types import SimpleNamespace as N
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    was = conf.get("fs.defaultFS")
+    fake = N(conf={"spark.checkpoint.dir": f"{tmp_path}/shared"}, sparkContext=spark.sparkContext, _jvm=spark._jvm, _jsc=spark._jsc)
+    assert shared.shared_dir(fake) == f"file:{tmp_path}/shared"
+    conf.set("fs.defaultFS", "viewfs://store/")
+    conf.set("fs.viewfs.mounttable.store.link./a", f"file://{tmp_path}")
+    try:
+        fake.conf = {"spark.checkpoint.dir": "/a/shared"}
+        assert shared.shared_dir(fake) == "viewfs://store/a/shared"
+        fake.conf = {"spark.checkpoint.dir": f"file://{tmp_path}/x"}
+        assert shared.shared_dir(fake).startswith("file:/")
+    finally:
+        conf.set("fs.defaultFS", was)
+
+
+@pytest.mark.parametrize("name", ["same", "ids"])
+def test_sharding_keeps_its_law_for_repeated_rows(spark, name):
+    """A third of the rows are one text, with one id or a few: sizes stay near equal, slots gapless, nothing is lost."""
+    rows = [(i, f"w{i} " * 20, i % 3) for i in range(2600)] + [(7777 if name == "same" else 7777 + k % 3, "same text here " * 10, k % 2) for k in range(1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    out = sharding.shard(docs).collect()
+    assert Counter((r.doc_id, r.text, r.extra) for r in out) == Counter(rows)
+    sizes, slots = Counter(), {}
+    for r in out:
+        sizes[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    mean = sum(sizes.values()) / 40
+    assert len(sizes) == 40 and all(abs(x - mean) <= 200 + 0.01 * mean for x in sizes.values())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_language_counts_all_labelled_rows(spark):
+    """Few labelled rows among many, null ids and repeated ones: every one counts."""
+    labelled = [(None, "der die das und nicht", "de")] * 20 + [(5, "the and of this that", "en")] * 20
+    docs = spark.createDataFrame(labelled + [(100 + i, "x y z", None) for i in range(5000)], "doc_id long, text string, lang string")
+    languages, logs = langid.fit_models(docs)
+    assert languages == ["de", "en"] and logs.shape[0] == 2
+    pages = spark.createDataFrame([(1, "http://a.b/", "<p>the and this</p>"), (2, "http://c.d/", "<p>und nicht das</p>")], "page_id long, url string, html string")
+    assert {r.page_id: r.lang for r in langid.identify(pages, docs).collect()} == {1: "en", 2: "de"}
+
+
 def test_staged_tables_can_be_cleared(spark):
     out = shared.staged(spark.range(3).toDF("x"), "clearing")
     assert out.count() == 3 and out.inputFiles()[0].startswith("file:") and f"/{spark.sparkContext.applicationId}/" in out.inputFiles()[0]

@@ -17,13 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_share, staged
+from .shared import staged
 from .shingles import lowered
 from .textarrays import pieces, text_buffer
 
-#: Trigram buckets, and at most about so many labelled rows that the models are fitted on.
+#: Bits of a trigram's bucket.
 GRAM_BITS = 14
-TRAIN_ROWS = 50_000
 #: All of a text's trigrams count, by their mean; its weight against other evidence grows up to so many of them, as neighbours are
 #: far from independent.
 CERTAIN = 150
@@ -71,26 +70,28 @@ def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (mixed >> np.uint32(32 - GRAM_BITS)).astype(np.int64), row
 
 
-def fit_models(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
+def fit_models(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and log-probabilities of the trigram buckets under each.
 
-    Learnt from a sample, by a hash of the id, of about ``train_rows`` rows whose ``lang`` is known.
+    Learnt from all rows whose ``lang`` is known: tasks count, and a sum for each language and bucket meets in the driver.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))
-    sample = known.where(in_share("doc_id", train_rows, docs.count()))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
         for b in batches:
             names, inverse = np.unique(np.array(b.column("lang").to_pylist(), object).astype(str), return_inverse=True)
-            total = np.zeros((len(names), 1 << GRAM_BITS), np.int64)
             buf, offs = text_buffer(lowered(b.column("text")))
             for i, j in pieces(offs):
                 gram, row = grams(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                np.add.at(total, (inverse[i + row], gram), 1)
-            lang, gram = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(names[lang].tolist(), pa.string()), pa.array(gram, pa.int32()), pa.array(total[lang, gram])], names=["lang", "gram", "n"])
-
-    rows = sample.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
+                found = np.bincount((inverse[i + row] << GRAM_BITS) + gram, minlength=len(names) << GRAM_BITS).reshape(len(names), -1)
+                for name, n in zip(names.tolist(), found, strict=True):
+                    total[name] = total[name] + n if name in total else n
+        for name, n in total.items():
+            gram = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram, pa.int32()), pa.array(n[gram])], names=["lang", "gram", "n"])
+
+    rows = known.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.lang for r in rows})
     counts = np.full((len(languages), 1 << GRAM_BITS), 0.5)
     where = {x: i for i, x in enumerate(languages)}
@@ -179,7 +180,7 @@ def _summed(probs: str, k: int) -> Column:
     return F.array(*[F.sum(F.element_at(probs, i + 1)) for i in range(k)])
 
 
-def identify(pages: DataFrame, docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """One row for each page: ``page_id, lang, probability, text_lang, declared, host, n_grams``.
 
     ``docs`` (doc_id, text, lang) teaches the languages; ``lang`` is the likeliest of them, of equal
@@ -191,7 +192,7 @@ def identify(pages: DataFrame, docs: DataFrame, train_rows: int = TRAIN_ROWS) ->
     empty table gives an empty one; other columns are not read. Sums are taken before the shuffle and meet the pages as a
     broadcast of checked size or else in a join in which names with very many pages are split. A task holds the text of 200 pages.
     """
-    languages, models = fit_models(docs, train_rows)
+    languages, models = fit_models(docs)
     k = len(languages)
     if not k:
         none = F.lit(None).cast("string")

@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share (``spark.checkpoint.dir``).
+    """URI of the folder that driver and executors share (``spark.checkpoint.dir``); without a scheme it is on the default file system.
 
-    A local folder is made, and set, only where the session names none and driver and executors are one process;
+    A local folder is made, once a context, only where the session names none and driver and executors are one process;
     on a cluster without the setting this is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_tidewell_folder", None)
     if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
+        if not context.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tidewell-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base if "://" in base or base.startswith("file:") else "file://" + base
+        base = context._tidewell_folder = "file://" + tempfile.mkdtemp(prefix="tidewell-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def session_dir(spark: SparkSession) -> str:
