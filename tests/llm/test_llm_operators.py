@@ -7,10 +7,12 @@ import numpy as np
 import plain
 import pyarrow.fs as pafs
 import pytest
+from collisions import twins
 from pyspark.sql import functions as F
 
 from tidewell.llm import decontam, deobfuscate, exact_dedup, fusefilter, jaccard_join, langid, packing, queries, sharding, shared, substring_dedup, suffix_dedup, toxicity, warc
 from tidewell.llm.components import components
+from tidewell.llm.textarrays import BYTE_VALUES
 
 ROWS = plain.corpus()
 #: Names that clash with what the operators call things inside.
@@ -638,3 +640,81 @@ def test_language_counts_all_labelled_rows(spark):
 def test_staged_tables_can_be_cleared(spark):
     out = shared.staged(spark.range(3).toDF("x"), "clearing")
     assert out.count() == 3 and out.inputFiles()[0].startswith("file:") and f"/{spark.sparkContext.applicationId}/" in out.inputFiles()[0]
+
+
+# --- equal keys, unlike bytes ------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def alike():
+    """Two unlike words of 384 letters and digits under one key."""
+    signs = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
+    one, two = twins(signs, BYTE_VALUES[signs])
+    one, two = one.tobytes().decode(), two.tobytes().decode()
+    assert one != two and len(one) == len(two) == 384
+    return one, two
+
+
+def test_suffix_dedup_compares_bytes(spark, alike):
+    """Strings of 400 bytes under one key that are unlike stay; those that do repeat go, beside them and across batches."""
+    one, two = (f"{x} and it ends"[:400].ljust(400, ".") for x in alike)
+    rows = [(1, one), (2, two)]
+    assert got(suffix_dedup.remove_repeated_bytes(frame(spark, rows, False)), "doc_id", "n_removed") == Counter([(1, 0), (2, 0)])
+    rows += [(3, "before " + one), (4, two + " after"), (5, f"{one}{two} here"), (6, "q" * 500), (7, None)]
+    for size in (900, 100_000):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(suffix_dedup, "BATCH_BYTES", size)
+            out = suffix_dedup.remove_repeated_bytes(frame(spark, rows, False))
+            assert got(out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)), "*") == plain.removed_bytes(rows)
+
+
+def test_substring_dedup_compares_words(spark, alike):
+    one, two = (f"{x} " + " ".join(f"w{i}" for i in range(49)) for x in alike)
+    rows = [(1, one), (2, two)]
+    assert got(substring_dedup.remove_repeats(frame(spark, rows, False)), "doc_id", "n_removed") == Counter([(1, 0), (2, 0)])
+    rows += [(3, "x y " + two), (4, one + " more"), (None, two), (6, " ".join(["z"] * 60))]
+    for size in (900, 100_000):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(substring_dedup, "BATCH_BYTES", size)
+            out = substring_dedup.remove_repeats(frame(spark, rows, False))
+            assert got(out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256)), "*") == plain.removed_words(rows)
+
+
+def test_jaccard_join_compares_shingles(spark, alike):
+    """Unlike sets under one name are no copies, and unlike shingles under one hash are not shared."""
+    one, two = alike
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{one} b c d e"), (2, f"{two} b c d e"), (3, f"{two}, B c d e!"), (4, f"{one} {long}"), (5, f"{two} {long}"), (6, " ".join(f"{one} t{i}" for i in range(20))), (7, " ".join(f"{two} t{i}" for i in range(20)))]
+    out = jaccard_join.jaccard_join(frame(spark, rows, False)).collect()
+    assert {r.doc_id: (r.class_id, r.text_id, r.n_copies, r.n_links, r.n_text_links) for r in out} == plain.near_classes(rows)
+    assert {r.doc_id: r.class_id for r in out} == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 7}
+
+
+def test_exact_sets_equal_plain():
+    import pyarrow as pa
+
+    from tidewell.llm.shingles import exact_sets
+
+    texts = [t for _, t in ROWS[:60]] + ["a b c d", "a b c d 0", "d c b a", ""]
+    sets, wanted = exact_sets(pa.array(texts, pa.string())), [plain.shingles(t, short=True) for t in texts]
+    assert [len(s) for s in sets] == [len(s) for s in wanted]
+    assert all(len(np.intersect1d(a, b)) == len(x & y) for a, x in zip(sets, wanted, strict=True) for b, y in zip(sets, wanted, strict=True))
+    assert exact_sets(pa.array([], pa.string())) == []
+
+
+def test_encoder_compares_pieces():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tidewell.llm import tokens
+
+    letters = np.array([c for c in range(0x4E00, 0x9000)], np.uint32)
+    one, two = (x.astype("<u4").tobytes().decode("utf-32-le") for x in twins(letters, tokens._values()[letters]))
+    path = queries.tokenizer_path()
+    plainly = Tokenizer.from_file(path)
+    wanted = lambda t: plainly.encode(t, add_special_tokens=False).ids
+    assert one != two and wanted(one) != wanted(two)
+    texts = [f"a {one}", "b", f"c {two} d", f"{one} {two}", two]
+    made = tokens.Encoder(path)
+    for some in (texts, texts[::-1], texts[2:3]):
+        assert [x.tolist() for x in made.encode(pa.array(some))] == [wanted(t) for t in some]

@@ -13,6 +13,7 @@ have, so that every similar pair is counted once and none is written.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import has_plain_ids, one_of_each, parts_for, staged
-from .shingles import THRESHOLD, shingle_sets, shingle_texts
+from .shingles import THRESHOLD, exact_sets, shingle_sets, shingle_texts
 from .textarrays import U64, mix
 
 TREES = 32
@@ -36,12 +37,10 @@ RECALL = 0.99999
 BLOCK = 512
 #: Shingles, and texts, of the small sets that are compared together, and rows of the forest that one task walks.
 BIN, BIN_TEXTS, WALK = 1_000_000, 2000, 300_000
-#: Shingles that a task keeps as text, about 20 MB.
-MOST_HELD = 200_000
 #: Columns of an incidence matrix at once.
 _WIDTH = 4096
 
-_SIGNED = "doc_id long, named boolean, t long, v long, n long, paths binary"
+_SIGNED = "doc_id long, named boolean, t long, x binary, v long, n long, paths binary"
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> int:
@@ -113,7 +112,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], threshold: float, recall: flo
                 for i, row in zip(np.flatnonzero(full).tolist(), made, strict=True):
                     paths[i] = row.tobytes()
             names = pa.array(_identity(bounds, keys), pa.int64(), mask=~full)
-            yield pa.RecordBatch.from_arrays([ids.slice(first, len(n)), *(b.column(c).slice(first, len(n)) for c in ("named", "t")), names, pa.array(n, pa.int64()), pa.array(paths, pa.binary())], names=[x.split()[0] for x in _SIGNED.split(", ")])
+            yield pa.RecordBatch.from_arrays([ids.slice(first, len(n)), *(b.column(c).slice(first, len(n)) for c in ("named", "t", "x")), names, pa.array(n, pa.int64()), pa.array(paths, pa.binary())], names=[x.split()[0] for x in _SIGNED.split(", ")])
 
 
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +194,28 @@ def candidate_hubs(texts: DataFrame, threshold: float = THRESHOLD, recall: float
     return edges.where("hub <> v").select("hub", "v").distinct()
 
 
-def _named_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the names of their sets."""
+def _set_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each text's shingles, sorted."""
     for b in batches:
-        for first, bounds, keys in shingle_sets(b.column("text"), short=True):
-            yield pa.RecordBatch.from_arrays([pa.array(_identity(bounds, keys), pa.int64()), b.column("text").slice(first, len(bounds) - 1)], names=["v", "text"])
+        made = [hashlib.sha256("\n".join(sorted(shingle_texts(t, short=True))).encode("utf-8", "surrogatepass")).digest() for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("v"), b.column("x"), pa.array(made, pa.binary())], names=["v", "x", "d"])
+
+
+def _told_apart(signed: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``signed`` with names that no two sets share: one text of each wording under a name is held against the name's first.
+
+    Names are sums of hashes. Where texts that differ (by SHA-256, ``x``) share one, their shingles are compared, and those
+    unlike the first's get names of their own.
+    """
+    wordings = staged(signed.where("v IS NOT NULL").groupBy("v", "x").agg(F.min("doc_id").alias("one")), "wordings")
+    several = wordings.join(wordings.groupBy("v").count().where("count > 1").select("v"), "v", "left_semi")
+    texts = keyed.select(F.col("doc_id").alias("one"), "x", "text").join(several, ["one", "x"])
+    digests = staged(texts.select("v", "x", "text").mapInArrow(_set_digests, "v long, x binary, d binary").distinct(), "set-digests")
+    first = digests.groupBy("v").agg(F.min_by("d", "x").alias("first"))
+    unlike = staged(digests.join(first, "v").where("d <> first").select("v", "x", F.xxhash64("d", "v").alias("new")), "unlike-sets")
+    if unlike.isEmpty():
+        return signed
+    return staged(signed.join(unlike, ["v", "x"], "left").withColumn("v", F.coalesce("new", "v")).drop("new"), "told-apart")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -239,38 +255,13 @@ def _labels(linked: np.ndarray, names: np.ndarray) -> np.ndarray:
         labels = new
 
 
-def _exact(linked: np.ndarray, shared: np.ndarray, left: list[int], right: list[int], size: np.ndarray, text_of, threshold: float) -> None:
-    """Pairs that one shingle less would part are held against the shingles themselves, as hashes can agree by chance."""
-    total = size[left][:, None] + size[right][None, :]
-    close = linked & (shared - 1 < threshold * (total - shared + 1) - 1e-9)
-    for i, j in zip(*np.nonzero(close), strict=True):
-        a, b = text_of(left[i]), text_of(right[j])
-        n = len(a & b)
-        linked[i, j] = n >= threshold * (len(a) + len(b) - n) - 1e-9
-
-
 def _compare(group: pa.Table, threshold: float) -> pa.Table:
     """Exact links within small sets, or between two blocks of a large one, of pairs that no smaller hub gathers too."""
     order = group.sort_by([("hub", "ascending"), ("one", "ascending"), ("two", "ascending"), ("v", "ascending")]).combine_chunks()
     hub, v, size, block, one, two = (order.column(c).to_numpy() for c in ("hub", "v", "size", "block", "one", "two"))
-    texts, hubs = order.column("text"), order.column("hubs").to_pylist()
-    sets: list[np.ndarray] = []
-    for _, bounds, keys in shingle_sets(texts, short=True):
-        sets += [keys[bounds[i] : bounds[i + 1]] for i in range(len(bounds) - 1)]
+    hubs = order.column("hubs").to_pylist()
+    sets = exact_sets(order.column("text"))
     n_set = np.array([len(x) for x in sets], np.float64)
-    words: dict[int, frozenset] = {}
-    held = 0
-
-    def text_of(i: int) -> frozenset:
-        nonlocal held
-        if i not in words:
-            if held > MOST_HELD:
-                words.clear()
-                held = 0
-            words[i] = frozenset(shingle_texts(texts[i].as_py(), short=True))
-            held += len(words[i])
-        return words[i]
-
     out: list[list] = [[], [], [], []]
     new = (hub[1:] != hub[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
     starts = np.flatnonzero(np.concatenate([[True], new])) if len(v) else []
@@ -287,7 +278,6 @@ def _compare(group: pa.Table, threshold: float) -> pa.Table:
         smaller = [np.array(sorted(h for h in hubs[i] if h < hub[a]), np.int64) for i in at]
         if any(len(x) for x in smaller):
             linked &= shared_counts([smaller[i - a] for i in left], [smaller[i - a] for i in right]) == 0
-        _exact(linked, shared, left, right, n_set, text_of, threshold)
         if apart:
             square = np.zeros((len(at), len(at)), bool)
             square[: len(left), len(left) :] = linked
@@ -326,8 +316,8 @@ def jaccard_join(docs: DataFrame, **options) -> DataFrame:
     columns are not read. Copies never meet the forest. The forest is cut by ranges of whole paths, so a prefix
     that a third of all texts share is walked in many tasks and gives one row to each text; the blocks of a large
     gathered set are compared in tasks of two blocks. A task holds the words of about 1 MB of text, or of its
-    longest, and, when it compares, the sets of two blocks. Sets are told apart by 64-bit names, shingles by 48-bit
-    hashes; where one shingle decides, the shingles themselves are compared.
+    longest, and, when it compares, the sets of two blocks. Hashes only find candidates and equal sets: shingles are compared
+    by their words, and texts of unlike wording under one name by their shingles.
     Options are those of ``_joined``.
     """
     out = _joined(docs, **options)
@@ -337,19 +327,18 @@ def jaccard_join(docs: DataFrame, **options) -> DataFrame:
 def _joined(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """What jaccard_join returns, with the names of rows without id in ``doc_id`` and ``named`` for the others,
     and ``t`` (the text's hash) and ``label`` (the class; null without words)."""
-    keyed = docs.select(_key().alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), _text_hash().alias("t"), F.col("text").cast("string"))
-    signed = staged(keyed.mapInArrow(lambda b: _signatures(b, threshold, recall), _SIGNED), "signatures")
-    texts = staged(signed.where("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("size"), F.max("n").alias("n"), F.first("paths").alias("paths")), "texts")
+    keyed = docs.select(_key().alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), _text_hash().alias("t"), F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias("x"), F.col("text").cast("string"))
+    signed = _told_apart(staged(keyed.mapInArrow(lambda b: _signatures(b, threshold, recall), _SIGNED), "signatures"), keyed)
+    texts = staged(signed.where("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("text_id"), F.min_by("x", "doc_id").alias("x"), F.count("*").alias("size"), F.max("n").alias("n"), F.first("paths").alias("paths")), "texts")
     edges = staged(candidate_hubs(texts, threshold, recall), "hubs")
     members = edges.unionByName(edges.select("hub", F.col("hub").alias("v")).distinct())
     large = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     hubs = members.groupBy("v").agg(F.collect_set("hub").alias("hubs"))  # at most one for each tree and depth, and itself
     members = members.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    members = staged(members.join(hubs, "v").join(texts.select("v", "text_id", "size", "n"), "v").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")), "members")
+    members = staged(members.join(hubs, "v").join(texts.select("v", "text_id", "x", "size", "n"), "v").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")), "members")
     n, weight = members.agg(F.count("*"), F.sum("n")).first()
-    ids = members.select(F.col("text_id").alias("doc_id")).distinct()
-    rows = keyed.select("doc_id", "text").join(F.broadcast(ids) if n <= 1_000_000 else ids, "doc_id", "left_semi")
-    rows = rows.select("text").mapInArrow(_named_texts, "v long, text string").dropDuplicates(["v"])  # any text of a set will do
+    ids = members.select(F.col("text_id").alias("doc_id"), "x", "v").distinct()
+    rows = keyed.select("doc_id", "x", "text").join(F.broadcast(ids) if n <= 1_000_000 else ids, ["doc_id", "x"]).select("v", "text").dropDuplicates(["v"])  # rows that repeat id and text are one
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = members.join(rows, "v").withColumn("other", other).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
     small = F.col("blocks") == 1

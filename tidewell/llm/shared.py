@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,21 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def _freeing(spark: SparkSession) -> Iterator[None]:
+    """What is written here leaves no shuffle files behind: nothing computes it again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    if was is None:  # a Spark without the setting
+        yield
+        return
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -48,10 +65,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    with _freeing(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a bucket, and buckets of a table at most, as Spark allows by default.
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000
+
+
+def bucketed(df: DataFrame, key: str, keys: int, n_bytes: int, name: str) -> DataFrame:
+    """``df`` written to the shared folder as a table bucketed by ``key``, read back.
+
+    What is grouped or joined by the key then meets without a shuffle, as often as it is read. Buckets are of about
+    BUCKET_BYTES of ``n_bytes``, but no fewer than Spark's shuffle partitions where there are as many ``keys``. The catalogue forgets the table at
+    once; its files stay until ``clear``.
+    """
+    spark = df.sparkSession
+    n = min(MOST_BUCKETS, max(parts_for(n_bytes, BUCKET_BYTES), min(keys, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    made = f"tidewell_{uuid.uuid4().hex}"
+    with _freeing(spark):
+        df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", new_folder(spark, name)).saveAsTable(made)
+    out = spark.table(made)
+    spark.sql(f"DROP TABLE {made}")
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

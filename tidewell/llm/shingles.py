@@ -66,3 +66,47 @@ def shingle_texts(text: str | None, short: bool = False) -> set[str]:
     if short and 0 < len(words) < SIZE:
         return {" ".join(words)}
     return {" ".join(words[i : i + SIZE]) for i in range(len(words) - SIZE + 1)}
+
+
+def _ranked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of pairs: equal for equal pairs alone."""
+    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+
+
+def exact_sets(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """Each row's set of shingles, sorted, as numbers that are equal within the column for equal shingles alone.
+
+    Words are numbered by a dictionary, runs of two, four and five words by their parts, so no hash decides.
+    A text of one to four words is one shingle; a text without words has none.
+    """
+    buf, offs = text_buffer(lowered(column))
+    texts, counts = [], []
+    for a, b in pieces(offs):
+        words = Words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+        size = words.ends - words.starts
+        upto = np.concatenate([[0], np.cumsum(size)])
+        data = words.buf[np.repeat(words.starts - upto[:-1], size) + np.arange(upto[-1])]
+        texts.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(data.tobytes())]))
+        counts.append(words.counts)
+    if not texts:
+        return []
+    # two numbers that no word has stand for what a short text lacks and for a row's end
+    ids = pa.chunked_array(texts).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    count = np.concatenate(counts)
+    first = np.concatenate([[0], np.cumsum(count)])
+    padded = np.concatenate([ids, np.zeros(SIZE, np.int64)])
+    row = np.repeat(np.arange(len(count)), count)
+    at = np.arange(len(ids))
+    whole = at + SIZE <= first[row + 1]
+    short = (count[row] < SIZE) & (at == first[row])
+    inside = lambda k: np.where(at + k < first[row + 1], padded[at + k], 0)
+    two = _ranked(inside(0), inside(1))
+    after = np.concatenate([two, np.zeros(2, np.int64)])[at + 2] + 1
+    four = _ranked(two, np.where(at + 2 < first[row + 1], after, 0))
+    five = _ranked(four, inside(4))
+    some = np.flatnonzero(whole | short)
+    keys = np.unique(row[some] * (int(five.max(initial=0)) + 1) + five[some])
+    owner = keys // (int(five.max(initial=0)) + 1)
+    cuts = np.searchsorted(owner, np.arange(len(count) + 1))
+    values = keys - owner * (int(five.max(initial=0)) + 1)
+    return [values[i:j].astype(U64) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]

@@ -3,8 +3,8 @@
 Every document's non-overlapping blocks of words are the index; every rolling
 window of a block's length probes it. A repeated window of 50 words holds a whole
 block of its other occurrence, so only around hits can anything repeat. Hits are
-then extended: the full windows around them are compared, and runs of matching
-windows are the maximal exact repeats.
+then extended: the full windows around them meet by key, are compared by their words, and runs of
+windows that match are the maximal exact repeats.
 
 Documents are dealt once to batches by id. A batch sends each index bucket its
 distinct probes in one packed row, so a passage that a third of all documents share
@@ -13,14 +13,18 @@ is one entry for each batch, and no pair of documents is ever formed.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .routing import MOST_BUCKETS, Shared, binary, bucket_numbers, bucket_rests, cat, column, cover, distinct, hits, rests, rows_for, run_starts, short
-from .shared import bucket_of, parts_for, text_bytes
+from .agreement import CLAIMS, Piece, buckets_of, claims, confirmed, covered, key_bits, keyed, packed_keys, spans_of, stored
+from .routing import MOST_BUCKETS, Shared, binary, bucket_rests, cat, column, distinct, hits, rests, rows_for, run_starts, short
+from .shared import bucket_of, bucketed, parts_for, text_bytes
 from .textarrays import U64, Words, pieces, text_buffer
 
 WINDOW = 50
@@ -29,6 +33,7 @@ BLOCK = 25
 #: Text of a batch, and text whose probes an index bucket serves.
 BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
+_BLANKS = re.compile(rb"[\x20\x09-\x0D]+")
 #: Stands for a null id: larger than any document's, so a row without id is never the original.
 NO_ID = np.iinfo(np.int64).max
 
@@ -84,6 +89,19 @@ def _probe(key: tuple, sent: pa.Table) -> pa.Table:
     return pa.table([pa.array([b for b, _ in told], pa.int32()), pa.array([key[0].as_py()] * len(told), pa.int32()), binary([short(x, 32) for _, x in told])], names=["batch", "bucket", "shared"])
 
 
+def _windows(docs: pa.Table, buckets: int) -> Iterator[Piece]:
+    """All windows of a batch."""
+    for a, _, words, hashes in _pieces(docs):
+        at, found = words.windows(WINDOW, hashes)
+        row = _row(words, at)
+
+        def body(i: int, words=words, at=at) -> bytes:
+            data = words.buf[words.starts[at[i]] : words.ends[at[i] + WINDOW - 1]].tobytes()
+            return _BLANKS.sub(b" ", data)
+
+        yield Piece(a + row, at - words.first[row], keyed(found, buckets), body)
+
+
 def _extend(key: tuple, docs: pa.Table, shared: pa.Table, buckets: int) -> pa.Table:
     """A batch's full windows around shared anchors: the smallest and largest document of each."""
     anchors = Shared(shared, buckets)
@@ -97,54 +115,65 @@ def _extend(key: tuple, docs: pa.Table, shared: pa.Table, buckets: int) -> pa.Ta
             np.cumsum(np.bincount(at[anchors.holds(rolled)], minlength=len(words.starts)), out=marks[1:])
             # an anchor inside a window begins at one of the window's first words
             held = marks[full + WINDOW - BLOCK + 1] > marks[full]
-            found.append(full_hash[held])
+            found.append(keyed(full_hash[held], buckets))
             owners.append(ids[a + _row(words, full[held])])
-    hashes, owner = cat(found, U64), cat(owners, np.int64)
-    order = np.argsort(hashes)
-    hashes, owner = hashes[order], owner[order]
-    starts = run_starts(hashes)
+    keys, owner = cat(found, U64), cat(owners, np.int64)
+    order = np.argsort(keys)
+    keys, owner = keys[order], owner[order]
+    starts = run_starts(keys)
     low = np.minimum.reduceat(owner, starts) if len(starts) else owner
     high = np.maximum.reduceat(owner, starts) if len(starts) else owner
-    hashes = hashes[starts]
-    bucket = bucket_numbers(hashes, buckets)
+    keys = keys[starts]
+    bucket = buckets_of(keys, buckets)
     some = distinct(bucket)
-    return pa.table([pa.array(some), pa.array(np.full(len(some), key[0].as_py(), np.int32)), *(rows_for(some, bucket, x) for x in (hashes, low, high))], names=["bucket", "batch", "hashes", "low", "high"])
+    return pa.table(
+        [pa.array(some), pa.array(np.full(len(some), key[0].as_py(), np.int32)), packed_keys(bucket, some, keys, key_bits(buckets)), *(rows_for(some, bucket, x) for x in (low, high))],
+        names=["bucket", "batch", "keys", "low", "high"],
+    )
 
 
-def _originals(key: tuple, sent: pa.Table) -> pa.Table:
+def _originals(key: tuple, sent: pa.Table, buckets: int) -> pa.Table:
     """The smallest document of every window that larger ones hold too, told to the batches of those."""
-    hashes, lows, highs = column(sent, "hashes", "<u8"), column(sent, "low", "<i8"), column(sent, "high", "<i8")
-    index, inverse = np.unique(cat(hashes, U64), return_inverse=True)
+    bits = key_bits(buckets)
+    keys, lows, highs = rests(sent, "keys", bits), column(sent, "low", "<i8"), column(sent, "high", "<i8")
+    index, inverse = np.unique(cat(keys, U64), return_inverse=True)
     least = np.full(len(index), NO_ID)
     np.minimum.at(least, inverse, cat(lows, np.int64))
     batches, told, owners = [], [], []
     a = 0
-    for batch, h, high in zip(sent.column("batch").to_pylist(), hashes, highs, strict=True):
-        low = least[inverse[a : a + len(h)]]
-        a += len(h)
+    for batch, own, high in zip(sent.column("batch").to_pylist(), keys, highs, strict=True):
+        low = least[inverse[a : a + len(own)]]
+        a += len(own)
         if (later := low < high).any():
             batches.append(batch)
-            told.append(h[later])
+            told.append(own[later] | U64(key[0].as_py()) << U64(bits))
             owners.append(low[later])
-    return pa.table([pa.array(batches, pa.int32()), binary(told), binary(owners)], names=["batch", "hashes", "low"])
+    return pa.table([pa.array(batches, pa.int32()), binary(told), binary(owners)], names=["batch", "keys", "low"])
 
 
-def _remove(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
-    """Rows of a batch without the words of windows that a smaller document holds."""
-    hashes, low = cat(column(told, "hashes", "<u8"), U64), cat(column(told, "low", "<i8"), np.int64)
-    order = np.argsort(hashes)
-    hashes, low = hashes[order], low[order]
+def _claimed(key: tuple, docs: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
+    """A batch's runs of windows whose keys a smaller document has, and the windows that cover them."""
+    keys, low = cat(column(told, "keys", "<u8"), U64), cat(column(told, "low", "<i8"), np.int64)
+    order = np.argsort(keys)
+    keys, low = keys[order], low[order]
     ids = _ids(docs)
+
+    def found() -> Iterator[tuple[Piece, np.ndarray]]:
+        for piece in _windows(docs, buckets) if len(keys) else ():
+            at = np.minimum(np.searchsorted(keys, piece.keys), len(keys) - 1)
+            yield piece, (keys[at] == piece.keys) & (low[at] < ids[piece.rows])
+
+    return claims(key[0].as_py(), docs, found(), WINDOW)
+
+
+def _remove(key: tuple, docs: pa.Table, runs: pa.Table) -> pa.Table:
+    """Rows of a batch without the words of windows that a smaller document holds."""
+    spans = spans_of(docs, runs, WINDOW)
     n_words, n_removed, kept = [], [], []
-    for a, b, words, word_hashes in _pieces(docs):
-        gone = np.zeros(len(words.starts), bool)
-        if len(hashes):
-            full, full_hash = words.windows(WINDOW, word_hashes)
-            at = np.minimum(np.searchsorted(hashes, full_hash), len(hashes) - 1)
-            repeated = (hashes[at] == full_hash) & (low[at] < ids[a + _row(words, full)])
-            gone = cover(full[repeated], WINDOW, len(words.starts))
+    for a, b, words, _ in _pieces(docs):
+        gone = covered(spans, a, b, words.first)
         n_words += words.counts.tolist()
-        n_removed += (np.add.reduceat(np.append(gone, False).astype(np.int64), words.first[:-1]) * (words.counts > 0)).tolist() if b > a else []
+        n_removed += np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first]).tolist()
         kept += _joined(words, ~gone)
     return pa.table([docs.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
@@ -168,7 +197,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id
 
     Words are runs of bytes other than ASCII white space. A word goes if a window of 50 words
     that covers it also starts in a document with a smaller id; windows are judged on the input.
-    Windows are compared by 64-bit hashes of their words.
+    Keys of windows find repeats, their words confirm them (see ``agreement``).
 
     Null text has no words; a row with a null id counts as larger than any other and is never an
     original; rows that repeat an id are one document, so they never remove each other's words;
@@ -178,11 +207,15 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id
     """
     size = text_bytes(docs, text)
     batches, buckets = parts_for(size, BATCH_BYTES), min(MOST_BUCKETS, parts_for(size, BUCKET_BYTES))
-    dealt = docs.select(bucket_of(batches, id_col, text).alias("batch"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    by_batch = dealt.groupBy("batch")
-    sent = by_batch.applyInArrow(lambda key, docs: _send(key, docs, buckets), "bucket int, batch int, single binary, multi binary, blocks binary")
-    shared = sent.groupBy("bucket").applyInArrow(_probe, "batch int, bucket int, shared binary")
-    windows = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(lambda key, docs, more: _extend(key, docs, more, buckets), "bucket int, batch int, hashes binary, low binary, high binary")
-    told = windows.groupBy("bucket").applyInArrow(_originals, "batch int, hashes binary, low binary")
-    return by_batch.cogroup(told.groupBy("batch")).applyInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string")
-
+    rows = docs.select(bucket_of(batches, id_col, text).alias("batch"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    texts = stored(rows, batches, size)
+    by_batch = texts.groupBy("batch")
+    probes = by_batch.applyInArrow(lambda key, docs: _send(key, docs, buckets), "bucket int, batch int, single binary, multi binary, blocks binary")
+    shared = probes.groupBy("bucket").applyInArrow(_probe, "batch int, bucket int, shared binary")
+    windows = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(lambda key, docs, more: _extend(key, docs, more, buckets), "bucket int, batch int, keys binary, low binary, high binary")
+    sent = bucketed(windows, "bucket", buckets, size // 2, "windows")
+    told = sent.groupBy("bucket").applyInArrow(lambda key, some: _originals(key, some, buckets), "batch int, keys binary, low binary")
+    claimed = by_batch.cogroup(told.groupBy("batch")).applyInArrow(lambda key, docs, more: _claimed(key, docs, more, buckets), CLAIMS)
+    smaller = F.col("least") < F.coalesce("doc_id", F.lit(int(NO_ID)))
+    runs = confirmed(texts, sent, claimed, lambda docs: _windows(docs, buckets), bits=key_bits(buckets), ordered=True, true_of=smaller)
+    return by_batch.cogroup(runs.groupBy("batch")).applyInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -5,24 +5,28 @@ sample. Any two equal strings of the wanted length hold, at one offset below the
 period, a sample position in both, so the strings that begin there are equal too.
 The sample's strings are sorted, one bucket of their hashes at a time, and those that
 tie are told to their batches. Only strings of the wanted length that hold a tied
-sample can repeat: their 64-bit hashes go to buckets, each sorted by itself.
+sample can repeat: their keys go to buckets, each sorted by itself. Strings whose keys occur again are
+compared byte by byte before anything is removed.
 
 No suffix is ordered by its bytes: see the README for what that would cost.
 
-A text never leaves its batch: buckets hold hashes, not bytes, so a bucket's memory
+Buckets hold keys, and the bytes of as many strings as cover what repeats, so a bucket's memory
 is bounded whatever repeats.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .routing import MOST_BUCKETS, Shared, binary, bucket_numbers, bucket_rests, cat, column, cover, distinct, rests, rows_for, run_starts, short
-from .shared import bucket_of, parts_for, staged, text_bytes
+from .agreement import CLAIMS, Piece, buckets_of, claims, confirmed, covered, key_bits, keyed, packed_keys, spans_of, stored
+from .routing import MOST_BUCKETS, Shared, binary, bucket_rests, cat, column, cover, distinct, rests, rows_for, run_starts, short
+from .shared import bucket_of, bucketed, parts_for, staged, text_bytes
 from .textarrays import BYTE_VALUES, U64, Sums, pieces, text_buffer
 
 LENGTH = 400
@@ -80,7 +84,7 @@ def _pieces(docs: pa.Table):
         yield a, b, part, offs[a : b + 1] - offs[a], Sums(BYTE_VALUES[part])
 
 
-def _windows(sums: Sums, offs: np.ndarray, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _windows(sums: Sums, offs: np.ndarray, buckets: int, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which a string of LENGTH begins, and their keys; ``within`` marks those wanted."""
     n = int(offs[-1])
     whole = np.zeros(n, bool)
@@ -90,7 +94,15 @@ def _windows(sums: Sums, offs: np.ndarray, within: np.ndarray | None = None) ->
     if within is not None:
         whole &= within
     at = np.flatnonzero(whole)
-    return at, sums.spans(at, at + LENGTH)
+    return at, keyed(sums.spans(at, at + LENGTH), buckets)
+
+
+def _strings(docs: pa.Table, buckets: int) -> Iterator[Piece]:
+    """All strings of LENGTH of a batch."""
+    for a, _, part, offs, sums in _pieces(docs):
+        at, keys = _windows(sums, offs, buckets)
+        row = np.searchsorted(offs, at, side="right") - 1
+        yield Piece(a + row, at - offs[row], keys, lambda i, part=part, at=at: part[at[i] : at[i] + LENGTH].tobytes())
 
 
 def _sample(key: tuple, docs: pa.Table, buckets: int) -> pa.Table:
@@ -123,44 +135,43 @@ def _rank(key: tuple, sent: pa.Table) -> pa.Table:
     return pa.table([pa.array([b for b, _ in told], pa.int32()), pa.array([key[0].as_py()] * len(told), pa.int32()), binary([short(x, BITS) for _, x in told])], names=["batch", "bucket", "shared"])
 
 
-def _suffix_keys(docs: pa.Table, tied: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct sorted keys of a batch's strings that hold a tied sample, whether each begins more than one, and each piece's tied positions."""
+def _suffix_keys(docs: pa.Table, tied: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys of a batch's strings that hold a tied sample, and whether each begins more than one."""
     ties = Shared(tied, buckets, BITS)
-    found, tied_at = [], []
+    found = []
     copied = docs.column("copied").to_numpy()
     if len(ties.keys):
         for a, _, part, offs, sums in _pieces(docs):
             at, keys = _samples(sums, offs)
             at = at[ties.holds(keys)]
-            tied_at.append(at)
             marks = np.zeros(len(part) + 1, np.int32)
             np.cumsum(np.bincount(at, minlength=len(part)), out=marks[1:])
             begin = np.arange(len(part))
             # of any PERIOD offsets in a row at which a sample string fits into a repeated one, one is tied: the first such and the last
             near, far = begin, np.minimum(begin + LENGTH - TIE - PERIOD + 1, len(part))
-            tied = [marks[np.minimum(x + PERIOD, len(part))] > marks[x] for x in (near, far)]
-            at, keys = _windows(sums, offs, tied[0] & tied[1])
+            held = [marks[np.minimum(x + PERIOD, len(part))] > marks[x] for x in (near, far)]
+            at, keys = _windows(sums, offs, buckets, held[0] & held[1])
             found.append(keys)
             # what a copied text holds begins in its copies too
             found.append(keys[copied[a + np.searchsorted(offs, at, side="right") - 1]])
     keys = np.sort(cat(found, U64))
     starts = run_starts(keys)
-    return keys[starts], np.diff(np.append(starts, len(keys))) > 1, tied_at
+    return keys[starts], np.diff(np.append(starts, len(keys))) > 1
 
 
 def _suffixes(key: tuple, docs: pa.Table, tied: pa.Table, buckets: int) -> pa.Table:
     """A batch's strings that hold a tied sample, as keys for each bucket."""
-    keys, many, _ = _suffix_keys(docs, tied, buckets)
-    bucket = bucket_numbers(keys, buckets)
+    keys, many = _suffix_keys(docs, tied, buckets)
+    bucket = buckets_of(keys, buckets)
     some = distinct(bucket)
     cuts = np.append(np.searchsorted(bucket, some), len(bucket)).tolist()
     bits = binary([np.packbits(many[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
-    return pa.table([pa.array(some), pa.array(np.full(len(some), key[0].as_py(), np.int32)), rows_for(some, bucket, keys), bits], names=["bucket", "batch", "keys", "many"])
+    return pa.table([pa.array(some), pa.array(np.full(len(some), key[0].as_py(), np.int32)), packed_keys(bucket, some, keys, key_bits(buckets)), bits], names=["bucket", "batch", "keys", "many"])
 
 
-def _settle(key: tuple, sent: pa.Table) -> pa.Table:
+def _settle(key: tuple, sent: pa.Table, buckets: int) -> pa.Table:
     """Sort a bucket's suffixes; each batch is told, a bit for each key that it sent, which occur again."""
-    keys = column(sent, "keys", "<u8")
+    keys = rests(sent, "keys", key_bits(buckets))
     many = [np.unpackbits(m, count=len(k)).astype(bool) for k, m in zip(keys, column(sent, "many", np.uint8), strict=True)]
     every = np.sort(np.concatenate([*keys, *(k[m] for k, m in zip(keys, many, strict=True))]))
     starts = run_starts(every)
@@ -172,22 +183,31 @@ def _settle(key: tuple, sent: pa.Table) -> pa.Table:
     return pa.table([sent.column("batch"), pa.array([key[0].as_py()] * len(told), pa.int32()), binary(told)], names=["batch", "bucket", "flags"])
 
 
-def _remove(key: tuple, docs: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
-    """Rows of a batch without the bytes that a repeated string covers."""
+def _claimed(key: tuple, docs: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
+    """A batch's runs of strings whose keys occur again, and the strings that cover them."""
     told = told.sort_by("bucket")
     flags = told.filter(pc.is_valid(told.column("flags")))
-    keys, _, tied_at = _suffix_keys(docs, told.filter(pc.is_valid(told.column("shared"))), buckets)
-    of_bucket = np.bincount(np.unique(bucket_numbers(keys, buckets), return_inverse=True)[1]).tolist()  # all buckets that were sent to answer
+    keys, _ = _suffix_keys(docs, told.filter(pc.is_valid(told.column("shared"))), buckets)
+    of_bucket = np.bincount(np.unique(buckets_of(keys, buckets), return_inverse=True)[1]).tolist()  # all buckets that were sent to answer
     bits = [np.unpackbits(f, count=n) for n, f in zip(of_bucket, column(flags, "flags", np.uint8), strict=True)]
     repeated = keys[cat(bits, np.uint8).astype(bool)]
+
+    def found() -> Iterator[tuple[Piece, np.ndarray]]:
+        for piece in _strings(docs, buckets) if len(repeated) else ():
+            yield piece, repeated[np.minimum(np.searchsorted(repeated, piece.keys), len(repeated) - 1)] == piece.keys
+
+    return claims(key[0].as_py(), docs, found(), LENGTH, docs.column("copied").to_numpy())
+
+
+def _remove(key: tuple, docs: pa.Table, fates: pa.Table, buckets: int) -> pa.Table:
+    """Rows of a batch without the bytes that a repeated string covers."""
+    ties = Shared(fates.filter(pc.is_valid(fates.column("shared"))), buckets, BITS)
+    spans = spans_of(docs, fates.filter(pc.is_valid(fates.column("nth"))), LENGTH)
     n_bytes, n_removed, n_spans, n_shared, kept = [], [], [], [], []
-    for i, (_, _, part, offs, sums) in enumerate(_pieces(docs)):
-        gone = np.zeros(len(part), bool)
-        shared = cover(tied_at[i], TIE, len(part)) if tied_at else gone
-        if len(repeated):
-            at, keys = _windows(sums, offs)
-            hit = repeated[np.minimum(np.searchsorted(repeated, keys), len(repeated) - 1)] == keys
-            gone = cover(at[hit], LENGTH, len(part))
+    for a, b, part, offs, sums in _pieces(docs):
+        gone = covered(spans, a, b, offs)
+        at, keys = _samples(sums, offs)
+        shared = cover(at[ties.holds(keys)], TIE, len(part))
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         edge = offs[:-1][offs[:-1] < len(part)]
@@ -208,11 +228,11 @@ BROADCAST_TEXTS = 2_000_000
 
 def _with_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` with ``copied`` (its text occurs in other rows too) and ``copy`` (one with a smaller id stands for it)."""
-    name = [F.xxhash64("text").alias("_a"), F.hash("text").alias("_b"), F.octet_length("text").alias("_n")]
-    groups = staged(docs.select("doc_id", *name).groupBy("_a", "_b", "_n").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_c")).where("_c > 1").drop("_c"), "copied-texts")
+    name = [F.unhex(F.sha2("text", 256)).alias("_a")]
+    groups = staged(docs.select("doc_id", *name).groupBy("_a").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_c")).where("_c > 1").drop("_c"), "copied-texts")
     groups = F.broadcast(groups) if groups.count() <= BROADCAST_TEXTS else groups
     first = F.col("_first")
-    return docs.select("*", *name).join(groups.withColumn("_copied", F.lit(True)), ["_a", "_b", "_n"], "left").select(
+    return docs.select("*", *name).join(groups.withColumn("_copied", F.lit(True)), "_a", "left").select(
         "doc_id", "text", F.coalesce("_copied", F.lit(False)).alias("copied"), F.coalesce(F.col("_copied") & ~F.col("doc_id").eqNullSafe(first), F.lit(False)).alias("copy")
     )
 
@@ -222,9 +242,8 @@ def remove_repeated_bytes(docs: DataFrame, *, text: str = "text", id_col: str =
 
     A byte of the UTF-8 text goes if a string of 400 bytes that covers it also starts anywhere
     else, in the same row or another; overlaps count, and strings are judged on the input.
-    Strings are compared by 64-bit keys of all their bytes. ``n_shared`` counts the bytes that are removed or lie in
-    a sample string of TIE bytes that occurs again: it tells of repeats that are too short to remove, from
-    TIE + PERIOD - 1 = 278 bytes on always, shorter ones by chance.
+    Keys of strings find repeats, their bytes confirm them (see ``agreement``); whole copies are known by SHA-256. ``n_shared`` counts the bytes that
+    are removed or lie in a string of TIE bytes at a sample position, counted from its text's start, that another sample position begins too.
 
     Null text is empty; a null id is kept as such; repeated rows remove each other; rows of fewer
     than 400 bytes stay; cuts may fall inside a character, so what is left is bytes; an empty table
@@ -236,13 +255,18 @@ def remove_repeated_bytes(docs: DataFrame, *, text: str = "text", id_col: str =
     size = text_bytes(rows)
     batches, buckets = parts_for(size, BATCH_BYTES), min(MOST_BUCKETS, parts_for(size, BUCKET_BYTES))
     marked = _with_copies(rows)
-    by_batch = marked.where("not copy").select(bucket_of(batches, "doc_id", "text").alias("batch"), "doc_id", "text", "copied").groupBy("batch")
+    texts = stored(marked.where("not copy").select(bucket_of(batches, "doc_id", "text").alias("batch"), "doc_id", "text", "copied"), batches, size)
+    by_batch = texts.groupBy("batch")
     sample = by_batch.applyInArrow(lambda key, docs: _sample(key, docs, buckets), "bucket int, batch int, single binary, multi binary")
-    tied = sample.groupBy("bucket").applyInArrow(_rank, "batch int, bucket int, shared binary")
+    tied = staged(sample.groupBy("bucket").applyInArrow(_rank, "batch int, bucket int, shared binary"), "tied-samples")
     suffixes = by_batch.cogroup(tied.groupBy("batch")).applyInArrow(lambda key, docs, more: _suffixes(key, docs, more, buckets), "bucket int, batch int, keys binary, many binary")
-    flags = suffixes.groupBy("bucket").applyInArrow(_settle, "batch int, bucket int, flags binary")
+    sent = bucketed(suffixes, "bucket", buckets, size // 2, "suffix-keys")
+    flags = sent.groupBy("bucket").applyInArrow(lambda key, some: _settle(key, some, buckets), "batch int, bucket int, flags binary")
     told = tied.unionByName(flags, allowMissingColumns=True)
-    kept = by_batch.cogroup(told.groupBy("batch")).applyInArrow(lambda key, docs, more: _remove(key, docs, more, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, n_shared long, kept binary")
+    claimed = by_batch.cogroup(told.groupBy("batch")).applyInArrow(lambda key, docs, more: _claimed(key, docs, more, buckets), CLAIMS)
+    runs = confirmed(texts, sent, claimed, lambda docs: _strings(docs, buckets), bits=key_bits(buckets), ordered=False, true_of=F.col("n") > 1)
+    fates = tied.unionByName(runs, allowMissingColumns=True)
+    kept = by_batch.cogroup(fates.groupBy("batch")).applyInArrow(lambda key, docs, more: _remove(key, docs, more, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, n_shared long, kept binary")
     # a copy of LENGTH bytes or more repeats from end to end
     n, body = F.octet_length("text").cast("long"), F.encode("text", "UTF-8")
     long = n >= LENGTH

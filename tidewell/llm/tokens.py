@@ -2,7 +2,8 @@
 
 Byte-level BPE first parts a text by a fixed pattern, then encodes each piece by
 itself. A task therefore parts whole batches with numpy, has the tokenizer encode
-only pieces that it has not met, and gathers the rest from a table.
+only pieces that it has not met, and gathers the rest from a table. Pieces are looked up by
+hash and compared by their characters; a text with a piece that only shares its hash with another goes to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -64,6 +65,9 @@ class Encoder:
         self.at = np.zeros(0, np.int64)  # where each one's ids begin
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.chars = np.zeros(0, np.uint16)  # of all known pieces
+        self.spelt = np.zeros(0, np.int64)  # where each one's characters begin
+        self.length = np.zeros(0, np.int64)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -75,8 +79,22 @@ class Encoder:
         size = np.array([len(x) for x in made], np.int64)
         at = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate([self.ids, *made])
+        length = np.array([len(x) for x in texts], np.int64)
+        spelt = len(self.chars) + np.cumsum(length) - length
+        self.chars = np.concatenate([self.chars, np.frombuffer("".join(texts).encode("utf-16-le"), np.uint16)])  # pieces are of the basic plane
         to = np.searchsorted(self.known, hashes)  # both are sorted
-        self.known, self.at, self.size = np.insert(self.known, to, hashes), np.insert(self.at, to, at), np.insert(self.size, to, size)
+        self.known = np.insert(self.known, to, hashes)
+        for name, new in (("at", at), ("size", size), ("spelt", spelt), ("length", length)):
+            setattr(self, name, np.insert(getattr(self, name), to, new))
+
+    def _unlike(self, slot: np.ndarray, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Pieces that aren't spelt like the known one of their hash; pieces follow each other without gaps."""
+        length = ends - starts
+        if not len(self.known) or not len(starts):
+            return np.ones(len(starts), bool)
+        place = np.repeat(self.spelt[slot] - starts, length) + np.arange(starts[0], ends[-1])
+        same = self.chars[np.minimum(place, len(self.chars) - 1)] == chars[starts[0] : ends[-1]]
+        return (self.length[slot] != length) | ~np.logical_and.reduceat(same, starts - starts[0])
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each row, uint32; a null row has none."""
@@ -112,6 +130,7 @@ class Encoder:
             texts = [chars[starts[i] : ends[i]].tobytes().decode("utf-32-le") for i in first[new]]
             self._learn(unique[new], texts)
         slot = np.minimum(np.searchsorted(self.known, unique), max(0, len(self.known) - 1))
+        direct[row[self._unlike(slot[inverse], chars, starts, ends)]] = True
         size = np.where(usable, self.size[slot], 0)[inverse] if len(self.known) else np.zeros(len(inverse), np.int64)
         at = self.at[slot][inverse] if len(self.known) else size
         total = np.cumsum(size)
