@@ -227,6 +227,26 @@ def test_decontamination_blocks_are_bounded_whatever_the_ids(spark, monkeypatch)
     assert steps[1:-1:2] == ["block"] * (len(held) - 1) and set(steps[2:-1:2]) == {"item-matches"} and steps[-1] == "block"
 
 
+def test_decontamination_with_a_shingle_that_all_items_share(spark, tmp_path):
+    """A thousand items that begin alike against documents with that phrase: pairs that share no more aren't tried, and the result equals SQL."""
+    import duckdb
+
+    rng = random.Random(3)
+    phrase = "which of the following is"
+    items = [(i, f"{phrase} {plain.words(rng, rng.choice([1, 3, 12, 12, 12, 30]))}") for i in range(1000)] + [(i, phrase) for i in (5000, 5001)] + [(i, items_end) for i, items_end in enumerate(["x y " + phrase + " so far"] * 40, 6000)]
+    docs = [(i, f"{plain.words(rng, 4)} {phrase} {plain.words(rng, 6)}") for i in range(1500)]
+    docs += [(3000 + i, f"{plain.words(rng, 9)} {items[i][1].upper()} {phrase}, {plain.words(rng, 6)}") for i in range(0, 1000, 25)] + [(None, f"x y {phrase} so far")]
+    for name, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
+        spark.createDataFrame(rows, f"{key} long, text string").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    df, its = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("documents", "benchmark"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    want = Counter((a, b, n, m) for a, b, n, m in con.execute(f"SELECT doc_id, item_id, n_shingles, n_shared FROM ({queries.ORACLE_SQL['op1_decontamination']})").fetchall())
+    assert got(decontam.contained_items(df.where("doc_id IS NOT NULL"), its), "doc_id", "item_id", "n_shingles", "n_shared") == Counter({k: v for k, v in want.items() if k[0] is not None})
+    assert sum(n > 1 for (_, _, n, _) in want) > 40 and got(decontam.contained_items(df.where("doc_id IS NULL"), its), "item_id") == Counter([(i,) for i in [5000, 5001, *range(6000, 6040)]])
+
+
 # --- packing ----------------------------------------------------------------------------
 
 
@@ -499,11 +519,20 @@ def test_decoder_finds_the_best_reading():
         assert decoder.restore(span) in readings, span
 
 
+def test_long_spans_are_decoded_whole():
+    """A disguised word is read alike wherever it stands in a span."""
+    text = "the idiot and a stupid moron said that all of it is idiotic"
+    buf = np.frombuffer((text * 20).encode(), np.uint8)
+    decoder = deobfuscate.Decoder(deobfuscate.trigram_counts(buf, np.array([0, len(buf)])))
+    for n in range(40, 80):
+        assert decoder.restore("the-" * (n // 4) + "." * (n % 4) + "1d10t").endswith("idiot"), n
+
+
 def test_marks_side_by_side_are_spans():
     line = b"so a$$ and sh!+ and f**k but hello!! stays and idio+ too"
     _, starts, ends = deobfuscate.suspicious_spans(np.frombuffer(line, np.uint8), np.array([0, len(line)]))
     assert [line[a:b] for a, b in zip(starts, ends, strict=True)] == [b"a$$", b"sh!+", b"f**k", b"idio+"]
-    assert deobfuscate.Decoder(np.ones(28**3, np.int64)).restore_long("1" * 500)
+    assert deobfuscate.Decoder(np.ones(28**3, np.int64)).restore("1" * 500)
 
 
 def test_equal_texts_with_unlike_labels(spark):

@@ -67,16 +67,27 @@ class Items:
     texts: list[str]
     sets: list[np.ndarray]
     classes: list[tuple[int, float]]  # class and its load
+    threshold: float = THRESHOLD
 
     def __post_init__(self) -> None:
         size = np.array([len(s) for s in self.sets], np.int64)
         owner = np.repeat(np.arange(len(self.sets), dtype=np.int32), size)
+        self.size, self.begin = size, np.cumsum(size) - size
         self.hashes = np.concatenate(self.sets).astype(U64) if self.sets else np.zeros(0, U64)
         # a hash is its bin's smallest from so many bits on: where it parts from the one before it in its sorted set
         apart = np.zeros(len(self.hashes))
         apart[1:] = (self.hashes[1:] ^ self.hashes[:-1]).astype(np.float64)
         bits = np.maximum(0, int(HASH_BITS) + 1 - np.frexp(apart)[1]).astype(np.uint8)
         bits[(np.cumsum(size) - size)[size > 0]] = 0
+        self.bits = bits
+        # an item at the threshold shares one of its rarest shingles: all but as many as may be missing, and one
+        _, inverse, count = np.unique(self.hashes, return_inverse=True, return_counts=True)
+        order = np.lexsort((self.hashes, count[inverse], owner))
+        rank = np.arange(len(order)) - self.begin[owner[order]]
+        spare = size - np.ceil(self.threshold * size - 1e-9).astype(np.int64) + 1
+        at = order[rank < spare[owner[order]]]
+        at = at[np.argsort(self.hashes[at], kind="stable")]
+        self.rare = (self.hashes[at], owner[at])
         cls = np.array([int(n).bit_length() for n in size], np.int64)[owner]
         self.signatures = {}
         for c, _ in self.classes:
@@ -99,26 +110,71 @@ def document_signatures(bounds: np.ndarray, keys: np.ndarray, load: float) -> tu
     return np.flatnonzero(first), bits
 
 
-def candidates(items: Items, bounds: np.ndarray, keys: np.ndarray) -> set[tuple[int, int]]:
-    """(row, item) pairs whose signatures agree in a bin; sets of a piece as from shingle_sets."""
+def _spread_pairs(row: np.ndarray, low: np.ndarray, n: np.ndarray, owner: np.ndarray, items: int, kept=None) -> np.ndarray:
+    """Distinct row * items + item of rows and the ``n`` entries from ``low`` that each matches; ``kept`` chooses among (entry, row)."""
     found = [np.zeros(0, np.int64)]
+    upto = np.cumsum(n)
+    for i, j in _stretches(upto, _SPREAD):
+        entry = np.repeat(low[i:j] - (upto[i:j] - n[i:j]), n[i:j]) + np.arange(upto[i] - n[i], upto[j - 1])
+        r = np.repeat(row[i:j], n[i:j])
+        if kept is not None:
+            some = kept(entry, r)
+            entry, r = entry[some], r[some]
+        found.append(np.unique(r * items + owner[entry]))
+    return np.unique(np.concatenate(found))
+
+
+def _matched(index: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which keys a sorted index holds, where, and how often."""
+    low = np.searchsorted(index, keys)
+    held = np.flatnonzero(index[np.minimum(low, len(index) - 1)] == keys) if len(index) else np.zeros(0, np.int64)
+    return held, low[held], np.searchsorted(index, keys[held], side="right") - low[held]
+
+
+def _tested(items: Items, pairs: np.ndarray, test) -> np.ndarray:
+    """For each pair, how many of its item's hashes pass ``test`` (positions of hashes, rows)."""
+    row, item = np.divmod(pairs, len(items.sets))
+    n, out = items.size[item], np.zeros(len(pairs), np.int64)
+    upto = np.cumsum(n)
+    for i, j in _stretches(upto, _SPREAD):
+        first = upto[i:j] - n[i:j]
+        at = np.repeat(items.begin[item[i:j]] - first, n[i:j]) + np.arange(first[0], upto[j - 1])
+        out[i:j] = np.add.reduceat(test(at, np.repeat(row[i:j], n[i:j])).astype(np.int64), first - first[0])
+    return out
+
+
+#: Items that a signature shingle is looked up for one by one; where more have it, those are tried that share a rarer shingle of theirs.
+HOT = 32
+
+
+def candidates(items: Items, bounds: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """row * items + item of the pairs whose signatures agree in a bin and whose sets' hashes meet the threshold; sets of a piece as from shingle_sets."""
+    found = [np.zeros(0, np.int64)]
+    n_items = len(items.sets)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    placed = row.astype(U64) << HASH_BITS | keys  # sorted
+    holds = lambda index, r, h: index[np.minimum(np.searchsorted(index, q := r.astype(U64) << HASH_BITS | h), len(index) - 1)] == q
     for cls, load in items.classes:
         hashes, owner, from_bits = items.signatures[cls]
         if not len(hashes) or not len(keys):
             continue
         at, bits = document_signatures(bounds, keys, load)
-        low = np.searchsorted(hashes, keys[at])
-        held = hashes[np.minimum(low, len(hashes) - 1)] == keys[at]
-        at, low = at[held], low[held]
-        n = np.searchsorted(hashes, keys[at], side="right") - low
-        upto = np.cumsum(n)
-        for i, j in _stretches(upto, _SPREAD):
-            entry = np.repeat(low[i:j] - (upto[i:j] - n[i:j]), n[i:j]) + np.arange(upto[i] - n[i], upto[j - 1])
-            r = np.repeat(row[at[i:j]], n[i:j])
-            small = from_bits[entry] <= bits[r]  # the smallest of its bin among its item's too
-            found.append(np.unique(r[small] * len(items.sets) + owner[entry[small]]))
-    return {divmod(x, len(items.sets)) for x in np.unique(np.concatenate(found)).tolist()}
+        held, low, n = _matched(hashes, keys[at])
+        r = row[at[held]]
+        few = n <= HOT
+        # the smallest of its bin among its item's too
+        found.append(_spread_pairs(r[few], low[few], n[few], owner, n_items, lambda entry, r, from_bits=from_bits, bits=bits: from_bits[entry] <= bits[r]))
+        if not few.all():
+            some = np.isin(row, r[~few])
+            held, low, n = _matched(items.rare[0], keys[some])
+            pairs = _spread_pairs(row[some][held], low, n, items.rare[1], n_items)
+            pairs = pairs[(items.size[pairs % n_items] >= 1 << (cls - 1)) & (items.size[pairs % n_items] < 1 << cls)]
+            signed = placed[at]
+            found.append(pairs[_tested(items, pairs, lambda i, r, signed=signed, bits=bits: (items.bits[i] <= bits[r]) & holds(signed, r, items.hashes[i])) > 0])
+    pairs = np.unique(np.concatenate(found))
+    shared = _tested(items, pairs, lambda i, r: holds(placed, r, items.hashes[i]))
+    # hashes can only agree too often, so this drops no true pair
+    return pairs[shared >= items.threshold * items.size[pairs % n_items] - 1e-9]
 
 
 def _stretches(upto: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -130,20 +186,23 @@ def _stretches(upto: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def verify(items: Items, found: set[tuple[int, int]], bounds: np.ndarray, keys: np.ndarray, text_of, threshold: float) -> Iterator[tuple[int, int, int, int]]:
+#: Items whose shingles a task keeps as text.
+_KEPT = 2000
+
+
+def verify(items: Items, found: np.ndarray, text_of, known: dict[int, set[str]]) -> Iterator[tuple[int, int, int, int]]:
     """Candidates whose documents hold enough of the items' shingles: row, item, shingles, shared."""
-    texts: dict[int, set[str]] = {}
-    for r, item in sorted(found):
-        own = items.sets[item]
-        # hashes can only agree too often, so this drops no true pair
-        if np.isin(own, keys[bounds[r] : bounds[r + 1]], assume_unique=True).sum() < threshold * len(own) - 1e-9:
-            continue
-        wanted = shingle_texts(items.texts[item])
-        if r not in texts:
-            texts = {r: shingle_texts(text_of(r))}
-        shared = len(wanted & texts[r])
-        if shared >= threshold * len(wanted) - 1e-9:
-            yield r, item, len(wanted), shared
+    last, have = -1, set()
+    for r, item in zip(*(x.tolist() for x in np.divmod(found, len(items.sets))), strict=True):
+        if item not in known:
+            if len(known) >= _KEPT:
+                known.clear()
+            known[item] = shingle_texts(items.texts[item])
+        if r != last:
+            last, have = r, shingle_texts(text_of(r))
+        shared = len(known[item] & have)
+        if shared >= items.threshold * len(known[item]) - 1e-9:
+            yield r, item, len(known[item]), shared
 
 
 def _item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +220,14 @@ def _item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _ITEMS.split(", ")])
 
 
-def _search(docs: DataFrame, held: Broadcast, threshold: float) -> DataFrame:
+def _search(docs: DataFrame, held: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = held.value
+        items, known = held.value, {}
         for b in batches:
             ids, texts, out = b.column("doc_id").cast(pa.int64()), b.column("text"), []
             for first, bounds, keys in shingle_sets(texts):
                 found = candidates(items, bounds, keys)
-                for r, item, n, shared in verify(items, found, bounds, keys, lambda r, first=first: texts[first + r].as_py(), threshold):
+                for r, item, n, shared in verify(items, found, lambda r, first=first: texts[first + r].as_py(), known):
                     out.append((ids[first + r].as_py(), items.ids[item], n, shared, shared / n))
             cols = list(zip(*out, strict=True)) or [()] * 5
             types = [pa.int64()] * 4 + [pa.float64()]
@@ -188,7 +247,8 @@ def contained_items(docs: DataFrame, items: DataFrame, *, threshold: float = THR
 
     Null and empty texts, and texts of fewer than five words, have no shingles and match nothing; null ids stay
     null in the result; repeated rows match each; empty tables give no pairs; other columns are not read, whatever their names.
-    A shingle that a third of all items or documents hold is one entry of a signature for each. A task holds the words of about 1 MB of text, or of its longest.
+    Where more than HOT items share a signature shingle, a document that has it is paired with those alone of which it has a rarer shingle too, one
+    of the few that an item at the threshold can't do without, and whose signatures agree. A task holds the words of about 1 MB of text, or of its longest.
     """
     spark = docs.sparkSession
     prepared = staged(items.select("item_id", F.col("text").cast("string")).mapInArrow(_item_sets, _ITEMS).where("n > 0"), "items")
@@ -202,7 +262,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, threshold: float = THR
     blocks = parts_for(total, block_shingles)
     for i in range(blocks):
         held = spark.sparkContext.broadcast(_block(dealt.where(F.col("block") == i), threshold, miss))
-        pairs = _search(docs, held, threshold)
+        pairs = _search(docs, held)
         if i < blocks - 1:
             pairs = staged(pairs, "item-matches")
             held.destroy()
@@ -215,7 +275,7 @@ def _block(dealt: DataFrame, threshold: float, miss: float) -> Items:
     rows = dealt.select("item_id", "text", "shingles").collect()
     sets = [np.frombuffer(r.shingles, "<u8") for r in rows]
     classes = [(c, load_for(1 << (c - 1), threshold, miss)) for c in sorted({len(s).bit_length() for s in sets})]
-    return Items([r.item_id for r in rows], [r.text for r in rows], sets, classes)
+    return Items([r.item_id for r in rows], [r.text for r in rows], sets, classes, threshold)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

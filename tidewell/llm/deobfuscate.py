@@ -40,8 +40,10 @@ _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in "@$|+"]] = True
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in "@$+"]] = True
-#: Signs in a row that may stand for a letter each, and characters that are decoded at once.
-MOST_WILD, STRETCH_OF_SPAN = 3, 64
+#: Signs in a row that may stand for a letter each; a longer run stands for one, or is ornament.
+MOST_WILD = 3
+#: Characters of a span whose reading is remembered.
+REMEMBERED = 64
 _WILD = np.zeros(256, bool)
 _WILD[[ord(c) for c in WILD]] = True
 _BLANK = np.zeros(256, bool)
@@ -136,6 +138,9 @@ class Decoder:
         self.known: dict[str, str] = {}
 
     def restore(self, span: str) -> str:
+        """The best reading of a whole span; time grows with its length, and only readings of short ones are remembered."""
+        if len(span) > REMEMBERED:
+            return self._decode(span)
         found = self.known.get(span)
         if found is None:
             if len(self.known) >= self.MOST:
@@ -143,10 +148,6 @@ class Decoder:
             found = self.known[span] = self._decode(span)
         return found
 
-    def restore_long(self, span: str) -> str:
-        """Long spans stretch by stretch, each from a word's end, so that time and what is remembered stay in proportion."""
-        return "".join(self.restore(span[i : i + STRETCH_OF_SPAN]) for i in range(0, len(span), STRETCH_OF_SPAN))
-
     @staticmethod
     def options(span: str) -> list[list[tuple[int, str, float]]]:
         """For each character: symbol (-1 for none), what it reads as, and cost."""

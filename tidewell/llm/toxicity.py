@@ -50,7 +50,7 @@ def _restored(buf: np.ndarray, offs: np.ndarray, decoder: Decoder) -> tuple[np.n
     parts: list[list[str]] = [[] for _ in range(len(offs) - 1)]
     data = buf.tobytes()
     for r, a, b in zip(rows.tolist(), starts.tolist(), ends.tolist(), strict=True):
-        parts[r].append(decoder.restore_long(data[a:b].decode("utf-8", "ignore")))
+        parts[r].append(decoder.restore(data[a:b].decode("utf-8", "ignore")))
     made = [" ".join(p).encode() for p in parts]
     return np.frombuffer(b"".join(made), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int64)
 
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts have no feature and get the score of the bias; a null id stays null; repeated rows
     get equal scores; an empty table gives an empty one; other columns are not read. A task holds about 1 MB of
-    text, or its longest, at some tens of bytes a byte; a span to restore is decoded in stretches of bounded length.
+    text, or its longest, at some tens of bytes a byte; a span is decoded whole, however long.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES weights and 22,000 counts
 
