@@ -138,6 +138,40 @@ def test_auroc_of_ties_and_single_classes(spark):
     assert got == {"a": 0.75, "b": None}
 
 
+def test_auroc_of_skewed_and_tied_scores(spark):
+    """Nearly all scores in a tiny range, one score that a third of the rows tie in, a head of few rows, a null score: equal to the pairs' count."""
+    r = np.random.default_rng(4)
+    rows = [("a", 0.5 + x * 1e-9, float(r.random() < 0.4 + x / 4)) for x in r.random(3000).tolist()] + [("a", 0.5, float(i % 3 == 0)) for i in range(1500)]
+    rows += [("b", float(i), float(i > 2)) for i in range(4)] + [("c", None, 1.0), ("c", 1.0, 1.0), (None, 1.0, 1.0), (None, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "head string, score double, label double").repartition(7)
+    got = {r.head: r.auroc for r in M.auroc(df, "score", "label", ["head"]).collect()}
+    x, y = (np.array([row[k] for row in rows if row[0] == "a"]) for k in (1, 2))
+    up, down = x[y > 0.5][:, None], x[y < 0.5][None]
+    assert abs(got["a"] - ((up > down).mean() + (up == down).mean() / 2)) < 1e-12 and got["b"] == 1.0 and got["c"] is None and got[None] == 0.5
+    assert abs(M.auroc(df.where("head = 'a'"), "score", "label").first().auroc - got["a"]) < 1e-12
+    plan = M.auroc(df, "score", "label", ["head"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(head" in plan and plan.count("Window") <= 3
+
+
+@pytest.mark.parametrize("mode", P.MODES)
+def test_fused_pooling_equals_pooled_matches(spark, monkeypatch, mode):
+    """Documents over several tasks and batches, a long one, null vectors and ids, ties, one chunk: the states merge to what the rows give."""
+    monkeypatch.setattr(P, "_BLOCK", 7)
+    r = np.random.default_rng(2)
+    rows = [(i % 5, i, r.normal(size=3).tolist()) for i in range(40)] + [(9, i, [1.0, 2.0, 2.0]) for i in range(30)] + [(7, 0, [0.0, 0.0, 0.0]), (8, 0, None), (1, 99, None), (None, 0, [1.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "doc_id long, pos int, emb array<double>").repartition(6)
+    bank = spark.createDataFrame([(i, h, r.normal(size=3).tolist()) for i in range(3) for h in range(2)], "conf_idx int, head int, vec array<double>")
+    plainly = P.pool(P.match(vectors.where("emb IS NOT NULL"), bank), mode)
+    want = {(r.doc_id, r.feat_idx): r.value for r in plainly.collect()}
+    got = {(r.doc_id, r.feat_idx): r.value for r in P.long_features(P.pooled_features(vectors, bank, mode)).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    assert P.pooled_features(vectors.where("false"), bank, mode).count() == 0
+    stretched = P.pool(P.match(vectors.where("emb IS NOT NULL"), bank).withColumn("s", queries.V.stretched("s")), mode)
+    want = {(r.doc_id, r.feat_idx): r.value for r in stretched.collect()}
+    got = {(r.doc_id, r.feat_idx): r.value for r in P.long_features(P.pooled_features(vectors, bank, mode, stretch=True)).collect()}
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
 def test_validation_and_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a,"b"\nc', 1, 0, "train"), (2, "d", 0, 1, "test")], "id long, text string, y int, t int, split string")
     assert T.validate(df, "text", "y", "t", "split").count() == 2

@@ -8,12 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _key(seed: int, tag: str, id_col: Column | str) -> Column:
+def _key(seed: int | Column, tag: str, id_col: Column | str) -> Column:
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(tag), c.cast("string")))
+    s = F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string")
+    return F.md5(F.concat_ws(":", s, F.lit(tag), c.cast("string")))
 
 
-def uniform(seed: int, tag: str, id_col: Column | str) -> Column:
+def uniform(seed: int | Column, tag: str, id_col: Column | str) -> Column:
     """In [0, 1): the first 32 bits of an MD5."""
     return F.conv(F.substring(_key(seed, tag, id_col), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 

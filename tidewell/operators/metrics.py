@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import vectors as V
 
@@ -15,14 +16,52 @@ from ..functions import vectors as V
 def auroc(rows: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """``by, auroc``: the chance that a positive outscores a negative, ties counting half; null with one class.
 
-    Equal scores are added up first, so what is ordered grows with the distinct scores alone.
+    Rows without a score or label don't count. Equal scores are added up first, so ties stay whole; sums by score are dealt to tasks by ranges, and
+    each task tells, for each of ``by``, its sums and what its positives win inside its range. What they win below it follows from these few rows.
     """
     by = by or []
-    counts = rows.groupBy(*by, score).agg(F.sum(F.when(F.col(label) > 0.5, 1.0).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) > 0.5, 0.0).otherwise(1.0)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    won = counts.withColumn("won", F.col("p") * (below + F.col("n") / 2))
-    total = F.sum("p") * F.sum("n")
-    return won.groupBy(*by).agg(F.when(total > 0, F.sum("won") / total).alias("auroc"))
+    there = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    counts = there.groupBy(*by, score).agg(F.sum(F.when(F.col(label) > 0.5, 1.0).otherwise(0.0)).alias("_p"), F.sum(F.when(F.col(label) > 0.5, 0.0).otherwise(1.0)).alias("_n"))
+    kept = [f for f in counts.schema.fields if f.name in by]
+    ranges = counts.select(*by, F.col(score).cast("double").alias("_first"), "_p", "_n").repartitionByRange(*by, "_first").sortWithinPartitions(*by, "_first")
+    schema = StructType([*kept, *(StructField(c, DoubleType()) for c in ("_first", "_p", "_n", "_won"))])
+    parts = ranges.mapInArrow(lambda batches: _range_sums(batches, by), schema)
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # a row a task
+    won = parts.withColumn("_won", F.col("_won") + F.col("_p") * before)
+    total = F.sum("_p") * F.sum("_n")
+    return won.groupBy(*by).agg(F.when(total > 0, F.sum("_won") / total).alias("auroc"))
+
+
+def _range_sums(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """For each of ``by`` in a sorted range: first score, positives, negatives, and what positives win of the range's negatives."""
+    held: list | None = None  # [of, first, p, n, won]
+    schema = None
+
+    def told(h: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*h[0], *h[1:]), schema.types, strict=True)], names=schema.names)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        schema = pa.schema([*(b.schema.field(c) for c in by), *((c, pa.float64()) for c in ("_first", "_p", "_n", "_won"))])
+        first, p, n = (b.column(c).to_numpy() for c in ("_first", "_p", "_n"))
+        new = np.zeros(b.num_rows, bool)
+        for c in by:
+            codes = b.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            new[1:] |= (codes[1:] != codes[:-1]) & ~(np.isnan(codes[1:].astype(float)) & np.isnan(codes[:-1].astype(float)))
+        new[0] = True
+        starts = np.flatnonzero(new).tolist()
+        for i, j in zip(starts, [*starts[1:], b.num_rows], strict=True):
+            of = tuple(b.column(c)[i].as_py() for c in by)
+            won = float((p[i:j] * (np.cumsum(n[i:j]) - n[i:j] / 2)).sum())
+            if held is not None and held[0] == of:
+                held[2:] = [held[2] + p[i:j].sum(), held[3] + n[i:j].sum(), held[4] + won + p[i:j].sum() * held[3]]
+                continue
+            if held is not None:
+                yield told(held)
+            held = [of, float(first[i]), float(p[i:j].sum()), float(n[i:j].sum()), won]
+    if held is not None:
+        yield told(held)
 
 
 def treatment_aurocs(rows: DataFrame) -> DataFrame:

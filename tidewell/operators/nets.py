@@ -196,15 +196,21 @@ class AdamW:
     first: Weights = field(default_factory=dict)
     second: Weights = field(default_factory=dict)
 
-    def step(self, weights: Weights, grads: Weights) -> None:
+    def step(self, weights: Weights, grads: Weights, done: int | None = None) -> None:
+        """One step; the rate has fallen by the steps so far, or by ``done`` of ``steps``."""
         self.at += 1
-        rate = self.rate * (1 - 0.9 * min(1.0, (self.at - 1) / max(1, self.steps - 1)) * self.falls)
+        rate = self.rate * (1 - 0.9 * min(1.0, (self.at - 1 if done is None else done) / max(1, self.steps - 1)) * self.falls)
         for k, g in grads.items():
             m = self.first[k] = 0.9 * self.first.get(k, 0) + 0.1 * g
             v = self.second[k] = 0.999 * self.second.get(k, 0) + 0.001 * g * g
             weights[k] -= rate * (m / (1 - 0.9**self.at) / (np.sqrt(v / (1 - 0.999**self.at)) + 1e-8) + self.decay * weights[k])
 
 
+def count_parameters(weights: Weights) -> int:
+    """Numbers that training may change."""
+    return sum(w.size for w in weights.values())
+
+
 def flat(weights: Weights) -> np.ndarray:
     return np.concatenate([weights[k].ravel() for k in sorted(weights)])
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from ..functions import vectors as V
 
@@ -120,6 +121,161 @@ def pool(matches: DataFrame, mode: str = "attn", group: str = "doc_id", **consta
     return out.select(group, F.inline(F.array(*parts)))
 
 
+# --- matching and pooling in one pass ---------------------------------------------
+# A state is a few numbers for each bank vector; a chunk's similarities are states of one chunk, and states of one document merge.
+
+
+def _lifted(mode: str, s: np.ndarray, tau: float, power: float, top: int) -> list[np.ndarray]:
+    """States of single chunks, from their similarities (chunks by bank)."""
+    if mode == "max":
+        return [s]
+    if mode == "lsep":
+        return [s / tau, np.ones_like(s)]
+    if mode == "attn":
+        return [s / tau, np.ones_like(s), np.clip(s, -50.0, 50.0)]
+    if mode == "gem":
+        return [(np.maximum(s, 0.0) + 1e-6) ** power]
+    if mode == "topk":
+        return [s, *[np.full_like(s, -np.inf)] * (top - 1)]
+    if mode == "stats":
+        return [s, np.zeros_like(s)]
+    if mode == "noisyor":
+        return [np.log1p(-np.clip(1 / (1 + np.exp(-s / tau)), 1e-6, 1 - 1e-6))]
+    raise ValueError(f"unknown pooling mode {mode!r}; known: {', '.join(MODES)}")
+
+
+def _merged(mode: str, state: list[np.ndarray], n: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """States and chunk counts of runs of rows that begin at ``starts``."""
+    add = lambda x: np.add.reduceat(x, starts)
+    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(n))))
+    total = add(n)
+    if mode == "max":
+        return [np.maximum.reduceat(state[0], starts)], total
+    if mode in ("lsep", "attn"):  # running sums of exponentials, relative to the greatest
+        most = np.maximum.reduceat(state[0], starts)
+        scale = np.exp(state[0] - most[run])
+        return [most, *(add(x * scale) for x in state[1:])], total
+    if mode == "topk":
+        every, found = np.concatenate(state), []
+        at = np.tile(run, len(state))
+        order = np.argsort(at, kind="stable")
+        every, firsts = every[order], np.searchsorted(at[order], np.arange(len(starts)))
+        at, place = at[order], np.arange(len(order))[:, None]
+        for _ in state:
+            best = np.maximum.reduceat(every, firsts)
+            found.append(best)
+            taken = np.minimum.reduceat(np.where(every == best[at], place, len(order)), firsts)  # one of those that tie
+            every[taken, np.arange(every.shape[1])] = -np.inf
+        return found, total
+    if mode == "stats":  # means and sums of squares about them
+        mean = add(state[0] * n[:, None]) / np.maximum(total, 1)[:, None]
+        return [mean, add(state[1] + n[:, None] * (state[0] - mean[run]) ** 2)], total
+    return [add(state[0])], total
+
+
+def _finished(mode: str, state: list[np.ndarray], n: np.ndarray, tau: float, power: float, top: int) -> np.ndarray:
+    """Features of documents of ``n`` chunks: one for each bank vector, two for ``stats``."""
+    n = n[:, None]
+    if mode == "max":
+        return state[0]
+    if mode == "lsep":
+        return tau * (state[0] + np.log(state[1]))
+    if mode == "attn":
+        return state[2] / state[1]
+    if mode == "gem":
+        return (state[0] / n) ** (1 / power)
+    if mode == "topk":
+        return sum(np.where(np.isneginf(t), 0.0, t) for t in state) / np.minimum(n, top)
+    if mode == "stats":
+        return np.hstack([state[0], np.sqrt(state[1] / n + 1e-6)])
+    some = -np.expm1(state[0])
+    return np.log(some / (1 - some))
+
+
+def bank_matrix(bank: DataFrame) -> np.ndarray:
+    """Unit vectors of a bank (conf_idx, head, vec) of checked size, in order."""
+    if bank.count() > MOST_BANK:
+        raise ValueError(f"a bank has at most {MOST_BANK} vectors")
+    rows = bank.orderBy("conf_idx", "head").select(V.normalised("vec").alias("vec")).collect()
+    return np.array([r.vec for r in rows], np.float64)
+
+
+def pooled_features(vectors: DataFrame, bank: DataFrame, mode: str = "attn", group: str = "doc_id", emb: str = "emb", stretch: bool = False, tau: float = TAU, power: float = POWER, top: int = TOP) -> DataFrame:
+    """``group, features``: what ``pool`` makes of ``match``, as an array in the bank's order.
+
+    A task multiplies its chunks by the bank and merges what belongs to one document at once, so a state a document leaves it, not a
+    row for each chunk and bank vector; states of a document that several tasks hold are merged after one exchange. ``stretch``:
+    similarities are stretched by arctanh first. Chunks without a vector don't count; a document with none has no row.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown pooling mode {mode!r}; known: {', '.join(MODES)}")
+    matrix = bank_matrix(bank)
+    k = len(matrix)
+    held = vectors.sparkSession.sparkContext.broadcast(matrix)
+    key = vectors.schema[group]
+    partial = StructType([key, StructField("n", LongType()), StructField("state", BinaryType())])
+
+    def groups(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """An order that brings groups together, and where each begins in it."""
+        codes = np.nan_to_num(ids.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.float64), nan=-1)
+        order = np.argsort(codes, kind="stable")
+        return order, np.flatnonzero(np.concatenate([[True], np.diff(codes[order]) != 0]))
+
+    def unpacked(states: pa.Array) -> list[np.ndarray]:
+        every = np.frombuffer(b"".join(states.to_pylist())).reshape(len(states), -1, k)
+        return [every[:, i] for i in range(every.shape[1])]
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = held.value
+        for b in batches:
+            b = b.filter(b.column(emb).is_valid())
+            for i in range(0, b.num_rows, _BLOCK):
+                some = b.slice(i, _BLOCK)
+                order, starts = groups(some.column(group))
+                x = some.column(emb).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(some.num_rows, -1)[order]
+                s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)) @ unit.T
+                if stretch:
+                    s = np.arctanh(np.clip(s, -0.999, 0.999))
+                state, n = _merged(mode, _lifted(mode, s, tau, power, top), np.ones(len(s), np.int64), starts)
+                stacked = np.stack(state, 1)
+                yield pa.RecordBatch.from_arrays([some.column(group).take(pa.array(order[starts])), pa.array(n), pa.array([row.tobytes() for row in stacked], pa.binary())], names=[group, "n", "state"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.Table | None = None  # of one group, which may go on
+
+        def done(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.combine_chunks()
+            ids = rows.column(group).combine_chunks()
+            order, starts = groups(ids)
+            n = rows.column("n").to_numpy()[order]
+            state, total = _merged(mode, [x[order] for x in unpacked(rows.column("state"))], n, starts)
+            made = _finished(mode, state, total, tau, power, top)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, made.shape[1]), pa.int32()), pa.array(made.ravel()))
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(order[starts])), lists], names=[group, "features"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b]) if last is None else pa.concat_tables([last, pa.Table.from_batches([b])])
+            ids = rows.column(group).to_pylist()
+            cut = next((i + 1 for i in range(len(ids) - 2, -1, -1) if ids[i] != ids[-1]), 0)
+            if cut:
+                yield done(rows.slice(0, cut))
+            last = rows.slice(cut)
+        if last is not None:
+            yield done(last)
+
+    states = vectors.select(group, emb).mapInArrow(match, partial)
+    if not k:
+        return states.select(group).distinct().withColumn("features", F.array().cast("array<double>"))
+    return states.repartition(group).sortWithinPartitions(group).mapInArrow(merge, StructType([key, StructField("features", ArrayType(DoubleType()))]))
+
+
+def long_features(features: DataFrame, group: str = "doc_id") -> DataFrame:
+    """``group, feat_idx, value`` of arrays of features."""
+    return features.select(group, F.posexplode("features").alias("feat_idx", "value"))
+
+
 def mean_vectors(vectors: DataFrame, group: str = "doc_id", emb: str = "emb") -> DataFrame:
     """Features without a bank: the mean of a document's vectors."""
     return vectors.select(group, F.posexplode(V.doubles(emb)).alias("feat_idx", "x")).groupBy(group, "feat_idx").agg(F.avg("x").alias("value"))

@@ -41,6 +41,23 @@ def split_rows(df: DataFrame, fraction: float, seed: int, id_col: str = "doc_id"
     return df.withColumn(name, F.when(rng.uniform(seed, "split", id_col) < fraction, "train").otherwise("eval"))
 
 
+#: Experiments that are joined to the rows at once.
+MOST_EXPERIMENTS = 10_000
+
+
+def experiments(rows: DataFrame, scenarios: DataFrame, repeats: int, fraction: float, id_col: str = "doc_id") -> DataFrame:
+    """``rows`` once for each scenario (``scenario_idx``, ..) and repeat, with ``repeat_idx``, ``model``, the experiment's number and seed, and
+    ``sim_split``: ``train`` for about ``fraction`` of an experiment's rows, by id, else ``eval``.
+
+    The grid, of checked size, is broadcast to the rows; nothing is shuffled.
+    """
+    if (n := scenarios.count() * repeats) > MOST_EXPERIMENTS:
+        raise ValueError(f"{n} experiments at once; at most {MOST_EXPERIMENTS}")
+    grid = scenarios.withColumn("repeat_idx", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("model", (1000 * F.col("scenario_idx") + F.col("repeat_idx")).cast("int"))
+    split = F.when(rng.uniform(F.col("model"), "split", id_col) < fraction, "train").otherwise("eval")
+    return rows.crossJoin(F.broadcast(grid)).withColumn("sim_split", split)
+
+
 def folds(df: DataFrame, k: int, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     return df.withColumn("cv_fold", rng.fold(k, seed, id_col))
 
@@ -61,6 +78,19 @@ def exact_folds(df: DataFrame, k: int, seed: int = 42, id_col: str = "doc_id") -
     return placed.withColumn("cv_fold", (fold + 1).cast("int")).drop("_k", "_b", "_before", "_all", "_at")
 
 
+def numbered(df: DataFrame, by: str, name: str, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
+    """``df`` with numbers from 0 without gaps within each value of ``by``, in the order of a hash of the id.
+
+    As in ``exact_folds``, a row's number is its place in its hash bucket and the rows of the buckets before, of which there are at most 4,096 for each value.
+    """
+    keyed = df.withColumn("_k", rng.order_key(seed, "number", id_col)).withColumn("_b", F.substring("_k", 1, 3))
+    counts = keyed.groupBy(by, "_b").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(by).orderBy("_b")) - F.col("_n")).drop("_n")
+    placed = keyed.join(F.broadcast(before), [by, "_b"])
+    nth = F.col("_before") + F.row_number().over(Window.partitionBy(by, "_b").orderBy("_k", id_col)) - 1
+    return placed.withColumn(name, nth.cast("long")).drop("_k", "_b", "_before")
+
+
 def sampled(df: DataFrame, most: int, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     """At most ``most`` rows, the same on any partitioning: those first in the order of a hash."""
     return df.orderBy(rng.order_key(seed, "sample", id_col), id_col).limit(most)

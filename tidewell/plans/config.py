@@ -36,13 +36,13 @@ class Architecture:
 
 @dataclass
 class Training:
-    """``batch_size`` is read and kept but has no effect: each step sums the gradients of all rows."""
+    """``batch_size`` rows make a step; None makes an epoch one step over all rows."""
 
     learning_rate: float = 1e-4
     optimizer: str = "adamw"
     lr_schedule: str = "linear"
     epochs: int = 50
-    batch_size: int = 8
+    batch_size: int | None = 8
     alpha_propensity: float = 1.0
     beta_targreg: float = 0.1
     init_latents_from_kmeans: bool = True
@@ -165,6 +165,8 @@ class Experiment:
                 wrong.append(f"{where}: unknown optimizer {t.optimizer!r}")
             if t.epochs < 1 or t.learning_rate <= 0:
                 wrong.append(f"{where}: epochs and learning_rate must be above 0")
+            if t.batch_size is not None and t.batch_size < 1:
+                wrong.append(f"{where}: batch_size must be above 0, or null for one step an epoch")
         for s in plasmode.plasmode_scenarios:
             if s.deep_nonlinear_dropout or s.uplift_dropout:
                 wrong.append("simulated effects have no dropout: deep_nonlinear_dropout and uplift_dropout must be 0")

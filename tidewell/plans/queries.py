@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ..functions.embed import embed
 from ..operators import metrics as M
 from ..operators import pooling as P
 from ..operators import tables as T
-from . import estimate, plasmode, scm
+from . import estimate, plasmode, runner, scm
 from .plasmode import Scenario
 
 QUERIES: dict = {}
@@ -202,7 +203,8 @@ _POOLED = {
 
 def _pool(mode: str):
     def run(spark, d):
-        return P.pool(matches(spark, d), mode).select("doc_id", "feat_idx", r6(F.col("value"), "value"))
+        made = P.pooled_features(vectors(spark, d), bank(spark, d), mode)
+        return P.long_features(made).select("doc_id", "feat_idx", r6(F.col("value"), "value"))
 
     run.__name__ = f"pool_{mode}"
     return run
@@ -221,7 +223,7 @@ def pool_without_bank(spark, d):
 def document_features(spark, d, mode: str = "attn", threshold: float = 0.9) -> DataFrame:
     """Documents to pooled features: chunk, embed, drop near-duplicates, match, pool, standardise."""
     chunks = embed(X.explode_chunks(read(spark, d, "documents")))
-    return P.standardise(P.pool(P.match(P.drop_near_duplicates(chunks, threshold), bank(spark, d)), mode))
+    return P.standardise(P.long_features(P.pooled_features(P.drop_near_duplicates(chunks, threshold), bank(spark, d), mode)))
 
 
 @query(
@@ -238,20 +240,24 @@ def document_features_attn(spark, d):
 
 
 @query(
-    f"""WITH {MATCHES}, k AS (SELECT conf_idx, row_number() OVER w AS rank, s, doc_id, pos FROM m WINDOW w AS (PARTITION BY conf_idx ORDER BY s DESC, doc_id, pos) QUALIFY rank <= 10)
-    SELECT conf_idx, CASE WHEN conf_idx < 3 THEN 'explicit' ELSE 'latent' END AS confounder_type, rank, {s6('s', 'activation')}, k.doc_id, pos, left(text, 40) AS chunk_text FROM k LEFT JOIN documents d ON d.doc_id = k.doc_id"""
+    f"""WITH {EMBEDDED},{BANK}, unit AS (SELECT conf_idx, k - 1 AS k, x / sqrt(sum(x * x) OVER (PARTITION BY conf_idx)) AS x FROM bk),
+    hit AS (SELECT e.doc_id, e.pos, u.conf_idx, round(sum(e.v * u.x), 9) + 0.0 AS s FROM emb e JOIN unit u USING (k) GROUP BY ALL),
+    r AS (SELECT conf_idx, row_number() OVER w AS rank, s, doc_id, pos FROM hit WINDOW w AS (PARTITION BY conf_idx ORDER BY s DESC, doc_id, pos) QUALIFY rank <= 10)
+    SELECT conf_idx, CASE WHEN conf_idx < 3 THEN 'explicit' ELSE 'latent' END AS confounder_type, rank, {s6('s', 'activation')}, doc_id, pos, md5(chunk) AS chunk_md5 FROM r JOIN chunks USING (doc_id, pos)"""
 )
 def interpret_top_chunks(spark, d):
-    texts = read(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("chunk"))  # made-up documents' texts stand for chunks'
-    top = M.top_chunks(matches(spark, d).join(texts, "doc_id", "left"), explicit=3)
-    return top.select("conf_idx", "confounder_type", "rank", r6(F.col("activation"), "activation"), "doc_id", "pos", "chunk_text")
+    """The documents' chunks that speak most for each of the bank's vectors; sums of floating numbers are rounded before they are ordered."""
+    chunks = X.explode_chunks(read(spark, d, "documents"))
+    found = P.match(embed(chunks.withColumn("_text", F.col("chunk")), text="_text"), bank(spark, d)).withColumn("s", F.round("s", 9) + 0.0)
+    top = M.top_chunks(found, explicit=3)
+    return top.select("conf_idx", "confounder_type", "rank", r6(F.col("activation"), "activation"), "doc_id", F.col("pos").cast("long").alias("pos"), F.md5("chunk_text").alias("chunk_md5"))
 
 
 @query(f"WITH {MATCHES} SELECT doc_id, conf_idx AS feat_idx, conf_idx // 2 AS confounder, conf_idx % 2 AS head, {s6('max(s)', 'value')} FROM m GROUP BY ALL")
 def pool_two_heads(spark, d):
     """The bank's vectors as two heads of half as many confounders."""
     heads = bank(spark, d).select(F.floor(F.col("conf_idx") / 2).cast("int").alias("conf_idx"), (F.col("conf_idx") % 2).cast("int").alias("head"), "vec")
-    out = P.pool(P.match(vectors(spark, d), heads), "max")
+    out = P.long_features(P.pooled_features(vectors(spark, d), heads, "max"))
     return out.select("doc_id", "feat_idx", F.floor(F.col("feat_idx") / 2).alias("confounder"), (F.col("feat_idx") % 2).alias("head"), r6(F.col("value"), "value"))
 
 
@@ -261,10 +267,10 @@ def padded_features(spark, d):
     return vectors(spark, d).select("doc_id", "pos", F.size(p).alias("n"), r6(F.aggregate(p, F.lit(0.0), lambda s, x: s + x), "total"), F.element_at(p, 70).alias("last"))
 
 
-@query(f"WITH {BANK} SELECT n.vec_id AS conf_idx, {s6('coalesce(b.vec, n.embedding::DOUBLE[])[1]', 'first')}, b.vec IS NOT NULL AS taken FROM (SELECT * FROM embeddings WHERE vec_id < 30) n LEFT JOIN bank b ON b.conf_idx = n.vec_id")
+@query(f"WITH {BANK} SELECT n.vec_id AS conf_idx, {s6('coalesce(b.vec, n.embedding::DOUBLE[])[1]', 'first')}, b.vec IS NOT NULL AS taken FROM embeddings n LEFT JOIN bank b ON b.conf_idx = n.vec_id")
 def transferred_bank(spark, d):
     """A pretrained bank carried into a longer one."""
-    new = read(spark, d, "embeddings").where("vec_id < 30").select(F.col("vec_id").alias("conf_idx"), F.lit(0).alias("head"), V.doubles("embedding").alias("vec"))
+    new = read(spark, d, "embeddings").select(F.col("vec_id").alias("conf_idx"), F.lit(0).alias("head"), V.doubles("embedding").alias("vec"))
     old = bank(spark, d)
     out = estimate.transferred_bank(old, new).join(old.select("conf_idx", F.lit(True).alias("_t")), "conf_idx", "left")
     return out.select("conf_idx", r6(F.element_at("vec", 1), "first"), F.coalesce("_t", F.lit(False)).alias("taken"))
@@ -282,7 +288,7 @@ FEATURES = MATCHES + ", f AS (SELECT doc_id, conf_idx AS feat_idx, sum(exp(s) *
 
 
 def features(spark, d):
-    return P.pool(matches(spark, d), "attn")
+    return P.long_features(P.pooled_features(vectors(spark, d), bank(spark, d), "attn"))
 
 
 @query(f"WITH {FEATURES} SELECT feat_idx // 2 AS confounder_idx, feat_idx % 2 AS sub_feature_idx, {', '.join(s6(f'{f}(value)', n) for f, n in (('avg', 'mean'), ('stddev_pop', 'std'), ('min', 'min'), ('max', 'max')))}, {s6('max(value) - min(value)', 'range')} FROM f GROUP BY feat_idx")
@@ -301,18 +307,28 @@ def feature_correlations(spark, d):
     return M.correlations(features(spark, d), 0.1).select("feature_i", "feature_j", r6(F.col("correlation"), "correlation", 5), *[r6(F.col(c), c, 6 if c[0] == "m" else 5) for c in ("mean_i", "mean_j", "std_i", "std_j")])
 
 
-@query(f"WITH {BANK}, z AS (SELECT a.conf_idx AS latent_idx, {COS.format('a.vec', 'b.e')} AS c FROM bank a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON b.vec_id = a.conf_idx) SELECT latent_idx, {s6('c', 'cosine_similarity')}, {s6('1 - c', 'drift')}, c < 0.95 AS drifted FROM z")
+DRIFT = f"""
+    hk AS (SELECT label AS latent_idx, vec_id % 2 AS half, k, avg(embedding[k]::DOUBLE) AS x FROM embeddings, range(1, 65) AS t(k) GROUP BY ALL),
+    hb AS (SELECT latent_idx, half, list(x ORDER BY k) AS vec FROM hk GROUP BY ALL),
+    z AS (SELECT a.latent_idx, {COS.format('a.vec', 'b.vec')} AS c FROM hb a JOIN hb b ON a.latent_idx = b.latent_idx AND a.half = 0 AND b.half = 1)"""
+
+
+def _drift(spark, d) -> DataFrame:
+    """Mean vectors of the labels over rows of even ids, and over those of odd ones, as a bank before and after training."""
+    long = read(spark, d, "embeddings").select(F.col("label").alias("latent_idx"), (F.col("vec_id") % 2).alias("half"), F.posexplode(V.doubles("embedding")).alias("k", "x"))
+    means = long.groupBy("latent_idx", "half", "k").agg(F.avg("x").alias("x")).groupBy("latent_idx", "half").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("vec"))
+    first, last = (means.where(F.col("half") == h).select("latent_idx", "vec") for h in (0, 1))
+    return M.latent_drift(first, last)
+
+
+@query(f"WITH {DRIFT} SELECT latent_idx, {s6('c', 'cosine_similarity')}, {s6('1 - c', 'drift')}, c < 0.95 AS drifted FROM z")
 def latent_drift(spark, d):
-    last = read(spark, d, "embeddings").select(F.col("vec_id").alias("latent_idx"), F.col("embedding").alias("vec"))
-    out = M.latent_drift(bank(spark, d).withColumnRenamed("conf_idx", "latent_idx"), last)
-    return out.select("latent_idx", r6(F.col("cosine_similarity"), "cosine_similarity"), r6(F.col("drift"), "drift"), (F.col("cosine_similarity") < 0.95).alias("drifted"))
+    return _drift(spark, d).select("latent_idx", r6(F.col("cosine_similarity"), "cosine_similarity"), r6(F.col("drift"), "drift"), (F.col("cosine_similarity") < 0.95).alias("drifted"))
 
 
-@query(f"WITH {BANK}, z AS (SELECT {COS.format('a.vec', 'b.e')} AS c FROM bank a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON b.vec_id = a.conf_idx) SELECT {s6('avg(c)', 'mean')}, {s6('min(c)', 'min')}, {s6('max(c)', 'max')}, count(*) FILTER (WHERE c < 0.95) AS n_drifted FROM z")
+@query(f"WITH {DRIFT} SELECT {s6('avg(c)', 'mean')}, {s6('min(c)', 'min')}, {s6('max(c)', 'max')}, count(*) FILTER (WHERE c < 0.95) AS n_drifted FROM z")
 def drift_summary(spark, d):
-    last = read(spark, d, "embeddings").select(F.col("vec_id").alias("latent_idx"), F.col("embedding").alias("vec"))
-    out = M.drift_summary(M.latent_drift(bank(spark, d).withColumnRenamed("conf_idx", "latent_idx"), last))
-    return out.select(*[r6(F.col(c), c) for c in ("mean", "min", "max")], "n_drifted")
+    return M.drift_summary(_drift(spark, d)).select(*[r6(F.col(c), c) for c in ("mean", "min", "max")], "n_drifted")
 
 
 # --- metrics, losses, splits ------------------------------------------------------
@@ -402,10 +418,16 @@ def remaining_ids(spark, d):
     return T.remaining(2000, read(spark, d, "labels").withColumnRenamed("doc_id", "patient_id"))
 
 
-@query("SELECT s.s AS scenario_idx, r.r AS repeat_idx, 1000 * s.s + r.r AS seed FROM range(4) s(s), range(3) r(r)")
-def task_grid(spark, d):
-    s, r = spark.range(4).withColumnRenamed("id", "scenario_idx"), spark.range(3).withColumnRenamed("id", "repeat_idx")
-    return s.crossJoin(r).withColumn("seed", 1000 * F.col("scenario_idx") + F.col("repeat_idx"))
+@query(
+    f"""WITH s AS (SELECT lang, (row_number() OVER (ORDER BY lang) - 1)::INT AS scenario_idx FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
+    g AS (SELECT *, 1000 * scenario_idx + repeat_idx AS model FROM s, (SELECT unnest(range(3))::INT AS repeat_idx))
+    SELECT doc_id, scenario_idx, repeat_idx, model, CASE WHEN {U("' || model || '", "split", "doc_id")} < 0.8 THEN 'train' ELSE 'eval' END AS sim_split FROM labels, g"""
+)
+def experiment_rows(spark, d):
+    """The labelled rows in every experiment: a scenario for each language, three repeats, each with its own split."""
+    langs = read(spark, d, "documents").where("lang IS NOT NULL").select("lang").distinct()
+    scenarios = T.category_index(langs, "lang", "scenario_idx").drop("lang")
+    return T.experiments(read(spark, d, "labels").select("doc_id"), scenarios, 3, 0.8).select("doc_id", F.col("scenario_idx").cast("int").alias("scenario_idx"), "repeat_idx", "model", "sim_split")
 
 
 # --- simulation -------------------------------------------------------------------
@@ -538,41 +560,45 @@ def scm_calibrated_statistics(spark, d):
 
 
 def analysis_rows(spark, d) -> DataFrame:
-    """Documents' features with quality as treatment and toxicity as outcome: a test convenience without causal meaning."""
-    feats = document_features(spark, d).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("feat_idx", "value"))), lambda s: s["value"]).alias("features"))
+    """Documents' features, not standardised, with quality as treatment and toxicity as outcome: a test convenience without causal meaning."""
+    chunks = P.drop_near_duplicates(embed(X.explode_chunks(read(spark, d, "documents"))), 0.9)
+    feats = P.pooled_features(chunks, bank(spark, d), "attn")
     return feats.join(read(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("t"), F.col("toxic").cast("double").alias("y")), "doc_id")
 
 
 @query()
 def cross_fitted_effects(spark, d):
-    rows = T.folds(analysis_rows(spark, d), 3)
-    fitted = estimate.train(rows, estimate.Design(10, trunk=(16, 16), outcome=(8,)), folds=3, steps=10, beta=0.1, validation=0.1)
-    return estimate.predict(rows, fitted).drop("features")
+    """Each fold is standardised by the other folds' moments and predicted by a network of theirs; all are trained together."""
+    rows = estimate.fold_models(T.folds(analysis_rows(spark, d), 3), 3)
+    fitted = estimate.train(rows.where("cv_fold <> model"), estimate.Design(10, trunk=(16, 16), outcome=(8,)), models=[1, 2, 3], steps=10, beta=0.1, validation=0.1, batch_size=64)
+    return estimate.predict(rows.where("cv_fold = model"), fitted, model_col="model").drop("features", "model")
 
 
 @query()
 def plasmode_recovery(spark, d):
-    """Known effects, estimated on the features that made them, scored on the rows held out."""
-    parts = None
+    """Known effects, estimated on the features that made them, scored on the rows held out; one training serves all modes."""
+    parts = []
     for i, mode in enumerate(plasmode.MODES):
         rows = T.split_rows(_plasmode_rows(spark, d), 0.8, i).withColumn("in_train", F.col("split") == "train")
         made = plasmode.simulate(rows, 64, Scenario(mode, deep_nonlinear_hidden_dims=(8, 4)), i, 0, F.col("in_train"))
-        fitted = estimate.train(made.where("in_train"), estimate.Design(64, "uplift", trunk=(16,), outcome=(8,)), steps=10)
-        out = estimate.predict(made.where("NOT in_train"), fitted).withColumn("estimated_ite", F.col("ite_logit"))
-        scored = M.recovery_scores(out.withColumn("generation_mode", F.lit(mode)), ["generation_mode"])
-        parts = scored if parts is None else parts.unionByName(scored)
-    return parts
+        parts.append(made.withColumns({"generation_mode": F.lit(mode), "model": F.lit(i)}))
+    rows = reduce(DataFrame.unionByName, parts)
+    fitted = estimate.train(rows.where("in_train"), estimate.Design(64, "uplift", trunk=(16,), outcome=(8,)), steps=10, models=list(range(len(parts))), id_col="doc_id")
+    out = estimate.predict(rows.where("NOT in_train"), fitted, model_col="model").withColumn("estimated_ite", F.col("ite_logit"))
+    return M.recovery_scores(out, ["generation_mode"])
 
 
 @query()
 def multi_arm_pretraining(spark, d):
     """A network with an arm for each language, then its trunk in a wider binary design that is trained on: the losses of both."""
     arms = T.category_index(read(spark, d, "documents").select("doc_id", "lang"), "lang", "t")
-    rows = analysis_rows(spark, d).drop("t").join(arms, "doc_id")
+    raw = analysis_rows(spark, d)
+    rows = runner.standardised(raw, runner.feature_moments(raw)).drop("t").join(arms, "doc_id")
     n = arms.agg(F.max("t")).first()[0] + 1
     fitted = estimate.train(rows, estimate.Design(10, "arms", trunk=(16, 16), outcome=(8,), arms=int(n)), steps=8, beta=0.1)
-    wider = analysis_rows(spark, d).withColumn("features", V.padded("features", 10, 12))
-    moved = estimate.train(wider, estimate.Design(12, trunk=(16, 16), outcome=(8,)), steps=4, beta=0.1, validation=0.1, start=fitted.weights[0])
+    validates = rng.uniform(42, "validation", "doc_id") < 0.1
+    wider = runner.standardised(raw, runner.feature_moments(raw.where(~validates))).withColumn("features", V.padded("features", 10, 12))
+    moved = estimate.train(wider, estimate.Design(12, trunk=(16, 16), outcome=(8,)), steps=4, beta=0.1, validation=validates, start=fitted.weights[0])
     logs = [estimate.log_table(f, spark).withColumn("phase", F.lit(p)) for p, f in (("pretraining", fitted), ("transferred", moved))]
     return logs[0].unionByName(logs[1]).drop("fold")
 

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import rng
 from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.embed import Embedder, embed, hash_embedder
@@ -87,11 +88,8 @@ def confounder_bank(chunks: DataFrame, arch: Architecture, seed: int = 42, embed
 
 def feature_rows(docs: DataFrame, chunks: DataFrame, bank: DataFrame, arch: Architecture) -> tuple[DataFrame, int]:
     """``docs`` with ``features`` (array of doubles; zeros for documents without words), and their number; not standardised."""
-    matched = P.match(chunks.drop("chunk"), bank)
-    if arch.arctanh_transform:
-        matched = matched.withColumn("s", V.stretched("s"))
     n = bank.count() * (2 if arch.aggregator_mode == "stats" else 1)
-    wide = P.pool(matched, arch.aggregator_mode).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("feat_idx", "value"))), lambda s: s["value"]).alias("features"))
+    wide = P.pooled_features(chunks, bank, arch.aggregator_mode, stretch=arch.arctanh_transform)
     return docs.join(wide, "doc_id", "left").withColumn("features", F.coalesce("features", F.array_repeat(F.lit(0.0), n))), n
 
 
@@ -122,10 +120,10 @@ PRETRAINING_DECAY, DECAY = 0.01, 1e-4
 INNER_VALIDATION = 0.1
 
 
-def fit(rows: DataFrame, design: Design, training: Training, folds: int = 0, seed: int = 42, start: Weights | None = None, validation: Column | float | None = None, optimizer: str = "adamw", decay: float = DECAY) -> estimate.Fitted:
+def fit(rows: DataFrame, design: Design, training: Training, folds: int = 0, seed: int = 42, start: Weights | None = None, validation: Column | float | None = None, optimizer: str = "adamw", decay: float = DECAY, **more) -> estimate.Fitted:
     return estimate.train(
         rows, design, folds, steps=training.epochs, rate=training.learning_rate, alpha=training.alpha_propensity, beta=training.beta_targreg, seed=seed,
-        start=start, validation=validation, optimizer=optimizer, decay=decay, schedule=training.lr_schedule,
+        start=start, validation=validation, optimizer=optimizer, decay=decay, schedule=training.lr_schedule, batch_size=training.batch_size, **more,
     )
 
 
@@ -229,8 +227,8 @@ class ExperimentRunner:
         """Known effects put onto the data's features and estimated again, for each scenario and repeat.
 
         A generator network is trained on the data as they are, without validation. Effects come from the features that it
-        sees; the evaluator sees those too (``oracle_mode``), or its own of the texts. A scenario and repeat that fails is a row of
-        ``status`` with its error; the others go on.
+        sees; the evaluator sees those too (``oracle_mode``), or its own of the texts. A scenario and repeat that can't be simulated is a row of
+        ``status`` with its error; the others go on. All evaluators are trained together, so jobs grow with the epochs, not with the experiments.
         """
         c, a = self.config.plasmode_experiments, self.config.applied_inference
         docs = self._rows(a.dataset_path, a.text_column, a.outcome_column, a.treatment_column, None, "plasmode")
@@ -241,44 +239,57 @@ class ExperimentRunner:
         estimate.save_network(generator, f"{self.out}/plasmode/generator/network", self.spark, bank, **self._meta(c.generator_architecture))
         S.write_log(estimate.log_table(generator, self.spark), f"{self.out}/plasmode/generator/training_log")
         seen, m = (made_by, n) if c.oracle_mode else self._features(docs, self._chunks(docs, c.evaluator_architecture, "plasmode/evaluator"), c.evaluator_architecture, "plasmode/evaluator", c.evaluator_training)[:2]
-        results, status = [], []
+        done, status = [], []
         for i, s in enumerate(c.plasmode_scenarios):
             for r in range(c.num_repeats):
                 try:
-                    results.append(self._experiment(made_by, n, seen, m, s, i, r))
+                    done.append((i, r, 1000 * i + r, s.generation_mode, float(s.target_ate_logit), self._simulated(made_by, n, seen, s, i, r)))
                     status.append((i, r, "done", None))
                 except Exception as e:  # told in the status table, so that one scenario doesn't stop the others
                     status.append((i, r, "failed", f"{type(e).__name__}: {e}"[:2000]))
         S.write_log(self.spark.createDataFrame(status, "scenario_idx int, repeat_idx int, status string, error string"), f"{self.out}/plasmode/status")
         failed = sum(x[2] == "failed" for x in status)
-        if not results:
+        if not done:
             return {"experiments": 0, "failed": failed, "status": f"{self.out}/plasmode/status"}
-        results = reduce(DataFrame.unionByName, results)
+        grid = self.spark.createDataFrame([x[:5] for x in done], "scenario_idx int, repeat_idx int, model int, generation_mode string, target_ate double")
+        results = self._evaluated(self.spark.read.parquet(*(x[5] for x in done)), m, grid)
         S.write_log(results, f"{self.out}/plasmode/results")
         measures = ["ate_bias", "ate_rmse", "ite_correlation", "ite_regression_slope"]
         summary = results.groupBy("generation_mode").agg(*[f(x).alias(f"{x}_{k}") for x in measures for k, f in (("mean", F.avg), ("std", F.stddev_samp))])
         summary = summary.select("generation_mode", *[F.round(x, 4).alias(x) for x in summary.columns[1:]])
-        return {"experiments": len(status) - failed, "failed": failed, "results": f"{self.out}/plasmode/results", "status": f"{self.out}/plasmode/status", "summary": [x.asDict() for x in summary.collect()]}
+        return {"experiments": len(done), "failed": failed, "results": f"{self.out}/plasmode/results", "status": f"{self.out}/plasmode/status", "summary": [x.asDict() for x in summary.collect()]}
 
-    def _experiment(self, made_by: DataFrame, n: int, seen: DataFrame, m: int, s: PlasmodeScenario, i: int, r: int) -> DataFrame:
-        """One scenario and repeat: its scores, one row."""
-        c = self.config.plasmode_experiments
-        rows = T.split_rows(made_by, c.train_fraction, 1000 * i + r, name="sim_split")
+    def _simulated(self, made_by: DataFrame, n: int, seen: DataFrame, s: PlasmodeScenario, i: int, r: int) -> str:
+        """The rows of one scenario and repeat, written: ``model``, what the evaluator sees, the simulated columns, and which rows validate."""
+        c, seed = self.config.plasmode_experiments, 1000 * i + r
+        rows = T.split_rows(made_by, c.train_fraction, seed, name="sim_split")
         data = plasmode.simulate(rows, n, s.scenario(), i, r, F.col("sim_split") == "train")
-        tags = {"generation_mode": F.lit(s.generation_mode), "scenario_idx": F.lit(i), "repeat_idx": F.lit(r)}
-        data = data.withColumns(tags)
-        if c.save_datasets:  # else the draws, which follow from ids, are made again where they are needed
-            data = S.write_table(data, f"{self.out}/plasmode/data/{i}-{r}")
+        if c.save_datasets:
             S.write_json({"scenario_idx": i, "repeat_idx": r, "train_fraction": c.train_fraction, "oracle_mode": c.oracle_mode, **dataclasses.asdict(s)}, f"{self.out}/plasmode/params/{i}-{r}", self.spark)
         if not c.oracle_mode:
             data = data.drop("features").join(seen.select("doc_id", "features"), "doc_id")
             data = standardised(data, feature_moments(data.where("sim_split = 'train'")))
-        fitted = fit(data.where("sim_split = 'train'"), design_of(c.evaluator_architecture, m), c.evaluator_training, seed=1000 * i + r, validation=INNER_VALIDATION)
-        if c.save_datasets:
-            S.write_log(estimate.log_table(fitted, self.spark), f"{self.out}/plasmode/logs/{i}-{r}")
-        found = estimate.predict(data.where("sim_split = 'eval'"), fitted).withColumn("estimated_ite", F.col("ite_logit"))
-        scores = M.recovery_scores(found, list(tags)).withColumns({"target_ate": F.lit(float(s.target_ate_logit)), "oracle_mode": F.lit(c.oracle_mode), "train_fraction": F.lit(c.train_fraction)})
-        return S.write_table(scores, f"{self.out}/plasmode/scores/{i}-{r}")
+        data = data.withColumns({"model": F.lit(seed), "validates": rng.uniform(seed, "validation", "doc_id") < INNER_VALIDATION})
+        path = f"{self.out}/plasmode/data/{i}-{r}"
+        S.write_table(data, path)
+        return path
+
+    def _evaluated(self, rows: DataFrame, m: int, grid: DataFrame) -> DataFrame:
+        """Scores of all experiments, whose networks are trained in the same jobs: ``rows`` by ``model``, of which ``grid`` has a row each.
+
+        In ``oracle_mode`` networks are heads on the true features alone, their rate falls by the epoch and validation leaves the targeted term out.
+        """
+        c = self.config.plasmode_experiments
+        design, more = design_of(c.evaluator_architecture, m), {}
+        if c.oracle_mode:
+            design, more = dataclasses.replace(design, trunk=()), {"by_epoch": True, "validation_beta": 0.0}
+        models = [x.model for x in grid.select("model").collect()]
+        fitted = fit(rows.where("sim_split = 'train'"), design, c.evaluator_training, seed=0, validation=F.col("validates"), models=models, **more)
+        log = estimate.log_table(fitted, self.spark).withColumnRenamed("fold", "model").join(grid.drop("target_ate"), "model").withColumns({"model_type": F.lit("evaluator"), "oracle_mode": F.lit(c.oracle_mode)})
+        S.write_log(log.orderBy("model", "epoch").drop("model"), f"{self.out}/plasmode/training_log")
+        found = estimate.predict(rows.where("sim_split = 'eval'").join(F.broadcast(grid), "model"), fitted, model_col="model").withColumn("estimated_ite", F.col("ite_logit"))
+        scores = M.recovery_scores(found, ["generation_mode", "scenario_idx", "repeat_idx", "target_ate"])
+        return S.write_table(scores.withColumns({"oracle_mode": F.lit(c.oracle_mode), "train_fraction": F.lit(c.train_fraction)}), f"{self.out}/plasmode/scores")
 
     def interpret(self, fold: int | None = None, k: int = 10) -> DataFrame:
         """The chunks that speak most for each confounder of the inference that ran (of a fold's, if it was crossed), with their texts."""
