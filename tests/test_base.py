@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import Counter
 
@@ -12,7 +13,7 @@ from tidewell.operators import metrics as M
 from tidewell.operators import nets
 from tidewell.operators import pooling as P
 from tidewell.operators import tables as T
-from tidewell.plans import estimate, queries, runner
+from tidewell.plans import batches, estimate, queries, runner
 from tidewell.plans.config import Architecture, Experiment, create_default_config
 from tidewell.plans.runner import ExperimentRunner
 from tidewell.sources import datasets as S
@@ -232,6 +233,135 @@ def test_training_sums_do_not_depend_on_partitions(spark):
     assert all(abs(x["train_loss"] - y["train_loss"]) < 1e-9 for x, y in zip(a.log, c.log, strict=True)) and any(abs(x["val_loss"] - y["val_loss"]) > 1e-6 for x, y in zip(a.log, c.log, strict=True))
 
 
+def batch_rows(spark, n=75):
+    r = np.random.default_rng(3)
+    rows = [(i * 7, r.normal(size=3).tolist(), float(r.integers(0, 2)), float(r.integers(0, 2)), i % 3 + 1) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "doc_id long, features array<double>, t double, y double, cv_fold int")
+
+
+def plain_batches(rows, design, size, epochs, rate, beta, seed, validates, by_epoch=False, validation_beta=None):
+    """Mini-batch training in one loop: losses by epoch, and the weights of the least validation loss."""
+    learn, check = [r for r in rows if not validates(r[0])], [r for r in rows if validates(r[0])]
+    learn.sort(key=lambda r: hashlib.md5(f"{seed}:number:{r[0]}".encode()).hexdigest())
+    columns = lambda some: tuple(np.array([r[k] for r in some]) for k in (1, 2, 3))
+    n = len(learn)
+    weights, per = nets.initial(design, seed), -(-n // size)
+    optimiser = nets.AdamW(rate, 1e-4, (epochs if by_epoch else epochs * per) + 1)
+    found, best = [], (math.inf, None)
+    for epoch in range(epochs):
+        order = np.argsort(batches.permuted(np.arange(n), n, seed + 7919 * epoch))
+        losses = []
+        for i in range(0, n, size):
+            x, t, y = columns([learn[k] for k in order[i : i + size]])
+            grads, moment, sums, _ = nets.gradients(design, weights, x, t, y, 1.0, beta)
+            losses.append(nets.total_loss(design, sums, 1.0, beta))
+            m = len(y)
+            step = {k: g / m + (2 * beta * sums[3] / m * moment[k] / m if moment else 0) for k, g in grads.items()}
+            optimiser.step(weights, step, epoch if by_epoch else None)
+        x, t, y = columns(check)
+        val = nets.total_loss(design, nets.losses(design, nets.forward(design, weights, x), t, y), 1.0, beta if validation_beta is None else validation_beta)
+        found.append((np.mean(losses), val))
+        if val < best[0]:
+            best = (val, {k: w.copy() for k, w in weights.items()})
+    return found, best[1]
+
+
+def test_permutations_are_whole():
+    for n in (1, 2, 3, 10, 64, 1000):
+        places = [batches.permuted(np.arange(n), n, seed).tolist() for seed in (1, 2)]
+        assert all(sorted(p) == list(range(n)) for p in places) and (n < 10 or places[0] != places[1])
+    assert batches.permuted(np.zeros(0, np.int64), 0, 1).tolist() == []
+
+
+@pytest.mark.parametrize(("size", "heads"), [(7, False), (40, False), (7, True), (1000, False)])
+def test_batches_equal_a_plain_trainer(spark, size, heads):
+    """Of rows or of gradients, whatever the tasks: the same steps as one loop; the rate falls by the batch, or the epoch for heads alone."""
+    rows, df = batch_rows(spark)
+    design = nets.Design(3, trunk=() if heads else (4,), outcome=(3,))
+    more = {"by_epoch": True, "validation_beta": 0.0} if heads else {}
+    share = {r.doc_id: r.u for r in df.select("doc_id", queries.rng.uniform(5, "validation", "doc_id").alias("u")).collect()}
+    want, weights = plain_batches(rows, design, size, 3, 0.02, 0.5, 5, lambda i: share[i] < 0.2, **more)
+    for tasks in (1, 2, 4):
+        got = estimate.train(df.repartition(tasks), design, steps=3, rate=0.02, beta=0.5, seed=5, validation=0.2, batch_size=size, tasks=tasks, **more)
+        assert np.allclose([(x["train_loss"], x["val_loss"]) for x in got.log], want, atol=1e-9)
+        assert all(np.allclose(got.weights[0][k], w, atol=1e-9) for k, w in weights.items())
+
+
+def test_batch_size_has_its_effect_and_is_checked(spark):
+    _, df = batch_rows(spark)
+    design = nets.Design(3, trunk=(4,), outcome=(3,))
+    losses = [estimate.train(df, design, steps=2, rate=0.02, batch_size=b).log[-1]["train_loss"] for b in (5, 25, None)]
+    assert len({round(x, 6) for x in losses}) == 3
+    with pytest.raises(ValueError, match="batch_size"):
+        estimate.train(df, design, batch_size=0)
+    assert estimate.train(df.where("false"), design, steps=2, batch_size=5).log == []
+
+
+@pytest.mark.parametrize("size", [None, 9])
+def test_models_trained_together_equal_each_alone(spark, size):
+    """Networks keyed by a column, one of few rows and one without any, in the jobs of one: as each by itself; folds likewise."""
+    _, df = batch_rows(spark)
+    rows = df.withColumn("model", F.when(F.col("doc_id") < 40, 3).otherwise(1000))
+    design = nets.Design(3, trunk=(4,), outcome=(3,))
+    more = {"steps": 3, "rate": 0.02, "beta": 0.5, "validation": F.col("doc_id") % 5 == 0, "batch_size": size}
+    both = estimate.train(rows, design, models=[3, 1000, 7], seed=2, **more)
+    for m in (3, 1000):
+        alone = estimate.train(rows.where(F.col("model") == m), design, models=[m], seed=2, **more)
+        assert [x for x in both.log if x["fold"] == m] == [pytest.approx(x) for x in alone.log] and len(alone.log) == 3
+        assert all(np.allclose(both.weights[m][k], w, atol=1e-9) for k, w in alone.weights[m].items())
+    assert not [x for x in both.log if x["fold"] == 7] and set(both.weights) == {3, 7, 1000}
+    folds = estimate.train(df, design, 3, **more)
+    assert {x["fold"] for x in folds.log} == {1, 2, 3}
+    found = {r.doc_id: r.ite_logit for r in estimate.predict(rows, both, model_col="model").collect()}
+    assert len(found) == 75
+
+
+def test_jobs_grow_with_epochs_not_with_models(spark):
+    _, df = batch_rows(spark)
+    design, tracker = nets.Design(3, trunk=(4,), outcome=(3,)), spark.sparkContext.statusTracker()
+    counts = []
+    for k in (1, 6):
+        rows = df.withColumn("model", (F.col("doc_id") % k).cast("int"))
+        spark.sparkContext.setJobGroup(f"models-{k}", "count")
+        estimate.train(rows, design, models=list(range(k)), steps=4, batch_size=10)
+        counts.append(len(tracker.getJobIdsForGroup(f"models-{k}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[0] == counts[1]
+
+
+def test_fold_models_see_no_row_of_their_own(spark):
+    rows, df = batch_rows(spark)
+    got = estimate.fold_models(df, 3).collect()
+    assert Counter((r.doc_id, r.model) for r in got) == Counter((r[0], m) for r in rows for m in (1, 2, 3))
+    x = {r[0]: (np.array(r[1]), r[4]) for r in rows}
+    for r in got:
+        others = np.array([v for v, f in x.values() if f != r.model])
+        assert np.allclose(r.features, (x[r.doc_id][0] - others.mean(0)) / np.sqrt(others.var(0) + 1e-5))
+
+
+def test_numbers_have_no_gaps(spark):
+    df = spark.range(500).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("g"))
+    got = {}
+    for r in T.numbered(df, "g", "n").collect():
+        got.setdefault(r.g, []).append(r.n)
+    assert {g: sorted(n) for g, n in got.items()} == {0: list(range(167)), 1: list(range(167)), 2: list(range(166))}
+
+
+def test_model_from_a_checkpoint(spark, tmp_path):
+    design = nets.Design(4, trunk=(3, 3), outcome=(2,))
+    bank = spark.createDataFrame([(i, 0, [1.0, 2.0]) for i in range(4)], "conf_idx int, head int, vec array<double>")
+    path = estimate.save_network(estimate.Fitted(design, {0: nets.initial(design, 1)}, []), f"{tmp_path}/n", spark, bank, aggregator_mode="max")
+    old = estimate.load_network(path, spark).fitted.weights[0]
+    wide = estimate.model_from_checkpoint(path, spark, 6, kind="uplift")
+    assert wide.fitted.design.inputs == 6 and wide.fitted.design.kind == "uplift" and wide.meta["load_strategy"] == "partial_load"
+    assert (wide.fitted.weights[0]["trunk.0.w"][:4] == old["trunk.0.w"]).all() and (wide.fitted.weights[0]["trunk.1.w"] == old["trunk.1.w"]).all()
+    narrow = estimate.model_from_checkpoint(path, spark, 2)
+    assert narrow.fitted.design.inputs == 4 and narrow.meta["phantom_features_needed"] == 2 and "tau.0.w" in wide.fitted.weights[0]
+    assert nets.count_parameters(old) == sum(w.size for w in old.values()) == 4 * 3 + 3 + 3 * 3 + 3 + 3 + 1 + 2 * (3 * 2 + 2 + 2 + 1)
+    with pytest.raises(ValueError, match="incompatible"):
+        estimate.model_from_checkpoint(path, spark, 4, embedding_dim=9)
+
+
 def test_saved_network_and_bank(spark, tmp_path):
     fitted = estimate.Fitted(nets.Design(4, trunk=(3, 3), outcome=(2,)), {0: nets.initial(nets.Design(4, trunk=(3, 3), outcome=(2,)), 1)}, [])
     old = spark.createDataFrame([(i, 0, [float(i), 1.0]) for i in range(4)], "conf_idx int, head int, vec array<double>")

@@ -112,6 +112,7 @@ def train(
     rows: DataFrame, design: Design, folds: int = 0, *, steps: int = 40, rate: float = 1e-2, alpha: float = 1.0, beta: float = 0.0, seed: int = 42,
     start: Weights | None = None, validation: Column | float | None = None, optimizer: str = "adamw", decay: float = 1e-4, schedule: str = "linear", id_col: str = "doc_id",
     batch_size: int | None = None, models: list[int] | None = None, model_col: str = "model", by_epoch: bool = False, validation_beta: float | None = None,
+    tasks: int | None = None,
 ) -> Fitted:
     """Networks on ``features`` (array of doubles), ``t`` and ``y``; with ``folds``, one for each value of
     ``cv_fold`` from 1, trained on the rows of the others; with ``models``, one for each of these values of ``model_col``, trained on its own rows.
@@ -122,7 +123,7 @@ def train(
     ``beta`` weighs the targeted term, ``validation_beta`` (as ``beta`` if None) that of the validation loss. The log has a row for each network and epoch.
 
     With ``batch_size`` an epoch is as many steps as the rows have batches (see ``batches``), its training loss the mean of theirs, and the
-    rate falls by the batch, or by the epoch if ``by_epoch``; its tasks must run at once, so the rows are dealt to as many as Spark has cores, and
+    rate falls by the batch, or by the epoch if ``by_epoch``; its tasks must run at once, so the rows are dealt to as many as Spark has cores (or ``tasks``), and
     each keeps its share. Without, an epoch is one step over all rows, of which no task or driver keeps any.
     """
     if optimizer not in ("adamw", "adam"):
@@ -144,7 +145,7 @@ def train(
         data = data.drop(id_col).persist(StorageLevel.MEMORY_AND_DISK)
         optimisers = {f: AdamW(rate, decay if optimizer == "adamw" else 0.0, steps, falls=schedule == "linear") for f in wanted}
     else:
-        cores = rows.sparkSession.sparkContext.defaultParallelism
+        cores = tasks or rows.sparkSession.sparkContext.defaultParallelism
         data = T.numbered(data.withColumn("_of", F.struct("fold", "val")), "_of", "nth", seed, id_col).drop("_of", id_col).repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
         sizes = {r.fold: r["count"] for r in data.where("NOT val").groupBy("fold").count().collect()}  # a number for each fold or model
         offsets = {f: dict(zip(gs := sorted(g for g in sizes if uses(g, f)), np.cumsum([0, *(sizes[g] for g in gs)]).tolist(), strict=False)) for f in wanted}
