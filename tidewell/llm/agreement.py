@@ -57,24 +57,32 @@ def packed_keys(bucket: np.ndarray, some: np.ndarray, keys: np.ndarray, bits: in
 
 @dataclass
 class Piece:
-    """Windows of some rows of a batch: each one's row in the batch, position in its row, key, and its bytes."""
+    """Windows of the rows of a batch from ``first``: where each begins, in units of the piece, its key, and its bytes; ``starts`` has where rows begin."""
 
-    rows: np.ndarray
-    pos: np.ndarray
+    first: int
+    starts: np.ndarray
+    at: np.ndarray
     keys: np.ndarray
     body: Callable[[int], bytes]
 
+    def where(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row in the batch and position in its row of some windows."""
+        row = np.searchsorted(self.starts, self.at[some], side="right") - 1
+        return self.first + row, self.at[some] - self.starts[row]
+
 
 #: From a batch's rows to their pieces.
 Pieces = Callable[[pa.Table], Iterator[Piece]]
 
 
-def _runs(piece: Piece, hit: np.ndarray) -> Iterator[tuple[int, int]]:
-    """First and last window of each run of hits that follow each other in a row."""
-    at = np.flatnonzero(hit)
-    if len(at):
-        new = np.flatnonzero((np.diff(at) != 1) | (piece.rows[at[1:]] != piece.rows[at[:-1]]) | (np.diff(piece.pos[at]) != 1))
-        yield from zip(at[np.append(0, new + 1)].tolist(), at[np.append(new, len(at) - 1)].tolist(), strict=True)
+def _runs(piece: Piece, hit: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """First and last window of each run of hits that follow each other in a row, the row, and the first one's position."""
+    found = np.flatnonzero(hit)
+    if len(found):
+        row, pos = piece.where(found)
+        new = np.flatnonzero((np.diff(found) != 1) | (np.diff(row) != 0) | (np.diff(pos) != 1))
+        first = np.append(0, new + 1)
+        yield from zip(found[first].tolist(), found[np.append(new, len(found) - 1)].tolist(), row[first].tolist(), pos[first].tolist(), strict=True)
 
 
 def claims(batch: int, docs: pa.Table, found: Iterator[tuple[Piece, np.ndarray]], width: int, sure: np.ndarray | None = None) -> pa.Table:
@@ -83,12 +91,12 @@ def claims(batch: int, docs: pa.Table, found: Iterator[tuple[Piece, np.ndarray]]
     known: dict[tuple[int, bytes], int] = {}
     runs: list[tuple] = []
     for piece, hit in found:
-        for i, j in _runs(piece, hit):
-            row, refs = piece.rows[i], []
+        for i, j, row, pos in _runs(piece, hit):
+            refs = []
             if sure is None or not sure[row]:
                 for w in [*range(i, j, width), j]:
                     refs.append(known.setdefault((int(piece.keys[w]), piece.body(w)), len(known)))
-            runs.append((nth[row], piece.pos[i], j - i + 1, np.array(refs, "<i4").tobytes()))
+            runs.append((nth[row], pos, j - i + 1, np.array(refs, "<i4").tobytes()))
     n, m = len(runs), len(known)
     cols = list(zip(*runs, strict=True)) or [()] * 4
     none = lambda k, t: pa.nulls(k, t)
@@ -141,6 +149,14 @@ def _ask(bucket: int, sent: pa.Table, made: pa.Table, ordered: bool, bits: int)
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), empty.schema, strict=True)], schema=empty.schema)
 
 
+def _among(some: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Positions of the keys that are among the sorted ``some``; a table of their lowest bits excludes most others at once."""
+    marked = np.zeros(1 << 20, bool)
+    marked[(some & U64((1 << 20) - 1)).astype(np.int64)] = True
+    likely = np.flatnonzero(marked[(keys & U64((1 << 20) - 1)).astype(np.int64)])
+    return likely[some[np.minimum(np.searchsorted(some, keys[likely]), len(some) - 1)] == keys[likely]]
+
+
 def _answer(batch: int, docs: pa.Table, asks: pa.Table, pieces: Pieces, ordered: bool) -> pa.Table:
     """Which claims a batch's own windows agree with; a batch that is asked about its own claim needs a second window."""
     wanted: dict[int, list[int]] = {}
@@ -152,11 +168,11 @@ def _answer(batch: int, docs: pa.Table, asks: pa.Table, pieces: Pieces, ordered:
         some = np.sort(np.array(list(wanted), np.int64).astype(U64))
         ids = docs.column("doc_id").to_pylist() if ordered else None
         for piece in pieces(docs):
-            at = np.minimum(np.searchsorted(some, piece.keys), len(some) - 1)
-            for w in np.flatnonzero(some[at] == piece.keys).tolist():
+            hits = _among(some, piece.keys)
+            for w, row in zip(hits.tolist(), piece.where(hits)[0].tolist(), strict=True):
                 body = piece.body(w)
                 for i in wanted[int(piece.keys[w].astype(np.int64))]:
-                    agree[i] += bodies[i] == body and (not ordered or ids[piece.rows[w]] == lows[i])
+                    agree[i] += bodies[i] == body and (not ordered or ids[row] == lows[i])
     out = [(b, no, bool(agree[i] >= (2 if not ordered and b == batch else 1))) for i, refs in enumerate(asks.column("refs")) for b, no in np.frombuffer(refs.as_buffer(), "<i4").reshape(-1, 2).tolist()]
     cols = list(zip(*out, strict=True)) or [()] * 3
     return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.bool_()), strict=True)], names=["batch", "no", "holds"])
@@ -170,9 +186,10 @@ def _contested(docs: pa.Table, runs: pa.Table, pieces: Pieces) -> pa.Table:
         spans.setdefault(row_of[nth], []).append((start, start + windows))
     found = [np.zeros(0, U64)]
     for piece in pieces(docs) if spans else ():
-        for row in np.unique(piece.rows).tolist():
+        rows, pos = piece.where(np.arange(len(piece.at)))
+        for row in np.unique(rows).tolist():
             for a, b in spans.get(row, ()):
-                found.append(piece.keys[(piece.rows == row) & (piece.pos >= a) & (piece.pos < b)])
+                found.append(piece.keys[(rows == row) & (pos >= a) & (pos < b)])
     return pa.table([pa.array(np.unique(np.concatenate(found)).astype(np.int64))], names=["key"])
 
 
@@ -192,10 +209,9 @@ def _show(batch: int, docs: pa.Table, told: pa.Table, pieces: Pieces) -> pa.Tabl
     nth, ids = docs.column("nth").to_pylist(), docs.column("doc_id").to_pylist()
     out = []
     for piece in pieces(docs) if len(wanted) else ():
-        at = np.minimum(np.searchsorted(wanted, piece.keys), len(wanted) - 1)
-        for w in np.flatnonzero(wanted[at] == piece.keys).tolist():
-            row = piece.rows[w]
-            out.append((batch, nth[row], int(piece.pos[w]), ids[row], int(piece.keys[w].astype(np.int64)), piece.body(w)))
+        hits = _among(wanted, piece.keys)
+        for w, row, pos in zip(hits.tolist(), *(x.tolist() for x in piece.where(hits)), strict=True):
+            out.append((batch, nth[row], pos, ids[row], int(piece.keys[w].astype(np.int64)), piece.body(w)))
     cols = list(zip(*out, strict=True)) or [()] * 6
     types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in _SHOWN.split(", ")])
@@ -257,4 +273,4 @@ def covered(spans: tuple[np.ndarray, np.ndarray, np.ndarray], a: int, b: int, fi
 
 def stored(docs: DataFrame, batches: int, size: int) -> DataFrame:
     """Rows (batch, ..) with ``nth``, a number of their own, written once, bucketed by batch: what every later step reads."""
-    return bucketed(docs.withColumn("nth", F.monotonically_increasing_id()), "batch", batches, size, "texts")
+    return bucketed(docs.withColumn("nth", F.monotonically_increasing_id()), "batch", batches, size, "texts", "zstd")

@@ -74,7 +74,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000
 
 
-def bucketed(df: DataFrame, key: str, keys: int, n_bytes: int, name: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, keys: int, n_bytes: int, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder as a table bucketed by ``key``, read back.
 
     What is grouped or joined by the key then meets without a shuffle, as often as it is read. Buckets are of about
@@ -85,7 +85,7 @@ def bucketed(df: DataFrame, key: str, keys: int, n_bytes: int, name: str) -> Dat
     n = min(MOST_BUCKETS, max(parts_for(n_bytes, BUCKET_BYTES), min(keys, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     made = f"tidewell_{uuid.uuid4().hex}"
     with _freeing(spark):
-        df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", new_folder(spark, name)).saveAsTable(made)
+        df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", new_folder(spark, name)).option("compression", compression).saveAsTable(made)
     out = spark.table(made)
     spark.sql(f"DROP TABLE {made}")
     return out

@@ -93,13 +93,12 @@ def _windows(docs: pa.Table, buckets: int) -> Iterator[Piece]:
     """All windows of a batch."""
     for a, _, words, hashes in _pieces(docs):
         at, found = words.windows(WINDOW, hashes)
-        row = _row(words, at)
 
         def body(i: int, words=words, at=at) -> bytes:
             data = words.buf[words.starts[at[i]] : words.ends[at[i] + WINDOW - 1]].tobytes()
             return _BLANKS.sub(b" ", data)
 
-        yield Piece(a + row, at - words.first[row], keyed(found, buckets), body)
+        yield Piece(a, words.first, at, keyed(found, buckets), body)
 
 
 def _extend(key: tuple, docs: pa.Table, shared: pa.Table, buckets: int) -> pa.Table:
@@ -161,7 +160,7 @@ def _claimed(key: tuple, docs: pa.Table, told: pa.Table, buckets: int) -> pa.Tab
     def found() -> Iterator[tuple[Piece, np.ndarray]]:
         for piece in _windows(docs, buckets) if len(keys) else ():
             at = np.minimum(np.searchsorted(keys, piece.keys), len(keys) - 1)
-            yield piece, (keys[at] == piece.keys) & (low[at] < ids[piece.rows])
+            yield piece, (keys[at] == piece.keys) & (low[at] < ids[piece.where(np.arange(len(at)))[0]])
 
     return claims(key[0].as_py(), docs, found(), WINDOW)
 

@@ -97,12 +97,29 @@ def _windows(sums: Sums, offs: np.ndarray, buckets: int, within: np.ndarray | No
     return at, keyed(sums.spans(at, at + LENGTH), buckets)
 
 
+def _piece(first: int, part: np.ndarray, offs: np.ndarray, at: np.ndarray, keys: np.ndarray) -> Piece:
+    return Piece(first, offs, at, keys, lambda i: part[at[i] : at[i] + LENGTH].tobytes())
+
+
 def _strings(docs: pa.Table, buckets: int) -> Iterator[Piece]:
     """All strings of LENGTH of a batch."""
     for a, _, part, offs, sums in _pieces(docs):
-        at, keys = _windows(sums, offs, buckets)
-        row = np.searchsorted(offs, at, side="right") - 1
-        yield Piece(a + row, at - offs[row], keys, lambda i, part=part, at=at: part[at[i] : at[i] + LENGTH].tobytes())
+        yield _piece(a, part, offs, *_windows(sums, offs, buckets))
+
+
+def _tied_strings(docs: pa.Table, tied: pa.Table, buckets: int) -> Iterator[Piece]:
+    """A batch's strings that hold a tied sample."""
+    ties = Shared(tied, buckets, BITS)
+    for a, _, part, offs, sums in _pieces(docs) if len(ties.keys) else ():
+        at, keys = _samples(sums, offs)
+        at = at[ties.holds(keys)]
+        marks = np.zeros(len(part) + 1, np.int32)
+        np.cumsum(np.bincount(at, minlength=len(part)), out=marks[1:])
+        begin = np.arange(len(part))
+        # of any PERIOD offsets in a row at which a sample string fits into a repeated one, one is tied: the first such and the last
+        near, far = begin, np.minimum(begin + LENGTH - TIE - PERIOD + 1, len(part))
+        held = [marks[np.minimum(x + PERIOD, len(part))] > marks[x] for x in (near, far)]
+        yield _piece(a, part, offs, *_windows(sums, offs, buckets, held[0] & held[1]))
 
 
 def _sample(key: tuple, docs: pa.Table, buckets: int) -> pa.Table:
@@ -135,33 +152,19 @@ def _rank(key: tuple, sent: pa.Table) -> pa.Table:
     return pa.table([pa.array([b for b, _ in told], pa.int32()), pa.array([key[0].as_py()] * len(told), pa.int32()), binary([short(x, BITS) for _, x in told])], names=["batch", "bucket", "shared"])
 
 
-def _suffix_keys(docs: pa.Table, tied: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys of a batch's strings that hold a tied sample, and whether each begins more than one."""
-    ties = Shared(tied, buckets, BITS)
-    found = []
+def _distinct_keys(docs: pa.Table, pieces: list[Piece]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys of a batch's strings, and whether each begins more than one."""
     copied = docs.column("copied").to_numpy()
-    if len(ties.keys):
-        for a, _, part, offs, sums in _pieces(docs):
-            at, keys = _samples(sums, offs)
-            at = at[ties.holds(keys)]
-            marks = np.zeros(len(part) + 1, np.int32)
-            np.cumsum(np.bincount(at, minlength=len(part)), out=marks[1:])
-            begin = np.arange(len(part))
-            # of any PERIOD offsets in a row at which a sample string fits into a repeated one, one is tied: the first such and the last
-            near, far = begin, np.minimum(begin + LENGTH - TIE - PERIOD + 1, len(part))
-            held = [marks[np.minimum(x + PERIOD, len(part))] > marks[x] for x in (near, far)]
-            at, keys = _windows(sums, offs, buckets, held[0] & held[1])
-            found.append(keys)
-            # what a copied text holds begins in its copies too
-            found.append(keys[copied[a + np.searchsorted(offs, at, side="right") - 1]])
-    keys = np.sort(cat(found, U64))
+    # what a copied text holds begins in its copies too
+    every = [k for p in pieces for k in (p.keys, p.keys[copied[p.where(np.arange(len(p.at)))[0]]])]
+    keys = np.sort(cat(every, U64))
     starts = run_starts(keys)
     return keys[starts], np.diff(np.append(starts, len(keys))) > 1
 
 
 def _suffixes(key: tuple, docs: pa.Table, tied: pa.Table, buckets: int) -> pa.Table:
     """A batch's strings that hold a tied sample, as keys for each bucket."""
-    keys, many = _suffix_keys(docs, tied, buckets)
+    keys, many = _distinct_keys(docs, list(_tied_strings(docs, tied, buckets)))
     bucket = buckets_of(keys, buckets)
     some = distinct(bucket)
     cuts = np.append(np.searchsorted(bucket, some), len(bucket)).tolist()
@@ -187,13 +190,14 @@ def _claimed(key: tuple, docs: pa.Table, told: pa.Table, buckets: int) -> pa.Tab
     """A batch's runs of strings whose keys occur again, and the strings that cover them."""
     told = told.sort_by("bucket")
     flags = told.filter(pc.is_valid(told.column("flags")))
-    keys, _ = _suffix_keys(docs, told.filter(pc.is_valid(told.column("shared"))), buckets)
+    pieces = list(_tied_strings(docs, told.filter(pc.is_valid(told.column("shared"))), buckets))
+    keys, _ = _distinct_keys(docs, pieces)
     of_bucket = np.bincount(np.unique(buckets_of(keys, buckets), return_inverse=True)[1]).tolist()  # all buckets that were sent to answer
     bits = [np.unpackbits(f, count=n) for n, f in zip(of_bucket, column(flags, "flags", np.uint8), strict=True)]
     repeated = keys[cat(bits, np.uint8).astype(bool)]
 
     def found() -> Iterator[tuple[Piece, np.ndarray]]:
-        for piece in _strings(docs, buckets) if len(repeated) else ():
+        for piece in pieces if len(repeated) else ():
             yield piece, repeated[np.minimum(np.searchsorted(repeated, piece.keys), len(repeated) - 1)] == piece.keys
 
     return claims(key[0].as_py(), docs, found(), LENGTH, docs.column("copied").to_numpy())
