@@ -1,6 +1,8 @@
 import gzip
+import hashlib
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from collisions import twins
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontam, deobfuscate, exact_dedup, fusefilter, jaccard_join, langid, packing, queries, sharding, shared, substring_dedup, suffix_dedup, toxicity, warc
+from tidewell.llm import decontam, deobfuscate, drake_kmeans, exact_dedup, filter_audit, fusefilter, jaccard_join, langid, packing, quality, queries, sharding, shared, substring_dedup, suffix_dedup, toxicity, warc
 from tidewell.llm.components import components
 from tidewell.llm.textarrays import BYTE_VALUES
 
@@ -747,3 +749,220 @@ def test_encoder_compares_pieces():
     made = tokens.Encoder(path)
     for some in (texts, texts[::-1], texts[2:3]):
         assert [x.tolist() for x in made.encode(pa.array(some))] == [wanted(t) for t in some]
+
+
+# --- centroid clustering ---------------------------------------------------------------
+
+
+def plain_kmeans(rows, k=8, rounds=10):
+    """By exact integers, one vector at a time: vec_id, vector, cluster, distance; and the centroids."""
+    x = [(i, tuple(max(-(1 << 27), min(1 << 27, math.floor(1024 * float(np.float32(c))) if abs(c) < 1e9 else int(math.copysign(1 << 27, c)))) for c in v)) for i, v in rows if v is not None and len(v) == 64 and all(c is not None and math.isfinite(c) for c in v)]
+    start = sorted(x, key=lambda r: ("~" if r[0] is None else hashlib.sha256(f"3:{r[0]}".encode()).hexdigest(), r[1]))
+    c = [list(v) for _, v in start[:k]]
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, m, strict=True)), j) for j, m in enumerate(c))
+
+    for _ in range(rounds):
+        own = [nearest(v)[1] for _, v in x]
+        for j in range(len(c)):
+            some = [v for (_, v), o in zip(x, own, strict=True) if o == j]
+            if some:
+                c[j] = [sum(col) // len(some) for col in zip(*some, strict=True)]
+    return [(i, j, d) for (i, v) in x for d, j in [nearest(v)]], c
+
+
+def vectors_frame(spark, rows, parts=3):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(parts).withColumns({c: F.lit(1) for c in ("block", "state", "cluster", "x", "v", "ids")})
+
+
+def held_to_plain(spark, rows, **options):
+    got_rows = drake_kmeans.cluster(vectors_frame(spark, rows), **options).collect()
+    want, c = plain_kmeans(rows, options.get("clusters", 8), options.get("rounds", 10))
+    assert Counter((r.vec_id, r.cluster, r.distance) for r in got_rows) == Counter(want)
+    names = [hashlib.sha256(",".join(map(str, m)).encode()).hexdigest() for m in c]
+    for r in got_rows:
+        own = sum(d for _, j, d in want if j == r.cluster)
+        most = (1 << 63) - 1
+        assert (r.cluster_inertia, r.inertia, r.centroid_sha256) == (min(own, most), min(sum(d for *_, d in want), most), names[r.cluster])
+
+
+def test_clustering_equals_plain(spark, monkeypatch):
+    """Groups, ties, equal vectors that fill a third, repeated and null ids, and vectors that are not kept."""
+    monkeypatch.setattr(drake_kmeans, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(c) for c in rng.normal(size=64) * 0.05 + (i % 11) / 8]) for i in range(300)]
+    rows += [(1000 + i, [0.25] * 64) for i in range(150)] + [(5, rows[5][1]), (5, [1.0] * 64), (None, [0.5] * 64), (None, [0.5] * 64)]
+    rows += [(2000, None), (2001, [1.0] * 63), (2002, [1.0] * 63 + [None]), (2003, [float("nan")] + [0.0] * 63), (2004, [float("inf")] + [0.0] * 63), (2005, [])]
+    held_to_plain(spark, rows)
+    held_to_plain(spark, rows, clusters=20, rounds=4)
+    held_to_plain(spark, rows, clusters=1, rounds=2)
+
+
+def test_clustering_of_few_and_huge_vectors(spark):
+    rng = np.random.default_rng(6)
+    held_to_plain(spark, [(i, [float(i)] * 64) for i in range(3)])
+    held_to_plain(spark, [(i, [0.5] * 64) for i in range(20)])  # one centroid takes all, the others stay empty
+    held_to_plain(spark, [(i, [float(c) for c in rng.normal(size=64) * 10.0 ** (i % 9)]) for i in range(40)] + [(99, [3e38] * 64), (98, [-3e38] * 64)], rounds=3)
+    empty = drake_kmeans.cluster(vectors_frame(spark, [(1, None)]))
+    assert empty.collect() == [] and empty.columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidewell")]
+
+
+def test_bounds_never_miss_a_nearer_centroid():
+    """Random walks of centroids: certified or not, assignments equal a full scan's, and certified ones cost no distance."""
+    rng = np.random.default_rng(7)
+    x = rng.integers(-500, 500, (400, 64))
+    c = rng.integers(-500, 500, (12, 64))
+    state = drake_kmeans.scanned(x, c, 4)
+    for step in (0, 1, 2, 40, 200, 1, 0):
+        moved = c + rng.integers(-step, step + 1, c.shape)
+        by = np.sqrt(((moved - c) ** 2).sum(1).astype(float)) * (1 + 1e-9)
+        c = moved
+        state, used = drake_kmeans.moved_on(x, c, drake_kmeans.Bounds.of(state.packed(), len(x)), by, 3)
+        d = drake_kmeans.squares(x, c)
+        assert (state.own == d.argmin(1)).all() and (state.upper.astype(float) ** 2 >= d.min(1) * (1 - 1e-12)).all()
+        near = np.take_along_axis(d, state.near.astype(int), 1)
+        assert ((state.low.astype(float) ** 2 <= near) | (state.low < 0)).all()
+        rest = np.where((np.arange(12) == state.own[:, None]) | (state.near[:, :, None] == np.arange(12)).any(1), np.iinfo(np.int64).max, d).min(1)
+        assert ((state.rest.astype(float) ** 2 <= rest) | (state.rest < 0)).all() and used <= 3
+
+
+# --- quality -----------------------------------------------------------------------------
+
+
+def test_quality_learns_and_keeps_to_the_held_in_rows(spark):
+    rng = random.Random(11)
+    good = lambda: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(rng.randint(20, 120)))
+    bad = lambda: " ".join(f"{w}###" for w in good().split()) if rng.random() < 0.5 else " | ".join(good().upper().split())
+    rows = [(i, good() if i % 3 else bad()) for i in range(240)]
+    labels = [(i, int(bool(i % 3)), 0) for i in range(240)]
+    docs, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in quality.quality(docs, known).collect()}
+    held = {i for i in out if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert {i for i, r in out.items() if r.held_out} == held and len(held) > 20
+    assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in out.values())
+    assert sum(out[i].predicted == bool(i % 3) for i in held) >= 0.97 * len(held)
+    # labels of held-out rows, and columns beside the text, change nothing
+    turned = spark.createDataFrame([(i, 1 - q if i in held else q, 1) for i, q, _ in labels], "doc_id long, quality int, toxic int")
+    again = {r.doc_id: r.score for r in quality.quality(docs.withColumn("lang", F.lit("zz")).repartition(2), turned).collect()}
+    assert again == {i: r.score for i, r in out.items()}
+
+
+def test_quality_votes_equal_plain(spark):
+    """Scores from the space and the voters, one document at a time: all cosines, the nearest by weight, ties at the edge in part."""
+    docs = frame(spark, [(i, t) for i, t in ROWS if i != 90])
+    labels = spark.createDataFrame([(i, int(i is not None and i % 3 > 0), 0) for i, _ in ROWS if i != 90], "doc_id long, quality int, toxic int")
+    space = quality.latent_space(docs)
+    assert np.allclose(space.axes.T @ space.axes, np.eye(quality.AXES), atol=1e-9)
+    voters = quality.voters(docs, labels, space)
+    import pyarrow as pa
+
+    out = {r.doc_id: r.score for r in quality.quality(docs, labels).collect()}
+    texts = dict(ROWS)
+    for i, score in out.items():
+        (_, x), = space.vectors(pa.array([texts[i]], pa.string()))
+        cos = sorted(((float(np.float32(x[0]) @ v), y) for v, y in zip(voters.vectors, voters.labels, strict=True)), reverse=True)
+        edge = cos[min(quality.NEAREST, len(cos)) - 1][0]
+        above = [c for c in cos if c[0] > edge + 1e-6]
+        tied = [c for c in cos if abs(c[0] - edge) <= 1e-6]
+        part = (min(quality.NEAREST, len(cos)) - len(above)) / len(tied)
+        w = [(max(c, 0) ** quality.SHARPNESS, y) for c, y in above] + [(part * max(c, 0) ** quality.SHARPNESS, y) for c, y in tied]
+        want = (sum(a * y for a, y in w) + quality.PRIOR * voters.labels.mean()) / (sum(a for a, _ in w) + quality.PRIOR)
+        assert abs(score - want) < 1e-4, i
+
+
+def test_latent_axes_are_those_of_all_terms(spark):
+    """The axes span what a dense decomposition of the whole weighted matrix finds."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma"] if i % 3 == 0 else ["one", "two", "THREE", "four"] if i % 3 == 1 else ["x1", "y2###", "z3"], k=30))) for i in range(90)]
+    space = quality.latent_space(frame(spark, rows), axes=3)
+    dense = np.zeros((90, quality.TERMS))
+    for first, _, row, col, w in quality._weighted(pa.array([t for _, t in rows]), space.idf):
+        dense[first + row, col] = w
+    top = np.linalg.svd(dense, full_matrices=False)[2][:3]
+    assert np.linalg.svd(top @ space.axes)[1].min() > 0.999
+
+
+def test_quality_of_edge_rows(spark):
+    rows = [(1, None), (2, ""), (3, " "), (None, "a b"), (4, "a b"), (4, "a b"), (5, "ä " * 20000)]
+    docs = frame(spark, rows)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.score for r in quality.quality(docs, none).collect()} == {0.5}
+    odd = spark.createDataFrame([(1, 1, 0), (2, None, 0), (None, 1, 0), (4, 0, 0), (4, 1, 0), (77, 1, 0)], "doc_id long, quality int, toxic int")
+    out = quality.quality(docs, odd).collect()
+    assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows) and len({r.score for r in out if r.doc_id in (1, 2, 3)}) == 1
+    assert all(not r.held_out for r in out if r.doc_id is None) and quality.quality(docs.where("false"), odd).collect() == []
+
+
+# --- filter audit ----------------------------------------------------------------------------
+
+
+def plain_audit(rows, labels):
+    """(part, order, step): the seven counts, by replaying every document through every order."""
+    from itertools import permutations
+
+    inf = float("inf")
+    first: dict = {}
+    for i, t, _ in rows:
+        first[t or ""] = min(first.get(t or "", inf), inf if i is None else i)
+    seen = []
+    for i, t, part in rows:
+        t = t or ""
+        w = plain.PLAIN_WORD.findall(t)
+        fails = {"A": len(w) < 100, "B": 100 * len(set(w)) < 80 * len(w), "C": 100 * sum("A" <= c <= "Z" for c in t) > 10 * len(t), "D": any(c in "#$%&*|" for c in t), "E": first[t] < (inf if i is None else i)}
+        seen.append((part or "", fails, any(q == 1 for j, q, _ in labels if j == i and i is not None), any(x == 1 for j, _, x in labels if j == i and i is not None)))
+    out: dict = {}
+    for part in {s[0] for s in seen}:
+        for p in permutations("ABCDE"):
+            left = [s for s in seen if s[0] == part]
+            gone = []
+            for step, k in enumerate(p, 1):
+                here = [s for s in left if s[1][k]]
+                left = [s for s in left if not s[1][k]]
+                out[part, "".join(p), step] = [len(left), len(here), sum(s[1][k] for s in gone), sum(s[1][k] and sum(s[1].values()) == 1 for s in seen if s[0] == part), sum(s[2] for s in here), sum(s[3] for s in here)]
+                gone += here
+    shapley = Counter()
+    for (part, order, step), v in out.items():
+        shapley[part, order[step - 1]] += v[1]
+    return {(p, o, s): (*v, shapley[p, o[s - 1]]) for (p, o, s), v in out.items()}
+
+
+def audit_rows():
+    rng = random.Random(9)
+    long = " ".join(f"w{i}" for i in range(120))
+    rows = [(i, plain.words(rng, rng.randint(80, 130)), rng.choice(["en", "de", None, ""])) for i in range(30)]
+    rows += [(100 + i, long, "en" if i % 2 else "fr") for i in range(6)] + [(200, long.upper(), "en"), (201, f"{long} $", "en"), (202, "w " * 150, "de"), (203, "É" * 10 + long, "fr")]
+    rows += [(300, None, "en"), (301, "", None), (None, long, "en"), (None, "nobody has this", "de"), (None, "nobody has this", "de"), (400, long, "zz"), (400, long, "zz"), (10, rows[10][1], "en")]
+    return rows, [(i, int(i % 2), int(i % 5 == 0)) for i in range(0, 400, 3)] + [(100, 1, 0), (100, 0, 1), (101, None, 1), (None, 1, 1)]
+
+
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_filter_audit_equals_plain(spark, monkeypatch, hot):
+    """Nulls, repeated ids and texts, hot texts and others, clashing names."""
+    monkeypatch.setattr(filter_audit, "HOT_ROWS", hot)
+    rows, labels = audit_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).withColumns({c: F.lit(3) for c in ("part", "flags", "words", "step", "good", "salt", "digest", "first")})
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("text", F.lit("no"))
+    out = filter_audit.audit(docs, known)
+    names = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+    got_rows = {(r.part, r.filter_order, r.step): tuple(r[c] for c in names) for r in out.collect()}
+    assert got_rows == plain_audit(rows, labels) and len(got_rows) == 5 * 600
+
+
+def test_filter_audit_of_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert filter_audit.audit(docs, none).collect() == []
+    one = filter_audit.audit(spark.createDataFrame([(1, "a", None)], docs.schema), none).collect()
+    assert len(one) == 600 and {r.part for r in one} == {""} and sum(r.removed for r in one) == 120 and {r.good_lost for r in one} == {0}
+
+
+def test_filter_audit_combines_before_the_shuffle(spark):
+    """The replay sends partial counts, not documents: aggregates stand on both sides of its exchange, and no order is shuffled."""
+    rows, labels = audit_rows()
+    flags = filter_audit.document_flags(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    plan = filter_audit.replay(flags)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count_if" in plan.replace("partial_count(if", "partial_count_if") and "BroadcastNestedLoopJoin" in plan and "CartesianProduct" not in plan

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tidewell.llm.shared import table
 
-TABLES = ("documents", "pages", "benchmark", "labels")
+TABLES = ("documents", "pages", "benchmark", "labels", "embeddings")
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +32,7 @@ def run(spark, sf_dir, name):
     return entry.queries()[name](spark, sf_dir)
 
 
-@pytest.mark.parametrize("name", ["op1_decontamination", "op2_suffix_dedup", "op4_exact_dedup", "op5_jaccard_join", "op7_warc", "op10_substring_dedup"])
+@pytest.mark.parametrize("name", ["op1_decontamination", "op2_suffix_dedup", "op4_exact_dedup", "op5_jaccard_join", "op7_warc", "op10_substring_dedup", "op11_centroid_clustering", "op13_filter_audit"])
 def test_query_equals_sql(spark, sf_dir, sql, name):
     out = run(spark, sf_dir, name)
     found = sql.execute(entry.oracle_sql()[name])
@@ -63,6 +63,15 @@ def test_toxicity_query(spark, sf_dir, documents):
     assert {r.doc_id for r in out.collect()} == {i for i, _ in documents}
 
 
+def test_quality_query(spark, sf_dir, documents):
+    out = run(spark, sf_dir, "op12_quality_classifier").collect()
+    assert Counter(r.doc_id for r in out) == Counter(i for i, _ in documents)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) for r in out)
+    known = {r.doc_id: r.quality for r in table(spark, sf_dir, "labels").collect()}
+    held = [(r.predicted, known[r.doc_id]) for r in out if r.held_out and r.doc_id in known]
+    assert len(held) > 5 and sum(a == b for a, b in held) >= 0.8 * len(held)
+
+
 def test_packing_query(spark, sf_dir, documents):
     from tokenizers import Tokenizer
 

@@ -17,7 +17,6 @@ tasks send sums by centroid, whatever the vectors.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder, parts_for, staged
+from .shared import bucketed, staged
 
 WIDTH, CLUSTERS, ROUNDS = 64, 8, 10
 SCALE, SEED = 1024, "3:"
 #: Components are held within this, so that a squared distance fits a long.
 LARGEST = 1 << 27
-#: Vectors of a block, and bytes of the vectors of a bucket.
-BLOCK, BUCKET_BYTES = 4096, 64 << 20
+#: The largest long, at which sums of distances stop.
+LONGEST = (1 << 63) - 1
+#: Vectors of a block.
+BLOCK = 4096
 #: Nearest centroids with a bound of their own at first, at least; a quarter of all if that is more.
 SEVERAL = 3
 
@@ -169,36 +170,6 @@ def _vectors(b: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
         yield block, ids.values, np.frombuffer(data, "<i2" if len(data) == 2 * WIDTH * len(ids.values) else "<i4").reshape(-1, WIDTH).astype(np.int64)
 
 
-class _Tables:
-    """Bucketed tables in the shared folder, without a trace in the catalogue once closed."""
-
-    def __init__(self, spark, buckets: int):
-        self.spark, self.buckets, self.made = spark, buckets, []
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        table = f"tidewell_{name}_{uuid.uuid4().hex}"
-        path = new_folder(self.spark, name)
-        df.write.format("parquet").bucketBy(self.buckets, "block").option("path", path).saveAsTable(table)
-        self.made.append((table, path))
-        return self.spark.table(table)
-
-    def forget(self, last: int = 0) -> None:
-        """Drop all but the vectors and the ``last`` tables, and their files."""
-        for table, path in self.made[1 : len(self.made) - last]:
-            self._drop(table, path)
-        self.made = self.made[:1] + self.made[1:][len(self.made[1:]) - last :]
-
-    def close(self) -> None:
-        for table, path in self.made:
-            self._drop(table, path)
-        self.made = []
-
-    def _drop(self, table: str, path: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def integers(vectors: DataFrame, id_col: str, vec: str) -> DataFrame:
     """``vec_id, v``: the vectors that are kept, as integers."""
     x = F.col(vec)
@@ -212,7 +183,7 @@ def _start() -> Column:
     return F.coalesce(F.sha2(F.concat(F.lit(SEED), F.col("vec_id").cast("string")), 256), F.concat(F.lit("~"), F.sha2(F.col("v").cast("string"), 256)))
 
 
-def _stepped(tables: _Tables, vectors: DataFrame, state: DataFrame | None, c: np.ndarray, moved: np.ndarray | None, listed: int) -> DataFrame:
+def _stepped(tables: tuple[int, int], vectors: DataFrame, state: DataFrame | None, c: np.ndarray, moved: np.ndarray | None, listed: int) -> DataFrame:
     """The bounds of one round, written; with each task's last block go the task's sums and the listed bounds that it needed."""
 
     bounded = state is not None
@@ -236,7 +207,7 @@ def _stepped(tables: _Tables, vectors: DataFrame, state: DataFrame | None, c: np
             yield pa.RecordBatch.from_pylist([last | {"sums": total.tobytes(), "used": needed}], schema)
 
     source = vectors if state is None else vectors.join(state.select("block", "state"), "block")
-    return tables.write(source.mapInArrow(run, _STATES), "bounds")
+    return bucketed(source.mapInArrow(run, _STATES), "block", *tables, "bounds", dealt=True)
 
 
 def _gathered(state: DataFrame, k: int) -> tuple[np.ndarray, int]:
@@ -262,7 +233,7 @@ def cluster(vectors: DataFrame, *, clusters: int = CLUSTERS, rounds: int = ROUND
     """``vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256`` for each kept vector.
 
     Kept are vectors of exactly 64 components, none null or not finite; component x becomes floor(1024 * x), held within
-    2**27 of zero so that squared distances fit a long. The first centroids are the vectors whose ids' hashes are least.
+    2**27 of zero so that squared distances fit a long; their sums stop at the largest long. The first centroids are the vectors whose ids' hashes are least.
     Each round assigns every vector to the nearest centroid, the smaller number where distances tie, and moves every
     centroid that has vectors to the floor of their mean; then vectors are assigned once more.
 
@@ -278,9 +249,9 @@ def cluster(vectors: DataFrame, *, clusters: int = CLUSTERS, rounds: int = ROUND
     if not first:
         return spark.createDataFrame([], out + ", cluster_inertia long, inertia long, centroid_sha256 string")
     c = np.array([r.v for r in first], np.int64)
-    buckets = parts_for(kept.count() * WIDTH * 4, BUCKET_BYTES)
-    tables = _Tables(spark, buckets)
-    blocks = tables.write(kept.mapInArrow(_blocks, _BLOCKS).repartition(buckets, "block"), "vectors")
+    n = kept.count()
+    tables = (-(-n // BLOCK), n * WIDTH * 4)
+    blocks = bucketed(kept.mapInArrow(_blocks, _BLOCKS), "block", *tables, "vectors")
     listed = min(len(c) - 1, max(SEVERAL, len(c) // 4))
     state, moved = None, None
     for _ in range(rounds):
@@ -292,7 +263,6 @@ def cluster(vectors: DataFrame, *, clusters: int = CLUSTERS, rounds: int = ROUND
         moved = np.sqrt(((new - c) ** 2).sum(1).astype(np.float64)) * (1 + 1e-9)
         c = new
         listed = min(listed, max(used, len(c) // 8, min(1, len(c) - 1)))
-        tables.forget(last=1)
 
     bounded = state is not None
 
@@ -305,9 +275,8 @@ def cluster(vectors: DataFrame, *, clusters: int = CLUSTERS, rounds: int = ROUND
 
     source = blocks if state is None else blocks.join(state.select("block", "state"), "block")
     rows = staged(source.mapInArrow(ended, out), "clustered")
-    tables.close()
-    inertia = {r.cluster: r.total for r in rows.groupBy("cluster").agg(F.sum("distance").alias("total")).collect()}  # one number a centroid
+    inertia = {r.cluster: int(r.total) for r in rows.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("total")).collect()}  # one number a centroid
     names = [hashlib.sha256(",".join(map(str, row.tolist())).encode()).hexdigest() for row in c]
-    known = [(i, inertia.get(i, 0), sum(inertia.values()), name) for i, name in enumerate(names)]
+    known = [(i, min(inertia.get(i, 0), LONGEST), min(sum(inertia.values()), LONGEST), name) for i, name in enumerate(names)]
     more = spark.createDataFrame(known, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     return rows.join(F.broadcast(more), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

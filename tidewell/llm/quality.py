@@ -216,7 +216,7 @@ def voters(docs: DataFrame, labels: DataFrame, space: Space, most: int = TRAIN_R
                 yield pa.RecordBatch.from_arrays([b.column("label").slice(first, len(x)), pa.array([v.tobytes() for v in x], pa.binary())], names=["label", "v"])
 
     found = sorted((r.v, r.label) for r in rows.mapInArrow(place, "label double, v binary").collect())  # a bounded sample
-    vectors = np.frombuffer(b"".join(v for v, _ in found), np.float32).reshape(len(found), -1)
+    vectors = np.frombuffer(b"".join(v for v, _ in found), np.float32).reshape(len(found), space.axes.shape[1])
     return Voters(vectors, np.array([y for _, y in found]))
 
 

@@ -74,9 +74,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000
 
 
-def bucketed(df: DataFrame, key: str, keys: int, n_bytes: int, name: str, compression: str = "snappy") -> DataFrame:
+def bucketed(df: DataFrame, key: str, keys: int, n_bytes: int, name: str, compression: str = "snappy", dealt: bool = False) -> DataFrame:
     """``df`` written to the shared folder as a table bucketed by ``key``, read back.
 
+    ``dealt``: ``df`` already lies by the key in as many parts, as what was made of another such table does.
     What is grouped or joined by the key then meets without a shuffle, as often as it is read. Buckets are of about
     BUCKET_BYTES of ``n_bytes``, but no fewer than Spark's shuffle partitions where there are as many ``keys``. The catalogue forgets the table at
     once; its files stay until ``clear``.
@@ -85,7 +86,7 @@ def bucketed(df: DataFrame, key: str, keys: int, n_bytes: int, name: str, compre
     n = min(MOST_BUCKETS, max(parts_for(n_bytes, BUCKET_BYTES), min(keys, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     made = f"tidewell_{uuid.uuid4().hex}"
     with _freeing(spark):
-        df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", new_folder(spark, name)).option("compression", compression).saveAsTable(made)
+        (df if dealt else df.repartition(n, key)).write.format("parquet").bucketBy(n, key).option("path", new_folder(spark, name)).option("compression", compression).saveAsTable(made)
     out = spark.table(made)
     spark.sql(f"DROP TABLE {made}")
     return out
