@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewell import cli
 from tidewell.functions import text as X
 from tidewell.operators import metrics as M
-from tidewell.operators import nets
+from tidewell.operators import kmeans, nets
 from tidewell.operators import pooling as P
 from tidewell.operators import tables as T
 from tidewell.plans import batches, estimate, queries, runner
@@ -47,11 +47,64 @@ def test_calibrated_statistics_meet_the_targets(spark, sf_dir):
     assert r.n_patients == r.texts == 150 and abs(r.treatment_rate - 0.5) < 0.15 and abs(r.treatment_logit_std - 2) < 0.4
 
 
-def test_centres_lie_at_means_of_their_nearest(spark, sf_dir):
+def plain_kmeans(rows, k, seed, batch, steps, starts):
+    """Mini-batch k-means in one loop, from draws made here: the centres."""
+    u = lambda start, p, key: int(hashlib.md5(f"{seed}:batch-{p}:{start}:{key}".encode()).hexdigest()[:8], 16) / 2**32
+    n = len(rows)
+    per = max(1, n // batch)
+    best = (math.inf, None)
+    x = np.array([v for _, v in rows])
+    for start in range(starts):
+        of = {}
+        for key, v in rows:
+            for p in range(-(-steps // per)):
+                step = math.floor(u(start, p, key) * (n / min(batch, n))) + p * per
+                if step < (p + 1) * per and step < steps:
+                    of.setdefault(step, []).append((key, v))
+        centres = None
+        for step in sorted(of):
+            some = np.array([v for _, v in sorted(of[step])])
+            if centres is None:
+                centres, counts = kmeans.seeded(some, k, seed * 1000 + start), np.zeros(k)
+            own = [min((((v - c) ** 2).sum(), j) for j, c in enumerate(centres))[1] for v in some]
+            for j in range(k):
+                mine = some[[o == j for o in own]]
+                if len(mine):
+                    centres[j] = (centres[j] * counts[j] + mine.sum(0)) / (counts[j] + len(mine))
+                    counts[j] += len(mine)
+        d = ((x[:, None] - centres[None]) ** 2).sum(2)
+        if d.min(1).sum() < best[0]:
+            best = (d.min(1).sum(), np.array([x[d.argmin(1) == j].mean(0) if (d.argmin(1) == j).any() else centres[j] for j in range(k)]))
+    return best[1]
+
+
+@pytest.mark.parametrize(("n", "batch"), [(300, 40), (25, 1000)])
+def test_minibatch_kmeans_equals_a_plain_loop(spark, n, batch):
+    """On any partitioning, with null vectors beside; batches of part of the rows, or of all."""
+    r = np.random.default_rng(8)
+    rows = [(f"{i}:0", (r.normal(size=4) * 0.2 + (i % 4)).tolist()) for i in range(n)]
+    want = plain_kmeans(rows, 4, 3, batch, 6, 2)
+    df = spark.createDataFrame([(i, 0, v) for i, (_, v) in enumerate(rows)] + [(999, 0, None)], "doc_id long, pos int, emb array<double>")
+    for parts in (1, 5):
+        got = kmeans.minibatch_kmeans(df.repartition(parts), 4, id_cols=["doc_id", "pos"], seed=3, batch=batch, steps=6, starts=2)
+        assert np.allclose(got, want, atol=1e-9)
+    assert kmeans.minibatch_kmeans(df.where("false"), 4, id_cols=["doc_id"]).size == 0
+    same = kmeans.minibatch_kmeans(df.where("doc_id < 2").withColumn("emb", F.array(F.lit(1.0), F.lit(2.0))), 3, id_cols=["doc_id"])
+    assert np.allclose(same, [[1.0, 2.0]] * 3)
+
+
+def test_centres_divide_the_vectors_well(spark, sf_dir):
     vecs = np.array([r.embedding for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("embedding").collect()], float)
     centres = np.array([r.vec for r in queries.QUERIES["kmeans_bank"](spark, sf_dir).collect()])
-    near = ((vecs[:, None] - centres[None]) ** 2).sum(2).argmin(1)
-    assert len(centres) == 5 and max(np.abs(vecs[near == k].mean(0) - c).max() for k, c in enumerate(centres)) < 0.05
+    inertia = lambda c: ((vecs[:, None] - c[None]) ** 2).sum(2).min(1).sum()
+    best = math.inf  # of full passes from several starts
+    for seed in range(3):
+        c = vecs[np.random.default_rng(seed).choice(len(vecs), 5, replace=False)]
+        for _ in range(20):
+            own = ((vecs[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            c = np.array([vecs[own == j].mean(0) if (own == j).any() else c[j] for j in range(5)])
+        best = min(best, inertia(c))
+    assert centres.shape == (5, 64) and inertia(centres) < 1.02 * best
 
 
 def test_coordinates_are_principal_components(spark, sf_dir):
@@ -427,6 +480,26 @@ def test_near_duplicates_across_batches_and_blocks(spark, monkeypatch):
     assert kept == want
 
 
+def test_near_duplicates_of_a_huge_document(spark, monkeypatch):
+    """Large groups go by pairs of blocks: equal to the plain rule, with equal positions, null vectors and small groups beside; no task holds the group."""
+    r = np.random.default_rng(6)
+    monkeypatch.setattr(P, "LARGE", 40)
+    rows = [(1, i, (r.normal(size=3) * 0.3 + [1, i % 3, 0]).tolist()) for i in range(150)] + [(1, 150, None), (1, 20, [9.0, -9.0, 1.0]), (1, 20, [1.0, 0.0, 0.0])]
+    rows += [(2, i, r.normal(size=3).tolist()) for i in range(12)] + [(None, 0, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, emb array<double>").repartition(5)
+    large = P.large_groups(df)
+    assert [r.doc_id for r in large.collect()] == [1]
+    sizes = []
+    cos = lambda a, b: np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))
+    want = Counter((d, p) for d, p, v in rows if v is None or d is None or not any(e == d and q < p and w is not None and cos(v, w) > 0.97 for e, q, w in rows))
+    plan = P.drop_near_duplicates(df, 0.97, large=large)
+    assert Counter((r.doc_id, r.pos) for r in plan.collect()) == want and 20 < sum(want.values()) < len(rows)
+    assert Counter((r.doc_id, r.pos) for r in P.drop_near_duplicates(df, 0.97).collect()) == want
+    grid = df.join(large, "doc_id").withColumn("_blocks", F.lit(8))
+    sizes = [r["count"] for r in grid.groupBy(F.pmod(F.xxhash64("pos"), F.lit(8))).count().collect()]
+    assert max(sizes) < 40 and plan.columns == df.columns
+
+
 def test_correlations_go_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(M, "_SUMMED", 2)
     x = np.random.default_rng(3).normal(size=(40, 5))

@@ -20,15 +20,35 @@ TAU, POWER, TOP = 1.0, 1 + math.log(2), 3
 MOST_BANK = 100_000
 
 
-def drop_near_duplicates(vectors: DataFrame, threshold: float | None = 0.9, group: str = "doc_id", pos: str = "pos", emb: str = "emb") -> DataFrame:
+#: Rows of a group that one task compares; of larger groups, rows of a block of the grid.
+LARGE = 20_000
+#: Large groups that are told to all tasks; each has more than LARGE rows.
+MOST_LARGE = 1_000_000
+
+
+def large_groups(rows: DataFrame, group: str = "doc_id", least: int | None = None) -> DataFrame:
+    """``group, n_rows`` of the groups of more than ``least`` rows (LARGE if None)."""
+    return rows.groupBy(group).agg(F.count("*").alias("n_rows")).where((F.col("n_rows") > (LARGE if least is None else least)) & F.col(group).isNotNull())
+
+
+def drop_near_duplicates(vectors: DataFrame, threshold: float | None = 0.9, group: str = "doc_id", pos: str = "pos", emb: str = "emb", large: DataFrame | None = None) -> DataFrame:
     """Rows but those whose cosine with an earlier row of the group exceeds ``threshold``.
 
     An earlier row that is itself dropped still drops later ones. ``None`` drops nothing. Rows whose group or
     vector is null stay. One exchange brings groups together; a task walks them in order, a group at a time, and multiplies
-    blocks of its unit vectors, so what it holds grows with one group, a document's chunks.
+    blocks of its unit vectors, so what it holds grows with one group. The groups of ``large`` (as ``large_groups`` gives; it may count rows
+    before they have vectors) are dealt to blocks instead, and every pair of blocks is compared by itself: nothing holds such a group whole.
     """
     if threshold is None:
         return vectors
+    if large is not None:
+        large = large.select(group, F.ceil(F.col("n_rows") / (LARGE // 2)).cast("int").alias("_blocks")).limit(MOST_LARGE + 1)
+        if (n := large.count()) > MOST_LARGE:
+            raise ValueError(f"more than {MOST_LARGE} large groups")
+        if n:
+            large = F.broadcast(large)
+            small = drop_near_duplicates(vectors.join(large.select(group), group, "left_anti"), threshold, group, pos, emb)
+            return small.unionByName(_without_grid(vectors.join(large, group), threshold, group, pos, emb).select(vectors.columns))
     ordered = vectors.repartition(group).sortWithinPartitions(group, pos)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,6 +69,33 @@ def drop_near_duplicates(vectors: DataFrame, threshold: float | None = 0.9, grou
     return ordered.mapInArrow(run, vectors.schema)
 
 
+def _without_grid(rows: DataFrame, threshold: float, group: str, pos: str, emb: str) -> DataFrame:
+    """Rows of large groups (with ``_blocks``) but those that a row of an earlier position drops, found by pairs of blocks."""
+    keyed = rows.withColumn("_of", F.xxhash64(pos, emb))  # rows of one position and vector share a fate
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    dealt = keyed.where(F.col(emb).isNotNull()).withColumn("_block", F.pmod(F.xxhash64(pos), F.col("_blocks")).cast("int")).withColumn("_other", other)
+    pairs = dealt.select(group, pos, emb, "_of", "_block", F.least("_block", "_other").alias("_one"), F.greatest("_block", "_other").alias("_two"))
+    key = [rows.schema[c] for c in (group, pos)]
+
+    def compare(some: pa.Table) -> pa.Table:
+        x = some.column(emb).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(some.num_rows, -1)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        at, block = some.column(pos).to_numpy(), some.column("_block").to_numpy()
+        one, two = some.column("_one")[0].as_py(), some.column("_two")[0].as_py()
+        left, right = (np.flatnonzero(block == b) for b in (one, two))
+        drops = np.zeros(some.num_rows, bool)
+        for i in range(0, len(left), _BLOCK):
+            for j in range(0, len(right), _BLOCK):
+                p, q = left[i : i + _BLOCK], right[j : j + _BLOCK]
+                close = x[p] @ x[q].T > threshold
+                drops[p] |= (close & (at[q][None, :] < at[p][:, None])).any(1)
+                drops[q] |= (close & (at[p][:, None] < at[q][None, :])).any(0)
+        return some.filter(pa.array(drops)).select([group, pos, "_of"])
+
+    dropped = pairs.groupBy(group, "_one", "_two").applyInArrow(compare, StructType([*key, StructField("_of", LongType())])).distinct()
+    return keyed.join(dropped, [group, pos, "_of"], "left_anti")
+
+
 #: Rows of a block of a group's vectors.
 _BLOCK = 2048
 

@@ -15,6 +15,7 @@ from ..functions.embed import embed
 from ..operators import metrics as M
 from ..operators import pooling as P
 from ..operators import tables as T
+from ..operators.kmeans import minibatch_kmeans
 from . import estimate, plasmode, runner, scm
 from .plasmode import Scenario
 
@@ -605,13 +606,9 @@ def multi_arm_pretraining(spark, d):
 
 @query()
 def kmeans_bank(spark, d):
-    """Centres of all vectors of the table."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors(spark, d).select(array_to_vector("emb").alias("features"))
-    centres = KMeans(k=5, seed=42).fit(rows).clusterCenters()
-    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "conf_idx int, vec array<double>")
+    """Centres of all vectors of the table, by mini-batches that their ids draw."""
+    centres = minibatch_kmeans(vectors(spark, d), 5, id_cols=["doc_id", "pos"])
+    return spark.createDataFrame([(i, c) for i, c in enumerate(centres.tolist())], "conf_idx int, vec array<double>")
 
 
 @query()

@@ -16,15 +16,12 @@ from ..functions.embed import Embedder, embed, hash_embedder
 from ..operators import metrics as M
 from ..operators import pooling as P
 from ..operators import tables as T
+from ..operators.kmeans import minibatch_kmeans
 from ..operators.nets import Design, Weights
 from ..sources import datasets as S
 from . import estimate, plasmode
 from .config import Architecture, Experiment, PlasmodeScenario, Training
 
-#: Documents whose chunks the latent confounders are clustered from, at most, unless the runner is told otherwise.
-KMEANS_DOCUMENTS = 5000
-
-
 #: Embedders by the name that a configuration gives (``embedding_model_name``); add your own.
 EMBEDDERS: dict[str, Callable[[], Embedder]] = {"hash": hash_embedder}
 
@@ -42,7 +39,7 @@ def chunk_vectors(docs: DataFrame, arch: Architecture, embedder: Embedder | None
     chunks = X.explode_chunks(docs, size=arch.chunk_size, overlap=arch.chunk_overlap)
     make = lambda rows: embed(rows.withColumn("_text", F.col("chunk")), embedder_of(arch, embedder), "_text")
     made = make(chunks) if cache_dir is None else cached_vectors(chunks, make, f"{cache_dir.rstrip('/')}/{X.file_name(arch.embedding_model_name)}")
-    return P.drop_near_duplicates(made, threshold)
+    return P.drop_near_duplicates(made, threshold, large=P.large_groups(chunks))
 
 
 def cached_vectors(chunks: DataFrame, make: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
@@ -58,14 +55,11 @@ def cache_statistics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).agg(F.count("*").alias("entries"), (F.coalesce(F.sum(F.size("emb")), F.lit(0)) * 8 / 1e6).alias("mb"))
 
 
-def confounder_bank(chunks: DataFrame, arch: Architecture, seed: int = 42, embedder: Embedder | None = None, documents: int | None = KMEANS_DOCUMENTS, kmeans: bool = True) -> DataFrame:
-    """``conf_idx, head, vec``: embedded explicit texts first, then cluster centres of the chunks of ``documents`` sampled documents (None: of all).
+def confounder_bank(chunks: DataFrame, arch: Architecture, seed: int = 42, embedder: Embedder | None = None, documents: int | None = None, kmeans: bool = True) -> DataFrame:
+    """``conf_idx, head, vec``: embedded explicit texts first, then cluster centres of the chunks of all documents, or of ``documents`` sampled ones.
 
     Without ``kmeans`` the latent ones are seeded unit vectors instead.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     spark = chunks.sparkSession
     texts = arch.explicit_confounder_texts or []
     heads = arch.features_per_confounder
@@ -80,8 +74,7 @@ def confounder_bank(chunks: DataFrame, arch: Architecture, seed: int = 42, embed
         if documents is not None:
             some = T.sampled(chunks.select("doc_id").distinct(), documents, seed)
             chunks = chunks.join(some, "doc_id")
-        rows = chunks.select(array_to_vector(V.doubles("emb")).alias("features"))
-        centres = KMeans(k=arch.num_latent_confounders * heads, seed=seed).fit(rows).clusterCenters()
+        centres = minibatch_kmeans(chunks, arch.num_latent_confounders * heads, id_cols=["doc_id", "pos"], seed=seed)
         vectors += [(len(texts) + i // heads, i % heads, [float(x) for x in c]) for i, c in enumerate(centres)]
     return spark.createDataFrame(vectors, "conf_idx int, head int, vec array<double>")
 
@@ -130,7 +123,7 @@ def fit(rows: DataFrame, design: Design, training: Training, folds: int = 0, see
 class ExperimentRunner:
     """Runs a validated configuration; tables go below its ``output_dir``."""
 
-    def __init__(self, spark: SparkSession, config: Experiment, embedder: Embedder | None = None, kmeans_documents: int | None = KMEANS_DOCUMENTS):
+    def __init__(self, spark: SparkSession, config: Experiment, embedder: Embedder | None = None, kmeans_documents: int | None = None):
         config.validate()
         self.spark, self.config, self.embedder, self.kmeans_documents = spark, config, embedder, kmeans_documents
         self.out = config.output_dir.rstrip("/")
