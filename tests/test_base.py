@@ -17,6 +17,7 @@ from tidewell.plans import batches, estimate, queries, runner
 from tidewell.plans.config import Architecture, Experiment, create_default_config
 from tidewell.plans.runner import ExperimentRunner
 from tidewell.sources import datasets as S
+from tidewell.sources.segments import Segments, in_batches
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -241,10 +242,6 @@ def test_validation_and_sources(spark, tmp_path):
     for bad in (f"{tmp_path}/x.xlsx", f"{tmp_path}/x"):
         with pytest.raises(ValueError):
             S.load_dataset(spark, bad)
-    ids = spark.range(10).withColumnRenamed("id", "k")
-    make = lambda new: new.withColumn("made", F.lit(1))
-    S.append_missing(ids.where("k < 4"), f"{tmp_path}/t", make, "k")
-    assert S.append_missing(ids, f"{tmp_path}/t", make, "k").count() == 10
     S.write_json({"a": [1, None]}, f"{tmp_path}/j", spark)
     assert S.read_json(f"{tmp_path}/j", spark) == {"a": [1, None]}
 
@@ -434,11 +431,73 @@ def test_cached_vectors_are_made_once(spark, tmp_path):
     every = {(r.doc_id, tuple(r.emb)) for r in runner.chunk_vectors(docs, Architecture(), cache_dir=str(tmp_path)).collect()}
     plain_ = {(r.doc_id, tuple(r.emb)) for r in runner.chunk_vectors(docs, Architecture()).collect()}
     assert first < every == plain_
-    assert runner.cache_statistics(spark, f"{tmp_path}/hash").first().entries == 2
+    cache = runner.cache_of(spark, str(tmp_path), Architecture(), runner.EMBEDDERS["hash"]())
+    assert runner.cache_statistics(cache).first().entries == 2
+    assert cache.path.endswith("/hash_d64_cs128_co32") and cache.path != runner.cache_of(spark, str(tmp_path), Architecture(), runner.hash_embedder(32)).path
     with pytest.raises(ValueError, match="no embedder"):
         runner.chunk_vectors(docs, Architecture(embedding_model_name="elsewhere"))
 
 
+def test_segments_hit_miss_interrupt_and_clear(spark, tmp_path):
+    """Keys are made once; what an interrupted writer left is not read; clearing leaves nothing."""
+    made = []
+
+    def make(rows, tag="a"):
+        made.append(sorted(r.k for r in rows.collect() if r.k is not None))
+        return rows.select("k", F.lit(tag).alias("tag"))
+
+    store = Segments(spark, f"{tmp_path}/s", "k", buckets=8)
+    rows = lambda ks: spark.createDataFrame([(k, k * 2 if k is not None else None) for k in ks], "k long, v long")
+    assert store.read() is None and {r.k for r in store.get_or_make(rows([1, 2, 2, None]), make).collect()} == {1, 2}
+    assert {(r.k, r.tag) for r in store.get_or_make(rows([2, 3, 4]), lambda r: make(r, "b")).collect()} == {(2, "a"), (3, "b"), (4, "b")}
+    assert store.get_or_make(rows([1, 4]), make).count() == 2 and made == [[1, 2], [3, 4]] and store._manifest()[0] == 2
+    store._write(rows([9]).select("k", F.lit("lost").alias("tag")))  # interrupted before its commit
+    assert {r.k for r in store.read().collect()} == {1, 2, 3, 4} and len(store.folders.names()) == 3
+    with pytest.raises(Exception, match="division|by zero|DIVIDE"):
+        store.get_or_make(rows([11]), lambda r: r.select("k", F.raise_error(F.lit("division")).cast("string").alias("tag")))
+    assert {r.k for r in store.read().collect()} == {1, 2, 3, 4}
+    plan = store.read(rows([1]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1][:80]
+    store.sweep()
+    assert len(store.folders.names()) == 2 and store.read().count() == 4
+    store.clear()
+    assert store.read() is None and store.folders.names() == [] and store.get_or_make(rows([1]), make).count() == 1
+
+
+def test_segments_of_two_writers(spark, tmp_path):
+    """Another writer commits while this one makes: keys of both are kept once, the first's."""
+    rows = lambda ks: spark.createDataFrame([(k,) for k in ks], "k long")
+    tagged = lambda tag: lambda r: r.select("k", F.lit(tag).alias("tag"))
+    one, two = (Segments(spark, f"{tmp_path}/s", "k", buckets=4) for _ in range(2))
+
+    def slow(r):
+        two.get_or_make(rows([2, 3]), tagged("two"))
+        return tagged("one")(r)
+
+    assert {(r.k, r.tag) for r in one.get_or_make(rows([1, 2]), slow).collect()} == {(1, "one"), (2, "two")}
+    assert sorted((r.k, r.tag) for r in one.read().collect()) == [(1, "one"), (2, "two"), (3, "two")] and len(one.folders.names()) == 2
+
+
+def test_batches_resume_where_they_stopped(spark, tmp_path):
+    """A run that fails half way leaves its batches; the next one makes the rest, and what the failed one left unfinished again."""
+    ids, calls = spark.range(200).withColumnRenamed("id", "k"), []
+
+    def make(rows, fails_at=None):
+        calls.append(1)
+        if len(calls) == fails_at:
+            rows.select("k").write.mode("overwrite").parquet(f"{tmp_path}/t/rows/00000002-of-00000005")  # half written, not logged
+            raise RuntimeError("stopped")
+        return rows.withColumn("made", F.lit(len(calls)))
+
+    with pytest.raises(RuntimeError):
+        in_batches(ids, f"{tmp_path}/t", lambda r: make(r, 3), "k", 5)
+    out = in_batches(ids, f"{tmp_path}/t", make, "k", 5)
+    assert out.count() == out.select("k").distinct().count() == 200 and len(calls) == 6
+    assert {r.made for r in out.collect()} == {1, 2, 4, 5, 6}
+    in_batches(ids, f"{tmp_path}/t", make, "k", 5)
+    assert len(calls) == 6
+
+
 def test_model_from_a_spec(spark, tmp_path):
     from tidewell.plans import scm
 

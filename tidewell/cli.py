@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .plans import config, scm
 from .plans.runner import ExperimentRunner
 from .sources import datasets as S
+from .sources.segments import in_batches
 
 
 def parser() -> argparse.ArgumentParser:
@@ -47,12 +48,16 @@ def generator_config(args: argparse.Namespace) -> scm.GeneratorConfig:
     return dataclasses.replace(made, **{k: v for k, v in vars(args).items() if k in known and v is not None})
 
 
+#: Patients of a batch that is made and logged at once.
+BATCH = 1_000_000
+
+
 def generate(spark: SparkSession, settings: scm.GeneratorConfig) -> dict:
-    """Rescale, then calibrate, then write ``dataset`` (only ids it lacks) and ``metadata``."""
+    """Rescale, then calibrate, then write ``dataset`` in batches, going on where an interrupted run stopped, and ``metadata``."""
     std = settings.target_logit_std
     model = scm.calibrated(scm.rescaled(settings.model(), spark, std, std), spark, settings.target_treatment_rate, settings.target_control_outcome_rate)
     ids = spark.range(settings.dataset_size).select(F.col("id").alias("patient_id"))
-    rows = S.append_missing(ids, f"{settings.output_dir}/dataset", lambda new: scm.patients(new, model), "patient_id")
+    rows = in_batches(ids, f"{settings.output_dir}/dataset", lambda new: scm.patients(new, model), "patient_id", max(1, settings.dataset_size // BATCH))
     meta = {"statistics": scm.dataset_statistics(rows).first().asDict(), "model": dataclasses.asdict(model), "settings": settings.to_dict()}
     S.write_json(meta, f"{settings.output_dir}/metadata", spark)
     return meta["statistics"]

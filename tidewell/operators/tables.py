@@ -99,12 +99,3 @@ def sampled(df: DataFrame, most: int, seed: int = 42, id_col: str = "doc_id") ->
 def remaining(n: int, done: DataFrame, id_col: str = "patient_id") -> DataFrame:
     """Ids below ``n`` that ``done`` lacks."""
     return done.sparkSession.range(n).withColumnRenamed("id", id_col).join(done.select(id_col), id_col, "left_anti")
-
-
-def cached(keys: DataFrame, cache: DataFrame | None, compute, key: str) -> tuple[DataFrame, DataFrame | None]:
-    """Rows for ``keys``: from ``cache`` where it has the key, else computed; and what was computed, to append."""
-    if cache is None:
-        made = compute(keys)
-        return made, made
-    made = compute(keys.join(cache.select(key), key, "left_anti"))
-    return cache.join(keys.select(key).distinct(), key, "left_semi").unionByName(made), made

@@ -16,6 +16,8 @@ from ..operators import metrics as M
 from ..operators import pooling as P
 from ..operators import tables as T
 from ..operators.kmeans import minibatch_kmeans
+from ..sources import datasets as S
+from ..sources.segments import Segments, in_batches
 from . import estimate, plasmode, runner, scm
 from .plasmode import Scenario
 
@@ -279,10 +281,21 @@ def transferred_bank(spark, d):
 
 @query("SELECT doc_id, length(text) AS length, doc_id % 2 = 0 AS held FROM documents")
 def cached_lengths(spark, d):
-    """Half of the results come from a cache, the others are computed."""
+    """Half of the results are in a cache of segments, the others are made and added; all come from it."""
     docs = read(spark, d, "documents").select("doc_id", "text")
     make = lambda rows, held: rows.select("doc_id", F.length("text").cast("long").alias("length"), F.lit(held).alias("held"))
-    return T.cached(docs, make(docs.where("doc_id % 2 = 0"), True), lambda rows: make(rows, False), "doc_id")[0]
+    cache = Segments(spark, S.scratch(spark), "doc_id")
+    cache.get_or_make(docs.where("doc_id % 2 = 0"), lambda rows: make(rows, True))
+    return cache.get_or_make(docs, lambda rows: make(rows, False))
+
+
+@query("SELECT doc_id, length(text) AS length, sha1(text) AS text_sha1 FROM documents")
+def resumed_lengths(spark, d):
+    """Made in batches with a log; the second call finds all of them in it."""
+    docs, path = read(spark, d, "documents").select("doc_id", "text"), S.scratch(spark)
+    make = lambda rows: rows.select("doc_id", F.length("text").cast("long").alias("length"), F.sha1("text").alias("text_sha1"))
+    in_batches(docs, path, make, "doc_id", 3)
+    return in_batches(docs, path, lambda rows: make(rows).where("false"), "doc_id", 3)
 
 
 FEATURES = MATCHES + ", f AS (SELECT doc_id, conf_idx AS feat_idx, sum(exp(s) * s) / sum(exp(s)) AS value FROM m GROUP BY ALL)"

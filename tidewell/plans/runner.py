@@ -19,6 +19,7 @@ from ..operators import tables as T
 from ..operators.kmeans import minibatch_kmeans
 from ..operators.nets import Design, Weights
 from ..sources import datasets as S
+from ..sources.segments import Segments
 from . import estimate, plasmode
 from .config import Architecture, Experiment, PlasmodeScenario, Training
 
@@ -37,22 +38,30 @@ def embedder_of(arch: Architecture, given: Embedder | None) -> Embedder:
 def chunk_vectors(docs: DataFrame, arch: Architecture, embedder: Embedder | None = None, threshold: float | None = 0.9, cache_dir: str | None = None) -> DataFrame:
     """``doc_id, pos, chunk, emb`` of each document's chunks without near-duplicates; vectors come from ``cache_dir`` where it has the chunk."""
     chunks = X.explode_chunks(docs, size=arch.chunk_size, overlap=arch.chunk_overlap)
-    make = lambda rows: embed(rows.withColumn("_text", F.col("chunk")), embedder_of(arch, embedder), "_text")
-    made = make(chunks) if cache_dir is None else cached_vectors(chunks, make, f"{cache_dir.rstrip('/')}/{X.file_name(arch.embedding_model_name)}")
+    used = embedder_of(arch, embedder)
+    make = lambda rows: embed(rows.withColumn("_text", F.col("chunk")), used, "_text")
+    made = make(chunks) if cache_dir is None else cached_vectors(chunks, make, cache_of(chunks.sparkSession, cache_dir, arch, used))
     return P.drop_near_duplicates(made, threshold, large=P.large_groups(chunks))
 
 
-def cached_vectors(chunks: DataFrame, make: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
-    """``chunks`` with ``emb``, keyed by the chunk's hash: what the table at ``path`` lacks is made and appended."""
+def cache_of(spark: SparkSession, cache_dir: str, arch: Architecture, embedder: Embedder) -> Segments:
+    """The cache of a model's vectors: apart by model, width of its vectors, and size and overlap of chunks. It holds vectors of chunks before any is dropped, so no threshold bears on it."""
+    name = f"{X.file_name(arch.embedding_model_name)}_d{embedder(['']).shape[1]}_cs{arch.chunk_size}_co{arch.chunk_overlap}"
+    return Segments(spark, f"{cache_dir.rstrip('/')}/{name}", "chunk_sha1")
+
+
+def cached_vectors(chunks: DataFrame, make: Callable[[DataFrame], DataFrame], cache: Segments) -> DataFrame:
+    """``chunks`` with ``emb``, keyed by the chunk's hash: what the cache lacks is made and added."""
     keyed = chunks.withColumn("chunk_sha1", F.sha1("chunk"))
-    texts = keyed.select("chunk_sha1", "chunk").dropDuplicates(["chunk_sha1"])
-    held = S.append_missing(texts, path, lambda new: make(new).select("chunk_sha1", "emb"), "chunk_sha1")
+    held = cache.get_or_make(keyed.select("chunk_sha1", "chunk"), lambda new: make(new).select("chunk_sha1", "emb"))
     return keyed.join(held, "chunk_sha1").drop("chunk_sha1")
 
 
-def cache_statistics(spark: SparkSession, path: str) -> DataFrame:
+def cache_statistics(cache: Segments) -> DataFrame:
     """One row: entries of a cache of vectors, and the MB that their numbers take."""
-    return spark.read.parquet(path).agg(F.count("*").alias("entries"), (F.coalesce(F.sum(F.size("emb")), F.lit(0)) * 8 / 1e6).alias("mb"))
+    rows = cache.read()
+    rows = cache.spark.createDataFrame([], "emb array<double>") if rows is None else rows
+    return rows.agg(F.count("*").alias("entries"), (F.coalesce(F.sum(F.size("emb")), F.lit(0)) * 8 / 1e6).alias("mb"))
 
 
 def confounder_bank(chunks: DataFrame, arch: Architecture, seed: int = 42, embedder: Embedder | None = None, documents: int | None = None, kmeans: bool = True) -> DataFrame:

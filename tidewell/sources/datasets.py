@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 from pathlib import PurePosixPath
 
@@ -58,14 +60,11 @@ def read_json(path: str, spark: SparkSession) -> dict:
     return json.loads("\n".join(r.value for r in spark.read.text(path).collect()))
 
 
-def append_missing(wanted: DataFrame, path: str, make: Callable[[DataFrame], DataFrame], id_col: str) -> DataFrame:
-    """Make and append only the rows whose ids the table at ``path`` lacks, as after an interrupted run; the whole table."""
-    spark = wanted.sparkSession
-    try:
-        done = spark.read.parquet(path).select(id_col)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = wanted.select(id_col).where("false")
-    make(wanted.join(done, id_col, "left_anti")).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+def scratch(spark: SparkSession) -> str:
+    """A folder of its own below ``spark.checkpoint.dir``, which driver and executors share; in local mode without it, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tidewell-")
+    return f"{base.rstrip('/')}/tidewell/{spark.sparkContext.applicationId}/scratch-{uuid.uuid4().hex}"
