@@ -1,4 +1,5 @@
 import hashlib
+import json
 import math
 from collections import Counter
 
@@ -498,6 +499,23 @@ def test_batches_resume_where_they_stopped(spark, tmp_path):
     assert len(calls) == 6
 
 
+def test_broken_replies_are_repaired():
+    """Every cut of a reply gives what is whole up to there; all else is JSON as a parser reads it."""
+    made = {"a": [1, -2.5e3, {"b": "x, } ] \\ \" y", "é": None}], "c": {"d": True, "e": {}}, "f": []}
+    text = json.dumps(made)
+    assert X.repaired_object(text, 0) == (made, len(text))
+    for i in range(1, len(text)):
+        cut, end = X.repaired_object(text[:i], 0)
+        assert end == i and list(cut) == list(made)[: len(cut)] and json.dumps(cut)
+        for k, v in list(cut.items())[:-1]:
+            assert v == made[k]
+    for bad in ("{not json}", "{a: 1}", '{"a" 1}', '{"a": 1 "b": 2}', '{"a": nul}', "{]", '{"a": [1}'):
+        assert X.repaired_object(bad, 0) is None, bad
+    assert X.object_with('x {"p": {"q": 1}, "r": [{"q": 2, "s": 3}]} {"s": 4}', ["q", "s"]) == {"q": 2, "s": 3}
+    assert X.object_with('{"s": 4,} and', ["s"]) == {"s": 4} and X.object_with(None, ["s"]) is None and X.object_with("{" * 500, ["s"]) is None
+    assert X.object_with("no object", []) is None and X.object_with('{"s": "' + "x" * 100_000, ["s"]) == {"s": "x" * 100_000}
+
+
 def test_model_from_a_spec(spark, tmp_path):
     from tidewell.plans import scm
 

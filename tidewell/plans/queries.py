@@ -169,6 +169,23 @@ def final_json(spark, d):
     return read(spark, d, "events").select("event_id", X.final_json(wrapped).alias("found"))
 
 
+_K = "json_extract_string(props, '$.k')"
+
+
+@query(
+    f"""SELECT event_id, '{{"k": ' || {_K} || ', "tags": ["x", "y"]}}' AS cut_off, '{{"a": 1, "k": ' || {_K} || '}}' AS nested, '{{"k": ' || {_K} || ', "note": "a }} or {{ \\"b\\""}}' AS quoted
+    FROM events WHERE json_valid(props)"""
+)
+def keyed_json(spark, d):
+    """Replies that end too early, that hold the object inside others after prose with braces, and that have braces in strings."""
+    rows = read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k")).where("k IS NOT NULL")
+    given = lambda text: F.regexp_replace(F.lit(text), "<k>", F.col("k"))
+    cut = given('Well {maybe} so: {"meta": {"note": "no } here"}, "result": {"k": <k>, "tags": ["x", "y')
+    nested = given('First {"draft": {"j": -1}} and {not json}, then {"out": [{"j": 2}, {"k": <k>, "a": 1,},], "more": tr')
+    quoted = given('```json\n{"k": <k>, "note": "a } or { \\"b\\""}\n``` as asked')
+    return rows.select("event_id", *[X.keyed_json(c, ["k"]).alias(n) for c, n in ((cut, "cut_off"), (nested, "nested"), (quoted, "quoted"))])
+
+
 @query(f"SELECT count(*) AS n, {s6('avg(length(text))', 'mean_length')}, count(*) FILTER (WHERE length(text) > 0) AS non_empty FROM documents")
 def text_statistics(spark, d):
     return read(spark, d, "documents").agg(F.count("*").alias("n"), r6(F.avg(F.length("text")), "mean_length"), F.count_if(F.length("text") > 0).alias("non_empty"))
