@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .routing import binary, rests, rows_for, short
+from .routing import binary
 from .shared import bucketed, staged
 from .textarrays import U64
 
@@ -51,8 +51,24 @@ def bucket_col(bits: int) -> Column:
 
 
 def packed_keys(bucket: np.ndarray, some: np.ndarray, keys: np.ndarray, bits: int) -> pa.Array:
-    """Sorted keys of a batch, a packed value for each of the buckets ``some``."""
-    return rows_for(some, bucket, short(keys & U64((1 << bits) - 1), bits))
+    """Sorted distinct keys of a batch, a value for each of the buckets ``some``: differences, byte by byte from the highest, as these compress."""
+    rest = keys & U64((1 << bits) - 1)
+    cuts = np.append(np.searchsorted(bucket, some), len(bucket)).tolist()
+    steps = np.diff(rest, prepend=U64(0))
+    steps[cuts[:-1]] = rest[cuts[:-1]]
+    planes = steps.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - bits // 8 :]
+    return pa.array([planes[i:j].T.tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+
+
+def unpacked_keys(sent: pa.Table, bits: int) -> list[np.ndarray]:
+    """What ``packed_keys`` packed in the column ``keys``: each row's keys, without their bucket."""
+    out = []
+    for x in sent.column("keys"):
+        planes = np.frombuffer(x.as_buffer(), np.uint8).reshape(bits // 8, -1)
+        wide = np.zeros((planes.shape[1], 8), np.uint8)
+        wide[:, 8 - bits // 8 :] = planes.T
+        out.append(np.cumsum(wide.view(">u8").ravel().astype(U64)))
+    return out
 
 
 @dataclass
@@ -129,7 +145,7 @@ def _ask(bucket: int, sent: pa.Table, made: pa.Table, ordered: bool, bits: int)
     wanted = np.unique(np.array([k for k, _ in same], np.int64).astype(U64))
     lows = [np.frombuffer(x.as_buffer(), "<i8") for x in sent.column("low")] if ordered else [None] * sent.num_rows
     holders: dict[int, list[tuple[int, int]]] = {}  # key: (low, batch); all of them by low, or else two batches
-    for batch, own, low in zip(sent.column("batch").to_pylist(), rests(sent, "keys", bits), lows, strict=True):
+    for batch, own, low in zip(sent.column("batch").to_pylist(), unpacked_keys(sent, bits), lows, strict=True):
         own = own | U64(bucket) << U64(bits)
         at = np.minimum(np.searchsorted(own, wanted), max(0, len(own) - 1))
         for i in np.flatnonzero(own[at] == wanted) if len(own) else []:
@@ -197,7 +213,7 @@ def _route(bucket: int, sent: pa.Table, contested: pa.Table, bits: int) -> pa.Ta
     """Contested keys told to every batch that holds them."""
     wanted = np.sort(contested.column("key").to_numpy().astype(U64))
     told = []
-    for batch, own in zip(sent.column("batch").to_pylist(), rests(sent, "keys", bits), strict=True):
+    for batch, own in zip(sent.column("batch").to_pylist(), unpacked_keys(sent, bits), strict=True):
         if len(hit := np.intersect1d(own | U64(bucket) << U64(bits), wanted)):
             told.append((batch, hit))
     return pa.table([pa.array([b for b, _ in told], pa.int32()), binary([k.astype("<u8") for _, k in told])], names=["batch", "keys"])

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .agreement import CLAIMS, Piece, buckets_of, claims, confirmed, covered, key_bits, keyed, packed_keys, spans_of, stored
+from .agreement import CLAIMS, Piece, buckets_of, claims, confirmed, covered, key_bits, keyed, packed_keys, spans_of, stored, unpacked_keys
 from .routing import MOST_BUCKETS, Shared, binary, bucket_rests, cat, column, distinct, hits, rests, rows_for, run_starts, short
 from .shared import bucket_of, bucketed, parts_for, text_bytes
 from .textarrays import U64, Words, pieces, text_buffer
@@ -134,7 +134,7 @@ def _extend(key: tuple, docs: pa.Table, shared: pa.Table, buckets: int) -> pa.Ta
 def _originals(key: tuple, sent: pa.Table, buckets: int) -> pa.Table:
     """The smallest document of every window that larger ones hold too, told to the batches of those."""
     bits = key_bits(buckets)
-    keys, lows, highs = rests(sent, "keys", bits), column(sent, "low", "<i8"), column(sent, "high", "<i8")
+    keys, lows, highs = unpacked_keys(sent, bits), column(sent, "low", "<i8"), column(sent, "high", "<i8")
     index, inverse = np.unique(cat(keys, U64), return_inverse=True)
     least = np.full(len(index), NO_ID)
     np.minimum.at(least, inverse, cat(lows, np.int64))
@@ -212,7 +212,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id
     probes = by_batch.applyInArrow(lambda key, docs: _send(key, docs, buckets), "bucket int, batch int, single binary, multi binary, blocks binary")
     shared = probes.groupBy("bucket").applyInArrow(_probe, "batch int, bucket int, shared binary")
     windows = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(lambda key, docs, more: _extend(key, docs, more, buckets), "bucket int, batch int, keys binary, low binary, high binary")
-    sent = bucketed(windows, "bucket", buckets, size // 2, "windows")
+    sent = bucketed(windows, "bucket", buckets, size // 2, "windows", "zstd")
     told = sent.groupBy("bucket").applyInArrow(lambda key, some: _originals(key, some, buckets), "batch int, keys binary, low binary")
     claimed = by_batch.cogroup(told.groupBy("batch")).applyInArrow(lambda key, docs, more: _claimed(key, docs, more, buckets), CLAIMS)
     smaller = F.col("least") < F.coalesce("doc_id", F.lit(int(NO_ID)))

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .agreement import CLAIMS, Piece, buckets_of, claims, confirmed, covered, key_bits, keyed, packed_keys, spans_of, stored
+from .agreement import CLAIMS, Piece, buckets_of, claims, confirmed, covered, key_bits, keyed, packed_keys, spans_of, stored, unpacked_keys
 from .routing import MOST_BUCKETS, Shared, binary, bucket_rests, cat, column, cover, distinct, rests, rows_for, run_starts, short
 from .shared import bucket_of, bucketed, parts_for, staged, text_bytes
 from .textarrays import BYTE_VALUES, U64, Sums, pieces, text_buffer
@@ -174,7 +174,7 @@ def _suffixes(key: tuple, docs: pa.Table, tied: pa.Table, buckets: int) -> pa.Ta
 
 def _settle(key: tuple, sent: pa.Table, buckets: int) -> pa.Table:
     """Sort a bucket's suffixes; each batch is told, a bit for each key that it sent, which occur again."""
-    keys = rests(sent, "keys", key_bits(buckets))
+    keys = unpacked_keys(sent, key_bits(buckets))
     many = [np.unpackbits(m, count=len(k)).astype(bool) for k, m in zip(keys, column(sent, "many", np.uint8), strict=True)]
     every = np.sort(np.concatenate([*keys, *(k[m] for k, m in zip(keys, many, strict=True))]))
     starts = run_starts(every)
@@ -264,7 +264,7 @@ def remove_repeated_bytes(docs: DataFrame, *, text: str = "text", id_col: str =
     sample = by_batch.applyInArrow(lambda key, docs: _sample(key, docs, buckets), "bucket int, batch int, single binary, multi binary")
     tied = staged(sample.groupBy("bucket").applyInArrow(_rank, "batch int, bucket int, shared binary"), "tied-samples")
     suffixes = by_batch.cogroup(tied.groupBy("batch")).applyInArrow(lambda key, docs, more: _suffixes(key, docs, more, buckets), "bucket int, batch int, keys binary, many binary")
-    sent = bucketed(suffixes, "bucket", buckets, size // 2, "suffix-keys")
+    sent = bucketed(suffixes, "bucket", buckets, size // 2, "suffix-keys", "zstd")
     flags = sent.groupBy("bucket").applyInArrow(lambda key, some: _settle(key, some, buckets), "batch int, bucket int, flags binary")
     told = tied.unionByName(flags, allowMissingColumns=True)
     claimed = by_batch.cogroup(told.groupBy("batch")).applyInArrow(lambda key, docs, more: _claimed(key, docs, more, buckets), CLAIMS)
