@@ -36,7 +36,9 @@ RECALL = 0.99999
 #: Texts of a block.
 BLOCK = 512
 #: Shingles, and texts, of the small sets that are compared together, and rows of the forest that one task walks.
-BIN, BIN_TEXTS, WALK = 1_000_000, 2000, 300_000
+BIN, BIN_TEXTS, WALK = 300_000, 2000, 300_000
+#: Names of rows whose texts are read again are told to all tasks up to so many, some 64 MB; beyond, texts are shuffled to meet them.
+BROADCAST_ROWS = 1_000_000
 #: Columns of an incidence matrix at once.
 _WIDTH = 4096
 
@@ -197,7 +199,7 @@ def candidate_hubs(texts: DataFrame, threshold: float = THRESHOLD, recall: float
 def _set_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SHA-256 of each text's shingles, sorted."""
     for b in batches:
-        made = [hashlib.sha256("\n".join(sorted(shingle_texts(t, short=True))).encode("utf-8", "surrogatepass")).digest() for t in b.column("text").to_pylist()]
+        made = [hashlib.sha256("\n".join(sorted(shingle_texts(t.as_py(), short=True))).encode("utf-8", "surrogatepass")).digest() for t in b.column("text")]
         yield pa.RecordBatch.from_arrays([b.column("v"), b.column("x"), pa.array(made, pa.binary())], names=["v", "x", "d"])
 
 
@@ -208,7 +210,8 @@ def _told_apart(signed: DataFrame, keyed: DataFrame) -> DataFrame:
     unlike the first's get names of their own.
     """
     wordings = staged(signed.where("v IS NOT NULL").groupBy("v", "x").agg(F.min("doc_id").alias("one")), "wordings")
-    several = wordings.join(wordings.groupBy("v").count().where("count > 1").select("v"), "v", "left_semi")
+    several = staged(wordings.join(wordings.groupBy("v").count().where("count > 1").select("v"), "v", "left_semi"), "several-wordings")
+    several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
     texts = keyed.select(F.col("doc_id").alias("one"), "x", "text").join(several, ["one", "x"])
     digests = staged(texts.select("v", "x", "text").mapInArrow(_set_digests, "v long, x binary, d binary").distinct(), "set-digests")
     first = digests.groupBy("v").agg(F.min_by("d", "x").alias("first"))
@@ -338,7 +341,7 @@ def _joined(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RE
     members = staged(members.join(hubs, "v").join(texts.select("v", "text_id", "x", "size", "n"), "v").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")), "members")
     n, weight = members.agg(F.count("*"), F.sum("n")).first()
     ids = members.select(F.col("text_id").alias("doc_id"), "x", "v").distinct()
-    rows = keyed.select("doc_id", "x", "text").join(F.broadcast(ids) if n <= 1_000_000 else ids, ["doc_id", "x"]).select("v", "text").dropDuplicates(["v"])  # rows that repeat id and text are one
+    rows = keyed.select("doc_id", "x", "text").join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, ["doc_id", "x"]).select("v", "text").dropDuplicates(["v"])  # rows that repeat id and text are one
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = members.join(rows, "v").withColumn("other", other).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
     small = F.col("blocks") == 1

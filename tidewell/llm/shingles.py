@@ -70,7 +70,7 @@ def shingle_texts(text: str | None, short: bool = False) -> set[str]:
 
 def _ranked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Numbers of pairs: equal for equal pairs alone."""
-    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
+    return np.unique(a.astype(np.int64) * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1].astype(np.int32)
 
 
 def exact_sets(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
@@ -90,23 +90,23 @@ def exact_sets(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
         counts.append(words.counts)
     if not texts:
         return []
-    # two numbers that no word has stand for what a short text lacks and for a row's end
-    ids = pa.chunked_array(texts).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    # 0, which no word has, stands for what lies beyond a row's end
+    encoded = pa.chunked_array(texts).combine_chunks().dictionary_encode().indices
+    del texts
+    ids = encoded.to_numpy(zero_copy_only=False).astype(np.int32) + 1
     count = np.concatenate(counts)
-    first = np.concatenate([[0], np.cumsum(count)])
-    padded = np.concatenate([ids, np.zeros(SIZE, np.int64)])
-    row = np.repeat(np.arange(len(count)), count)
-    at = np.arange(len(ids))
-    whole = at + SIZE <= first[row + 1]
-    short = (count[row] < SIZE) & (at == first[row])
-    inside = lambda k: np.where(at + k < first[row + 1], padded[at + k], 0)
-    two = _ranked(inside(0), inside(1))
-    after = np.concatenate([two, np.zeros(2, np.int64)])[at + 2] + 1
-    four = _ranked(two, np.where(at + 2 < first[row + 1], after, 0))
-    five = _ranked(four, inside(4))
-    some = np.flatnonzero(whole | short)
-    keys = np.unique(row[some] * (int(five.max(initial=0)) + 1) + five[some])
-    owner = keys // (int(five.max(initial=0)) + 1)
-    cuts = np.searchsorted(owner, np.arange(len(count) + 1))
-    values = keys - owner * (int(five.max(initial=0)) + 1)
-    return [values[i:j].astype(U64) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    n = len(ids)
+    row = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    left = np.repeat(np.cumsum(count), count).astype(np.int32) - np.arange(n, dtype=np.int32)  # words from here to the row's end
+    beyond = lambda x, k: np.where(left > k, np.append(x[k:], np.zeros(min(k, n), x.dtype)), 0)
+    two = _ranked(ids, beyond(ids, 1))
+    four = _ranked(two, beyond(two + 1, 2))
+    del two
+    five = _ranked(four, beyond(ids, 4))
+    del four
+    some = np.flatnonzero((left >= SIZE) | ((count[row] < SIZE) & (left == count[row])))
+    size = int(five.max(initial=0)) + 1
+    keys = np.unique(row[some].astype(np.int64) * size + five[some])
+    cuts = np.searchsorted(keys, np.arange(len(count) + 1) * size)
+    values = (keys % size).astype(U64)
+    return [values[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
