@@ -699,6 +699,21 @@ def test_suffix_dedup_compares_bytes(spark, alike):
             assert got(out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)), "*") == plain.removed_bytes(rows)
 
 
+def test_runs_name_their_claims(spark):
+    """The numbers of claims are read back as they were written, whatever bytes they have."""
+    import pyarrow as pa
+
+    from tidewell.llm import agreement
+
+    n = 3 * 5000
+    hit = np.arange(n) % 3 == 0
+    piece = agreement.Piece(0, np.array([0, n]), np.arange(n), np.arange(n).astype(np.uint64), lambda i: b"%d" % i)
+    made = agreement.claims(0, pa.table({"nth": pa.array([0], pa.int64())}), iter([(piece, hit)]), 10)
+    runs = spark.createDataFrame(made.filter(made.column("no").is_null()).select(["start", "refs"]))
+    read = {r.start: r.no for r in runs.select("start", agreement.claim_numbers("refs").alias("no")).collect()}
+    assert read == {3 * i: [i] for i in range(n // 3)}
+
+
 def test_substring_dedup_compares_words(spark, alike):
     one, two = (f"{x} " + " ".join(f"w{i}" for i in range(49)) for x in alike)
     rows = [(1, one), (2, two)]

@@ -112,7 +112,7 @@ def claims(batch: int, docs: pa.Table, found: Iterator[tuple[Piece, np.ndarray]]
             if sure is None or not sure[row]:
                 for w in [*range(i, j, width), j]:
                     refs.append(known.setdefault((int(piece.keys[w]), piece.body(w)), len(known)))
-            runs.append((nth[row], pos, j - i + 1, np.array(refs, "<i4").tobytes()))
+            runs.append((nth[row], pos, j - i + 1, np.array(refs, ">i4").tobytes()))  # from the highest byte, as hex digits are read
     n, m = len(runs), len(known)
     cols = list(zip(*runs, strict=True)) or [()] * 4
     none = lambda k, t: pa.nulls(k, t)
@@ -131,6 +131,11 @@ def claims(batch: int, docs: pa.Table, found: Iterator[tuple[Piece, np.ndarray]]
     )
 
 
+def claim_numbers(refs: str) -> Column:
+    """The numbers in a column ``refs`` of ``claims``; bytes are read as hex digits, as none of Spark's string functions keep them."""
+    return F.expr(f"transform(sequence(0, cast(octet_length({refs}) / 4 as int) - 1), i -> cast(conv(hex(substring({refs}, i * 4 + 1, 4)), 16, 10) as int))")
+
+
 def _ask(bucket: int, sent: pa.Table, made: pa.Table, ordered: bool, bits: int) -> pa.Table:
     """Claims of a bucket: settled where several batches make the same, else put to another holder of the key.
 
@@ -251,8 +256,7 @@ def confirmed(texts: DataFrame, sent: DataFrame, claimed: DataFrame, pieces: Pie
     if failed.isEmpty():
         return plain
     size = F.octet_length("refs") / 4
-    ref = F.expr("transform(sequence(0, cast(octet_length(refs) / 4 as int) - 1), i -> cast(conv(hex(reverse(substring(refs, i * 4 + 1, 4))), 16, 10) as int))")
-    each = runs.where(size > 0).select("batch", "nth", "start", "windows", F.explode(ref).alias("no"))
+    each = runs.where(size > 0).select("batch", "nth", "start", "windows", F.explode(claim_numbers("refs")).alias("no"))
     bad = staged(each.join(failed, ["batch", "no"], "left_semi").select("batch", "nth", "start", "windows").distinct(), "failed-runs")
     keys = by_batch.cogroup(bad.groupBy("batch")).applyInArrow(lambda k, a, b: _contested(a, b, pieces), "key long").distinct()
     keys = staged(keys.withColumn("bucket", bucket_col(bits)), "contested")
