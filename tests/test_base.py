@@ -646,3 +646,20 @@ def test_generate_command(spark, tmp_path):
     got = cli.generate(spark, cli.generator_config(args))
     assert got["n_patients"] == 300 and abs(got["treatment_rate"] - 0.5) < 0.12
     assert cli.main(["init", "--output", f"{tmp_path}/c.json"])["seed"] == 42
+
+
+def test_analysis_rows_are_made_once(spark, sf_dir):
+    """What trains on them reads a table, with the features that the whole documents table gives."""
+    rows = queries.analysis_rows(spark, sf_dir)
+    assert rows.inputFiles() and "MapInArrow" not in rows._jdf.queryExecution().executedPlan().toString()
+    chunks = P.drop_near_duplicates(queries.embed(queries.X.explode_chunks(queries.read(spark, sf_dir, "documents"))), 0.9)
+    want = P.pooled_features(chunks, queries.bank(spark, sf_dir), "attn").join(queries.read(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    want = {r.doc_id: r.features for r in want.collect()}
+    got = {r.doc_id: r.features for r in rows.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], atol=1e-12) for i in want)
+
+
+def test_gathers_of_an_epoch_are_few():
+    """A gather takes a second: an epoch of three small networks over 136,000 rows each takes at most four."""
+    plan = batches.Plan(nets.Design(10), {}, {1: 136_000}, 64, 1.0, 0.1, 42)
+    assert -(-plan.batches(1) // plan.together(10, 3)) <= 4

@@ -3,7 +3,7 @@
 Every training row has a number among its model's rows; an epoch's order is a keyed permutation
 of these numbers, so batches are of exact size, are shuffled anew each epoch, and don't depend on
 partitions. Tasks keep the rows they were dealt. Of each batch they gather either the rows, where a batch is smaller
-than a network, or the sums of gradients, and all take the same step.
+than a network, and one task for each network takes the steps; or the sums of gradients, and all take the same step.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from ..operators import nets
 from ..operators.nets import AdamW, Design, Weights
 
-#: Bytes of rows that are gathered at once.
-GATHERED = 1 << 20
+#: Bytes of rows that are gathered at once: a gather takes Spark a second, whatever its size, and a third more as text must stay well under an RPC message's 128 MB.
+GATHERED = 16 << 20
 SCHEMA = "f int, kind string, v binary"
 
 
@@ -70,6 +70,10 @@ class Plan:
     def batches(self, f: int) -> int:
         return math.ceil(self.rows[f] / self.batch_size)
 
+    def together(self, width: int, models: int) -> int:
+        """Batches of which a gather brings the rows."""
+        return max(1, GATHERED // (8 * self.batch_size * (width + 3) * models))
+
     def optimiser(self, f: int, rate: float, decay: float, falls: bool) -> AdamW:
         """Its rate falls to a tenth over all batches, or over the epochs if ``by_epoch``."""
         return AdamW(rate, decay, (self.epochs if self.by_epoch else self.epochs * self.batches(f)) + 1, falls=falls)
@@ -121,8 +125,10 @@ def run_epoch(data: DataFrame, plan: Plan, epoch: int, weights: dict[int, Weight
         size = plan.batch_size
         network = len(nets.flat(next(iter(weights.values()))))
         by_rows = size * (width + 3) <= 2 * network
-        together = max(1, GATHERED // (8 * size * (width + 3) * len(weights))) if by_rows else 1
+        together = plan.together(width, len(weights)) if by_rows else 1
         most = max(plan.batches(f) for f in weights)
+        tasks = len(context.getTaskInfos())
+        mine_to_step = {f for i, f in enumerate(sorted(weights)) if not by_rows or i % tasks == context.partitionId()}
         sums = {f: np.zeros(marks) for f in weights}
         mean_loss = dict.fromkeys(weights, 0.0)
         for first in range(0, most, together):
@@ -139,9 +145,9 @@ def run_epoch(data: DataFrame, plan: Plan, epoch: int, weights: dict[int, Weight
             gathered = _send(context, sent)
             for b in range(first, last):
                 for f in weights:
-                    found = [g[f, b] for g in gathered if (f, b) in g]
-                    if b >= plan.batches(f):
+                    if b >= plan.batches(f) or f not in mine_to_step:
                         continue
+                    found = [g[f, b] for g in gathered if (f, b) in g]
                     if by_rows:
                         at, *some = (np.concatenate([p[i] for p in found]) for i in range(4))
                         by = np.argsort(at)
@@ -150,13 +156,16 @@ def run_epoch(data: DataFrame, plan: Plan, epoch: int, weights: dict[int, Weight
                     mean_loss[f] += nets.total_loss(plan.design, total, plan.alpha, plan.beta) / plan.batches(f)
                     sums[f] += total
                     step(plan.design, weights[f], optimisers[f], total, grads, plan.beta, epoch if plan.by_epoch else None)
+        if by_rows:  # a network is stepped by one task, then told to all for their validation rows
+            for told in _send(context, {f: weights[f] for f in mine_to_step}):
+                weights |= told
         rows = []
         for f in weights:
             mine = np.flatnonzero(uses(group, f) & val) if len(x) else np.zeros(0, np.int64)
             if len(mine):
                 out = nets.forward(plan.design, weights[f], x[mine])
                 rows.append((f, "val", np.concatenate([nets.losses(plan.design, out, t[mine], y[mine]), counts(plan.design, out, t[mine], y[mine])]).tobytes()))
-            if context.partitionId() == 0:  # all tasks hold the same
+            if f in mine_to_step and (by_rows or context.partitionId() == 0):  # where all tasks step, they hold the same
                 rows.append((f, "state", pickle.dumps((mean_loss[f], sums[f], weights[f], optimisers[f]), protocol=5)))
         cols = list(zip(*rows, strict=True)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.string(), pa.binary()), strict=True)], names=["f", "kind", "v"])

@@ -591,10 +591,15 @@ def scm_calibrated_statistics(spark, d):
 
 
 def analysis_rows(spark, d) -> DataFrame:
-    """Documents' features, not standardised, with quality as treatment and toxicity as outcome: a test convenience without causal meaning."""
-    chunks = P.drop_near_duplicates(embed(X.explode_chunks(read(spark, d, "documents"))), 0.9)
+    """Features of the documents that have labels, not standardised, with quality as treatment and toxicity as outcome: a test convenience without causal meaning.
+
+    Written once: what trains on them reads them many times.
+    """
+    labels = read(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("t"), F.col("toxic").cast("double").alias("y"))
+    docs = read(spark, d, "documents").join(labels, "doc_id", "left_semi")  # a document's features are its own, whatever the others
+    chunks = P.drop_near_duplicates(embed(X.explode_chunks(docs)), 0.9)
     feats = P.pooled_features(chunks, bank(spark, d), "attn")
-    return feats.join(read(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("t"), F.col("toxic").cast("double").alias("y")), "doc_id")
+    return S.write_table(feats.join(labels, "doc_id"), S.scratch(spark))
 
 
 @query()
