@@ -663,3 +663,18 @@ def test_gathers_of_an_epoch_are_few():
     """A gather takes a second: an epoch of three small networks over 136,000 rows each takes at most four."""
     plan = batches.Plan(nets.Design(10), {}, {1: 136_000}, 64, 1.0, 0.1, 42)
     assert -(-plan.batches(1) // plan.together(10, 3)) <= 4
+
+
+def test_closest_keeps_each_tasks_own(spark):
+    """What reaches the ranks is bounded by tasks, and ranks as all matches do; ties go by document and position."""
+    draw = np.random.default_rng(3)
+    few = draw.normal(size=(40, 4)).tolist()
+    rows = [(None if i == 7 else i // 5, i % 5, None if i == 11 else few[i * 7 % 40], f"chunk {i}") for i in range(3000)]
+    vectors = spark.createDataFrame(rows, "doc_id long, pos int, emb array<double>, chunk string").repartition(3)
+    bank = spark.createDataFrame([(c, h, draw.normal(size=4).tolist()) for c in range(3) for h in range(2)], "conf_idx int, head int, vec array<double>")
+    found = P.closest(vectors, bank, 6, digits=9)
+    assert found.columns == ["doc_id", "pos", "chunk", "conf_idx", "head", "s"] and found.count() == 3 * 6 * 6
+    want = M.top_chunks(P.match(vectors.where("emb IS NOT NULL"), bank).withColumn("s", F.round("s", 9) + 0.0), 6, 1)
+    key = lambda df: sorted((r.conf_idx, r.head, r["rank"], r.confounder_type, r.doc_id or -1, r.pos, r.chunk_text, round(r.activation, 8)) for r in df.collect())
+    assert key(M.top_chunks(found, 6, 1)) == key(want)
+    assert P.closest(vectors.where("false"), bank).count() == 0 and P.closest(vectors, bank.where("false")).count() == 0

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from ..functions import vectors as V
@@ -50,23 +52,37 @@ def drop_near_duplicates(vectors: DataFrame, threshold: float | None = 0.9, grou
             small = drop_near_duplicates(vectors.join(large.select(group), group, "left_anti"), threshold, group, pos, emb)
             return small.unionByName(_without_grid(vectors.join(large, group), threshold, group, pos, emb).select(vectors.columns))
     ordered = vectors.repartition(group).sortWithinPartitions(group, pos)
+    return ordered.mapInArrow(_dropping(threshold, group, pos, emb), vectors.schema)
+
+
+#: A step over a partition's batches.
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _dropping(threshold: float, group: str, pos: str, emb: str) -> Step:
+    """Rows of whole groups, in order, without near-duplicates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids = b.column(group).to_pylist()
-            last = next((i for i in range(len(ids) - 1, -1, -1) if ids[i] != ids[-1]), -1)
-            if last < 0 and (not held or held[-1].column(group)[-1].as_py() == ids[-1]):
-                held.append(b)  # the same group goes on
-                continue
-            yield from _distinct_rows(pa.Table.from_batches([*held, b.slice(0, last + 1)]), threshold, group, pos, emb)
-            held = [b.slice(last + 1)]
+        for whole in batches:
+            for b in _cut(whole):
+                ids = b.column(group).to_pylist()
+                last = next((i for i in range(len(ids) - 1, -1, -1) if ids[i] != ids[-1]), -1)
+                if last < 0 and (not held or held[-1].column(group)[-1].as_py() == ids[-1]):
+                    held.append(b)  # the same group goes on
+                    continue
+                yield from _distinct_rows(pa.Table.from_batches([*held, b.slice(0, last + 1)]), threshold, group, pos, emb)
+                held = [b.slice(last + 1)]
         if held:
             yield from _distinct_rows(pa.Table.from_batches(held), threshold, group, pos, emb)
 
-    return ordered.mapInArrow(run, vectors.schema)
+    return run
+
+
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in blocks of rows, so that what is made of one stays small."""
+    for i in range(0, batch.num_rows, _BLOCK):
+        yield batch.slice(i, _BLOCK)
 
 
 def _without_grid(rows: DataFrame, threshold: float, group: str, pos: str, emb: str) -> DataFrame:
@@ -247,12 +263,13 @@ def bank_matrix(bank: DataFrame) -> np.ndarray:
     return np.array([r.vec for r in rows], np.float64)
 
 
-def pooled_features(vectors: DataFrame, bank: DataFrame, mode: str = "attn", group: str = "doc_id", emb: str = "emb", stretch: bool = False, tau: float = TAU, power: float = POWER, top: int = TOP) -> DataFrame:
+def pooled_features(vectors: DataFrame, bank: DataFrame, mode: str = "attn", group: str = "doc_id", emb: str = "emb", stretch: bool = False, tau: float = TAU, power: float = POWER, top: int = TOP, distinct: float | None = None, pos: str = "pos") -> DataFrame:
     """``group, features``: what ``pool`` makes of ``match``, as an array in the bank's order.
 
     A task multiplies its chunks by the bank and merges what belongs to one document at once, so a state a document leaves it, not a
     row for each chunk and bank vector; states of a document that several tasks hold are merged after one exchange. ``stretch``:
-    similarities are stretched by arctanh first. Chunks without a vector don't count; a document with none has no row.
+    similarities are stretched by arctanh first. Chunks without a vector don't count; a document with none has no row. ``distinct``: what ``drop_near_duplicates``
+    drops at this cosine, by ``pos``, doesn't count; as that brings groups together, one task drops, matches and merges, in one Python process.
     """
     if mode not in MODES:
         raise ValueError(f"unknown pooling mode {mode!r}; known: {', '.join(MODES)}")
@@ -275,9 +292,7 @@ def pooled_features(vectors: DataFrame, bank: DataFrame, mode: str = "attn", gro
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = held.value
         for b in batches:
-            b = b.filter(b.column(emb).is_valid())
-            for i in range(0, b.num_rows, _BLOCK):
-                some = b.slice(i, _BLOCK)
+            for some in _cut(b.filter(b.column(emb).is_valid())):
                 order, starts = groups(some.column(group))
                 x = some.column(emb).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(some.num_rows, -1)[order]
                 s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)) @ unit.T
@@ -312,10 +327,65 @@ def pooled_features(vectors: DataFrame, bank: DataFrame, mode: str = "attn", gro
         if last is not None:
             yield done(last)
 
+    made = StructType([key, StructField("features", ArrayType(DoubleType()))])
+    if distinct is not None and k:
+        drop = _dropping(distinct, group, pos, emb)
+        return vectors.select(group, pos, emb).repartition(group).sortWithinPartitions(group, pos).mapInArrow(lambda batches: merge(match(drop(batches))), made)
     states = vectors.select(group, emb).mapInArrow(match, partial)
     if not k:
         return states.select(group).distinct().withColumn("features", F.array().cast("array<double>"))
-    return states.repartition(group).sortWithinPartitions(group).mapInArrow(merge, StructType([key, StructField("features", ArrayType(DoubleType()))]))
+    return states.repartition(group).sortWithinPartitions(group).mapInArrow(merge, made)
+
+
+def closest(vectors: DataFrame, bank: DataFrame, k: int = 10, group: str = "doc_id", pos: str = "pos", emb: str = "emb", digits: int | None = None) -> DataFrame:
+    """Of the rows of ``match``, at least the ``k`` of the highest cosine ``s`` for each bank vector, ties by ``group`` and ``pos``: each task's own ``k``.
+
+    Columns: those of ``vectors`` but ``emb``, ``conf_idx``, ``head``, ``s``, rounded to ``digits`` (half away from zero) before it is compared. A task
+    multiplies its rows by the bank and keeps no more than what it will send. Rows without a vector don't count.
+    """
+    if bank.count() > MOST_BANK:
+        raise ValueError(f"a bank has at most {MOST_BANK} vectors")
+    named = bank.orderBy("conf_idx", "head").select("conf_idx", "head", V.normalised("vec").alias("vec")).collect()
+    names = [(r.conf_idx, r.head) for r in named]
+    held = vectors.sparkSession.sparkContext.broadcast(np.array([r.vec for r in named], np.float64))
+    kept = [f for f in vectors.schema.fields if f.name != emb]
+    schema = StructType([*kept, bank.schema["conf_idx"], bank.schema["head"], StructField("s", DoubleType())])
+    kinds = [to_arrow_type(bank.schema[c].dataType) for c in ("conf_idx", "head")]
+    order = [("_at", "ascending"), ("s", "descending"), (group, "ascending"), (pos, "ascending")]
+
+    def best(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start"))
+        at = rows.column("_at").to_numpy()
+        return rows.take(pa.array(np.flatnonzero(np.arange(len(at)) - np.searchsorted(at, at) < k))).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, found = held.value, None
+        floor = np.full(len(unit), -np.inf)
+        for b in batches:
+            for some in _cut(b.filter(b.column(emb).is_valid())) if len(unit) else ():
+                x = some.column(emb).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(some.num_rows, -1)
+                s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)) @ unit.T
+                if digits is not None:
+                    s = np.copysign(np.floor(np.abs(s) * 10.0**digits + 0.5) / 10.0**digits, s) + 0.0
+                least = np.partition(s, len(s) - k, axis=0)[len(s) - k] if len(s) > k else np.full(len(unit), -np.inf)
+                row, at = np.nonzero(~(s < np.maximum(floor, least)))
+                if not len(row):
+                    continue
+                taken = pa.Table.from_batches([some.select([f.name for f in kept])]).take(pa.array(row))
+                taken = taken.append_column("_at", pa.array(at)).append_column("s", pa.array(s[row, at]))
+                found = best(taken if found is None else pa.concat_tables([found, taken]))
+                at, kth = found.column("_at").to_numpy(), found.column("s").to_numpy()
+                full = np.flatnonzero(np.bincount(at, minlength=len(unit)) == k)
+                floor[full] = kth[np.searchsorted(at, full, side="right") - 1]
+        if found is not None:
+            at = found.column("_at").to_numpy()
+            named = [pa.array([names[i][c] for i in at], kinds[c]) for c in (0, 1)]
+            out = found.drop_columns(["_at", "s"])
+            for name, column in zip(("conf_idx", "head", "s"), (*named, found.column("s")), strict=True):
+                out = out.append_column(name, column)
+            yield from out.combine_chunks().to_batches()
+
+    return vectors.mapInArrow(run, schema)
 
 
 def long_features(features: DataFrame, group: str = "doc_id") -> DataFrame:

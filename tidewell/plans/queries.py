@@ -268,7 +268,7 @@ def document_features_attn(spark, d):
 def interpret_top_chunks(spark, d):
     """The documents' chunks that speak most for each of the bank's vectors; sums of floating numbers are rounded before they are ordered."""
     chunks = X.explode_chunks(read(spark, d, "documents"))
-    found = P.match(embed(chunks.withColumn("_text", F.col("chunk")), text="_text"), bank(spark, d)).withColumn("s", F.round("s", 9) + 0.0)
+    found = P.closest(embed(chunks.withColumn("_text", F.col("chunk")), text="_text"), bank(spark, d), digits=9)
     top = M.top_chunks(found, explicit=3)
     return top.select("conf_idx", "confounder_type", "rank", r6(F.col("activation"), "activation"), "doc_id", F.col("pos").cast("long").alias("pos"), F.md5("chunk_text").alias("chunk_md5"))
 

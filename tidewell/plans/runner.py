@@ -298,7 +298,7 @@ class ExperimentRunner:
         name = f"{self.out}/applied_inference"
         chunks, bank = self.spark.read.parquet(f"{name}/chunks"), self.spark.read.parquet(f"{name}/bank" if fold is None else f"{name}/fold-{fold}/bank")
         arch = self.config.applied_inference.architecture
-        return M.top_chunks(P.match(chunks, bank), k, len(arch.explicit_confounder_texts or []))
+        return M.top_chunks(P.closest(chunks, bank, k), k, len(arch.explicit_confounder_texts or []))
 
 
 def run_applied_inference(spark: SparkSession, config: Experiment, embedder: Embedder | None = None) -> dict:
