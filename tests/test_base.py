@@ -678,3 +678,22 @@ def test_closest_keeps_each_tasks_own(spark):
     key = lambda df: sorted((r.conf_idx, r.head, r["rank"], r.confounder_type, r.doc_id or -1, r.pos, r.chunk_text, round(r.activation, 8)) for r in df.collect())
     assert key(M.top_chunks(found, 6, 1)) == key(want)
     assert P.closest(vectors.where("false"), bank).count() == 0 and P.closest(vectors, bank.where("false")).count() == 0
+
+
+def test_embedding_and_features_work_in_blocks(spark):
+    """However many rows a batch of Arrow has, few texts are embedded at once; dropping, matching and merging are one Python process's."""
+    from tidewell.functions.embed import embed
+
+    sizes = lambda texts: np.full((len(texts), 1), float(len(texts)))
+    texts = spark.range(0, 3000, 1, 1).select("id", F.lit("a b").alias("chunk"))
+    assert max(r.emb[0] for r in embed(texts, sizes).collect()) <= 512
+    draw = np.random.default_rng(4)
+    few = draw.normal(size=(9, 4)).tolist()
+    rows = [(None if i % 50 == 7 else i % 40, i // 40, None if i % 30 == 11 else few[int(draw.integers(9))]) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "doc_id long, pos int, emb array<double>")
+    bank = spark.createDataFrame([(c, 0, draw.normal(size=4).tolist()) for c in range(3)], "conf_idx int, head int, vec array<double>")
+    made = P.pooled_features(vectors, bank, "attn", distinct=0.9)
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = {r.doc_id: r.features for r in P.pooled_features(P.drop_near_duplicates(vectors, 0.9), bank, "attn").collect()}
+    got = {r.doc_id: r.features for r in made.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], atol=1e-12) for i in want)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +16,19 @@ DIM = 64
 Embedder = Callable[[list[str]], np.ndarray]
 
 
-@lru_cache(1 << 18)
-def _hash(word: str) -> int:
-    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+#: Words whose hashes a task keeps, and texts that are embedded at once.
+MOST_WORDS, TEXTS = 1 << 18, 512
+
+
+class _Hashes(dict):
+    """Words' hashes; looked up, a new word is added."""
+
+    def __missing__(self, word: str) -> int:
+        made = self[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+        return made
+
+
+_hashes = _Hashes()
 
 
 def hash_embedder(dim: int = DIM) -> Embedder:
@@ -32,7 +42,9 @@ def hash_embedder(dim: int = DIM) -> Embedder:
     def embed(texts: list[str]) -> np.ndarray:
         words = [(text or "").lower().split() for text in texts]
         size = [len(w) for w in words]
-        h = np.fromiter((_hash(w) for ws in words for w in ws), np.int64, sum(size))
+        if len(_hashes) > MOST_WORDS:
+            _hashes.clear()
+        h = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(words)), np.int64, sum(size))
         row = np.repeat(np.arange(len(texts)), size)
         out = np.bincount(row * dim + h % dim, np.where(h % (2 * dim) >= dim, 1.0, -1.0), minlength=len(texts) * dim).reshape(-1, dim)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
@@ -41,13 +53,13 @@ def hash_embedder(dim: int = DIM) -> Embedder:
 
 
 def embed(rows: DataFrame, embedder: Embedder | None = None, text: str = "chunk") -> DataFrame:
-    """``rows`` with ``emb`` in place of ``text``; batches of rows go through Arrow, nothing is shuffled."""
+    """``rows`` with ``emb`` in place of ``text``; rows go through Arrow, TEXTS at a time, and nothing is shuffled."""
     make = embedder or hash_embedder()
     kept = [f for f in rows.schema.fields if f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            vectors = make(b.column(text).to_pylist()) if b.num_rows else np.zeros((0, 1))
+        for b in (whole.slice(i, TEXTS) for whole in batches for i in range(0, whole.num_rows, TEXTS)):
+            vectors = make(b.column(text).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, vectors.size + 1, max(1, vectors.shape[1])), pa.int32()), pa.array(vectors.ravel()))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), lists], names=[*(f.name for f in kept), "emb"])
 
