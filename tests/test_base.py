@@ -697,3 +697,23 @@ def test_embedding_and_features_work_in_blocks(spark):
     want = {r.doc_id: r.features for r in P.pooled_features(P.drop_near_duplicates(vectors, 0.9), bank, "attn").collect()}
     got = {r.doc_id: r.features for r in made.collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], atol=1e-12) for i in want)
+
+
+def test_chunks_are_embedded_from_texts_split_once(spark):
+    """As ``embed`` of ``explode_chunks``, bit by bit, on odd texts too; no text of a chunk is made."""
+    from tidewell.functions.embed import embed, embed_chunks
+
+    word = lambda i: f"{'Wörd' if i % 3 else 'ΣΟΦΟΣ'}{i % 41}"
+    texts = [None, "", " \t\n\v\f\r ", "\u00a0", "a\u00a0b c\u2003\u3000 d\x1c\x1de \x85 f", "\u00a0 a\u00a0b", "The the THE", "\u0130stanbul \u0391\u03a3 \u03a3\u0391", "x " * 5000, "X x " * 500 + "X", "  one"]
+    texts += [" ".join(map(word, range(n))) for n in (1, 127, 128, 129, 224, 225, 2000)] + ["\n\n ".join(map(word, range(500))) + "\t"] * 2
+    rows = [(None if i == 3 else i // 2, t) for i, t in enumerate(texts * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(spark.sql("SELECT 99L AS doc_id, CAST(X'61FF6220C3' AS STRING) AS text"))
+    shown = lambda made: Counter((r.doc_id, r.pos, tuple(r.emb)) for r in made.select("doc_id", "pos", "emb").collect())
+    for size, overlap in ((128, 32), (7, 0), (5, 4)):
+        want = embed(X.explode_chunks(docs, size=size, overlap=overlap))
+        got = embed_chunks(docs, size=size, overlap=overlap)
+        assert got.schema["emb"].dataType == want.schema["emb"].dataType and shown(got) == shown(want)
+    plan = queries.document_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "array_join" not in plan
+    with pytest.raises(ValueError, match="overlap"):
+        embed_chunks(docs, size=3, overlap=3)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rng
 from ..functions import text as X
 from ..functions import vectors as V
-from ..functions.embed import embed
+from ..functions.embed import embed, embed_chunks
 from ..operators import metrics as M
 from ..operators import pooling as P
 from ..operators import tables as T
@@ -242,7 +242,7 @@ def pool_without_bank(spark, d):
 
 def document_features(spark, d, mode: str = "attn", threshold: float = 0.9) -> DataFrame:
     """Documents to pooled features: chunk, embed, drop near-duplicates, match, pool, standardise."""
-    chunks = embed(X.explode_chunks(read(spark, d, "documents")))
+    chunks = embed_chunks(read(spark, d, "documents"))
     return P.standardise(P.long_features(P.pooled_features(chunks, bank(spark, d), mode, distinct=threshold)))
 
 
@@ -597,7 +597,7 @@ def analysis_rows(spark, d) -> DataFrame:
     """
     labels = read(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("t"), F.col("toxic").cast("double").alias("y"))
     docs = read(spark, d, "documents").join(labels, "doc_id", "left_semi")  # a document's features are its own, whatever the others
-    feats = P.pooled_features(embed(X.explode_chunks(docs)), bank(spark, d), "attn", distinct=0.9)
+    feats = P.pooled_features(embed_chunks(docs), bank(spark, d), "attn", distinct=0.9)
     return S.write_table(feats.join(labels, "doc_id"), S.scratch(spark))
 
 
