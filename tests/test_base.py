@@ -1,6 +1,7 @@
 import hashlib
 import json
 import math
+import shutil
 from collections import Counter
 
 import duckdb
@@ -188,6 +189,26 @@ def test_near_duplicates_strict_and_not_greedy(spark):
         P.pooled("median")
 
 
+def test_cosines_at_the_threshold_are_kept(spark, sf_dir, tmp_path, monkeypatch):
+    """Chunks of 96 equal words and 32 others have a cosine of exactly 0.9 if the 96 are the same in both, so do 72 of 96: none is dropped, by blocks, by the grid or by the SQL."""
+    bucket = {int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64: w for w in (f"w{i}" for i in range(2000))}
+    runs = lambda *parts: " ".join(w for w, n in parts for _ in range(n))
+    four = [[bucket[(i + j) % 64] for j in (0, 1, 2, 3)] for i in range(64)]
+    docs = [(i, runs((a, 96), (b, 32), (x, 64), (c, n // 3), (a, n))) for n in (96, 72) for i, (a, b, c, x) in enumerate(four, n * 100)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    shutil.copy(f"{sf_dir}/embeddings.parquet", tmp_path)
+    vectors = queries.embed_chunks(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    kept = lambda rows: {(r.doc_id, r.pos) for r in rows.select("doc_id", "pos").collect()}
+    assert kept(P.drop_near_duplicates(vectors, 0.9)) == kept(vectors) == {(i, p) for i, _ in docs for p in range(3)}
+    assert len(kept(P.drop_near_duplicates(vectors, 0.9 - 1e-9))) == 2 * len(docs)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'; CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    found = con.execute(queries.ORACLE_SQL["document_features_attn"]).fetchall()
+    assert Counter(tuple(map(plain, r)) for r in queries.document_features_attn(spark, str(tmp_path)).collect()) == Counter(tuple(map(plain, r)) for r in found)
+    monkeypatch.setattr(P, "LARGE", 2)
+    assert kept(P.drop_near_duplicates(vectors, 0.9, large=P.large_groups(vectors))) == kept(vectors)
+
+
 def test_auroc_of_ties_and_single_classes(spark):
     rows = [("a", 0.5, 1.0), ("a", 0.5, 0.0), ("a", 0.9, 1.0), ("b", 0.1, 1.0)]
     got = {r.g: r.auroc for r in M.auroc(spark.createDataFrame(rows, "g string, s double, y double"), "s", "y", ["g"]).collect()}

@@ -26,6 +26,8 @@ MOST_BANK = 100_000
 LARGE = 20_000
 #: Large groups that are told to all tasks; each has more than LARGE rows.
 MOST_LARGE = 1_000_000
+#: A cosine so little above a threshold is at it, as products are rounded (by some 1e-15). Chunks of 128 hashed words whose cosine isn't 0.9 differ from it by 2e-11 at least.
+ROUNDING = 1e-12
 
 
 def large_groups(rows: DataFrame, group: str = "doc_id", least: int | None = None) -> DataFrame:
@@ -34,7 +36,7 @@ def large_groups(rows: DataFrame, group: str = "doc_id", least: int | None = Non
 
 
 def drop_near_duplicates(vectors: DataFrame, threshold: float | None = 0.9, group: str = "doc_id", pos: str = "pos", emb: str = "emb", large: DataFrame | None = None) -> DataFrame:
-    """Rows but those whose cosine with an earlier row of the group exceeds ``threshold``.
+    """Rows but those whose cosine with an earlier row of the group exceeds ``threshold``; one that is at it but for ``ROUNDING`` doesn't.
 
     An earlier row that is itself dropped still drops later ones. ``None`` drops nothing. Rows whose group or
     vector is null stay. One exchange brings groups together; a task walks them in order, a group at a time, and multiplies
@@ -103,7 +105,7 @@ def _without_grid(rows: DataFrame, threshold: float, group: str, pos: str, emb:
         for i in range(0, len(left), _BLOCK):
             for j in range(0, len(right), _BLOCK):
                 p, q = left[i : i + _BLOCK], right[j : j + _BLOCK]
-                close = x[p] @ x[q].T > threshold
+                close = x[p] @ x[q].T > threshold + ROUNDING
                 drops[p] |= (close & (at[q][None, :] < at[p][:, None])).any(1)
                 drops[q] |= (close & (at[p][:, None] < at[q][None, :])).any(0)
         return some.filter(pa.array(drops)).select([group, pos, "_of"])
@@ -133,7 +135,7 @@ def _distinct_rows(rows: pa.Table, threshold: float, group: str, pos: str, emb:
                 drops = np.zeros(later.stop - i, bool)
                 for j in range(a, later.stop, _BLOCK):
                     earlier = slice(j, min(later.stop, j + _BLOCK))
-                    close = x[later] @ x[earlier].T > threshold * np.maximum(np.outer(length[later], length[earlier]), 1e-12)
+                    close = x[later] @ x[earlier].T > (threshold + ROUNDING) * np.maximum(np.outer(length[later], length[earlier]), 1e-12)
                     drops |= (close & (places[earlier][None, :] < places[later][:, None])).any(1)
                 keep[there[later]] = ~drops
     yield from rows.filter(pa.array(keep)).to_batches()
